@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, token_count, token_file, topk, warc
+from . import decontam, mixing, near_dup, quality, token_count, token_file, topk, toxicity, warc
 from .common import shared_path, table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, by a ranking fitted on labelled rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page as a WARC record, read the archives back."""
     path = shared_path(spark, "warc")
@@ -19,11 +25,22 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of every document."""
+    return near_dup.groups(table(spark, sf_dir, "documents"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 vectors of highest integer inner product for each vec_id divisible by 20."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % topk.EVERY == 0)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a lexicon learned from labelled rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes each document."""
     return mixing.plan(table(spark, sf_dir, "documents"))
@@ -44,6 +61,6 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc, op4_topk, op6_mixing, op7_token_count, op8_decontam, op9_token_file)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_warc, op3_near_dup, op4_topk, op5_toxicity, op6_mixing, op7_token_count, op8_decontam, op9_token_file)}
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op4_topk": topk.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op8_decontam": decontam.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op3_near_dup": near_dup.ORACLE_SQL, "op4_topk": topk.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op8_decontam": decontam.ORACLE_SQL}
