@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, near_dup, quality, token_count, token_file, topk, toxicity, warc
+from . import decontam, mixing, near_dup, quality, substrings, token_count, token_file, topk, toxicity, warc
 from .common import shared_path, table
 
 
@@ -61,6 +61,11 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_warc, op3_near_dup, op4_topk, op5_toxicity, op6_mixing, op7_token_count, op8_decontam, op9_token_file)}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document repeats of earlier ones, in strings of 50 bytes."""
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_warc, op3_near_dup, op4_topk, op5_toxicity, op6_mixing, op7_token_count, op8_decontam, op9_token_file, op10_substrings)}
 
 ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op3_near_dup": near_dup.ORACLE_SQL, "op4_topk": topk.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op8_decontam": decontam.ORACLE_SQL}
