@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the registry."""
 
-from . import metrics_queries  # noqa: F401
+from . import metrics_queries, series_queries  # noqa: F401
