@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the registry."""
 
-from . import matching_queries, metrics_queries, series_queries  # noqa: F401
+from . import matching_queries, metrics_queries, monitoring_queries, series_queries, stream_queries  # noqa: F401
