@@ -3,18 +3,19 @@
 One suffix array over the whole corpus would be one task. Instead, every 50-byte string is led to a bucket that all its
 occurrences share, and buckets are suffix-sorted by themselves:
 
-1. Documents are packed into batches of bounded size (a saved table).
-2. Each batch picks its anchors: GRAM-byte strings whose hash is the smallest of some 50-byte window. Equal windows
-   have equal anchors. A batch asks the anchor's bucket whether the anchor occurs in any other document, with one entry a batch and
-   different anchor, however many documents hold it; the answers are bits.
-3. Around each repeated anchor the batch cuts a segment: all 50-byte windows that hold the anchor. Equal segments of a batch
-   are one entry, with their smallest doc_id. Segments go to their anchor's bucket. (An anchor that more than HOT batches
-   hold is split further: each of its windows goes to the bucket of its own hash.)
+1. Documents are packed into batches of bounded size: a table bucketed by batch, so that later steps meet a batch's text
+   without moving it again.
+2. Each batch finds the anchor of every 50-byte window: its GRAM-byte string of smallest hash. Equal windows have equal
+   anchors. A batch asks an anchor's bucket whether any other document has it, with one entry a batch and different anchor,
+   however many documents hold it; the answers are bits.
+3. Consecutive windows of one repeated anchor are a segment. Equal segments of a batch are one entry, with their smallest
+   doc_id, and go to their anchor's bucket. (An anchor that more than HOT batches hold is split further: each of its
+   windows goes to the bucket of its own hash.)
 4. A bucket merges equal segments, sorts the suffixes of those that share an anchor in two stages (see suffix_sort), and
    computes adjacent common prefixes. Runs of prefixes of 50 bytes or more are equal windows; the smallest doc_id of a run is
    the window's first document. A segment without a partner has its own smallest doc_id throughout.
-5. Each batch gets the first documents of its segments' windows, marks windows whose first document is smaller than
-   their own, and removes the bytes that they cover.
+5. Each batch cuts its segments again, gets the first documents of their windows, and removes the bytes covered by windows
+   whose first document is smaller than their own.
 
 Hashes only lead to buckets; what is removed rests on compared bytes (equal segments of a bucket are told by 128 bits of hash).
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, drop, flat_text, save, ship, slices
+from .common import SLICE_BYTES, drop, flat_text, save, shared_path, ship, slices
 from .shingles import _BYTE, mix, powers
 from .suffix_sort import common_prefixes, suffix_array
 
@@ -46,7 +48,7 @@ WINDOWS = SPAN - GRAM + 1
 LAST = np.iinfo(np.int64).max
 ROWS = "kind int, batch bigint, bucket bigint, data binary"
 _ROWS = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
-TEXT, ASK, ANSWER, PLACES, REPORT = range(5)
+TEXT, ASK, STATE, ANSWER = range(4)
 
 
 def put(*arrays: np.ndarray) -> bytes:
@@ -97,36 +99,37 @@ def _sums(raw: np.ndarray) -> np.ndarray:
     return sums
 
 
-def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all windows that lie in one text."""
+def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the anchor, start and end of each segment: a run of windows of one text with their anchor in one place.
+
+    Of equal smallest hashes in a window the first is its anchor.
+    """
     n = len(raw)
     if n < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     sums = _sums(raw)
     grams = mix((sums[GRAM:] - sums[:-GRAM]) * powers(n)[1][: n - GRAM + 1])
-    rank = (grams >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    low = _sliding(rank, WINDOWS, np.minimum)
+    place = np.uint64(0xFFFFFFFF)
+    low = _sliding((grams & ~place) | np.arange(len(grams), dtype=np.uint64), WINDOWS, np.minimum) & place
     sizes = np.diff(offs)
     room = np.repeat(offs[1:], sizes)[: len(low)] - np.arange(len(low))  # bytes from here to the end of the text
-    low[room < SPAN] = 0
-    edge = np.zeros(WINDOWS - 1, np.uint32)
-    high = _sliding(np.concatenate([edge, low, edge]), WINDOWS, np.maximum)
-    at = np.flatnonzero(high == rank)
-    return at, grams[at]
+    start = np.flatnonzero(room >= SPAN)
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = low[start].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = np.append(first[1:], len(at)) - 1
+    return grams[at[first]], start[first], start[last] + SPAN
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _owner(keys: np.ndarray, offs: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return keys[np.searchsorted(offs, at, "right") - 1]
-
-
 def _different(raw: np.ndarray, offs: np.ndarray, keys: np.ndarray, buckets: int):
-    """The batch's anchors: places, hashes, owners, then the different hashes by bucket, where each anchor's is, and whether two owners hold it."""
-    at, hashes = anchors(raw, offs)
-    owner = _owner(keys, offs, at)
+    """The batch's segments (start, end, owner), its different anchors by bucket, where each segment's is, and whether two owners hold it."""
+    hashes, begin, end = anchors(raw, offs)
+    owner = keys[np.searchsorted(offs, begin, "right") - 1]
     different, inverse = np.unique(hashes, return_inverse=True)
     bucket = _bucket(different, buckets)
     order = np.argsort(bucket, kind="stable")
@@ -136,7 +139,7 @@ def _different(raw: np.ndarray, offs: np.ndarray, keys: np.ndarray, buckets: int
     least, most = np.full(len(order), LAST), np.full(len(order), -LAST - 1)
     np.minimum.at(least, inverse, owner)
     np.maximum.at(most, inverse, owner)
-    return at, owner, different[order], bucket[order], inverse, least < most
+    return begin, end, owner, different[order], bucket[order], inverse, least < most
 
 
 def _split(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -151,7 +154,7 @@ def _ask(buckets: int):
         for batch in batches:
             for number, data in zip(batch.column("batch").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 keys, _, offs, raw = get(data)
-                _, _, hashes, bucket, _, several = _different(raw, offs, keys, buckets)
+                _, _, _, hashes, bucket, _, several = _different(raw, offs, keys, buckets)
                 low = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]  # the bucket knows the bits above
                 rows = [(ASK, number, b, put(low[i:j].reshape(-1), several[i:j].view(np.uint8))) for b, i, j in _split(bucket)]
                 if rows:
@@ -172,7 +175,7 @@ def _answer(hot: int):
         several[inverse[np.concatenate([p[1] for p in parts]).astype(bool)]] = True
         state = (several | (batches > 1)).astype(np.uint8) + (batches > hot)
         ends = np.cumsum(sizes)
-        return _table([(ANSWER, n, b, put(s)) for n, b, s in zip(asked["batch"].to_pylist(), asked["bucket"].to_pylist(), np.split(state[inverse], ends[:-1]), strict=True)])
+        return _table([(STATE, n, b, put(s)) for n, b, s in zip(asked["batch"].to_pylist(), asked["bucket"].to_pylist(), np.split(state[inverse], ends[:-1]), strict=True)])
 
     return answer
 
@@ -190,37 +193,46 @@ def _segment_rows(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, group: np
     return first, bucket[first], ask
 
 
+def _sorted(rows: pa.Table, kind: int) -> list[list[np.ndarray]]:
+    """What the rows of a kind hold, by bucket."""
+    some = [(b, d) for k, b, d in zip(rows["kind"].to_pylist(), rows["bucket"].to_pylist(), rows["data"].to_pylist(), strict=True) if k == kind]
+    return [get(d) for _, d in sorted(some)]
+
+
+def _segments(raw, offs, keys, state: list, buckets: int):
+    """Start, end, group and owner of the batch's segments with repeated anchors; None if it has none."""
+    if not state:
+        return None
+    begin, end, owner, hashes, _, inverse, _ = _different(raw, offs, keys, buckets)
+    state = np.concatenate([s[0] for s in state])[inverse]
+    group = hashes[inverse]
+    warm, very = state == 1, np.flatnonzero(state == 2)
+    b, e, g, o = [begin[warm]], [end[warm]], [group[warm]], [owner[warm]]
+    if len(very):  # every window of a hot anchor is a segment, and its hash its group
+        counts = end[very] - begin[very] - SPAN + 1
+        start = np.repeat(begin[very], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        b, e, g, o = [*b, start], [*e, start + SPAN], [*g, _grams(raw, start, start + SPAN)], [*o, np.repeat(owner[very], counts)]
+    b, e, g, o = map(np.concatenate, (b, e, g, o))
+    return (b, e, g, o) if len(b) else None
+
+
 def _cut(buckets: int):
-    def cut(rows: pa.Table) -> pa.Table:
-        """From a batch's text and answers: its segments as asks, and their places."""
-        kinds, data = rows["kind"].to_pylist(), rows["data"].to_pylist()
-        number = rows["batch"][0].as_py()
-        keys, _, offs, raw = get(data[kinds.index(TEXT)])
-        answers = sorted((b, d) for k, b, d in zip(kinds, rows["bucket"].to_pylist(), data, strict=True) if k == ANSWER)
-        if not answers:
+    def cut(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        """From a batch's text and the state of its anchors: its segments, as asks."""
+        if not texts.num_rows:
             return _table([])
-        at, owner, _, _, inverse, _ = _different(raw, offs, keys, buckets)
-        state = np.concatenate([get(d)[0] for _, d in answers])[inverse]
-        doc = np.searchsorted(offs, at, "right") - 1
-        begin, end = np.maximum(offs[doc], at - WINDOWS + 1), np.minimum(offs[doc + 1], at + SPAN)
-        grams = _grams(raw, at, at + GRAM)
-        warm, very = state == 1, np.flatnonzero(state == 2)
-        b, e, g, o = [begin[warm]], [end[warm]], [grams[warm]], [owner[warm]]
-        if len(very):  # every window of a hot anchor is a segment, and its hash its group
-            counts = end[very] - begin[very] - SPAN + 1
-            start = np.repeat(begin[very], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            start, which = np.unique(start, return_index=True)
-            b, e, g, o = [*b, start], [*e, start + SPAN], [*g, _grams(raw, start, start + SPAN)], [*o, np.repeat(owner[very], counts)[which]]
-        b, e, g, o = map(np.concatenate, (b, e, g, o))
-        if not len(b):
+        keys, _, offs, raw = get(texts["data"][0].as_py())
+        found = _segments(raw, offs, keys, _sorted(answers, STATE), buckets)
+        if found is None:
             return _table([])
-        first, bucket, ask = _segment_rows(raw, b, e, g, o, buckets)
-        out = [(PLACES, number, 0, put(b, ask, o))]
+        b, e, g, o = found
+        first, bucket, _ = _segment_rows(raw, *found, buckets)
+        out = []
         for k, i, j in _split(bucket):
             some = first[i:j]
             sizes = e[some] - b[some]
             text = raw[np.repeat(b[some], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
-            out.append((ASK, number, k, put(g[some], o[some], sizes, text)))
+            out.append((ASK, texts["batch"][0].as_py(), k, put(g[some], o[some], sizes.astype(np.uint8), text)))
         return _table(out)
 
     return cut
@@ -281,6 +293,7 @@ def _sort(asked: pa.Table) -> pa.Table:
     parts = [get(d) for d in asked["data"].to_pylist()]
     counts = [len(p[0]) for p in parts]
     group, docs, sizes, text = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    sizes = sizes.astype(np.int64)
     begin = np.cumsum(sizes) - sizes
     body = _grams(text, begin, begin + sizes)
     order = np.lexsort((docs, body, group))
@@ -312,25 +325,34 @@ REPORTS = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<s
 _REPORTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string())])
 
 
-def _remove(rows: pa.Table) -> pa.Table:
-    """From a batch's text, its segments' places and the first documents of their windows: what goes."""
-    kinds, data = rows["kind"].to_pylist(), rows["data"].to_pylist()
-    keys, nulls, offs, raw = get(data[kinds.index(TEXT)])
-    delta = np.zeros(len(raw) + 1, np.int64)
-    if PLACES in kinds:
-        begin, ask, owner = get(data[kinds.index(PLACES)])
-        answers = [get(d) for _, d in sorted((b, d) for k, b, d in zip(kinds, rows["bucket"].to_pylist(), data, strict=True) if k == ANSWER)]
-        n, offset, doc, windows = (np.concatenate([a[i] for a in answers]) for i in range(4))
-        offset = offset.astype(np.int64)
-        last = np.cumsum(n)
-        stop = np.append(offset[1:], 0)
-        stop[last - 1] = windows  # a run ends where the next begins, or with the segment's windows
-        runs = n[ask]
-        take = np.repeat((last - n)[ask], runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-        goes = doc[take] < np.repeat(owner, runs)
-        take, base = take[goes], np.repeat(begin, runs)[goes]
-        np.add.at(delta, base + offset[take], 1)
-        np.add.at(delta, base + stop[take] + SPAN - 1, -1)
+def _remove(buckets: int):
+    def remove(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        """From a batch's text, the state of its anchors and the first documents of its segments' windows: what goes."""
+        if not texts.num_rows:
+            return _REPORTS.empty_table()
+        keys, nulls, offs, raw = get(texts["data"][0].as_py())
+        delta = np.zeros(len(raw) + 1, np.int64)
+        found = _segments(raw, offs, keys, _sorted(rows, STATE), buckets)
+        if found is not None:
+            begin, _, _, owner = found
+            _, _, ask = _segment_rows(raw, *found, buckets)
+            n, offset, doc, windows = (np.concatenate([a[i] for a in _sorted(rows, ANSWER)]) for i in range(4))
+            offset = offset.astype(np.int64)
+            last = np.cumsum(n)
+            stop = np.append(offset[1:], 0)
+            stop[last - 1] = windows  # a run ends where the next begins, or with the segment's windows
+            runs = n[ask]
+            take = np.repeat((last - n)[ask], runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+            goes = doc[take] < np.repeat(owner, runs)
+            take, base = take[goes], np.repeat(begin, runs)[goes]
+            np.add.at(delta, base + offset[take], 1)
+            np.add.at(delta, base + stop[take] + SPAN - 1, -1)
+        return _report(keys, nulls, offs, raw, delta)
+
+    return remove
+
+
+def _report(keys, nulls, offs, raw, delta) -> pa.Table:
     gone = np.cumsum(delta[:-1]) > 0
     out = {f.name: [] for f in _REPORTS}
     out["doc_id"] = [None if z else k for k, z in zip(keys.tolist(), nulls.tolist(), strict=True)]
@@ -347,17 +369,23 @@ def _remove(rows: pa.Table) -> pa.Table:
 
 def repeats(docs: DataFrame, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """REPORTS for each row of docs (doc_id, text): the byte spans that repeat a document of smaller doc_id."""
-    ship(docs.sparkSession)
-    texts = save(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_pack, ROWS), "texts", "none")
+    spark = docs.sparkSession
+    ship(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 16
     while buckets < size / bucket_bytes and buckets < 1 << 16:
         buckets *= 2
-    state = texts.mapInArrow(_ask(buckets), ROWS).groupBy("bucket").applyInArrow(_answer(hot), ROWS)
-    cut = save(texts.union(state).groupBy("batch").applyInArrow(_cut(buckets), ROWS), "segments", "none")
-    sorted_ = cut.where(F.col("kind") == ASK).groupBy("bucket").applyInArrow(_sort, ROWS)
-    out = save(texts.union(cut.where(F.col("kind") == PLACES)).union(sorted_).groupBy("batch").applyInArrow(_remove, REPORTS), "repeats")
-    drop(texts, cut)
+    path, name = shared_path(spark, "texts"), f"pricewright_texts_{uuid.uuid4().hex}"
+    packed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_pack, ROWS)
+    packed.write.format("parquet").option("compression", "none").option("path", path).bucketBy(max(12, -(-size // (4 * SLICE_BYTES))), "batch").saveAsTable(name)
+    texts = spark.table(name)
+    state = save(texts.mapInArrow(_ask(buckets), ROWS).groupBy("bucket").applyInArrow(_answer(hot), ROWS), "state", "none")
+    asked = texts.groupBy("batch").cogroup(state.groupBy("batch")).applyInArrow(_cut(buckets), ROWS)
+    answers = asked.groupBy("bucket").applyInArrow(_sort, ROWS)
+    out = save(texts.groupBy("batch").cogroup(state.union(answers).groupBy("batch")).applyInArrow(_remove(buckets), REPORTS), "repeats")
+    spark.sql(f"DROP TABLE {name}")
+    texts._pricewright_path = path
+    drop(texts, state)
     return out
 
 
