@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -38,7 +39,7 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; a local one only if it is unset in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pricewright-shared-")
         spark.conf.set("spark.checkpoint.dir", base)

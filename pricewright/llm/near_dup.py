@@ -9,11 +9,12 @@ What is emitted is never all pairs of a group:
 
 1. Equal sets become one node (the smallest doc_id) before anything else.
 2. A task joins the nodes of its batch that share a key to the smallest of them, and passes on one row a key and batch:
-   a key held by a third of all rows reaches the shuffle as one row a batch. Smallest nodes of batches meet by key.
-3. Each node confirms its link to the nearest of these partners on whole sets; components of confirmed links follow.
-4. Only keys that still hold nodes of several components are looked at again. There, nodes outside the key's largest
-   component meet all others in blocks of bounded size, by signature first, then on whole sets: the nearest partners,
-   then whatever still lies between components. What is left out joins nodes that are connected already.
+   a key held by a third of all rows reaches the shuffle as one row a batch. Nodes that meet nobody are done.
+3. The others are dealt into tiles of bounded size. Nodes that reach each other by shared keys are a cluster, and most clusters are
+   one tile; a cluster of up to MANY tiles is dealt by a hash, and all its tiles meet. In a larger cluster each node goes by the
+   key that it shares with most others, so that similar nodes lie in few tiles, and two tiles meet if they have a key in common.
+4. There, nodes within the signature distance are compared on whole sets, by counting one node's shingles in all others at once.
+   Only links that connect what is not yet connected in the task are emitted: fewer than it has nodes.
 
 Defined results: texts without words have no shingles, no links and themselves as component; null doc_id is never linked and has a
 null component (kept); of rows that repeat a doc_id the one with the smallest set digest is linked, and all get its
@@ -35,8 +36,8 @@ from .shingles import VALUES, digest, mix, sets, shingle_hashes, signature, word
 
 #: Links: 100 * common >= PERCENT * all shingles of both. Chunks of a signature, values that may differ in one.
 PERCENT, CHUNKS, ERRORS = 85, 8, 1
-#: Differing values up to which a pair is confirmed on whole sets; nodes of a block in step 4.
-FAR, BLOCK = 22, 1024
+#: Differing values up to which a pair is confirmed on whole sets; nodes of a tile, about; most tiles of a cluster that all meet.
+FAR, TILE, MANY = 22, 1024, 8
 WIDTH = VALUES // CHUNKS
 
 _KEY = np.random.default_rng(77).integers(1, 2**64, (CHUNKS, WIDTH), dtype=np.uint64) | np.uint64(1)
@@ -91,143 +92,122 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         all_keys = keys(_signs(batch.column("sig")))
-        per = all_keys.shape[1]
-        repeat = lambda name: pa.array(np.repeat(batch.column(name).to_numpy(), per), pa.int64())  # noqa: E731, B023
-        yield pa.RecordBatch.from_arrays([pa.array(all_keys.reshape(-1).view(np.int64)), repeat("node"), repeat("component")], ["key", "node", "component"])
-
-
-def _block(rows: dict, first: int, stop: int) -> Iterator[tuple]:
-    """Pairs (a, b, differing values) of a run of rows: guests with the others, of different components, close enough."""
-    guest = rows["guest"][first:stop]
-    g, o = first + np.flatnonzero(guest), first + np.flatnonzero(~guest)
-    for at in range(0, len(g), 64):
-        some = g[at : at + 64]
-        size_a, size_b = rows["n"][some][:, None], rows["n"][o][None, :]
-        fine = (rows["component"][some][:, None] != rows["component"][o][None, :]) & (100 * np.minimum(size_a, size_b) >= PERCENT * np.maximum(size_a, size_b))
-        i, j = np.nonzero(fine)
-        if not len(i):
+        nodes = np.repeat(batch.column("node").to_numpy(), all_keys.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(all_keys.reshape(-1).view(np.int64)), pa.array(nodes, pa.int64())], ["key", "node"])
+
+
+def spanning(node: np.ndarray, sig: np.ndarray, hashes: list[np.ndarray], guest: np.ndarray | None) -> list[tuple[int, int]]:
+    """Links that connect all that is similar: of every node with every other, or of guests with the rest.
+
+    A node's shingles are marked in an array over all shingles of the task; sums of the marks over the others' lists are the
+    sizes of all intersections at once.
+    """
+    sizes = np.array([len(h) for h in hashes])
+    _, ids = np.unique(np.concatenate(hashes), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    mark = np.zeros(ids.max() + 1, np.int32)
+    label = np.arange(len(node))
+    out = []
+    for g in range(len(node)) if guest is None else np.flatnonzero(guest).tolist():
+        others = np.arange(g) if guest is None else np.flatnonzero(~guest)
+        others = others[label[others] != label[g]]
+        others = others[100 * np.minimum(sizes[others], sizes[g]) >= PERCENT * np.maximum(sizes[others], sizes[g])]
+        others = others[(sig[others] != sig[g]).sum(1) <= FAR]
+        if not len(others):
             continue
-        far = np.concatenate([(rows["sig"][some[i[k : k + 65536]]] != rows["sig"][o[j[k : k + 65536]]]).sum(1) for k in range(0, len(i), 65536)])
-        close = far <= FAR
-        a, b = rows["node"][some[i[close]]], rows["node"][o[j[close]]]
-        yield np.minimum(a, b), np.maximum(a, b), far[close]
-
-
-def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (key, own, visit); a run of equal ones is a block."""
-    kept = None
-    for batch in batches:
-        kept = batch if kept is None else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
-        group = np.stack([kept.column(n).to_numpy() for n in ("key", "own", "visit")])
-        change = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1
-        if not len(change):
-            continue
-        yield from _blocks(kept.slice(0, int(change[-1])), np.concatenate([[0], change]))
-        kept = kept.slice(int(change[-1]))
-    if kept is not None and kept.num_rows:
-        yield from _blocks(kept, np.array([0, kept.num_rows]))
-
-
-def _blocks(batch: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    rows = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("node", "component", "n", "guest")} | {"sig": _signs(batch.column("sig"))}
-    rows["guest"] = rows["guest"].astype(bool)
-    found = [p for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) for p in _block(rows, a, b)]
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "far"])
+        mine = ids[begin[g] : begin[g] + sizes[g]]
+        mark[mine] = 1
+        each = sizes[others]
+        take = np.repeat(begin[others], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        common = np.add.reduceat(mark[ids[take]], np.cumsum(each) - each)
+        mark[mine] = 0
+        for o in others[100 * common >= PERCENT * (each + sizes[g] - common)].tolist():
+            if label[o] != label[g]:
+                out.append((int(min(node[o], node[g])), int(max(node[o], node[g]))))
+                label[label == label[o]] = label[g]
+    return out
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose whole sets are similar enough."""
-    for batch in batches:
-        left, right = batch.column("set_of_a"), batch.column("set_of_b")
-        yes = []
-        for k in range(batch.num_rows):
-            a, b = np.frombuffer(left[k].as_buffer(), np.uint64), np.frombuffer(right[k].as_buffer(), np.uint64)
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            yes.append(100 * common >= PERCENT * (len(a) + len(b) - common))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
+def _runs(columns: tuple[str, ...], guests: bool):
+    """Rows come sorted by the columns; a run of equal ones is a task of spanning()."""
 
+    def links_of(rows: pa.Table) -> list[tuple[int, int]]:
+        guest = rows["guest"].to_numpy(zero_copy_only=False).astype(bool) if guests else None
+        hashes = [np.frombuffer(h.as_buffer(), np.uint64) for h in rows["hashes"]]
+        return spanning(rows["node"].to_numpy(), np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint16).reshape(-1, VALUES), hashes, guest)
 
-def _confirmed(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    rows = pairs.select("a", "b").join(whole.select(F.col("node").alias("b"), F.col("hashes").alias("set_of_b")), "b")
-    rows = rows.join(whole.select(F.col("node").alias("a"), F.col("hashes").alias("set_of_a")), "a")
-    return save(rows.select("a", "b", "set_of_a", "set_of_b").mapInArrow(_link, "a bigint, b bigint"), "links")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        last = None
 
+        def emit() -> Iterator[pa.RecordBatch]:
+            found = links_of(pa.Table.from_batches(parts)) if sum(p.num_rows for p in parts) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """pairs whose ends still lie in different components (an id without one is its own)."""
-    a, b = labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    rows = pairs.join(a, "a", "left").join(b, "b", "left")
-    return rows.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+        for batch in batches:
+            group = np.stack([batch.column(n).to_numpy() for n in columns])
+            edges = np.concatenate([[0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1, [batch.num_rows]])
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if parts and not np.array_equal(group[:, i], last):
+                    yield from emit()
+                    parts = []
+                parts.append(batch.slice(i, j - i))
+                last = group[:, i]
+        if parts:
+            yield from emit()
 
+    return run
 
-def _nearest(pairs: DataFrame) -> DataFrame:
-    """For either end, the partner at the smallest distance."""
-    ends = pairs.select(F.col("a").alias("x"), "a", "b", "far").union(pairs.select(F.col("b").alias("x"), "a", "b", "far"))
-    return ends.groupBy("x").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
 
-
-def links(docs: DataFrame, measured: DataFrame) -> DataFrame | None:
+def links(docs: DataFrame, measured: DataFrame) -> DataFrame:
     """Confirmed links (a, b) that connect all that is similar; a saved table."""
-    one = measured.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b", "n_shingles", "sig")).alias("s"))
-    nodes = save(one.groupBy("s.set_a", "s.set_b").agg(F.min(F.struct("doc_id", "s.n_shingles", "s.sig")).alias("m")).select("set_a", "set_b", F.col("m.doc_id").alias("node"), F.col("m.n_shingles").alias("n"), "m.sig"), "nodes")
+    one = measured.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b", "sig")).alias("s"))
+    nodes = save(one.groupBy("s.set_a", "s.set_b").agg(F.min(F.struct("doc_id", "s.sig")).alias("m")).select("set_a", "set_b", F.col("m.doc_id").alias("node"), "m.sig"), "nodes")
     copies = one.select("doc_id", "s.set_a", "s.set_b").join(nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
 
     met = save(nodes.select("node", "sig").mapInArrow(_meet, "key bigint, a bigint, b bigint"), "met")
     by_key = met.where("key is not null").withColumn("lowest", F.min("a").over(Window.partitionBy("key"))).where("a <> lowest").select(F.col("lowest").alias("a"), F.col("a").alias("b"))
-    pairs = by_key.union(met.where("key is null").select("a", "b")).distinct()
-    facts = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}"))
-    far = F.arrow_udf(_distance, "bigint")("sig_a", "sig_b")
-    first = save(pairs.join(facts("a"), "a").join(facts("b"), "b").select("a", "b", "n_a", "n_b", far.alias("far")), "first")
+    pairs = by_key.union(met.where("key is null").select("a", "b"))
+    clusters = components(pairs)
     drop(met)
-    involved = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
-    involved = save(nodes.join(involved, "node"), "involved")
-
-    wanted = involved.select(F.col("node").alias("doc_id"), "set_a", "set_b")
-    whole = save(docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(_whole, "node bigint, hashes binary").dropDuplicates(["node"]), "sets")
-    close = first.where((F.col("far") <= FAR) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")))
-    linked = [_confirmed(_nearest(close), whole)]
-    labels = components(linked[0])
-
-    # step 4
-    rows = involved.join(labels, F.col("node") == F.col("id"), "left").select("node", "n", "sig", F.coalesce("component", "node").alias("component"))
-    spread = save(rows.mapInArrow(_keyed, "key bigint, node bigint, component bigint"), "keyed")
-    mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    parts = spread.join(mixed, "key").groupBy("key", "component").agg(F.count(F.lit(1)).alias("many"))
-    host = parts.groupBy("key").agg(F.max(F.struct("many", "component")).alias("host"), F.sum("many").alias("all"))
-    host = save(host.select("key", F.col("host.component").alias("host"), F.ceil((F.col("all") - F.col("host.many")) / BLOCK).alias("visits"), F.ceil(F.col("all") / BLOCK).alias("owns")), "hosts")
-    members = spread.join(host, "key").join(rows.select("node", "n", "sig"), "node")
-    turn = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    fields = ("node", "component", "n", "sig")
-    own = members.select("key", place("owns").alias("own"), turn("visits").alias("visit"), *fields, F.lit(False).alias("guest"))
-    visit = members.where("component <> host").select("key", turn("owns").alias("own"), place("visits").alias("visit"), *fields, F.lit(True).alias("guest"))
-    grid = own.union(visit).repartition("key", "own", "visit").sortWithinPartitions("key", "own", "visit")
-    rest = save(grid.mapInArrow(_between, "a bigint, b bigint, far bigint").distinct(), "rest")
-    drop(spread, host)
-    for only_nearest in (True, False):
-        left = _labelled(rest, labels)
-        linked.append(_confirmed(_nearest(left) if only_nearest else left, whole))
-        every = linked[0]
-        for more in linked[1:]:
-            every = every.union(more)
-        if only_nearest:
-            drop(labels)
-            labels = components(every)
-    drop(labels)
-    return save(every.union(copies), "links")
-
-
-def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array((_signs(a) != _signs(b)).sum(1), pa.int64())
+    size = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    involved = save(nodes.join(clusters.join(size, "component").select(F.col("id").alias("node"), "component", "tiles"), "node"), "involved")
+    tile_of = lambda key, place: F.xxhash64(key, place)
+    turns = lambda first, last: F.explode(F.sequence(first, last))
+    few = involved.where(F.col("tiles") <= MANY).select("node", tile_of("component", F.pmod(F.xxhash64("node"), F.col("tiles"))).alias("tile"))
+    ends = size.where((F.col("tiles") > 1) & (F.col("tiles") <= MANY)).withColumn("i", turns(F.lit(0).cast("bigint"), F.col("tiles") - 2)).withColumn("j", turns(F.col("i") + 1, F.col("tiles") - 1))
+    all_meet = ends.select(tile_of("component", "i").alias("tile"), tile_of("component", "j").alias("other"))
+
+    spread = involved.where(F.col("tiles") > MANY).select("node", "sig").mapInArrow(_keyed, "key bigint, node bigint")
+    counts = spread.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    shared = save(spread.join(counts, "key"), "shared")
+    home = shared.groupBy("node").agg(F.max(F.struct("many", "key")).alias("home"))
+    by_home = home.select("node", tile_of("home.key", F.pmod(F.xxhash64("node"), F.ceil(F.col("home.many") / TILE))).alias("tile"))
+    tiled = save(few.union(by_home), "tiled")
+    at = shared.select("key", "node").join(tiled, "node").select("key", "tile").distinct()
+    crossed = at.join(at.select("key", F.col("tile").alias("other")), "key").where("tile < other").select("tile", "other").distinct().union(all_meet)
+
+    wanted = involved.join(tiled, "node").select(F.col("node").alias("doc_id"), "set_a", "set_b", "sig", "tile")
+    rows = save(docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(_whole, "node bigint, tile bigint, sig binary, hashes binary").dropDuplicates(["node"]), "sets")
+    within = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_runs(("tile",), False), "a bigint, b bigint")
+    crossed = save(crossed, "crossed")
+    hosts = rows.join(crossed, "tile").withColumn("guest", F.lit(False))
+    guests = rows.join(crossed.select(F.col("tile").alias("host"), F.col("other").alias("tile")), "tile").select("node", F.col("host").alias("tile"), "sig", "hashes", F.col("tile").alias("other"), F.lit(True).alias("guest"))
+    both = hosts.select("node", "tile", "sig", "hashes", "other", "guest").union(guests)
+    between = both.repartition("tile", "other").sortWithinPartitions("tile", "other").mapInArrow(_runs(("tile", "other"), True), "a bigint, b bigint")
+    out = save(within.union(between).union(copies), "links")
+    drop(shared, tiled, rows, crossed, involved, nodes, clusters)
+    return out
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sorted shingle hashes of the rows whose set is the wanted one."""
     for batch in batches:
-        want, ids = list(zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)), batch.column("doc_id").to_pylist()
-        found = [(ids[k], s.tobytes()) for k, s in sets(batch.column("text")) if digest(s) == want[k]]
-        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["node", "hashes"])
+        want = list(zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True))
+        found = [(k, s.tobytes()) for k, s in sets(batch.column("text")) if digest(s) == want[k]]
+        some = pa.array([f[0] for f in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(n).take(some) for n in ("doc_id", "tile", "sig")), pa.array([f[1] for f in found], pa.binary())], ["node", "tile", "sig", "hashes"])
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ feature differences. The cut is the quantile of the sample's scores at its share
 the sigmoid of the distance from the cut, shifted so that the cut itself has the probability `at`.
 
 Defined results: null and empty texts have the features of an empty text and a score; without labels of both kinds all
-weights are 0 and every score is `at` (predicted 1); rows that repeat a doc_id are scored one by one; an empty table gives
+weights are 0 and every score is `at`; rows that repeat a doc_id are scored one by one; an empty table gives
 no rows; other columns are ignored.
 """
 

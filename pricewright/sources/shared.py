@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     """A new folder under spark.checkpoint.dir; a local one only where that is unset in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pricewright-streams-")
         spark.conf.set("spark.checkpoint.dir", base)
