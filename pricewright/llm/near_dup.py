@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, flat_text, save, ship, slices
+from .common import drop, flat_text, save, ship, slices, tidy
 from .components import components
 from .shingles import VALUES, digest, mix, sets, shingle_hashes, signature, word_hashes
 
@@ -55,6 +55,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("doc_id").slice(lo, hi - lo), pa.array([len(d) for d in different], pa.int64()),
                 pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.tobytes() for s in signs], pa.binary()),
             ], ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+    tidy()
 
 
 def keys(signs: np.ndarray) -> np.ndarray:
@@ -156,6 +157,8 @@ def _runs(columns: tuple[str, ...], guests: bool):
                 last = group[:, i]
         if parts:
             yield from emit()
+        parts.clear()
+        tidy()
 
     return run
 

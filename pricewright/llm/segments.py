@@ -14,7 +14,7 @@ import pyarrow as pa
 #: Byte 0xFF never occurs in UTF-8: it stands for a space that a cut drops.
 DROPPED = 0xFF
 #: Longest stretch of one text that is worked on at once; pieces that the cache holds in a generation.
-STRETCH, CACHED = 8 << 20, 200_000
+STRETCH, CACHED = 8 << 20, 100_000
 
 _VISIBLE, _LEAD, _LETTER, _MARK, _BLANK, _LINE, _TAIL = 1, 2, 4, 8, 16, 32, 64
 _CLASS = np.zeros(256, np.uint8)

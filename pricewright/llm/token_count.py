@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, ship, slices
+from .common import flat_text, ship, slices, tidy
 from .segments import DROPPED, STRETCH, Cache, cuts, pieces, stretches
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
@@ -75,7 +75,9 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     path = path or model_path()
 
     def lengths(texts: pa.Array) -> pa.Array:
-        return pa.array(count(texts, path), pa.int64())
+        counts = count(texts, path)
+        tidy()
+        return pa.array(counts, pa.int64())
 
     counted = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), F.arrow_udf(lengths, "bigint")("text").alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import flat_text, shared_path, ship, slices
+from .common import flat_text, shared_path, ship, slices, tidy
 from .segments import STRETCH, Cache, cuts, pieces, stretches
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -84,7 +84,7 @@ def encode(texts: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, n
     """(from row, to row, ids, ids of each row) of slices, without end ids."""
     tokenizer, cache = _tokenizer(path)
     raw, offs = flat_text(texts)
-    for lo, hi in slices(np.diff(offs), STRETCH // 2):
+    for lo, hi in slices(np.diff(offs), STRETCH // 4):
         a, b = offs[lo], offs[hi]
         if hi - lo == 1 and b - a > STRETCH:
             parts = [_ids(s, np.array([0, len(s)]), tokenizer, cache)[0] for s in stretches(raw[a:b], True)]
@@ -184,6 +184,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
                 if n >= SHARD_IDS:
                     yield pa.RecordBatch.from_arrays([pa.array([shard(part, number, width, doc_ids, np.concatenate(counts), np.concatenate(parts))], pa.binary())], ["shard"])
                     doc_ids, counts, parts, n, number = [], [], [], 0, number + 1
+            tidy()
         if doc_ids:
             yield pa.RecordBatch.from_arrays([pa.array([shard(part, number, width, doc_ids, np.concatenate(counts), np.concatenate(parts))], pa.binary())], ["shard"])
 
@@ -212,6 +213,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     pa.array(np.full(n, s.part), pa.int64()), pa.array(np.full(n, s.number), pa.int64()), pa.array(s.doc_ids, pa.int64(), mask=s.nulls.astype(bool)),
                     pa.array(s.starts, pa.int64()), pa.array(s.counts, pa.int64()), pa.array(sums, pa.int64()),
                 ], ["part", "shard", "doc_id", "local", "n_tokens", "ids_crc32"])
+                del s, plain, at, sums
+        tidy()
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     found = files.select("content").mapInArrow(rows, schema).repartition("part", "shard")

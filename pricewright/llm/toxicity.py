@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, held_out, ship
+from .common import drop, held_out, ship, tidy
 from .sample import SAMPLE, labelled
 
 #: Letters that look like Latin ones, in pairs (look-alike, Latin).
@@ -46,6 +45,8 @@ INVISIBLE = "­͏᠎​‌‍‎‏⁠﻿"
 #: Shortest and longest word beginning that is a candidate; toxic documents an entry must add; times that toxic documents hold it more often than others.
 SHORTEST, LONGEST, SUPPORT, LIFT = 3, 10, 3, 4.0
 CUT = 0.5
+#: Patterns that a task counts before it passes on what it has.
+TALLY = 50_000
 
 
 def _table() -> dict[int, str]:
@@ -132,14 +133,28 @@ def candidates_of(folded: str) -> set[str]:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label that hold each pattern, summed over the batch."""
-    for batch in batches:
-        tally = Counter(), Counter()
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            tally[label > 0].update(map(sys.intern, candidates_of(fold(text or ""))))
+def _tallied(batches: Iterator[pa.RecordBatch], patterns) -> Iterator[pa.RecordBatch]:
+    """Documents of either label that hold each pattern, in partial sums of about TALLY patterns at most and one document's more."""
+    tally = Counter(), Counter()
+
+    def partial() -> pa.RecordBatch:
         names = list(tally[0].keys() | tally[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([tally[1][n] for n in names], pa.int64()), pa.array([tally[0][n] for n in names], pa.int64())], ["pattern", "toxic", "other"])
+        counts = pa.array([tally[1][n] for n in names], pa.int64()), pa.array([tally[0][n] for n in names], pa.int64())
+        for t in tally:
+            t.clear()
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], ["pattern", "toxic", "other"])
+
+    for batch in batches:
+        for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
+            tally[label > 0].update(patterns(fold(text.as_py() or "")))
+            if len(tally[0]) + len(tally[1]) > TALLY:
+                yield partial()
+    yield partial()
+    tidy()
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _tallied(batches, candidates_of)
 
 
 def cover(holders: dict[str, set], others: dict[str, float], support: int = SUPPORT) -> list[str]:
@@ -175,19 +190,19 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, support: int =
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = start.automaton()
-        for batch in batches:
-            tally = Counter(), Counter()
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                folded, phrases = fold(text or ""), set()
-                for end, (size, weight) in found.iter(folded) if len(found) else ():
-                    if weight is not None:
-                        a = end - size + 1
-                        b = folded.find(" ", a + 1)
-                        before, after = folded[:a].rpartition(" ")[2], folded[b + 1 :].partition(" ")[0] if len(folded) - b < 200 else folded[b + 1 : b + 200].partition(" ")[0]
-                        phrases |= {f"{before} {folded[a + 1 : b]}".strip(), f"{folded[a + 1 : b]} {after}".strip()}
-                tally[label > 0].update(p for p in phrases if " " in p)
-            names = list(tally[0].keys() | tally[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([tally[1][n] for n in names], pa.int64()), pa.array([tally[0][n] for n in names], pa.int64())], ["pattern", "toxic", "other"])
+
+        def pairs(folded: str) -> set[str]:
+            """A hit's word with the word before it, and with the word after it."""
+            phrases = set()
+            for end, (size, weight) in found.iter(folded) if len(found) else ():
+                if weight is not None:
+                    a = end - size + 1
+                    b = folded.find(" ", a + 1)
+                    before, after = folded[folded.rfind(" ", 0, a) + 1 : a], folded[b + 1 : b + 200].partition(" ")[0]
+                    phrases |= {f"{before} {folded[a + 1 : b]}".strip(), f"{folded[a + 1 : b]} {after}".strip()}
+            return {p for p in phrases if " " in p}
+
+        yield from _tallied(batches, pairs)
 
     around = sample.mapInArrow(contexts, "pattern string, toxic bigint, other bigint").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     spared = tuple(sorted(r["pattern"] for r in around.where((F.col("toxic") == 0) & (F.col("other") >= support)).collect()))
@@ -220,6 +235,7 @@ def _weigh(text: Column, lexicon: Lexicon) -> Column:
         for k in range(len(texts)):
             folded = fold(texts[k].as_py() or "")
             out.append({"weighed": lexicon.weigh(folded, found), "words": folded.count(" ") - 1 if len(folded) > 2 else 0})
+        tidy()
         return pa.array(out, kind)
 
     return F.arrow_udf(weigh, "struct<weighed:double,words:bigint>")(text)
