@@ -63,7 +63,7 @@ def a20(spark, d):
     return r.tracked_products(spark, d).groupBy("marketplace").agg(F.count_if(~F.col("deleted")).alias("active"), F.sum("consecutive_unavailable_count").alias("failures"), F.count(F.lit(1)).alias("tracked"))
 
 
-@query("a26_n41_ratings", with_views("""SELECT product, CASE WHEN count(tenths) >= 3 THEN floor(sum(tenths)::DOUBLE / count(tenths) + 0.5::DOUBLE) / 10.0::DOUBLE END AS rating
+@query("a26_ratings", with_views("""SELECT product, CASE WHEN count(tenths) >= 3 THEN floor(sum(tenths)::DOUBLE / count(tenths) + 0.5::DOUBLE) / 10.0::DOUBLE END AS rating
 FROM (SELECT product, CASE WHEN rating >= 1 AND rating <= 5 THEN round(rating * 10)::BIGINT END AS tenths FROM offers) GROUP BY product"""))
 def a26(spark, d):
     """Mean rating of each product, if three or more offers have one from 1 to 5."""
@@ -86,7 +86,7 @@ def w11(spark, d):
     return o.tie_window(r.offers(spark, d), "product", [F.desc("confidence"), F.col("marketplace")], 5).select("product", "best", "second", "tie", "spread")
 
 
-@query("t6_t8_top_matches", with_views(f"""SELECT product, marketplace, place FROM (SELECT product, marketplace, row_number() OVER (PARTITION BY product ORDER BY confidence DESC, marketplace) AS place FROM offers
+@query("t6_top_matches", with_views(f"""SELECT product, marketplace, place FROM (SELECT product, marketplace, row_number() OVER (PARTITION BY product ORDER BY confidence DESC, marketplace) AS place FROM offers
 WHERE confidence >= 46.75::DOUBLE AND (coalesce(price, 0) <= 0 OR {RATIO} <= 1.82::DOUBLE)) WHERE place <= 3"""))
 def t6(spark, d):
     """The three best matches under loosened limits."""
@@ -120,7 +120,7 @@ def m13(spark, d):
     return s.newest(r.offers(spark, d), ["product"], *o.richer_first(), F.col("marketplace")).select("product", "marketplace")
 
 
-@query("m19_n26_offers_of_product", with_views("""SELECT source_product_id, target_product_id, place FROM (SELECT m.source_product_id, m.target_product_id, row_number() OVER (PARTITION BY m.source_product_id ORDER BY coalesce(c.price > 0, false) DESC, m.rank, m.target_product_id) AS place
+@query("m19_offers_of_product", with_views("""SELECT source_product_id, target_product_id, place FROM (SELECT m.source_product_id, m.target_product_id, row_number() OVER (PARTITION BY m.source_product_id ORDER BY coalesce(c.price > 0, false) DESC, m.rank, m.target_product_id) AS place
 FROM cross_market_mapping m LEFT JOIN price_cache c ON m.target_marketplace = c.marketplace AND m.target_product_id = c.product_id) WHERE place <= 6"""))
 def m19(spark, d):
     """Up to six offers of each product, priced ones first."""
@@ -129,7 +129,7 @@ def m19(spark, d):
     return m.join(cache, ["target_marketplace", "target_product_id"], "left").withColumn("place", F.row_number().over(order)).where("place <= 6").select("source_product_id", "target_product_id", "place")
 
 
-@query("n13_n32_source", with_views("""SELECT p.product, CASE WHEN p.priced >= 2 THEN 'user' WHEN m.edges > 0 THEN 'mapping' ELSE 'empty' END AS source FROM (SELECT product, count(*) FILTER (price > 0) AS priced FROM offers GROUP BY 1) p
+@query("n13_source", with_views("""SELECT p.product, CASE WHEN p.priced >= 2 THEN 'user' WHEN m.edges > 0 THEN 'mapping' ELSE 'empty' END AS source FROM (SELECT product, count(*) FILTER (price > 0) AS priced FROM offers GROUP BY 1) p
 LEFT JOIN (SELECT source_product_id, count(*) AS edges FROM cross_market_mapping WHERE status = 'active' GROUP BY 1) m ON p.product = m.source_product_id"""))
 def n13(spark, d):
     """Where each product's offers come from: its own, the mapping, or nowhere."""
@@ -167,7 +167,7 @@ def d45(spark, d):
     return r.price_history(spark, d).join(strike, "product_id").groupBy("marketplace", "product_id").agg(F.bool_or(near).alias("seen"))
 
 
-@query("d59_n27_n28_outcomes", with_views("""WITH o AS (SELECT product, marketplace, CASE WHEN confidence % 4 <> 0 THEN status WHEN confidence % 3 > 0 THEN 'needs_choice' WHEN price > 0 THEN 'serp_only' ELSE 'not_found' END AS status FROM offers)
+@query("d59_n28_outcomes", with_views("""WITH o AS (SELECT product, marketplace, CASE WHEN confidence % 4 <> 0 THEN status WHEN confidence % 3 > 0 THEN 'needs_choice' WHEN price > 0 THEN 'serp_only' ELSE 'not_found' END AS status FROM offers)
 SELECT product, CASE WHEN bool_or(status = 'needs_choice') THEN 'needs_choice' WHEN bool_and(status = 'not_found') THEN 'not_found' ELSE 'done' END AS outcome FROM o GROUP BY product"""))
 def d59(spark, d):
     """Outcome of each comparison from the states that its offers settle in."""
