@@ -132,6 +132,29 @@ def x5(spark, d):
     return part.select("p_partkey", t.color(F.concat_ws(" ", "p_name", r.pick(("Black", "white", "x"), F.col("p_partkey")))).alias("color"))
 
 
+def _sql_words(pairs, subject):
+    return " ".join(f"WHEN {subject.format(w.replace(chr(39), chr(39) * 2))} THEN '{f.replace(chr(39), chr(39) * 2)}'" for w, f in pairs)
+
+
+COLOR_WORDS = [(w, f) for f, ws in t.COLORS.items() for w in ws]
+COLOR_SQL = f"""CASE {_sql_words(COLOR_WORDS, "low = '{}'")} {_sql_words([wf for wf in COLOR_WORDS if " " in wf[0]], "contains(low, '{}')")} {_sql_words([wf for wf in COLOR_WORDS if " " not in wf[0]], "contains(low, '{}')")} END"""
+BRAND_SQL = f"""CASE {_sql_words([(b, b) for b in t.BRANDS], "contains(lower({{x}}), '{}')")} END"""
+FAMILY_SQL = f"CASE {{x}} {' '.join(f'WHEN {b!r} THEN {f!r}' for b, f in t.FAMILIES.items())} ELSE {{x}} END"
+#: Makers that titles of parts are given: of one family, of others, and none.
+MAKERS = ("Xiaomi", "Redmi", "POCO", "Huawei", "Honor", "Apple", "Dyson", "noname")
+
+
+@query("x5_x18_d13_all_titles", f"""WITH n AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS low, p_name || ' ' || {list(MAKERS)}[(p_partkey % {len(MAKERS)} + 1)::INT] AS a, p_name || ' ' || {list(MAKERS)}[(p_partkey // {len(MAKERS)} % {len(MAKERS)} + 1)::INT] AS b FROM part),
+k AS (SELECT p_partkey, {COLOR_SQL} AS color, {BRAND_SQL.format(x='a')} AS brand, {BRAND_SQL.format(x='b')} AS other FROM n)
+SELECT p_partkey, color, brand, brand IS NULL OR other IS NULL OR {FAMILY_SQL.format(x='brand')} = {FAMILY_SQL.format(x='other')} AS compatible FROM k""")
+def x5_all(spark, d):
+    """Colour family of every part's name, the brand of its title, and whether that fits the brand of another title of the part."""
+    part = r.table(spark, d, "part")
+    title = lambda k: F.concat_ws(" ", "p_name", r.pick(MAKERS, k))
+    named = part.select("p_partkey", "p_name", t.brand_of(title(F.col("p_partkey"))).alias("brand"), t.brand_of(title(F.expr(f"p_partkey div {len(MAKERS)}"))).alias("other"))
+    return named.select("p_partkey", t.color(F.col("p_name")).alias("color"), "brand", t.brands_compatible(F.col("brand"), F.col("other")).alias("compatible"))
+
+
 @query("x1_titles")
 def x1(spark, d):
     """Normalised title, storage, volume, package count and slug of every document's first line."""
