@@ -37,6 +37,17 @@ def m12(spark, d):
     return c.merged(o.where("product % 2 = 0"), new, ["product", "marketplace"])
 
 
+@query("m12_merge_all", with_views("""WITH w AS (SELECT product, marketplace, CASE WHEN product % 5 <> 0 THEN price * 1.1::DOUBLE END AS price, CASE WHEN product % 7 = 0 THEN 'oos' ELSE status END AS status, CASE WHEN product % 3 <> 0 THEN rating END AS rating FROM offers)
+SELECT coalesce(o.product, w.product) AS product, coalesce(o.marketplace, w.marketplace) AS marketplace, CASE WHEN w.status = 'oos' THEN NULL WHEN w.price > 0 THEN w.price ELSE o.price END AS price, coalesce(w.status, o.status) AS status, coalesce(w.rating, o.rating) AS rating
+FROM offers o FULL JOIN w ON o.product = w.product AND o.marketplace = w.marketplace"""))
+def m12_all(spark, d):
+    """Every offer merged with its next reading: a changed price, no price, no rating, or out of stock."""
+    o = r.offers(spark, d)
+    k = F.col("product")
+    new = o.withColumn("price", F.when(k % 5 != 0, F.col("price") * 1.1)).withColumn("status", F.when(k % 7 == 0, "oos").otherwise(F.col("status"))).withColumn("rating", F.when(k % 3 != 0, F.col("rating")))
+    return c.merged(o, new, ["product", "marketplace"])
+
+
 @query("t5_t7_d27_fallback", with_views("""SELECT product, marketplace, tier FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY tier, confidence DESC, marketplace) AS n FROM (SELECT *, CASE WHEN confidence >= 55 AND price > 0 AND greatest(price, reference_price) / least(price, reference_price) <= 1.3 THEN 0
 WHEN confidence > 50 AND price > 0 AND greatest(price, reference_price) / least(price, reference_price) <= 1.69 THEN 1 WHEN confidence >= 40 THEN 2 END AS tier FROM offers) WHERE tier IS NOT NULL) WHERE n = 1"""))
 def t5(spark, d):

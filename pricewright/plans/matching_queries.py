@@ -205,6 +205,15 @@ def j14(spark, d):
     return old.join(new, ["product", "marketplace"], "full")
 
 
+@query("j14_all_alert_pairs", with_views("""WITH w AS (SELECT product, marketplace, price * 0.8::DOUBLE AS new_price FROM offers)
+SELECT coalesce(o.product, w.product) AS product, coalesce(o.marketplace, w.marketplace) AS marketplace, o.price AS old_price, new_price FROM offers o FULL JOIN w ON o.product = w.product AND o.marketplace = w.marketplace"""))
+def j14_all(spark, d):
+    """Every offer's old and new price, either side kept."""
+    o = r.offers(spark, d)
+    new = o.select("product", "marketplace", (F.col("price") * 0.8).alias("new_price"))
+    return o.select("product", "marketplace", F.col("price").alias("old_price")).join(new, ["product", "marketplace"], "full")
+
+
 @query("j19_peers", "SELECT a.p_partkey AS page, count(*) AS peers FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey GROUP BY 1")
 def j19(spark, d):
     """How many other pages share each page's canonical product."""

@@ -120,6 +120,13 @@ def j12(spark, d):
     return mo.reconciled(rows.where("user_id % 3 = 1 AND NOT deleted AND priority"), rows.where("user_id % 3 = 0"), ["marketplace", "product_id"])
 
 
+@query("j12_reconcile_all", with_views("SELECT DISTINCT user_id, marketplace, product_id FROM tracked_products WHERE NOT deleted EXCEPT SELECT user_id, marketplace, product_id FROM tracked_products WHERE priority"))
+def j12_all(spark, d):
+    """Of every user, live remote keys that are on no local row (those with priority): tombstones."""
+    rows = r.tracked_products(spark, d)
+    return mo.reconciled(rows.where("priority"), rows.where("NOT deleted"), ["user_id", "marketplace", "product_id"])
+
+
 @query("m21_activations", "SELECT o_custkey, o_orderpriority, n <= 3 AS granted FROM (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY min(o_orderdate), o_orderpriority) AS n FROM orders GROUP BY 1, 2)")
 def m21(spark, d):
     """First three devices of each license."""

@@ -16,3 +16,14 @@ def test_titles_of_every_color(spark, tmp_path):
     # the other title of 0 to 7 is Xiaomi's, of 8 to 14 Redmi's
     assert [got[k]["compatible"] for k in range(8)] == [True, True, True, False, False, False, False, True]
     assert [got[k]["compatible"] for k in range(8, 12)] == [True, True, True, False]
+
+
+def test_every_product_and_user_is_on_a_side(spark, sf_dir):
+    products = {r[0] for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey").distinct().collect()}
+    for name in ("m12_merge_all", "j14_all_alert_pairs"):
+        assert {r["product"] for r in QUERIES[name](spark, sf_dir).collect()} == products
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").collect()
+    store = lambda r: (r["o_custkey"], ("wildberries", "ozon", "yandex_market")[r["o_orderkey"] % 3], str(r["o_orderkey"] % 200))
+    want = {store(r) for r in orders if r["o_orderstatus"] != "F"} - {store(r) for r in orders if r["o_orderpriority"] == "1-URGENT"}
+    got = [tuple(r) for r in QUERIES["j12_reconcile_all"](spark, sf_dir).select("user_id", "marketplace", "product_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {u % 3 for u, _, _ in got} == {0, 1, 2}
