@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import dropped_client, has_price
+from ..sources.shared import shared_folder
 
 
 def alertable(o: DataFrame) -> Column:
@@ -37,6 +38,21 @@ def shown(o: DataFrame, key: str, source: Column, rows: int = 4) -> DataFrame:
     return o.withColumn("place", place.cast("bigint")).withColumn("visible", F.col("place") <= rows)
 
 
+def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place from 1 in an order without ties: sorted into ranges, then numbered by the rows before each range.
+
+    The sorted ranges are stored, for a second sort might cut them elsewhere. No task holds more than a range.
+    """
+    path = shared_folder(rows.sparkSession, "placed")
+    ranges = rows.orderBy(*order).withColumn("__range", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    schema = ranges.schema
+    ranges.write.parquet(path)
+    stored = rows.sparkSession.read.schema(schema).parquet(path)
+    sizes = stored.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("__before", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__range")) - F.col("n")).select("__range", "__before")
+    return stored.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__range", "__at", "__before")
+
+
 def weak_title(x: Column) -> Column:
     t = F.trim(F.coalesce(x, F.lit("")))
     return (F.length(t) < 8) | t.rlike(r"(?i)(^|[^a-z0-9_])(seo\s*smoke|smoke\s*fixture|test\s*fixture)($|[^a-z0-9_])") | t.rlike(r"(?i)^(test|fixture|asdf|xxx)($|[^a-z0-9_])") | t.rlike(r"^\d{5,}$") | (t.rlike(r"(?i)^[a-z0-9_-]{6,}$") & (F.length(t) < 20))

@@ -72,6 +72,18 @@ def t13(spark, d):
     return low.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("low"), "product")).cast("bigint")).select("product", "place")
 
 
+@query("t13_all_my_products", with_views("""WITH k AS (SELECT product, min(price) FILTER (price > 0) AS low, lower(min(title)) AS name FROM offers GROUP BY 1), a AS (SELECT l_partkey AS product, min(l_shipdate) AS added FROM lineitem GROUP BY 1)
+SELECT product, row_number() OVER (ORDER BY added DESC, product) AS by_added, row_number() OVER (ORDER BY low NULLS LAST, product) AS by_price, row_number() OVER (ORDER BY name, product) AS by_title FROM k JOIN a USING (product)"""))
+def t13_all(spark, d):
+    """The place of every product in each of the three sort modes: newest first, cheapest offer first, by title."""
+    low = r.offers(spark, d).groupBy("product").agg(F.min(F.when(F.col("price") > 0, F.col("price"))).alias("low"), F.lower(F.min("title")).alias("name"))
+    added = r.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("product")).agg(F.min("l_shipdate").alias("added"))
+    rows = low.join(added, "product")
+    orders = {"by_added": F.desc("added"), "by_price": F.asc_nulls_last("low"), "by_title": F.asc("name")}
+    places = [c.placed(rows.select("product", "added", "low", "name"), [order, F.col("product")], name).select("product", name) for name, order in orders.items()]
+    return places[0].join(places[1], "product").join(places[2], "product")
+
+
 @query("t16_targets", "SELECT * FROM (VALUES ('ozon', 0), ('wildberries', 1), ('yandex_market', 2), ('mvideo', 3)) v(marketplace, place)")
 def t16(spark, d):
     """Order of stores to ask: known link, interface, others, browser tab."""

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pricewright import plans  # noqa: F401  fills the registry
+from pricewright.operators import catalog
 from pricewright.registry import QUERIES
 
 
@@ -27,3 +28,17 @@ def test_every_product_and_user_is_on_a_side(spark, sf_dir):
     want = {store(r) for r in orders if r["o_orderstatus"] != "F"} - {store(r) for r in orders if r["o_orderpriority"] == "1-URGENT"}
     got = [tuple(r) for r in QUERIES["j12_reconcile_all"](spark, sf_dir).select("user_id", "marketplace", "product_id").collect()]
     assert len(got) == len(set(got)) and set(got) == want and {u % 3 for u, _, _ in got} == {0, 1, 2}
+
+
+def test_places_of_all_products(spark, sf_dir):
+    got = QUERIES["t13_all_my_products"](spark, sf_dir).collect()
+    assert len(got) == spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey").distinct().count() > 100
+    for name in ("by_added", "by_price", "by_title"):
+        assert sorted(r[name] for r in got) == list(range(1, len(got) + 1))
+
+
+def test_places_of_ranges_with_ties_and_nulls(spark):
+    rows = [(k, None if k % 3 == 0 else float(k % 7)) for k in range(500)]
+    got = catalog.placed(spark.createDataFrame(rows, "id bigint, low double").repartition(9), [F.asc_nulls_last("low"), F.col("id")], "place").collect()
+    want = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == [r[0] for r in want] and {r["place"] for r in got} == set(range(1, 501))
