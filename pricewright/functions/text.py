@@ -160,8 +160,8 @@ def volume_ml(x: Column) -> Column:
 
 def package_count(x: Column) -> Column:
     t = F.translate(F.lower(x), " ", " ")
-    found = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")).cast("int") for p in (r"(\d+)\s*(?:шт|pcs|pc)(?![a-zа-яё])", r"уп\.?\s*(?:по\s*)?(\d+)", r"(\d+)\s*(?:в\s*)?уп", r"x\s*(\d+)(?![a-z0-9_])", r"(\d+)\s*pack(?![a-z0-9_])")]
-    return F.coalesce(*[F.when((n >= 1) & (n <= 500), n) for n in found])
+    found = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in (r"(\d+)\s*(?:шт|pcs|pc)(?![a-zа-яё])", r"уп\.?\s*(?:по\s*)?(\d+)", r"(\d+)\s*(?:в\s*)?уп", r"x\s*(\d+)(?![a-z0-9_])", r"(\d+)\s*pack(?![a-z0-9_])")]
+    return F.coalesce(*[F.when(n.cast("double").between(1, 500), n.try_cast("int")) for n in found])
 
 
 def first_price(x: Column) -> Column:

@@ -180,9 +180,10 @@ def x5_all(spark, d):
 
 @query("x1_titles")
 def x1(spark, d):
-    """Normalised title, storage, volume, package count and slug of every document's first line."""
-    line = F.substring_index("text", "\n", 1)
-    return r.table(spark, d, "documents").select("doc_id", t.normal_title(line).alias("title"), t.storage(line).alias("storage"), t.volume_ml(line).alias("volume_ml"), t.package_count(line).alias("package_count"), t.slug(line).alias("slug"))
+    """Normalised title, storage, volume, package count and slug of every line of every document; a null text is one line of nulls."""
+    lines = r.table(spark, d, "documents").select("doc_id", F.posexplode_outer(F.split("text", r"\r\n?|\n")).alias("line", "text"))
+    x = F.col("text")
+    return lines.select("doc_id", "line", t.normal_title(x).alias("title"), t.storage(x).alias("storage"), t.volume_ml(x).alias("volume_ml"), t.package_count(x).alias("package_count"), t.slug(x).alias("slug"))
 
 
 @query("x28_hashes")

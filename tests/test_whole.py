@@ -42,3 +42,15 @@ def test_places_of_ranges_with_ties_and_nulls(spark):
     got = catalog.placed(spark.createDataFrame(rows, "id bigint, low double").repartition(9), [F.asc_nulls_last("low"), F.col("id")], "place").collect()
     want = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
     assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == [r[0] for r in want] and {r["place"] for r in got} == set(range(1, 501))
+
+
+def test_titles_of_every_line(spark, tmp_path):
+    texts = [(1, "Phone 8/256 GB\n\nGel 1.5 л\r\nSocks 6 шт\rDisk 1 TB"), (2, None), (3, ""), (4, "one line\n"), (5, "4373219979016299 шт\n98765432109876543210987654321 шт, x 3")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sorted(QUERIES["x1_titles"](spark, f"file://{tmp_path}").collect(), key=lambda r: (r["doc_id"], r["line"] or 0))
+    assert [tuple(r) for r in got] == [
+        (1, 0, "phone 8 256 gb", "8+256", None, None, "phone-8-256-gb"), (1, 1, "", None, None, None, "item"), (1, 2, "gel 1 5 л", None, 1500, None, "gel-1-5"),
+        (1, 3, "socks 6 шт", None, None, 6, "socks-6"), (1, 4, "disk 1 tb", "1024gb", None, None, "disk-1-tb"),
+        (2, None, None, None, None, None, None), (3, 0, "", None, None, None, "item"), (4, 0, "one line", None, None, None, "one-line"), (4, 1, "", None, None, None, "item"),
+        (5, 0, "4373219979016299 шт", None, None, None, "4373219979016299"), (5, 1, "98765432109876543210987654321 шт x 3", None, None, 3, "98765432109876543210987654321-x-3"),
+    ]
