@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pricewright.llm import decontam, mixing, near_dup, token_file, toxicity
 from pricewright.llm.common import drop, save, table
 
+#: Similarity in percent from which the near_dup stage links copies (op3's SQL has 85).
+NEAR = 80
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the cut of the toxicity lexicon, learned from labelled rows that aren't held out."""
@@ -19,8 +22,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id."""
-    return near_dup.clean(docs)
+    """One document of each group of near copies, linked from a similarity of NEAR percent: that of the smallest doc_id."""
+    return near_dup.clean(docs, NEAR)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

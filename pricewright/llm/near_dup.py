@@ -3,7 +3,7 @@
 A signature is VALUES minima of BITS bits. It is split into CHUNKS; two signatures that differ in at most
 CHUNKS * (ERRORS + 1) - 1 values agree, by pigeonhole, in some chunk but for ERRORS values. Each chunk is therefore
 indexed once for every choice of ERRORS values left out, and such pairs always share a key. (At a similarity of 0.85 a
-pair shares no key with a probability of 6e-6.)
+pair shares no key with a probability of 6e-6, at 0.8 of 2e-4.)
 
 What is emitted is never all pairs of a group:
 
@@ -34,7 +34,7 @@ from .common import drop, flat_text, save, ship, slices, tidy
 from .components import components
 from .shingles import VALUES, digest, mix, sets, shingle_hashes, signature, word_hashes
 
-#: Links: 100 * common >= PERCENT * all shingles of both. Chunks of a signature, values that may differ in one.
+#: Links: 100 * common >= percent * all shingles of both; PERCENT unless a caller gives another. Chunks of a signature, values that may differ in one.
 PERCENT, CHUNKS, ERRORS = 85, 8, 1
 #: Differing values up to which a pair is confirmed on whole sets; nodes of a tile, about; most tiles of a cluster that all meet.
 FAR, TILE, MANY = 22, 1024, 8
@@ -97,7 +97,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(all_keys.reshape(-1).view(np.int64)), pa.array(nodes, pa.int64())], ["key", "node"])
 
 
-def spanning(node: np.ndarray, sig: np.ndarray, hashes: list[np.ndarray], guest: np.ndarray | None) -> list[tuple[int, int]]:
+def spanning(node: np.ndarray, sig: np.ndarray, hashes: list[np.ndarray], guest: np.ndarray | None, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect all that is similar: of every node with every other, or of guests with the rest.
 
     A node's shingles are marked in an array over all shingles of the task; sums of the marks over the others' lists are the
@@ -112,7 +112,7 @@ def spanning(node: np.ndarray, sig: np.ndarray, hashes: list[np.ndarray], guest:
     for g in range(len(node)) if guest is None else np.flatnonzero(guest).tolist():
         others = np.arange(g) if guest is None else np.flatnonzero(~guest)
         others = others[label[others] != label[g]]
-        others = others[100 * np.minimum(sizes[others], sizes[g]) >= PERCENT * np.maximum(sizes[others], sizes[g])]
+        others = others[100 * np.minimum(sizes[others], sizes[g]) >= percent * np.maximum(sizes[others], sizes[g])]
         others = others[(sig[others] != sig[g]).sum(1) <= FAR]
         if not len(others):
             continue
@@ -122,20 +122,20 @@ def spanning(node: np.ndarray, sig: np.ndarray, hashes: list[np.ndarray], guest:
         take = np.repeat(begin[others], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         common = np.add.reduceat(mark[ids[take]], np.cumsum(each) - each)
         mark[mine] = 0
-        for o in others[100 * common >= PERCENT * (each + sizes[g] - common)].tolist():
+        for o in others[100 * common >= percent * (each + sizes[g] - common)].tolist():
             if label[o] != label[g]:
                 out.append((int(min(node[o], node[g])), int(max(node[o], node[g]))))
                 label[label == label[o]] = label[g]
     return out
 
 
-def _runs(columns: tuple[str, ...], guests: bool):
+def _runs(columns: tuple[str, ...], guests: bool, percent: int):
     """Rows come sorted by the columns; a run of equal ones is a task of spanning()."""
 
     def links_of(rows: pa.Table) -> list[tuple[int, int]]:
         guest = rows["guest"].to_numpy(zero_copy_only=False).astype(bool) if guests else None
         hashes = [np.frombuffer(h.as_buffer(), np.uint64) for h in rows["hashes"]]
-        return spanning(rows["node"].to_numpy(), np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint16).reshape(-1, VALUES), hashes, guest)
+        return spanning(rows["node"].to_numpy(), np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint16).reshape(-1, VALUES), hashes, guest, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.RecordBatch] = []
@@ -163,7 +163,7 @@ def _runs(columns: tuple[str, ...], guests: bool):
     return run
 
 
-def links(docs: DataFrame, measured: DataFrame) -> DataFrame:
+def links(docs: DataFrame, measured: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed links (a, b) that connect all that is similar; a saved table."""
     one = measured.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b", "sig")).alias("s"))
     nodes = save(one.groupBy("s.set_a", "s.set_b").agg(F.min(F.struct("doc_id", "s.sig")).alias("m")).select("set_a", "set_b", F.col("m.doc_id").alias("node"), "m.sig"), "nodes")
@@ -193,12 +193,12 @@ def links(docs: DataFrame, measured: DataFrame) -> DataFrame:
 
     wanted = involved.join(tiled, "node").select(F.col("node").alias("doc_id"), "set_a", "set_b", "sig", "tile")
     rows = save(docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(_whole, "node bigint, tile bigint, sig binary, hashes binary").dropDuplicates(["node"]), "sets")
-    within = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_runs(("tile",), False), "a bigint, b bigint")
+    within = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_runs(("tile",), False, percent), "a bigint, b bigint")
     crossed = save(crossed, "crossed")
     hosts = rows.join(crossed, "tile").withColumn("guest", F.lit(False))
     guests = rows.join(crossed.select(F.col("tile").alias("host"), F.col("other").alias("tile")), "tile").select("node", F.col("host").alias("tile"), "sig", "hashes", F.col("tile").alias("other"), F.lit(True).alias("guest"))
     both = hosts.select("node", "tile", "sig", "hashes", "other", "guest").union(guests)
-    between = both.repartition("tile", "other").sortWithinPartitions("tile", "other").mapInArrow(_runs(("tile", "other"), True), "a bigint, b bigint")
+    between = both.repartition("tile", "other").sortWithinPartitions("tile", "other").mapInArrow(_runs(("tile", "other"), True, percent), "a bigint, b bigint")
     out = save(within.union(between).union(copies), "links")
     drop(shared, tiled, rows, crossed, involved, nodes, clusters)
     return out
@@ -213,18 +213,18 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(n).take(some) for n in ("doc_id", "tile", "sig")), pa.array([f[1] for f in found], pa.binary())], ["node", "tile", "sig", "hashes"])
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     ship(docs.sparkSession)
     measured = save(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_measure, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sig binary"), "measured")
-    labels = components(links(docs, measured))
+    labels = components(links(docs, measured, percent))
     rows = measured.select("doc_id", "n_shingles").join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each group: one of the rows with the group's smallest doc_id. All columns as they were."""
-    gone = groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = groups(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     nameless = left.where(F.col("doc_id").isNull())
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
