@@ -6,8 +6,9 @@ partial sums of (digest, page_id) before any shuffle, and pages whose payload is
 hot digest. Each record is a gzip member of its own. Executors pack members into archives of at most ARCHIVE_BYTES and
 Spark's text sink writes each as one file, so files land where every executor can read them.
 
-read(): each file is one row of Spark's binaryFile source. A record must have a version line, a header block, a
-Content-Length that ends at a record boundary and, where given, right block and payload digests. After a failed check the
+read(): each file is one row of Spark's binaryFile source. A record of any type must have a version line, a header block of
+any length, a Content-Length that ends at a record boundary and, where given in a known algorithm, right block and payload
+digests. The payload is what follows the HTTP header, or the block where there is none. After a failed check the
 reader looks for the next gzip member that inflates to a version line, or the next version line in plain files, reads on
 from there, and logs the bytes between as a quarantined gap.
 
@@ -18,6 +19,7 @@ the same page_id refer to that id); an empty table writes no records; other colu
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -36,8 +38,8 @@ SALTS = 16
 VERSION = b"WARC/1.1\r\n"
 VERSION_LINE = re.compile(rb"WARC/(?:0\.\d+|1\.[01])\r?\n")
 MEMBER = b"\x1f\x8b\x08"
-#: Longest header block that the reader accepts.
-HEADER_BYTES = 64 << 10
+#: Digest algorithms that are checked; others are taken as they are.
+KNOWN = ("md5", "sha1", "sha256", "sha512")
 
 #: An empty gzip member. The text sink ends each archive with it, and readers of concatenated members pass over it.
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
@@ -114,28 +116,37 @@ class Bad(ValueError):
     """A check that failed; what it says is the gap's reason."""
 
 
+def _differs(said: str, data: bytes) -> bool:
+    """Whether a digest header (algorithm:value, in base 16, 32 or 64) of a known algorithm is not that of data."""
+    name, _, value = said.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in KNOWN:
+        return False
+    digest, value = hashlib.new(name, data, usedforsecurity=False).digest(), value.strip().rstrip("=")
+    return digest.hex() != value.lower() and base64.b32encode(digest).decode().rstrip("=") != value.upper() and value not in (e(digest).decode().rstrip("=") for e in (base64.b64encode, base64.urlsafe_b64encode))
+
+
 def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     """Headers, block and end of the record at `at` of plain bytes, or Bad."""
     m = VERSION_LINE.match(data, at)
     if not m:
         raise Bad("no version line")
-    end = data.find(b"\r\n\r\n", m.end(), m.end() + HEADER_BYTES)
-    if end < 0:
-        raise Bad("header block does not end")
-    head = {}
-    for line in data[m.end() : end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    head, begin = {}, m.end()
+    while (end := data.find(b"\r\n", begin)) != begin:  # the first line that is no header ends the search
+        if end < 0:
+            raise Bad("header block does not end")
+        name, colon, value = data[begin:end].partition(b":")
         if not colon:
             raise Bad("header line without colon")
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        begin = end + 2
     if not head.get("content-length", "").isdecimal():
         raise Bad("no content length")
-    stop = end + 4 + int(head["content-length"])
+    stop = end + 2 + int(head["content-length"])
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Bad("block does not end at a record boundary")
-    block = data[end + 4 : stop]
-    said = head.get("warc-block-digest", "")
-    if said.startswith("sha256:") and hashlib.sha256(block).hexdigest() != said[7:]:
+    block = data[end + 2 : stop]
+    if _differs(head.get("warc-block-digest", ""), block):
         raise Bad("block digest differs")
     return head, block, stop + 4
 
@@ -147,17 +158,18 @@ def _number(urn: str | None) -> int | None:
 
 def _row(head: dict, block: bytes, file: str, start: int, stop: int) -> dict:
     revisit = head.get("warc-type") == "revisit"
-    cut = block.find(b"\r\n\r\n")
-    if cut < 0:
-        raise Bad("no http header")
-    payload = b"" if revisit else block[cut + 4 :]
-    digest = head.get("warc-payload-digest", "").removeprefix("sha256:")
-    if not revisit and hashlib.sha256(payload).hexdigest() != digest:
+    kind = head.get("content-type", "")
+    http = kind.lower().startswith("application/http") or (not kind and block.startswith(b"HTTP/"))
+    cut = block.find(b"\r\n\r\n") if http else -1
+    payload = b"" if revisit else block[cut + 4 :] if cut >= 0 else block
+    said = head.get("warc-payload-digest", "")
+    # chunks of a transfer are not part of what the digest is of
+    if not revisit and not (cut >= 0 and b"\r\ntransfer-encoding:" in block[:cut].lower()) and _differs(said, payload):
         raise Bad("payload digest differs")
     length = head.get("x-payload-length", "")
     return {
         "kind": "record", "file": file, "start": start, "stop": stop, "reason": None, "page_id": _number(head.get("warc-record-id")), "record_type": head.get("warc-type"),
-        "refers_to": _number(head.get("warc-refers-to")), "url": head.get("warc-target-uri"), "payload_bytes": int(length) if length.isdecimal() else len(payload), "payload_digest": digest, "payload": payload,
+        "refers_to": _number(head.get("warc-refers-to")), "url": head.get("warc-target-uri"), "payload_bytes": int(length) if length.isdecimal() else len(payload), "payload_digest": said.removeprefix("sha256:") or None, "payload": payload,
     }
 
 

@@ -1,7 +1,11 @@
 """Text-collection operators and stages do the whole job where small tables of the other tests don't show it."""
 
+import base64
+import hashlib
+
 import corpus_pipeline
-from pricewright.llm import near_dup
+from pricewright.llm import near_dup, warc
+from pricewright.llm.common import shared_path
 
 
 def test_near_copies_from_the_stages_similarity(spark):
@@ -15,3 +19,38 @@ def test_near_copies_from_the_stages_similarity(spark):
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()) == [i for i in range(36) if i % 3 != 1]
     assert near_dup.clean(docs).count() == 36
+
+
+def test_warc_urls_of_any_length(spark):
+    urls = {1: "http://a/" + "x" * 70_000, 2: "http://b/" + "yz" * 500_000, 3: "http://c/WARC/1.1"}
+    path = shared_path(spark, "test-warc")
+    warc.write(spark.createDataFrame([(k, u, f"page {k}") for k, u in urls.items()], "page_id bigint, url string, html string"), path)
+    got = warc.read(spark, path).collect()
+    assert {r["kind"] for r in got} == {"record"} and {r["page_id"]: r["url"] for r in got} == urls
+
+
+def test_warc_records_of_other_writers():
+    def made(kind, block, *more):
+        head = [f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", *more, f"Content-Length: {len(block)}"]
+        return b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http, page = "Content-Type: application/http; msgtype=response", b"<p>page</p>"
+    answer = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + page
+    sha1 = base64.b32encode(hashlib.sha1(page).digest()).decode()
+    good = [
+        (made("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), b"software: x\r\n", None),
+        (made("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request"), b"", None),
+        (made("response", answer, http), page, None),
+        (made("response", answer, http, f"WARC-Payload-Digest: sha1:{sha1}"), page, f"sha1:{sha1}"),
+        (made("response", answer, http, "WARC-Payload-Digest: blake3:abc"), page, "blake3:abc"),
+        (made("response", b"dns", "Content-Type: text/dns"), b"dns", None),
+        (made("metadata", b"via: b\r\n\r\nrest", "Content-Type: application/warc-fields"), b"via: b\r\n\r\nrest", None),
+        (made("revisit", b"", http, f"WARC-Payload-Digest: sha1:{sha1}"), b"", f"sha1:{sha1}"),
+    ]
+    bad = made("response", answer.replace(b"page", b"pale"), http, f"WARC-Payload-Digest: sha1:{sha1}")
+    for wrap in (lambda b: b, warc.member):
+        out = list(warc.salvage(b"".join(wrap(g[0]) for g in good) + wrap(bad)))
+        assert [r["kind"] for r in out] == ["record"] * len(good) + ["gap"]
+        assert [(r["payload"], r["payload_digest"]) for r in out[:-1]] == [g[1:] for g in good]
+        assert [r["record_type"] for r in out[:-1]] == ["warcinfo", "request", "response", "response", "response", "response", "metadata", "revisit"]
+        assert out[-1]["reason"] == "payload digest differs"
