@@ -88,6 +88,29 @@ def same_products(items: DataFrame, keys: str) -> DataFrame:
     return one.join(low, "key").where("id <> first").select("first", "id").distinct()
 
 
+def clusters(items: DataFrame, links: DataFrame) -> DataFrame:
+    """id, component of every item: the smallest id that links (two columns) lead to. Each round takes the smallest label of the neighbours, then that label's own."""
+    spark = items.sparkSession
+
+    def stored(df: DataFrame) -> DataFrame:
+        path = shared_folder(spark, "clusters")
+        schema = df.schema
+        df.write.parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+    pairs = links.toDF("a", "b")
+    both = stored(pairs.union(pairs.select("b", "a")).distinct())
+    labels = stored(items.select("id", F.col("id").alias("component")).distinct())
+    while True:
+        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        met = stored(labels.join(near, "id", "left").select("id", F.least("component", "near").alias("low"), F.col("component").alias("was")))
+        jump = met.join(met.select(F.col("id").alias("low"), F.col("low").alias("further")), "low", "left")
+        new = stored(jump.select("id", F.least("low", "further").alias("component"), "was"))
+        if not new.where("component <> was").limit(1).count():
+            return new.select("id", "component")
+        labels = new.select("id", "component")
+
+
 def mapping_state(events: DataFrame) -> DataFrame:
     """Fold of mapping events (edge, at, id, action, evidence, confidence) in order: hits, confidence, evidence, status and failures of each edge.
 

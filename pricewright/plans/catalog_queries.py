@@ -134,6 +134,13 @@ def j15(spark, d):
     return c.same_products(r.table(spark, d, "part").select(F.col("p_partkey").alias("id"), keys.alias("keys")), "keys")
 
 
+@query("m16_clusters", """WITH RECURSIVE k AS (SELECT p_partkey AS id, unnest([p_brand || '|' || p_name, p_type || '|' || p_size || '|' || p_name]) AS k FROM part), reach AS (SELECT p_partkey AS id, p_partkey AS other FROM part
+UNION SELECT r.id, b.id FROM reach r JOIN k a ON a.id = r.other JOIN k b USING (k)) SELECT id, min(other) AS component FROM reach GROUP BY 1""")
+def m16(spark, d):
+    """The cluster of every product: all that chains of shared keys (j15) connect."""
+    return c.clusters(r.table(spark, d, "part").select(F.col("p_partkey").alias("id")), j15(spark, d))
+
+
 @query("m11_t14_reviews", "SELECT source, lang, count(*) AS reviews FROM (SELECT DISTINCT source, lang, text FROM documents) GROUP BY 1, 2")
 def m11(spark, d):
     """Different review texts by source and language."""

@@ -181,6 +181,26 @@ def j10(spark, d):
     return edges.join(cache, ["target_marketplace", "target_product_id"]).select("source_product_id", "target_product_id", "price")
 
 
+PRICED = f"""e AS (SELECT *, row_number() OVER (PARTITION BY source_marketplace, source_product_id, target_marketplace ORDER BY rank, confidence DESC, target_product_id) AS turn FROM cross_market_mapping WHERE status = 'active' AND source_marketplace <> target_marketplace),
+p AS (SELECT e.*, c.price, s.price AS source_price, list_position({list(r.WATCHED)}, target_marketplace) AS store FROM e LEFT JOIN price_cache c ON c.price > 0 AND c.marketplace = target_marketplace AND c.product_id = target_product_id
+  LEFT JOIN price_cache s ON s.price > 0 AND s.marketplace = source_marketplace AND s.product_id = source_product_id)"""
+
+
+@query("n6_offers_snapshot", with_views(f"""WITH {PRICED}, u AS (SELECT DISTINCT source_marketplace, source_product_id, source_marketplace AS marketplace, source_product_id AS product_id, c.price, 0 AS store, 0 AS turn FROM cross_market_mapping JOIN price_cache c ON price > 0 AND c.marketplace = source_marketplace AND c.product_id = source_product_id
+UNION ALL SELECT source_marketplace, source_product_id, target_marketplace, target_product_id, price, store, turn FROM p WHERE turn <= 3 AND price IS NOT NULL)
+SELECT source_marketplace, source_product_id, marketplace, product_id, price, row_number() OVER (PARTITION BY source_marketplace, source_product_id ORDER BY store, turn) AS place FROM u QUALIFY place <= 6"""))
+def n6(spark, d):
+    """Priced offers of each source: its own, then of up to three edges a store, six at most."""
+    return m.offers_snapshot(r.cross_market_mapping(spark, d), r.price_cache(spark, d), r.WATCHED)
+
+
+@query("n11_cheap_offers", with_views(f"""WITH {PRICED} SELECT source_marketplace, source_product_id, target_marketplace, target_product_id, price, row_number() OVER (PARTITION BY source_marketplace, source_product_id ORDER BY price, store) AS place
+FROM p WHERE turn = 1 AND price IS NOT NULL AND (source_price IS NULL OR price < source_price)"""))
+def n11(spark, d):
+    """Of each source's first edge a store, the priced ones below the source's own price, cheapest first."""
+    return m.cheap_offers(r.cross_market_mapping(spark, d), r.price_cache(spark, d), r.WATCHED)
+
+
 @query("d32_m24_dispute", with_views("""SELECT source_product_id, target_product_id, greatest(0, confidence - 35) AS confidence, greatest(0, hits - 2) AS hits, CASE WHEN fail_count >= 3 THEN 'dead' ELSE 'disputed' END AS status FROM cross_market_mapping"""))
 def d32(spark, d):
     """What a dispute makes of every edge."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as n
@@ -127,6 +128,32 @@ def j12_all(spark, d):
     return mo.reconciled(rows.where("priority"), rows.where("NOT deleted"), ["user_id", "marketplace", "product_id"])
 
 
+LISTS = "lists AS (SELECT user_id, marketplace, product_id FROM tracked_products WHERE deleted UNION (SELECT user_id, marketplace, product_id FROM tracked_products WHERE NOT deleted EXCEPT SELECT user_id, marketplace, product_id FROM tracked_products WHERE priority))"
+
+
+@query("m18_tombstones", with_views(f"WITH {LISTS} SELECT user_id, marketplace, product_id FROM lists"))
+def m18(spark, d):
+    """Tombstones of every user, each key once: deleted rows and what reconciling finds."""
+    deleted = r.tracked_products(spark, d).where("deleted").select("user_id", "marketplace", "product_id")
+    return deleted.union(j12_all(spark, d).select("user_id", "marketplace", "product_id")).distinct()
+
+
+@query("j13_pending", with_views(f"WITH {LISTS} SELECT id, (user_id, marketplace, product_id) IN (SELECT (user_id, marketplace, product_id) FROM lists) AS pending FROM tracked_products"))
+def j13(spark, d):
+    """Of every remote row, whether a tombstone suppresses it."""
+    key = ["user_id", "marketplace", "product_id"]
+    marked = r.tracked_products(spark, d).select("id", *key).join(m18(spark, d).withColumn("hit", F.lit(True)), key, "left")
+    return marked.select("id", F.coalesce("hit", F.lit(False)).alias("pending"))
+
+
+@query("t14_unique_links", with_views("""SELECT user_id, product_url, row_number() OVER (PARTITION BY user_id ORDER BY first) AS place, place <= 20 AS kept FROM (SELECT user_id, product_url, min(id) AS first FROM tracked_products WHERE product_url IS NOT NULL GROUP BY 1, 2)"""))
+def t14(spark, d):
+    """Different links of every user in the order in which they came first; a kept list holds the first 20."""
+    once = r.tracked_products(spark, d).where("product_url IS NOT NULL").groupBy("user_id", "product_url").agg(F.min("id").alias("first"))
+    rows = once.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("first")).cast("bigint"))
+    return rows.select("user_id", "product_url", "place", (F.col("place") <= 20).alias("kept"))
+
+
 @query("m21_activations", "SELECT o_custkey, o_orderpriority, n <= 3 AS granted FROM (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY min(o_orderdate), o_orderpriority) AS n FROM orders GROUP BY 1, 2)")
 def m21(spark, d):
     """First three devices of each license."""

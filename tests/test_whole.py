@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pricewright import plans  # noqa: F401  fills the registry
-from pricewright.operators import catalog
+from pricewright.operators import catalog, matching
 from pricewright.registry import QUERIES
 
 
@@ -54,3 +54,29 @@ def test_titles_of_every_line(spark, tmp_path):
         (2, None, None, None, None, None, None), (3, 0, "", None, None, None, "item"), (4, 0, "one line", None, None, None, "one-line"), (4, 1, "", None, None, None, "item"),
         (5, 0, "4373219979016299 шт", None, None, None, "4373219979016299"), (5, 1, "98765432109876543210987654321 шт x 3", None, None, 3, "98765432109876543210987654321-x-3"),
     ]
+
+
+def test_clusters_of_chains(spark):
+    n = 40
+    items = spark.createDataFrame([(k,) for k in range(n + 3)], "id bigint")
+    chain = [(k, k + 1) for k in range(n - 1)][::-1] + [(n, n + 1)]
+    got = {r["id"]: r["component"] for r in catalog.clusters(items, spark.createDataFrame(chain, "first bigint, id bigint")).collect()}
+    assert got == {k: 0 for k in range(n)} | {n: n, n + 1: n, n + 2: n + 2}
+
+
+def test_offers_of_edges(spark):
+    edge = lambda target, pid, rank, status="active": ("ozon", 1, target, pid, 80, rank, status)
+    edges = [edge("wildberries", 10, 0), edge("wildberries", 11, 1), edge("wildberries", 12, 2), edge("wildberries", 13, 3), edge("yandex_market", 20, 0), edge("yandex_market", 21, 1), edge("yandex_market", 22, 2), edge("aliexpress", 30, 0, "disputed"), edge("megamarket", 40, 1), edge("ozon", 2, 0)]
+    cache = [("ozon", 1, 50.0), ("wildberries", 10, 60.0), ("wildberries", 11, -1.0), ("wildberries", 12, 30.0), ("wildberries", 13, 5.0), ("yandex_market", 20, 20.0), ("yandex_market", 21, 21.0), ("yandex_market", 22, 22.0), ("megamarket", 40, 10.0), ("aliexpress", 30, 1.0), ("ozon", 2, 2.0)]
+    e = spark.createDataFrame(edges, "source_marketplace string, source_product_id bigint, target_marketplace string, target_product_id bigint, confidence bigint, rank bigint, status string")
+    c = spark.createDataFrame(cache, "marketplace string, product_id bigint, price double")
+    stores = ("wildberries", "ozon", "yandex_market", "megamarket", "aliexpress")
+    assert [r["product_id"] for r in matching.offers_snapshot(e, c, stores).orderBy("place").collect()] == [1, 10, 12, 20, 21, 22]
+    assert [r["target_product_id"] for r in matching.cheap_offers(e, c, stores).orderBy("place").collect()] == [40, 20]
+
+
+def test_lists_of_every_user(spark, sf_dir):
+    rows = QUERIES["j13_pending"](spark, sf_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/orders.parquet").count() and {r["pending"] for r in rows} == {True, False}
+    links = QUERIES["t14_unique_links"](spark, sf_dir).collect()
+    assert len({(r["user_id"], r["product_url"]) for r in links}) == len(links) and all(r["kept"] == (r["place"] <= 20) for r in links)
