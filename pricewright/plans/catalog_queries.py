@@ -190,7 +190,8 @@ def x1(spark, d):
     """Normalised title, storage, volume, package count and slug of every line of every document; a null text is one line of nulls."""
     lines = r.table(spark, d, "documents").select("doc_id", F.posexplode_outer(F.split("text", r"\r\n?|\n")).alias("line", "text"))
     x = F.col("text")
-    return lines.select("doc_id", "line", t.normal_title(x).alias("title"), t.storage(x).alias("storage"), t.volume_ml(x).alias("volume_ml"), t.package_count(x).alias("package_count"), t.slug(x).alias("slug"))
+    measured = F.when(x.rlike("[0-9]"), x)  # sizes, volumes and counts have a digit
+    return lines.select("doc_id", "line", t.normal_title(x).alias("title"), t.storage(measured).alias("storage"), t.volume_ml(measured).alias("volume_ml"), t.package_count(measured).alias("package_count"), t.slug(x).alias("slug"))
 
 
 @query("x28_hashes")
