@@ -4,12 +4,16 @@ A window is ten consecutive words of an item (all its words, if fewer). Normal f
 joined by single spaces. The normal form keeps the word count, so a match's end, counted in spaces, is a word index, and
 word indexes map back to byte offsets of the original text.
 
-The benchmark is broadcast in blocks of at most BLOCK_BYTES of text each: one block for any usual benchmark; more
-blocks make more scans of the same batch, never a larger automaton.
+The automaton's patterns are seeds of five words, so placed in an item that each of its windows holds one whole (every sixth word begins one), and
+items of less than ten words as they are: about as many letters as the benchmark, a tenth of what all windows have. Where a seed is met, the
+item's words are compared with the text's to both sides; an equal run of ten words or more is windows from end to end.
 
-Defined results: null and empty texts have no words and no hits; items without words match nothing; items that repeat
-an item_id count once; a null item_id is the empty string; rows that repeat a doc_id are judged one by one; an empty
-benchmark or an empty table gives no hits or no rows; other columns play no part.
+The benchmark is broadcast in blocks of at most BLOCK_BYTES of text each (about 60 bytes of memory for a byte): one block for any usual benchmark.
+More than RESIDENT blocks make more passes over the documents, each with its own automatons, never a larger automaton or one built twice.
+
+Defined results: null and empty texts have no words and no hits; texts of any length are scanned whole, in memory for one text at a time; items without
+words match nothing; items that repeat an item_id count once; a null item_id is the empty string; rows that repeat a doc_id are judged one by one; an
+empty benchmark or an empty table gives no hits or no rows; other columns play no part, whatever their names, and clean() keeps them.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections import defaultdict
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -24,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, ship
+from .common import flat_text, save, ship
 
-#: Words of a window; most bytes of benchmark text in one automaton.
-WINDOW, BLOCK_BYTES = 10, 8 << 20
+#: Words of a window; most bytes of benchmark text in one automaton; automatons that a task holds at once.
+WINDOW, BLOCK_BYTES, RESIDENT = 10, 2 << 20, 2
 
 #: A-Z to a-z; ASCII that no word holds, to a space; all else as it is.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -38,44 +43,89 @@ VERDICT = f"struct<n_words:bigint,spans:{SPANS},items:array<string>>"
 _SPAN = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 _VERDICT = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.string()))])
 
-_built: dict[str, ahocorasick.Automaton] = {}
+@dataclass(frozen=True)
+class Windows:
+    """Items with their words, and the automaton over seeds; a pattern's value is (its words, whether it is a whole item, the (item, first word) where it lies)."""
+
+    items: list[tuple[str, list[bytes]]]
+    found: ahocorasick.Automaton
+    window: int
+
+
+_built: dict[str, Windows] = {}
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def automaton(items: list[tuple[str, str | None]], window: int) -> ahocorasick.Automaton:
-    """Of all windows of the items; a pattern's value is (its words, the items that hold it)."""
-    holders: dict[bytes, set[str]] = defaultdict(set)
-    for item, text in items:
-        words = words_of((text or "").encode("utf-8", "surrogatepass"))
-        for k in range(max(len(words) - window, 0) + 1 if words else 0):
-            holders[b" ".join(words[k : k + window])].add(item)
+def automaton(items: list[tuple[str, str | None]], window: int) -> Windows:
+    """Of all seeds of the items."""
+    size = max(1, window // 2)
+    known = [(item, words) for item, text in items if (words := words_of((text or "").encode("utf-8", "surrogatepass")))]
+    places: dict[tuple[bytes, bool], list[tuple[int, int]]] = defaultdict(list)
+    for n, (_, words) in enumerate(known):
+        if len(words) < window:
+            places[b" ".join(words), True].append((n, 0))
+        else:
+            for k in range(0, len(words) - size + 1, window - size + 1):
+                places[b" ".join(words[k : k + size]), False].append((n, k))
     found = ahocorasick.Automaton()
-    for pattern, ids in holders.items():
+    both: dict[bytes, list] = defaultdict(list)
+    for (pattern, whole), where in places.items():
+        both[pattern].append((pattern.count(b" ") + 1, whole, where))
+    for pattern, values in both.items():
         # bytes as latin-1, so that positions are byte positions; spaces at both ends keep to whole words
-        found.add_word(f" {pattern.decode('latin-1')} ", (pattern.count(b" ") + 1, tuple(sorted(ids))))
+        found.add_word(f" {pattern.decode('latin-1')} ", values)
     found.make_automaton()
-    return found
-
-
-def scan(text: bytes, found: ahocorasick.Automaton) -> tuple[int, list[dict], list[str]]:
+    return Windows(known, found, window)
+
+
+def _runs(words: list[bytes], begins: list[int], matches: list, windows: Windows) -> tuple[list[tuple[int, int]], set[str]]:
+    """Runs (first word, end) of the text that are windows end to end, and the items that they are of."""
+    runs, ids = [], set()
+    far: dict[tuple[int, int], int] = {}  # of an item laid along the text: up to where it has been compared
+    for begin, (_, values) in zip(begins, matches, strict=True):
+        for size, whole, where in values:
+            for n, at in where:
+                item, other = windows.items[n]
+                if whole:
+                    runs.append((begin, begin + size))
+                    ids.add(item)
+                    continue
+                if far.get((n, begin - at), -1) > begin:
+                    continue
+                a, i = begin, at
+                while a > 0 and i > 0 and words[a - 1] == other[i - 1]:
+                    a, i = a - 1, i - 1
+                b, i = begin + size, at + size
+                while b < len(words) and i < len(other) and words[b] == other[i]:
+                    b, i = b + 1, i + 1
+                far[n, begin - at] = b
+                if b - a >= windows.window:
+                    runs.append((a, b))
+                    ids.add(item)
+    return runs, ids
+
+
+def scan(text: bytes, windows: Windows) -> tuple[int, list[dict], list[str]]:
     """Number of words, merged runs of hit words, ids of the items with windows in the text."""
     folded = text.translate(FOLD)
     words = folded.split()
-    if not words or not len(found):
+    if not words or not windows.items:
         return len(words), [], []
     normal = b" " + b" ".join(words) + b" "
-    matches = list(found.iter(normal.decode("latin-1")))
+    matches = list(windows.found.iter(normal.decode("latin-1")))
     if not matches:
         return len(words), [], []
     spaces = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32)
-    ends = np.searchsorted(spaces, np.array([m[0] for m in matches])) - 1
-    begins = ends - np.array([m[1][0] for m in matches]) + 1
+    begins = np.searchsorted(spaces, np.array([m[0] for m in matches])) - np.array([m[1][0][0] for m in matches])
+    runs, ids = _runs(words, begins.tolist(), matches, windows)
+    if not runs:
+        return len(words), [], []
     delta = np.zeros(len(words) + 1, np.int64)
-    np.add.at(delta, begins, 1)
-    np.add.at(delta, ends + 1, -1)
+    np.add.at(delta, [r[0] for r in runs], 1)
+    np.add.at(delta, [r[1] for r in runs], -1)
     hit = np.diff(np.concatenate([[0], (np.cumsum(delta[:-1]) > 0).astype(np.int8), [0]]))
     firsts, lasts = np.flatnonzero(hit == 1), np.flatnonzero(hit == -1) - 1
     inside = np.diff(np.concatenate([[0], (np.frombuffer(folded, np.uint8) != 32).astype(np.int8), [0]]))
@@ -84,7 +134,7 @@ def scan(text: bytes, found: ahocorasick.Automaton) -> tuple[int, list[dict], li
         {"first": a, "last": b, "start": s, "end": e}
         for a, b, s, e in zip(firsts.tolist(), lasts.tolist(), word_start[firsts].tolist(), word_end[lasts].tolist(), strict=True)
     ]
-    return len(words), spans, sorted({i for m in matches for i in m[1][1]})
+    return len(words), spans, sorted(ids)
 
 
 def _judge(sent, name: str, window: int):
@@ -93,8 +143,8 @@ def _judge(sent, name: str, window: int):
     def judge(texts: pa.Array) -> pa.Array:
         found = _built.get(name)
         if found is None:
-            if len(_built) > 3:
-                _built.clear()
+            while len(_built) >= RESIDENT:
+                del _built[next(iter(_built))]
             found = _built[name] = automaton(sent.value, window)
         raw, offs = flat_text(texts)
         raw, offs = raw.tobytes(), offs.tolist()
@@ -104,8 +154,8 @@ def _judge(sent, name: str, window: int):
     return judge
 
 
-def verdicts(text, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list:
-    """A column of VERDICT for each block of the benchmark (item_id, text)."""
+def verdicts(text, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[list]:
+    """Passes over the documents: each up to RESIDENT columns of VERDICT, one for each block of the benchmark (item_id, text)."""
     spark = benchmark.sparkSession
     ship(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").alias("words"))
@@ -117,14 +167,18 @@ def verdicts(text, benchmark: DataFrame, window: int = WINDOW, block_bytes: int
         rows = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k).collect()
         sent = spark.sparkContext.broadcast([(r["item"], r["words"]) for r in rows])
         columns.append(F.arrow_udf(_judge(sent, uuid.uuid4().hex, window), VERDICT)(text))
-    return columns
+    return [columns[k : k + RESIDENT] for k in range(0, blocks, RESIDENT)]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans, items for each row of docs (doc_id, text); spans of several blocks may overlap."""
-    columns = verdicts(F.col("text"), benchmark, window, block_bytes)
-    judged = docs.select("doc_id", "text").select("doc_id", *[c.alias(f"v{k}") for k, c in enumerate(columns)])
-    many = [F.col(f"v{k}") for k in range(len(columns))]
+    judged, names = docs.select("doc_id", "text"), []
+    for turn, columns in enumerate(verdicts(F.col("text"), benchmark, window, block_bytes)):
+        judged = save(judged, "judged") if turn else judged
+        new = [f"v{turn}x{k}" for k in range(len(columns))]
+        judged = judged.select("doc_id", "text", *names, *[c.alias(n) for c, n in zip(columns, new, strict=True)])
+        names += new
+    many = [F.col(n) for n in names]
     return judged.select(
         "doc_id", many[0]["n_words"].alias("n_words"),
         (many[0]["spans"] if len(many) == 1 else F.concat(*[v["spans"] for v in many])).alias("spans"),
@@ -152,13 +206,14 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows that hold a window of the benchmark; all columns as they were, no shuffle."""
-    columns = verdicts(F.col("text"), benchmark, window, block_bytes)
-    marked = docs
-    for k, c in enumerate(columns):
-        marked = marked.withColumn(f"__verdict{k}", c)
-    for k in range(len(columns)):
-        marked = marked.where(F.size(F.col(f"__verdict{k}")["spans"]) == 0)
-    return marked.select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    for turn, columns in enumerate(verdicts(F.col("text"), benchmark, window, block_bytes)):
+        marked = save(marked, "unmarked") if turn else marked
+        marked = marked.select("row", "text", *[c.alias(f"v{k}") for k, c in enumerate(columns)])
+        for k in range(len(columns)):
+            marked = marked.where(F.size(F.col(f"v{k}.spans")) == 0)
+        marked = marked.select("row", "text")
+    return marked.select("row.*")
 
 
 def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:

@@ -1,13 +1,14 @@
 """Mix sources to target weights: whole copies of each document plus one hash-seeded Bernoulli copy.
 
-DataFrame operations only. One scan measures the documents and deals the small rows by (source, salt), so a source
-that holds a third of all rows is spread over SALTS tasks; the sums per source and the join with the targets both
-use that one exchange. Only the table of sources (one row each) goes through a single task.
-
-Defined results: a null or empty text has size 0 and is taken 0 words; null source is a source of its own, last in
-order; a source without words has target 0; rows that repeat a doc_id are decided alike, since the coin is seeded by
-doc_id (null counts as the empty string); an empty table gives an empty result; other columns are ignored by plan()
-and kept by emit().
+DataFrame operations only. One scan measures the documents into a narrow saved table (doc_id, source, size), which all later steps read; sums per
+source are partial before their shuffle. The table of sources has one row each, is ordered in a single task (ten million sources are about
+1 GB, which Spark spills), and is broadcast to the documents while it is small; beyond, only sources with over a thousandth of all rows are
+broadcast, and the others meet their documents by shuffle. Texts are never shuffled while the table of sources is small.
+
+Defined results: a null or empty text has size 0 and is taken 0 words; texts of any length are counted whole; null source is a source of its own, last in
+order; a source without words has target 0; sources of equal cap and weight are filled in code point order; rows that repeat a doc_id are decided
+alike, since the coin is seeded by doc_id (null counts as the empty string); an empty table gives an empty result; other columns are ignored
+by plan() and kept by emit(), whatever their names.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import drop, meet, save
+
 #: Weights of the sources in code point order, repeating; share of all words that the mix takes; most repeats.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-SALTS = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -53,42 +55,43 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     )
 
 
+def rates(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """source, source_size, target, rate (copies of each document, on average) and n (documents) of each source; a saved table."""
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    goals = targets(totals.select("source", "source_size"), weights, share, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    counted = totals.select(F.col("source").alias("counted"), "n")
+    return save(goals.join(counted, F.col("source").eqNullSafe(F.col("counted"))).select("source", "source_size", "target", rate.alias("rate"), "n"), "rates")
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, source and size of each document; a saved table."""
+    return save(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")), "sizes")
+
+
+def copies_of(doc_id, rate, seed: int = 0):
+    """How often a document is taken."""
+    whole = F.floor(rate)
+    return (whole + F.when(coin(doc_id, seed) < rate - whole, 1).otherwise(0)).cast("bigint")
+
+
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for each row of docs (doc_id, text, source)."""
-    sized = docs.select(
-        "doc_id", "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
-        F.coalesce("source", F.lit("")).alias("source_key"), F.col("source").isNull().alias("source_null"),
-    ).repartition("source_key", "source_null", "salt")
-    parts = sized.groupBy("source_key", "source_null", "salt").agg(F.sum("size").alias("size"))
-    totals = parts.groupBy("source_key", "source_null").agg(F.sum("size").alias("source_size"))
-    totals = totals.select(F.when(~F.col("source_null"), F.col("source_key")).alias("source"), "source_size")
-    goals = targets(totals, weights, share, most).select(
-        F.coalesce("source", F.lit("")).alias("source_key"), F.col("source").isNull().alias("source_null"), "source_size", "target",
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
-    )
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor("rate")
-    copies = whole + F.when(coin(F.col("doc_id"), seed) < F.col("rate") - whole, 1).otherwise(0)
-    return (
-        sized.join(goals, ["source_key", "source_null", "salt"])
-        .withColumn("rate", rate)
-        .withColumn("copies", copies.cast("bigint"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    )
+    sized = measured(docs)
+    met = meet(sized, rates(sized, weights, share, most), "source", "n", F.xxhash64("doc_id", "size"))
+    planned = met.withColumn("copies", copies_of(F.col("doc_id"), F.col("rate"), seed))
+    return planned.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
+def emit(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; all columns as they were."""
-    rates = plan(docs, **options).groupBy("source").agg(F.first(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).alias("__rate"))
-    # one row a source: joined by (source, salt) so that no source meets in one task
-    salted = rates.select(F.col("source").alias("__source"), "__rate", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    rows = docs.withColumn("__pick", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    joined = rows.join(salted, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__pick") == F.col("__salt")))
-    whole = F.floor("__rate")
-    copies = (whole + F.when(coin(F.col("doc_id"), options.get("seed", 0)) < F.col("__rate") - whole, 1).otherwise(0)).cast("int")
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    sized = measured(docs)
+    goals = rates(sized, weights, share, most).select("source", "rate", "n")
+    drop(sized)
+    # only the operator's own columns meet the rates: the row itself travels in a struct
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source")
+    copies = copies_of(F.col("doc_id"), F.col("rate"), seed).cast("int")
+    return meet(rows, goals, "source", "n", F.xxhash64("doc_id")).select("row", F.explode(F.array_repeat(F.lit(1), copies))).select("row.*")
 
 
 ORACLE_SQL = r"""

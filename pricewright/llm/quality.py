@@ -5,9 +5,9 @@ document of a bounded sample and maximises the likelihood that the first wins, s
 feature differences. The cut is the quantile of the sample's scores at its share of label 0 (or the one given); score() is
 the sigmoid of the distance from the cut, shifted so that the cut itself has the probability `at`.
 
-Defined results: null and empty texts have the features of an empty text and a score; without labels of both kinds all
-weights are 0 and every score is `at`; rows that repeat a doc_id are scored one by one; an empty table gives
-no rows; other columns are ignored.
+Defined results: null and empty texts have the features of an empty text and a score; texts of any length are measured whole, one in memory at a time;
+without labels of both kinds all weights are 0 and every score is `at`; a score that equals the cut is label 1; rows that repeat a doc_id are scored one by
+one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ import pyarrow as pa
 
 #: Byte 0xFF never occurs in UTF-8: it stands for a space that a cut drops.
 DROPPED = 0xFF
-#: Longest stretch of one text that is worked on at once; pieces that the cache holds in a generation.
-STRETCH, CACHED = 8 << 20, 100_000
+#: Longest stretch of one text that is worked on at once; bytes of pieces that the cache holds in a generation; longest piece that it keeps.
+STRETCH, CACHED, KEPT = 8 << 20, 1 << 20, 64
 
 _VISIBLE, _LEAD, _LETTER, _MARK, _BLANK, _LINE, _TAIL = 1, 2, 4, 8, 16, 32, 64
 _CLASS = np.zeros(256, np.uint8)
@@ -75,10 +75,11 @@ def stretches(raw: np.ndarray, lines: bool, most: int = STRETCH):
 
 
 class Cache:
-    """What pieces were encoded to, in two generations: full, the younger becomes the older."""
+    """What pieces were encoded to, in two generations: full, the younger becomes the older. Pieces over KEPT bytes, which seldom repeat
+    (texts without spaces are one piece each), are encoded anew."""
 
     def __init__(self, most: int = CACHED):
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.size, self.young, self.old = most, 0, {}, {}
 
     def look_up(self, keys: list[bytes], encode) -> list:
         """Values of the keys; encode(missing keys) gives the values of those that aren't here."""
@@ -92,9 +93,13 @@ class Cache:
                     missing.append(i)
                 else:
                     found[i] = young[keys[i]] = v
+                    self.size += len(keys[i])
         if missing:
             for i, v in zip(missing, encode([keys[i] for i in missing]), strict=True):
-                found[i] = young[keys[i]] = v
-        if len(young) > self.most:
-            self.old, self.young = young, {}
+                found[i] = v
+                if len(keys[i]) <= KEPT:
+                    young[keys[i]] = v
+                    self.size += len(keys[i])
+        if self.size > self.most:
+            self.old, self.young, self.size = young, {}, 0
         return found

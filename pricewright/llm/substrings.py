@@ -22,6 +22,10 @@ Hashes only lead to buckets; what is removed rests on compared bytes (equal segm
 Defined results: null and empty texts and those under 50 bytes lose nothing; a null doc_id counts as larger than all
 others; rows that repeat a doc_id never remove each other's text; an empty table gives no rows; other columns are ignored. A
 task needs about 100 bytes of memory for a byte of the longest text.
+
+Buckets grow in number with the corpus (up to 2 ** 24, at BUCKET_BYTES of text each 64 TB). A batch sends each bucket a row, so beyond a few hundred GB
+those rows carry few anchors each, and their shuffle costs more than the text does: there larger batches and buckets (SLICE_BYTES and bucket_bytes, as memory
+allows) are the cheaper choice.
 """
 
 from __future__ import annotations
@@ -49,6 +53,8 @@ LAST = np.iinfo(np.int64).max
 ROWS = "kind int, batch bigint, bucket bigint, data binary"
 _ROWS = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
 TEXT, ASK, STATE, ANSWER = range(4)
+#: Bytes by which a bucket knows an anchor (anchors that they don't tell apart may be taken for repeated, which costs work, not results); most buckets.
+LOW, MOST_BUCKETS = 5, 1 << 24
 
 
 def put(*arrays: np.ndarray) -> bytes:
@@ -123,7 +129,8 @@ def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
+    """Bucket of each hash, from its upper 24 bits; LOW bytes are those below."""
+    return ((hashes >> np.uint64(8 * LOW)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _different(raw: np.ndarray, offs: np.ndarray, keys: np.ndarray, buckets: int):
@@ -155,7 +162,7 @@ def _ask(buckets: int):
             for number, data in zip(batch.column("batch").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 keys, _, offs, raw = get(data)
                 _, _, _, hashes, bucket, _, several = _different(raw, offs, keys, buckets)
-                low = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]  # the bucket knows the bits above
+                low = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW]
                 rows = [(ASK, number, b, put(low[i:j].reshape(-1), several[i:j].view(np.uint8))) for b, i, j in _split(bucket)]
                 if rows:
                     yield _table(rows).to_batches()[0]
@@ -169,7 +176,7 @@ def _answer(hot: int):
         parts = [get(d) for d in asked["data"].to_pylist()]
         sizes = [len(p[1]) for p in parts]
         wide = np.zeros((sum(sizes), 8), np.uint8)
-        wide[:, :6] = np.concatenate([p[0] for p in parts]).reshape(-1, 6)
+        wide[:, :LOW] = np.concatenate([p[0] for p in parts]).reshape(-1, LOW)
         _, inverse, batches = np.unique(wide.view("<u8").reshape(-1), return_inverse=True, return_counts=True)
         several = np.zeros(len(batches), bool)
         several[inverse[np.concatenate([p[1] for p in parts]).astype(bool)]] = True
@@ -373,17 +380,21 @@ def repeats(docs: DataFrame, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -
     ship(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 16
-    while buckets < size / bucket_bytes and buckets < 1 << 16:
+    while buckets < size / bucket_bytes and buckets < MOST_BUCKETS:
         buckets *= 2
+    # batches of one file of the table follow each other, so files may hold any number of them
+    files = min(max(12, -(-size // (4 * SLICE_BYTES))), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     path, name = shared_path(spark, "texts"), f"pricewright_texts_{uuid.uuid4().hex}"
     packed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_pack, ROWS)
-    packed.write.format("parquet").option("compression", "none").option("path", path).bucketBy(max(12, -(-size // (4 * SLICE_BYTES))), "batch").saveAsTable(name)
-    texts = spark.table(name)
-    state = save(texts.mapInArrow(_ask(buckets), ROWS).groupBy("bucket").applyInArrow(_answer(hot), ROWS), "state", "none")
-    asked = texts.groupBy("batch").cogroup(state.groupBy("batch")).applyInArrow(_cut(buckets), ROWS)
-    answers = asked.groupBy("bucket").applyInArrow(_sort, ROWS)
-    out = save(texts.groupBy("batch").cogroup(state.union(answers).groupBy("batch")).applyInArrow(_remove(buckets), REPORTS), "repeats")
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        packed.write.format("parquet").option("compression", "none").option("path", path).bucketBy(files, "batch").saveAsTable(name)
+        texts = spark.table(name)
+        state = save(texts.mapInArrow(_ask(buckets), ROWS).groupBy("bucket").applyInArrow(_answer(hot), ROWS), "state", "none")
+        asked = texts.groupBy("batch").cogroup(state.groupBy("batch")).applyInArrow(_cut(buckets), ROWS)
+        answers = asked.groupBy("bucket").applyInArrow(_sort, ROWS)
+        out = save(texts.groupBy("batch").cogroup(state.union(answers).groupBy("batch")).applyInArrow(_remove(buckets), REPORTS), "repeats")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     texts._pricewright_path = path
     drop(texts, state)
     return out

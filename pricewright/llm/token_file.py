@@ -12,8 +12,8 @@ ids are reached. Its layout, little-endian:
 reader passes over. unpack() is vectorised: eight ids fill `width` whole bytes, so every id of a group of eight sits at the same
 place in each group. ids_of() reads one document through the block offsets.
 
-Defined results: a null or empty text is the end id alone; null doc_id comes first; rows that repeat a doc_id follow each other,
-each with a start of its own; an empty table writes no shards and gives no rows; other columns are ignored. Special strings
+Defined results: a null or empty text is the end id alone; texts of any length are encoded whole, in stretches that end where no merge reaches
+across; null doc_id comes first; rows that repeat a doc_id follow each other, each with a start of its own; an empty table writes no shards and gives no rows; other columns are ignored. Special strings
 inside texts become what the library makes of them by default.
 """
 
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import flat_text, shared_path, ship, slices, tidy
+from .common import flat_text, save, shared_path, ship, slices, tidy
 from .segments import STRETCH, Cache, cuts, pieces, stretches
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -196,8 +196,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the shards under path.
 
-    Shards report their documents with starts counted from the shard's own; what shards before it hold is summed over one
-    row a shard. Both come from one exchange of the small rows by shard.
+    Each shard is unpacked once, into rows with starts counted from the shard's own, which are saved; what the shards before it hold is
+    summed over one row a shard (a shard holds SHARD_IDS ids, so the table of shards is small for any corpus).
     """
     ship(spark)
     schema = "part bigint, shard bigint, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint"
@@ -217,7 +217,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         tidy()
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    found = files.select("content").mapInArrow(rows, schema).repartition("part", "shard")
+    found = save(files.select("content").mapInArrow(rows, schema), "token-rows")
     sizes = found.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

@@ -5,13 +5,14 @@ words with letters as letters, and joins the words by single spaces. Lexicon ent
 word beginnings (" achlich"); each hit adds the entry's weight, unless it lies inside an exception phrase. The sum is divided by a
 power of the text's length, and score = sum / (sum + half).
 
-learn() takes the entries from a bounded sample of labelled rows: candidates are words and word beginnings that enough toxic
-documents and few others hold, counted as a Spark aggregation; a greedy cover keeps the fewest that explain the
-toxic documents. Weights are log odds. Word pairs around hits that only non-toxic documents hold become exception phrases. The
-length power and `half` are those of the best accuracy on the sample.
-
-Defined results: null and empty texts score 0; without toxic labels the lexicon is empty and every score is 0; rows that
-repeat a doc_id are scored one by one; an empty table gives no rows; other columns are ignored.
+learn() takes the entries from a bounded sample of labelled rows: candidates are words and word beginnings, counted by document as a Spark aggregation;
+entries are those that toxic documents hold so much more often than others that chance would not give it (see SURPRISE). Of a word's beginnings that
+the same documents hold the shortest is taken. Weights are log odds. Word pairs around hits that only non-toxic documents hold become
+exception phrases. The length power and `half` are those of the best accuracy on the sample.
+
+Defined results: null and empty texts score 0; texts of any length are scored whole, one in memory at a time; without toxic labels the lexicon is empty and every
+score is 0; a score that equals the cut is toxic; rows that repeat a doc_id are scored one by one; an empty table gives no rows; other columns are ignored by
+classify() and kept by clean(), whatever their names.
 """
 
 from __future__ import annotations
@@ -42,8 +43,10 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 #: Characters that show nothing.
 INVISIBLE = "­͏᠎​‌‍‎‏⁠﻿"
 
-#: Shortest and longest word beginning that is a candidate; toxic documents an entry must add; times that toxic documents hold it more often than others.
+#: Shortest and longest word beginning that is a candidate; toxic documents that an entry must be in; times that toxic documents hold it more often than others.
 SHORTEST, LONGEST, SUPPORT, LIFT = 3, 10, 3, 4.0
+#: How unlikely an entry's share of toxic documents must be by chance, in nats (chance e^-12: of 100 000 candidates about one passes for nothing).
+SURPRISE = 12.0
 CUT = 0.5
 #: Patterns that a task counts before it passes on what it has.
 TALLY = 50_000
@@ -157,35 +160,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _tallied(batches, candidates_of)
 
 
-def cover(holders: dict[str, set], others: dict[str, float], support: int = SUPPORT) -> list[str]:
-    """Fewest patterns, greedily (others: toxic documents that chance would give a pattern): each adds at least `support` toxic documents; ties to the purer, to word beginnings, to the longer, the first."""
-    chosen, left = [], {p: set(d) for p, d in holders.items()}
-    while left:
-        best = min(left, key=lambda p: (-len(left[p]) + 2 * others[p], others[p], p[-1] == " ", -len(p), p))
-        new = left.pop(best)
-        if len(new) < support or len(new) <= 2 * others[best]:
-            break
-        chosen.append(best)
-        left = {p: d - new for p, d in left.items() if len(d - new) >= support}
-    return chosen
+def surprise(toxic: Column, other: Column, share: float) -> Column:
+    """Log likelihood ratio of toxic documents among a pattern's, against their share of all; 0 where it is not above that."""
+    n = toxic + other
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
+    return F.when(toxic > n * share, part(toxic, share) + part(other, 1 - share)).otherwise(0.0)
+
+
+def shortest(passing: dict[str, tuple[int, int]]) -> list[str]:
+    """Patterns without those that have a shorter beginning of the same counts."""
+    return sorted(p for p in passing if not any(passing.get(p[:k]) == passing[p] for k in range(SHORTEST, len(p))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, support: int = SUPPORT, lift: float = LIFT, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """Fit on at most `most` labelled rows that are not held out; the driver gets counts and toxic documents of patterns that pass."""
+def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, support: int = SUPPORT, lift: float = LIFT, exceptions: tuple[str, ...] = (), unlikely: float = SURPRISE) -> Lexicon:
+    """Fit on at most `most` labelled rows that are not held out; the driver gets the counts of patterns that pass, and two numbers of each row."""
     ship(docs.sparkSession)
     sample = labelled(docs, labels, "toxic", most)
     totals = {r["label"] > 0: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bad, good = totals.get(True, 0), totals.get(False, 0)
     counts = sample.mapInArrow(_count, "pattern string, toxic bigint, other bigint").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    passing = {r["pattern"]: (r["toxic"], r["other"]) for r in counts.where((F.col("toxic") >= support) & (F.col("toxic") * totals.get(False, 0) >= lift * totals.get(True, 0) * F.col("other"))).collect()}
-    holders: dict[str, set] = {p: set() for p in passing}
-    # toxic rows of a bounded sample
-    for r in sample.where("label > 0").select("doc_id", "text").toLocalIterator():
-        for p in candidates_of(fold(r["text"] or "")) & passing.keys():
-            holders[p].add(r["doc_id"])
-    chance = totals.get(True, 0) / max(totals.get(False, 0), 1)
-    chosen = cover(holders, {p: n * chance for p, (_, n) in passing.items()}, support)
-    odds = lambda p: math.log((passing[p][0] + 0.5) / (totals.get(True, 0) + 1)) - math.log((passing[p][1] + 0.5) / (totals.get(False, 0) + 1))
-    entries = {p: max(odds(p), 0.1) for p in chosen}
+    c = F.col
+    passes = (c("toxic") >= support) & (c("toxic") * good >= lift * bad * c("other")) & (surprise(c("toxic"), c("other"), bad / max(bad + good, 1)) >= (unlikely if good else 0.0))
+    passing = {r["pattern"]: (r["toxic"], r["other"]) for r in counts.where(passes).collect()}
+    odds = lambda p: math.log((passing[p][0] + 0.5) / (bad + 1)) - math.log((passing[p][1] + 0.5) / (good + 1))
+    entries = {p: max(odds(p), 0.1) for p in shortest(passing)}
     start = Lexicon(entries, exceptions)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,4 +253,5 @@ def classify(docs: DataFrame, lexicon: Lexicon, cut: float = CUT) -> DataFrame:
 
 def clean(docs: DataFrame, lexicon: Lexicon, cut: float = CUT) -> DataFrame:
     """docs without the rows that score `cut` or more; all columns as they were, no shuffle."""
-    return docs.withColumn("__toxic", score(F.col("text"), lexicon)).where(F.col("__toxic") < cut).drop("__toxic")
+    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), score(F.col("text"), lexicon).alias("score"))
+    return scored.where(F.col("score") < cut).select("row.*")

@@ -2,19 +2,19 @@
 
 write(): a record per page. Equal payloads of at least MIN_SHARED bytes are stored once, in the response with the
 smallest page_id; the others become revisit records that refer to it. The smallest page_id of a digest is found by
-partial sums of (digest, page_id) before any shuffle, and pages whose payload is unique never take part in a join on a
-hot digest. Each record is a gzip member of its own. Executors pack members into archives of at most ARCHIVE_BYTES and
-Spark's text sink writes each as one file, so files land where every executor can read them.
+partial sums of (digest, page_id) before any shuffle; the digests that several pages share are a saved table, of which few rows or hot rows
+are broadcast, so that a payload is shuffled only where many digests are shared. Each record is a gzip member of its own. Executors pack
+members into archives of at most ARCHIVE_BYTES and Spark's text sink writes each as one file, so files land where every executor can read them.
 
 read(): each file is one row of Spark's binaryFile source. A record of any type must have a version line, a header block of
 any length, a Content-Length that ends at a record boundary and, where given in a known algorithm, right block and payload
-digests. The payload is what follows the HTTP header, or the block where there is none. After a failed check the
-reader looks for the next gzip member that inflates to a version line, or the next version line in plain files, reads on
-from there, and logs the bytes between as a quarantined gap.
+digests. The payload is what follows the HTTP header, or the block where there is none. A gzip member may hold several records. After
+a failed check the reader looks for the next gzip member that inflates to a version line, or the next version line in plain files or inside
+the member, reads on from there, and logs the bytes between as a quarantined gap.
 
-Defined results: a null or empty payload is an empty response; null or odd urls are escaped into the header; pages that
-repeat a page_id each have a record of their own, the first by row being the response if they are equal (its copies with
-the same page_id refer to that id); an empty table writes no records; other columns are ignored.
+Defined results: a null or empty payload is an empty response; null or odd urls are escaped into the header; texts and urls of any length
+are kept whole (a record is held in memory); pages that repeat a page_id each have a record of their own, and where the smallest page_id of equal payloads
+is repeated, each of its pages is a response; an empty table writes no records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import meet, save, ship
 
 #: Bytes from which equal payloads are stored once; most bytes of an archive before its last record.
 MIN_SHARED, ARCHIVE_BYTES = 100, 8 << 20
-SALTS = 16
 
 VERSION = b"WARC/1.1\r\n"
 VERSION_LINE = re.compile(rb"WARC/(?:0\.\d+|1\.[01])\r?\n")
@@ -53,11 +52,9 @@ def plan(pages: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
     """page_id, url, payload (binary), digest, n_bytes, response_id: null where the page itself is the response."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("bigint").alias("n_bytes"))
-    # rows are told apart by their page_id and, where that repeats, by their place among equals
     shared = rows.where(F.col("n_bytes") >= min_shared).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    salted = shared.select("digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
-    return joined.select("page_id", "url", "payload", "digest", "n_bytes", F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id")).alias("response_id"))
+    met = meet(rows, save(shared, "digests"), "digest", "copies", F.xxhash64("page_id", "digest"), F.col("n_bytes") < min_shared)
+    return met.select("page_id", "url", "payload", "digest", "n_bytes", F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id")).alias("response_id"))
 
 
 def _clean(url: str | None) -> str:
@@ -189,36 +186,55 @@ def _gap(file: str, start: int, stop: int, reason: str) -> dict:
     return dict.fromkeys([f.name for f in _ROWS]) | {"kind": "gap", "file": file, "start": start, "stop": stop, "reason": reason}
 
 
+def _member(data: bytes, at: int) -> tuple[bytes, int]:
+    """What the gzip member at `at` holds, and where it ends. Its end is found from a bounded view that grows, so a file costs its own
+    size, not its square."""
+    view = 1 << 16
+    while True:
+        try:
+            plain, used = _inflate(data[at : at + view], 0)
+        except Bad as e:
+            if "cut off" not in str(e) or at + view >= len(data):
+                raise
+            view *= 4
+        else:
+            return plain, at + used
+
+
+def _records(plain: bytes, file: str, start: int, stop: int) -> tuple[list[dict], str]:
+    """Valid records of a member of bytes start..stop, and why others were passed over; Bad if none is valid."""
+    found, why, at = [], "", 0
+    while at < len(plain):
+        try:
+            head, block, end = _parse(plain, at)
+            found.append(_row(head, block, file, start, stop))
+            at = end
+        except Bad as e:
+            why = why or str(e)
+            m = VERSION_LINE.search(plain, at + 1)
+            at = m.start() if m else len(plain)
+    if why and not found:
+        raise Bad(why)
+    return found, why
+
+
 def salvage(data: bytes, file: str = "") -> Iterator[dict]:
     """Rows of ROWS for a file's bytes: its valid records in order, and the gaps between them.
 
-    Member ends are found by inflating from a bounded view that doubles, so a file costs its own size, not its square.
+    The records of one gzip member share its bytes start..stop. A member of which a part is damaged gives its valid records and a gap of
+    the same bytes. Empty members count as part of what is around them.
     """
     at, gap, why = 0, None, ""
     next_member = next_line = -1  # each is searched for again only when it has been passed
     while at < len(data):
+        hurt = ""
         try:
             if data.startswith(MEMBER, at):
-                view = 1 << 16
-                while True:
-                    try:
-                        plain, used = _inflate(data[at : at + view], 0)
-                        break
-                    except Bad as e:
-                        if "cut off" not in str(e) or at + view >= len(data):
-                            raise
-                        view *= 4
-                stop = at + used
-                if plain:
-                    head, block, end = _parse(plain, 0)
-                    if end != len(plain):
-                        raise Bad("member holds more than its record")
-                    row = _row(head, block, file, at, stop)
-                else:
-                    row = None
+                plain, stop = _member(data, at)
+                rows, hurt = _records(plain, file, at, stop)
             else:
                 head, block, stop = _parse(data, at)
-                row = _row(head, block, file, at, stop)
+                rows = [_row(head, block, file, at, stop)]
         except Bad as e:
             gap, why = (at, str(e)) if gap is None else (gap, why)
             if next_member <= at:
@@ -228,14 +244,12 @@ def salvage(data: bytes, file: str = "") -> Iterator[dict]:
                 next_line = m.start() if m else len(data)
             at = min(next_member, next_line)
             continue
-        if row is None and gap is not None:
-            at = stop
-            continue
-        if gap is not None:
+        if rows and gap is not None:
             yield _gap(file, gap, at, why)
             gap = None
-        if row:
-            yield row
+        yield from rows
+        if hurt:
+            yield _gap(file, at, stop, hurt)
         at = stop
     if gap is not None:
         yield _gap(file, gap, len(data), why)

@@ -84,11 +84,35 @@ def test_near_duplicates_of_a_large_group(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str) == brute_groups(texts)
 
 
-def test_near_duplicates_in_more_tiles_than_meet(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(near_dup, "TILE", 2)
-    for many in (0, 1, 100):
-        monkeypatch.setattr(near_dup, "MANY", many)
-        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.groups(docs).collect()), key=str) == brute_groups(rows)
+@pytest.mark.parametrize("tile, shingles", [(2, 1 << 20), (1, 1 << 20), (1024, 40)])
+def test_near_duplicates_in_tiles_of_few_nodes(spark, docs, rows, monkeypatch, tile, shingles):
+    monkeypatch.setattr(near_dup, "TILE", tile)
+    monkeypatch.setattr(near_dup, "TILE_SHINGLES", shingles)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.groups(docs).collect()), key=str) == brute_groups(rows)
+
+
+def test_near_duplicates_of_groups_that_share_half(spark, monkeypatch):
+    # groups of copies whose members share much, but not enough, with other groups: one cluster of many tiles and several components
+    monkeypatch.setattr(near_dup, "TILE", 4)
+    draw, texts = random.Random(8), []
+    common = [f"c{draw.randrange(900)}" for _ in range(80)]
+    for g in range(8):
+        own = [f"g{g}x{i}" for i in range(30 + 8 * g)]
+        for k in range(9):
+            copy = common + own
+            copy[draw.randrange(len(copy))] = f"y{g}x{k}"
+            texts.append((len(texts) * 7 % 72, " ".join(copy)))
+    got = near_dup.groups(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str) == brute_groups(texts)
+
+
+def test_components_by_stars_and_by_one_task(spark, monkeypatch):
+    draw = random.Random(4)
+    pairs = [(draw.randrange(400), draw.randrange(400)) for _ in range(300)]
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint")
+    once = sorted(map(tuple, components.components(edges).collect()))
+    monkeypatch.setattr(components, "FOLD", 10)
+    assert sorted(map(tuple, components.components(edges).collect())) == once
 
 
 def test_pigeonhole_finds_all_pairs_within_the_distance():
