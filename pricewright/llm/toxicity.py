@@ -64,21 +64,22 @@ def _table() -> dict[int, str]:
 
 
 _FOLD = _table()
-_MIXED = re.compile(r"[^ ]*[0-9@$][^ ]*")
+_SIGN = re.compile(r"[0-9@$]")
 _DIGIT = str.maketrans(DIGITS)
 
 
-def _unmix(m: re.Match) -> str:
-    word = m[0].rstrip("@$")
+def _unmix(word: str) -> str:
+    word = word.rstrip("@$")
     return (word.translate(_DIGIT) if any(map(str.isalpha, word)) else word).replace("@", " ").replace("$", " ")
 
 
 def fold(text: str) -> str:
     """Folded words with a space before and after each."""
     plain = text.lower().translate(_FOLD)
-    if _MIXED.search(plain):
-        plain = _MIXED.sub(_unmix, plain)
-    return f" {' '.join(plain.split())} "
+    words = plain.split()
+    if _SIGN.search(plain):
+        words = " ".join(_unmix(w) if _SIGN.search(w) else w for w in words).split()
+    return f" {' '.join(words)} "
 
 
 @dataclass(frozen=True)
