@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, save, ship
+from .common import flat_text, save, ship, tidy
 
 #: Words of a window; most bytes of benchmark text in one automaton; automatons that a task holds at once.
 WINDOW, BLOCK_BYTES, RESIDENT = 10, 2 << 20, 2
@@ -149,6 +149,8 @@ def _judge(sent, name: str, window: int):
         raw, offs = flat_text(texts)
         raw, offs = raw.tobytes(), offs.tolist()
         out = [scan(raw[a:b], found) for a, b in zip(offs, offs[1:], strict=False)]
+        del raw
+        tidy()
         return pa.array([{"n_words": n, "spans": s, "items": i} for n, s, i in out], _VERDICT)
 
     return judge

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, flat_text, held_out, ship
+from .common import drop, flat_text, held_out, ship, tidy
 from .sample import SAMPLE, labelled
 
 #: Score at the cut; pairs drawn for each label-1 document; strength of the penalty on weights.
@@ -116,7 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, **options) -> Mo
 
 def score(text: Column, model: Model) -> Column:
     def judge(texts: pa.Array) -> pa.Array:
-        return pa.array(model.scores(_matrix(texts)), pa.float64())
+        scores = model.scores(_matrix(texts))
+        tidy()
+        return pa.array(scores, pa.float64())
 
     return F.arrow_udf(judge, "double")(text)
 

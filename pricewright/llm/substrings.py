@@ -24,7 +24,7 @@ others; rows that repeat a doc_id never remove each other's text; an empty table
 task needs about 100 bytes of memory for a byte of the longest text.
 
 Buckets grow in number with the corpus (up to 2 ** 24, at BUCKET_BYTES of text each 64 TB). A batch sends each bucket a row, so beyond a few hundred GB
-those rows carry few anchors each, and their shuffle costs more than the text does: there larger batches and buckets (SLICE_BYTES and bucket_bytes, as memory
+those rows carry few anchors each, and their shuffle costs more than the text does: there larger batches and buckets (BATCH_BYTES and bucket_bytes, as memory
 allows) are the cheaper choice.
 """
 
@@ -42,13 +42,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, drop, flat_text, save, shared_path, ship, slices
+from .common import drop, flat_text, save, shared_path, ship, slices
 from .shingles import _BYTE, mix, powers
 from .suffix_sort import common_prefixes, suffix_array
 
 #: Bytes of a repeat; of an anchor. Batches that make an anchor hot. Bytes of segments sorted at once. Bytes of text for each bucket.
 SPAN, GRAM, HOT, SORT_BYTES, BUCKET_BYTES = 50, 20, 2048, 1 << 19, 4 << 20
 WINDOWS = SPAN - GRAM + 1
+#: Bytes of text in a batch, or one text.
+BATCH_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
 ROWS = "kind int, batch bigint, bucket bigint, data binary"
 _ROWS = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
@@ -84,7 +86,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, offs = flat_text(batch.column("text"))
         ids = batch.column("doc_id")
         keys, nulls = ids.fill_null(LAST).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
-        for lo, hi in slices(np.diff(offs), SLICE_BYTES):
+        for lo, hi in slices(np.diff(offs), BATCH_BYTES):
             data = put(keys[lo:hi], nulls[lo:hi].view(np.uint8), offs[lo : hi + 1] - offs[lo], raw[offs[lo] : offs[hi]])
             yield _table([(TEXT, part << 32 | number, 0, data)]).to_batches()[0]
             number += 1
@@ -383,7 +385,7 @@ def repeats(docs: DataFrame, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -
     while buckets < size / bucket_bytes and buckets < MOST_BUCKETS:
         buckets *= 2
     # batches of one file of the table follow each other, so files may hold any number of them
-    files = min(max(12, -(-size // (4 * SLICE_BYTES))), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+    files = min(max(12, -(-size // (4 * BATCH_BYTES))), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     path, name = shared_path(spark, "texts"), f"pricewright_texts_{uuid.uuid4().hex}"
     packed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_pack, ROWS)
     try:
