@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, flat_text, save, ship, slices, tidy
+from .common import drop, flat_text, meet, save, ship, slices, tidy
 from .components import components
 from .shingles import VALUES, digest, mix, sets, shingle_hashes, signature, word_hashes
 
@@ -199,8 +199,10 @@ def _leftover(keyed: DataFrame, percent: int) -> DataFrame:
     largest = by_label.groupBy("key").agg(F.max(F.struct("many", F.negative("label").alias("minus"))).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     # a set and those that it may link with lie in the same or in neighbouring classes of size
     size = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("bigint")
-    members = save(keyed.join(largest.select("key", F.negative("top.minus").alias("major")), "key").select("key", "node", "label", "n_shingles", (F.col("label") == F.col("major")).alias("inner"), size.alias("size")), "members")
-    slots = members.groupBy("key", "inner", "size").agg(_tiles().alias("tiles"))
+    largest = save(largest.select("key", F.negative("top.minus").alias("major"), F.col("top.many").alias("weight")), "largest")
+    found = meet(keyed, largest, "key", "weight", F.xxhash64("node")).where("major IS NOT NULL")
+    members = save(found.select("key", "node", "label", "n_shingles", (F.col("label") == F.col("major")).alias("inner"), size.alias("size")), "members")
+    slots = save(members.groupBy("key", "inner", "size").agg(_tiles().alias("tiles"), F.count(F.lit(1)).alias("weight")), "slots")
     place = lambda inner, size, turn: F.xxhash64("key", inner, size, turn)
     turns = lambda tiles: F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1))
     other = slots.select("key", F.col("inner").alias("inner2"), F.col("size").alias("size2"), F.col("tiles").alias("tiles2"))
@@ -209,7 +211,9 @@ def _leftover(keyed: DataFrame, percent: int) -> DataFrame:
     pairs = slots.where("NOT inner").join(other, "key").where(near & once)
     pairs = pairs.withColumn("turn", turns(F.col("tiles"))).withColumn("turn2", turns(F.col("tiles2"))).where(F.col("inner2") | (F.col("size2") > F.col("size")) | (F.col("turn2") >= F.col("turn")))
     meetings = save(pairs.select(place("inner", "size", "turn").alias("host"), place("inner2", "size2", "turn2").alias("guest_tile")).distinct(), "meetings")
-    tiled = members.join(slots, ["key", "inner", "size"]).select("node", "label", place("inner", "size", F.pmod(F.xxhash64("node"), F.col("tiles"))).alias("tile"))
+    slot = F.struct("key", "inner", "size").alias("slot")
+    dealt = meet(members.select("node", "label", slot), slots.select(slot, "tiles", "weight"), "slot", "weight", F.xxhash64("node")).select("node", "label", "tiles", "slot.*")
+    tiled = dealt.select("node", "label", place("inner", "size", F.pmod(F.xxhash64("node"), F.col("tiles"))).alias("tile"))
     meeting = F.xxhash64("host", "guest_tile").alias("meeting")
     hosts = tiled.join(meetings, F.col("tile") == F.col("host")).select(meeting, F.lit(False).alias("guest"), "node", "label")
     guests = tiled.join(meetings.where("host <> guest_tile"), F.col("tile") == F.col("guest_tile")).select(meeting, F.lit(True).alias("guest"), "node", "label")
@@ -246,8 +250,8 @@ def links(docs: DataFrame, measured: DataFrame, percent: int = PERCENT) -> DataF
     found = [_linked(small, percent)]
     if size.where("tiles > 1").limit(1).count():
         keyed = large.select("node", "n_shingles", "sig").mapInArrow(_keyed, "key bigint, node bigint, n_shingles bigint")
-        held = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), _tiles().alias("tiles")).where("many > 1")
-        shared = save(keyed.join(held, "key"), "shared")
+        held = save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.count(F.lit(1)).alias("weight"), _tiles().alias("tiles")).where("many > 1"), "held")
+        shared = save(meet(keyed, held, "key", "weight", F.xxhash64("node")).where("many IS NOT NULL"), "shared")
         homes = shared.groupBy("node").agg(F.max(F.struct("many", "key", "tiles")).alias("home")).select("node", F.col("home.key").alias("home"), F.pmod(F.xxhash64("node"), F.col("home.tiles")).alias("turn"))
         tiled = save(large.join(homes, "node").select("node", "home", "turn", "sig", "hashes"), "tiled")
         within = tiled.select(F.xxhash64("home", "turn").alias("meeting"), F.lit(False).alias("guest"), "node", F.col("node").alias("label"), "sig", "hashes")
@@ -259,7 +263,7 @@ def links(docs: DataFrame, measured: DataFrame, percent: int = PERCENT) -> DataF
         found.append(_linked(_labelled(first, found), percent))
         rest = _leftover(_labelled(shared.select("key", "node", "n_shingles"), found), percent)
         found.append(_linked(rest.join(tiled.select("node", "sig", "hashes"), "node"), percent))
-        drop(shared, tiled)
+        drop(held, shared, tiled)
     out = copies
     for more in found:
         out = out.union(more)
