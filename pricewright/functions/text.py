@@ -222,3 +222,28 @@ def fnv1a(x: Column, most: int = 200) -> Column:
     codes = F.transform(F.filter(F.split(F.substring(x, 1, most), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
     step = lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(0xFFFFFFFF)
     return F.lower(F.hex(F.aggregate(codes, F.lit(2166136261).cast("bigint"), step)))
+
+
+#: Tails of titles that a store adds, and badges that stand where a title should.
+STORE_TAIL, BUY_TAIL = r"(?iu)\s*[|/–—-]\s*(Wildberries|Ozon|Вайлдберриз|Озон).*$", r"(?iu)\s+купить.*$"
+PROMO = r"(?iu)^\d+\s*балл|баллов|скидк|доставк|завтра|рассроч|кэшбэк|купон|акци|распрод|осталось\s*\d|рекомен|(?<![A-Za-z0-9_])хит(?![A-Za-zА-Яа-яЁё0-9_])|новинк|выбор\s+покупател|^\d+\s*шт\.?\s*$"
+KNOWN_NAMES = r"(?iu)(?<![A-Za-z0-9_])(?:canon|nikon|sony|fuji|eos|iphone|samsung|nike|adidas|xiaomi|redmi|trace)(?![A-Za-z0-9_])"
+
+
+def clean_title(x: Column) -> Column:
+    """Without what a store or a seller appends."""
+    return F.trim(F.regexp_replace(F.regexp_replace(x, STORE_TAIL, ""), BUY_TAIL, ""))
+
+
+def promo_title(x: Column) -> Column:
+    """Whether a text is a badge or an offer line and no product name: nothing, too short, or such words in a short line without a known name."""
+    s = F.trim(F.coalesce(x, F.lit("")))
+    short = (F.length(s) < 6) & ~s.rlike(r"(?iu)[a-zа-яё]{4,}")
+    return (s == "") | short | (s.rlike(PROMO) & (F.length(s) < 48) & ~s.rlike(KNOWN_NAMES)) | s.rlike(r"(?iu)^(осталось\s+\d+|\d+\s*балл)")
+
+
+def serp_title(title: Column, lines: Column, fallback: str = "Товар") -> Column:
+    """The title, unless it is a badge; else the longest line of its tile that is none; else the fallback; at most 200 characters."""
+    good = F.filter(F.transform(F.split(F.coalesce(lines, F.lit("")), r"[\n|•]"), lambda v: F.trim(v)), lambda v: (F.length(v) >= 8) & ~promo_title(v))
+    longest = F.try_element_at(F.array_sort(good, lambda a, b: F.length(b) - F.length(a)), F.lit(1))
+    return F.substring(F.coalesce(F.when(~promo_title(title), F.trim(title)), longest, F.lit(fallback)), 1, 200)

@@ -212,3 +212,40 @@ def with_views(sql: str) -> str:
     if body.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {head},\n{body[15:]}"
     return f"WITH {head},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"
+
+
+#: What listings are made of: leads name a product, the others vary it.
+LEADS = (
+    "Смартфон Apple iPhone 15 Pro Max", "Apple iPhone 15", "Смартфон Apple iPhone 14", "Чехол для iPhone 15 силиконовый", "Смартфон Xiaomi Redmi Note 13", "Redmi Note 13 Pro", "Samsung Galaxy A55", "Google Pixel 9a", "Google Pixel 9 Pro",
+    "Геймпад Sony DualSense для PlayStation 5", "Игровая приставка Sony PlayStation 5 Slim", "Ноутбук ASUS VivoBook X1504VA", "Ноутбук Lenovo IdeaPad L3-15", "Apple MacBook Air M2", "Apple MacBook Pro M2", "Видеокарта Palit GeForce RTX 4070",
+    "Моноблок HP All-in-One", "Мини-ПК Intel NUC", "Телевизор Haier Smart TV S1", "Монитор LG UltraGear", "Наушники Xiaomi Redmi Buds 5", "Наушники Samsung Galaxy Buds 2", "Apple AirPods Pro 2", "Sony WH-1000XM5", "Sony WH-1000XM4",
+    "Kingston Canvas Go Plus microSDXC Gen4", "Kingston Canvas Select Plus microSDXC Gen3", "Canon EOS 650D", "Nikon D5100", "Аккумулятор для Nikon D5100", "Картридж HP 12A для LaserJet 1020", "Капсулы для кофемашины Nespresso Lungo",
+    "Робот-пылесос Roborock S8 Pro Ultra", "Фильтр для Dyson V15", "Фен Dyson Supersonic HD07", "Дрель Bosch GSB 18V-50", "Шампунь Head & Shoulders Ментол 400 мл", "Гель для стирки Persil 1,5 л", "Кроссовки Nike Air кожа", "Корм для кошек Whiskas 12 шт",
+)
+MEMORIES = ("128GB", "256 ГБ", "8/256 ГБ", "12+512GB", "1 ТБ", "")
+VARIANTS = ("чёрный", "white", "синий", "midnight", "Graphite original", "новый", "refurbished", "USB-C", "lightning", "реплика", "Global", "ростест", "eSIM only", "digital", "размер 42", "size XL, хлопок", "2 кг", "citrus fresh", "women", "kit 18-55mm f3.5")
+
+
+def listings(spark: SparkSession, d: str) -> DataFrame:
+    """A title for each part: a lead, memory, a variant and the part's own name; its specs and price."""
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        k.alias("product"), F.concat_ws(" ", pick(LEADS, k), pick(MEMORIES, F.expr("p_partkey div 3")), pick(VARIANTS, F.expr("p_partkey div 7")), F.col("p_name")).alias("title"),
+        F.when(k % 6 == 0, F.lit("Артикул: AB1234, 3.5 mm")).alias("specs"), F.col("p_retailprice").alias("price"), (k % 5).alias("store"),
+    )
+
+
+def found_listings(spark: SparkSession, d: str) -> DataFrame:
+    """Search results: four candidates for each listing, in order; every second one has the same lead."""
+    k = F.col("p_partkey")
+    n = table(spark, d, "part").agg(F.max("p_partkey")).scalar()
+    step = lambda i: F.pmod(k - 1 + len(LEADS) * (i * i + 1) + (i % 2) * i, n) + 1
+    pairs = table(spark, d, "part").select(k.alias("reference"), F.posexplode(F.array(*[step(F.lit(i)) for i in range(4)])).alias("position", "candidate"))
+    return pairs.where("reference <> candidate")
+
+
+SQL |= {
+    "listings": f"""SELECT p_partkey AS product, concat_ws(' ', {_sql_pick(LEADS, 'p_partkey')}, {_sql_pick(MEMORIES, 'p_partkey // 3')}, {_sql_pick(VARIANTS, 'p_partkey // 7')}, p_name) AS title,
+      CASE WHEN p_partkey % 6 = 0 THEN 'Артикул: AB1234, 3.5 mm' END AS specs, p_retailprice AS price, p_partkey % 5 AS store FROM part""",
+}

@@ -1,12 +1,27 @@
-"""Folders that all executors share."""
+"""Folders that all executors share, and tables kept there while results may read them."""
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Folders to delete when the driver's Python ends.
+_LEFT: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _delete_left() -> None:
+    for path, spark in _LEFT.items():
+        try:
+            jvm, context = spark._jvm, spark.sparkContext._jsc
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context.hadoopConfiguration() if context else jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the JVM or the folder is gone already
+            return
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
@@ -17,4 +32,13 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pricewright-streams-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/pricewright-{tag}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/pricewright-{tag}-{uuid.uuid4().hex}"
+    _LEFT[path] = spark
+    return path
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df, written once and read back: costly columns are computed once, and lost executors cost no rework."""
+    path, schema = shared_folder(df.sparkSession, tag), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

@@ -17,7 +17,8 @@ def plain(x):
     if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
         return None
     if isinstance(x, (float, decimal.Decimal)):
-        return round(float(x), 7)
+        x = round(float(x), 7)
+        return int(x) if x.is_integer() else x  # pandas makes integers with nulls floats
     return x.item() if hasattr(x, "item") else x
 
 
