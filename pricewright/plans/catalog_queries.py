@@ -194,7 +194,7 @@ def x1(spark, d):
     return lines.select("doc_id", "line", t.normal_title(x).alias("title"), t.storage(measured).alias("storage"), t.volume_ml(measured).alias("volume_ml"), t.package_count(measured).alias("package_count"), t.slug(x).alias("slug"))
 
 
-@query("x28_hashes")
+@query("x28_hashes", with_views("SELECT DISTINCT search_query, printf('%x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(search_query, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)) AS hash FROM search_metrics"))
 def x28(spark, d):
     """Query hash of every search."""
     return r.search_metrics(spark, d).select("search_query").distinct().select("search_query", t.fnv1a(F.col("search_query")).alias("hash"))

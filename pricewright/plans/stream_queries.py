@@ -23,6 +23,39 @@ def r4(spark, d):
     return jobs.run(jobs.sliding_success(jobs.events(spark, d)), "complete")
 
 
+@query("r3_update_stream", "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS events, round(sum(value), 3) AS value FROM events GROUP BY 1, 2")
+def r3_update(spark, d):
+    """Tumbling days as a stream of updates: only changed rows are written, and state older than the watermark goes."""
+    return jobs.run(jobs.daily(jobs.events(spark, d)), "update", ["day", "event_type"]).withColumn("value", F.round("value", 3))
+
+
+@query("r4_hourly_alerts", """WITH w AS (SELECT date_trunc('hour', ts) - to_hours(h::INT) AS s, user_id % 5 AS shard, event_type FROM events, (SELECT unnest(range(24)) AS h)),
+g AS (SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, shard, count(*) AS requests, count(*) FILTER (event_type <> 'error') AS successes FROM w GROUP BY 1, 2)
+SELECT *, floor(successes * 1000.0::DOUBLE / requests + 0.5::DOUBLE) / 10.0::DOUBLE AS rate, requests >= 5 AND floor(successes * 1000.0::DOUBLE / requests + 0.5::DOUBLE) / 10.0::DOUBLE < 85 AS alert FROM g""")
+def r4_alerts(spark, d):
+    """Success of the trailing 24 hours, every hour, and the alerts that it calls for."""
+    return jobs.with_alert(jobs.run(jobs.sliding_success(jobs.events(spark, d), "1 hour"), "update", ["start", "shard"]))
+
+
+@query("r1_r2_two_clocks", """SELECT strftime(CASE WHEN event_id % 3 <> 0 THEN ts - INTERVAL 2 HOUR ELSE ts END, '%Y-%m-%d') AS day, count(*) AS events FROM events GROUP BY 1""")
+def r1(spark, d):
+    """Continuous ingest by the client's clock, else the server's: rows appended, counted by day."""
+    return jobs.run(jobs.two_clocks(jobs.events(spark, d)), "append").groupBy("day").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("r5_rate_limit_stream")
+def r5(spark, d):
+    """Requests that pass a limit of three an hour and user, as keyed state."""
+    return jobs.run(jobs.limited(jobs.events(spark, d), jobs.HOUR, 3), "append")
+
+
+@query("r8_failure_stream", """WITH o AS (SELECT user_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), l AS (SELECT user_id, max(n) AS n, coalesce(max(n) FILTER (NOT failed), 0) AS good FROM o GROUP BY 1)
+SELECT user_id, n - good AS failures, CASE WHEN n - good <= 1 THEN 1 WHEN n - good <= 3 THEN 4 ELSE 12 END AS rest FROM l""")
+def r8(spark, d):
+    """Failures in a row of every user and their back-off, as keyed state."""
+    return jobs.run(jobs.failures(jobs.events(spark, d)), "update", ["user_id"])
+
+
 @query("r6_dedup_stream", "SELECT event_id FROM (SELECT DISTINCT event_id FROM events)")
 def r6(spark, d):
     """Events deduplicated within the watermark (r1: continuous ingest)."""
@@ -54,7 +87,7 @@ def f18(spark, d):
     return r.telemetry_events(spark, d).select("event_id", p["source"].alias("source"), p["reason"].alias("reason"))
 
 
-@query("f30_sampled")
+@query("f30_sampled", with_views("SELECT event_id, level FROM telemetry_events WHERE level IN ('warn', 'error') OR ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 10000 < 1000"))
 def f30(spark, d):
     """All warnings and errors and a tenth of the rest, by hash (a sampling operator)."""
     return ingest.sampled(r.telemetry_events(spark, d)).select("event_id", "level")

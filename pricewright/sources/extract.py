@@ -80,3 +80,31 @@ def card(pages: DataFrame) -> DataFrame:
     title = F.coalesce(got(r'(?is)<meta[^>]*property="og:title"[^>]*content="([^"]+)"'), plain(got(r"(?is)<h1[^>]*>(.*?)</h1>")), plain(got(r"(?is)<title[^>]*>(.*?)</title>")))
     price = F.coalesce(number(got(r'(?is)itemprop="price"[^>]*content="([\d.,\s]+)"')), number(got(r'"(?:price|lowPrice)"\s*:\s*"?([\d.]{2,})')), number(got(r"(?is)>\s*([\d\s ]{2,12})\s*₽")))
     return pages.select("page_id", title.alias("title"), price.alias("price"), number(got(r"(?is)<(?:del|s)[^>]*>\s*([\d\s ]{2,12})")).alias("old_price"), number(got(r"(\d[.,]\d)\s*(?:из\s*5|/\s*5)")).alias("rating"))
+
+
+#: Words of pages that keep robots out, looked for at their start; states in which nothing can be bought.
+BLOCKED, BLOCKED_WITHIN = r"(?i)captcha|доступ ограничен|access denied|are you a robot|слишком много запросов", 8000
+GONE = r"(?i)OutOfStock|SoldOut|Discontinued"
+#: Stores whose cards are read from structured data first, or from embedded state in hundredths; least price of the others' meta data.
+STRUCTURED, HUNDREDTHS, SKIPS_GONE, LEAST_META = ("yandex_market", "megamarket", "aliexpress", "mvideo"), ("wildberries",), ("megamarket", "aliexpress", "mvideo"), {"mvideo": 100}
+
+
+def store_cards(pages: DataFrame) -> DataFrame:
+    """pages (store, html) with price and title of the card, by the store's rules: nothing from pages that keep robots out; structured data (first offer's price
+    or low price, but not of what is sold out where the store says so), embedded state in hundredths, or meta data first, the others after it."""
+    got = lambda pattern: F.nullif(F.regexp_extract("html", pattern, 1), F.lit(""))
+    number = lambda x: F.regexp_replace(F.regexp_replace(x, r"[\s ]", ""), ",", ".").try_cast("double")
+    store = F.col("store")
+    open_ = ~F.substring("html", 1, BLOCKED_WITHIN).rlike(BLOCKED)
+    offer = F.regexp_extract("html", SCRIPTS, 1)
+    structured = F.nullif(F.coalesce(F.nullif(F.regexp_extract(offer, r'"price"\s*:\s*"?([\d.,\s]+)', 1), F.lit("")), F.regexp_extract(offer, r'"lowPrice"\s*:\s*"?([\d.,\s]+)', 1)), F.lit(""))
+    buyable = ~store.isin(*SKIPS_GONE) | ~offer.rlike(GONE)
+    state = number(F.coalesce(got(r'"salePriceU"\s*:\s*(\d+)'), got(r'"priceU"\s*:\s*(\d+)')))
+    meta = number(F.coalesce(got(r'(?is)itemprop="price"[^>]*content="([\d.,\s]+)"'), got(r'(?is)property="product:price:amount"[^>]*content="([\d.,\s]+)"')))
+    least = F.coalesce(*[F.when(store == s, F.lit(v)) for s, v in LEAST_META.items()], F.lit(1))
+    from_meta = F.when(meta >= least, meta)
+    from_structure = F.when(buyable, number(structured))
+    hundred = F.when(state >= 1000, F.floor(state / 100 + 0.5)).otherwise(state)
+    price = F.when(store.isin(*STRUCTURED), F.coalesce(from_structure, from_meta)).when(store.isin(*HUNDREDTHS), F.coalesce(hundred, from_meta)).otherwise(F.coalesce(from_meta, from_structure))
+    name = F.coalesce(got(r'(?is)<meta[^>]*property="og:title"[^>]*content="([^"]+)"'), F.nullif(F.regexp_extract(offer, r'"name"\s*:\s*"([^"]+)"', 1), F.lit("")), got(r'"imt_name"\s*:\s*"([^"]+)"'), plain(got(r"(?is)<h1[^>]*>(.*?)</h1>")), plain(got(r"(?is)<title[^>]*>(.*?)</title>")))
+    return pages.withColumn("price", F.when(open_ & (price > 0), F.floor(price + 0.5))).withColumn("title", F.when(open_, name))

@@ -35,4 +35,10 @@ def sanitized(payload, keys: tuple[str, ...] = OPS_KEYS):
 
 def sampled(rows: DataFrame, rate: float = 0.1, key: str = "event_id") -> DataFrame:
     """All warnings and errors, and of the rest the share `rate` by a hash of the key: reruns agree."""
-    return rows.where(F.col("level").isin("warn", "error") | (F.pmod(F.xxhash64(key), F.lit(10_000)) < int(rate * 10_000)))
+    number = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return rows.where(F.col("level").isin("warn", "error") | (number % 10_000 < int(rate * 10_000)))
+
+
+def searches(raw: DataFrame) -> DataFrame:
+    """One row a search: known store, query cut to 200 characters, whether it found anything, whole milliseconds."""
+    return raw.select(F.when(F.col("marketplace").isin(*STORES), F.col("marketplace")).alias("marketplace"), F.substring("search_query", 1, 200).alias("search_query"), F.col("success").cast("boolean").alias("success"), F.floor(F.col("response_time_ms")).cast("bigint").alias("response_time_ms"), "created_at")

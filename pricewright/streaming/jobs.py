@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.shared import shared_folder
 
@@ -27,12 +28,18 @@ def daily(stream: DataFrame) -> DataFrame:
     return stream.groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "events", "value")
 
 
-def sliding_success(stream: DataFrame) -> DataFrame:
-    """Requests and successes of each user's group in sliding windows of 24 hours, every 6."""
-    grouped = stream.groupBy(F.window("at", "24 hours", "6 hours").alias("w"), (F.col("user_id") % 5).alias("shard"))
+def sliding_success(stream: DataFrame, slide: str = "6 hours") -> DataFrame:
+    """Requests and successes of each user's group in sliding windows of 24 hours."""
+    grouped = stream.groupBy(F.window("at", "24 hours", slide).alias("w"), (F.col("user_id") % 5).alias("shard"))
     return grouped.agg(F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col("event_type") != "error", 1)).alias("successes")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "shard", "requests", "successes")
 
 
+def with_alert(rows: DataFrame, least: int = 5, below: float = 85.0) -> DataFrame:
+    """Success rate in percent with one decimal, and whether it calls for an alert: enough requests, and a rate below the limit."""
+    rate = F.floor(F.col("successes") * 1000.0 / F.col("requests") + 0.5) / 10.0
+    return rows.withColumn("rate", rate).withColumn("alert", (F.col("requests") >= least) & (F.col("rate") < below))
+
+
 def without_duplicates(stream: DataFrame, key: list[str]) -> DataFrame:
     """The first event of each key within the watermark."""
     return stream.dropDuplicatesWithinWatermark(key)
@@ -61,8 +68,53 @@ def cooled(stream: DataFrame, rest_ms: int, deeper: float = 0.98) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, ms bigint, value double", "last_at bigint, last_value double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run(result: DataFrame, mode: str) -> DataFrame:
-    """Drive a stream to its end; 'complete' replaces what was written at each batch, 'append' adds to it."""
+def limited(stream: DataFrame, window_ms: int, most: int) -> DataFrame:
+    """Requests (event_id, user_id, ms) and whether each is within its user's limit: the times of those let through in the trailing window are the state, at
+    most `most` of them. A user's rows of a micro-batch come in Arrow batches; rows are sorted by time within the micro-batch."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        passed = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["ms", "event_id"])
+        allowed = []
+        for ms in rows["ms"]:
+            passed = [t for t in passed if ms - t < window_ms]
+            allowed.append(len(passed) < most)
+            if allowed[-1]:
+                passed.append(int(ms))
+        state.update((passed,))
+        state.setTimeoutTimestamp(max(passed[-1] + window_ms if passed else 0, state.getCurrentWatermarkMs() + 1))
+        yield rows.assign(user_id=key[0], allowed=allowed)[["event_id", "user_id", "ms", "allowed"]]
+
+    rows = stream.select("event_id", "user_id", "at", F.unix_millis("at").alias("ms"))
+    return rows.groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, ms bigint, allowed boolean", "passed array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def failures(stream: DataFrame) -> DataFrame:
+    """Each user's failures in a row after their last event so far, and how many times longer they rest for them; the count and time are the state."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count, last = state.get if state.exists else (0, -1)
+        for _, row in pd.concat(list(batches)).sort_values(["ms", "event_id"]).iterrows():
+            count, last = (count + 1 if row["failed"] else 0), int(row["ms"])
+        state.update((count, last))
+        yield pd.DataFrame([{"user_id": key[0], "failures": count, "rest": 1 if count <= 1 else 4 if count <= 3 else 12}])
+
+    rows = stream.select("user_id", "event_id", F.unix_millis("at").alias("ms"), (F.col("event_type") == "error").alias("failed"))
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, failures int, rest int", "count int, last long", "update", GroupStateTimeout.NoTimeout)
+
+
+def two_clocks(stream: DataFrame) -> DataFrame:
+    """Events by day of the client's clock where it is given, else of the server's; rows are appended as they come."""
+    client = F.when(F.col("event_id") % 3 != 0, F.col("at") - F.expr("INTERVAL '2' HOUR"))
+    return stream.select("event_id", F.date_format(F.coalesce(client, F.col("at")), "yyyy-MM-dd").alias("day"))
+
+
+def run(result: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
+    """Drive a stream to its end; 'complete' replaces what was written at each batch, 'append' and 'update' add to it. Of an update's rows the last of each key counts,
+    so that the stream may drop its state by the watermark."""
     spark = result.sparkSession
     folder = shared_folder(spark, "stream")
 
@@ -71,4 +123,9 @@ def run(result: DataFrame, mode: str) -> DataFrame:
 
     query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{folder}/out") if mode == "complete" else spark.read.schema(result.schema).parquet(f"{folder}/out/*")
+    if mode == "complete":
+        return spark.read.schema(result.schema).parquet(f"{folder}/out")
+    if mode == "append":
+        return spark.read.schema(result.schema).parquet(f"{folder}/out/*")
+    rows = spark.read.schema(StructType([*result.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/out")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*result.columns), "batch").alias("r")).select("r.*")
