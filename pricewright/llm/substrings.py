@@ -391,9 +391,12 @@ def repeats(docs: DataFrame, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -
     try:
         packed.write.format("parquet").option("compression", "none").option("path", path).bucketBy(files, "batch").saveAsTable(name)
         texts = spark.table(name)
-        state = save(texts.mapInArrow(_ask(buckets), ROWS).groupBy("bucket").applyInArrow(_answer(hot), ROWS), "state", "none")
+        # the usual number of partitions, or one for 64 MB of text where that is more
+        parts = size // (16 * bucket_bytes)
+        dealt = lambda rows: rows.repartition(parts, "bucket") if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows
+        state = save(dealt(texts.mapInArrow(_ask(buckets), ROWS)).groupBy("bucket").applyInArrow(_answer(hot), ROWS), "state", "none")
         asked = texts.groupBy("batch").cogroup(state.groupBy("batch")).applyInArrow(_cut(buckets), ROWS)
-        answers = asked.groupBy("bucket").applyInArrow(_sort, ROWS)
+        answers = dealt(asked).groupBy("bucket").applyInArrow(_sort, ROWS)
         out = save(texts.groupBy("batch").cogroup(state.union(answers).groupBy("batch")).applyInArrow(_remove(buckets), REPORTS), "repeats")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
