@@ -19,12 +19,14 @@ from ..sources import relations as r
 from ..sources.relations import with_views
 from ..sources.shared import stored
 
-K = F.col("p_partkey")
+
+def _k():
+    return F.col("p_partkey")
 PART = "(SELECT *, 1000 + p_partkey * 37 % 9000 AS a FROM part)"
 
 
 def _part(spark, d):
-    return r.table(spark, d, "part").withColumn("a", 1000 + K * 37 % 9000)
+    return r.table(spark, d, "part").withColumn("a", 1000 + _k() * 37 % 9000)
 
 
 BLOCK_TEXT = """CASE p_partkey % 6 WHEN 0 THEN a || ' ₽' WHEN 1 THEN a || ' ₽ с банками ' || a * 105 // 100 || ' руб.' WHEN 2 THEN '-20 % ' || a || ' ₽ ' || a * 13 // 10 || ' ₽' WHEN 3 THEN 'Пэй ' || a || ' ₽ ' || a * 12 // 10 || ' ₽ ' || a * 2 || ' ₽'
@@ -34,8 +36,8 @@ WHEN 4 THEN a // 2 || ' ₽/шт ' || a || ' ₽ ' || a * 103 // 100 || ' ₽' E
 def _block_text():
     a, div = F.col("a"), lambda e: F.expr(e).cast("string")
     return (
-        F.when(K % 6 == 0, F.concat(a, F.lit(" ₽"))).when(K % 6 == 1, F.concat(a, F.lit(" ₽ с банками "), div("a * 105 div 100"), F.lit(" руб."))).when(K % 6 == 2, F.concat(F.lit("-20 % "), a, F.lit(" ₽ "), div("a * 13 div 10"), F.lit(" ₽")))
-        .when(K % 6 == 3, F.concat(F.lit("Пэй "), a, F.lit(" ₽ "), div("a * 12 div 10"), F.lit(" ₽ "), div("a * 2"), F.lit(" ₽"))).when(K % 6 == 4, F.concat(div("a div 2"), F.lit(" ₽/шт "), a, F.lit(" ₽ "), div("a * 103 div 100"), F.lit(" ₽"))).otherwise("нет цены")
+        F.when(_k() % 6 == 0, F.concat(a, F.lit(" ₽"))).when(_k() % 6 == 1, F.concat(a, F.lit(" ₽ с банками "), div("a * 105 div 100"), F.lit(" руб."))).when(_k() % 6 == 2, F.concat(F.lit("-20 % "), a, F.lit(" ₽ "), div("a * 13 div 10"), F.lit(" ₽")))
+        .when(_k() % 6 == 3, F.concat(F.lit("Пэй "), a, F.lit(" ₽ "), div("a * 12 div 10"), F.lit(" ₽ "), div("a * 2"), F.lit(" ₽"))).when(_k() % 6 == 4, F.concat(div("a div 2"), F.lit(" ₽/шт "), a, F.lit(" ₽ "), div("a * 103 div 100"), F.lit(" ₽"))).otherwise("нет цены")
     )
 
 
@@ -72,7 +74,7 @@ def x47(spark, d):
 
 def _numbers():
     a = F.col("a")
-    return F.array(a, F.when(K % 2 == 0, F.expr("a * 104 div 100")).otherwise(F.expr("a * 13 div 10")), F.when(K % 3 == 0, F.expr("a div 3")).otherwise(a * 2), F.when(K % 5 == 0, a * 3).otherwise(a))
+    return F.array(a, F.when(_k() % 2 == 0, F.expr("a * 104 div 100")).otherwise(F.expr("a * 13 div 10")), F.when(_k() % 3 == 0, F.expr("a div 3")).otherwise(a * 2), F.when(_k() % 5 == 0, a * 3).otherwise(a))
 
 
 @query("x44_n45_number_breakdowns")
@@ -96,9 +98,9 @@ def n46(spark, d):
 CASE WHEN p_partkey % 3 = 0 THEN 2 WHEN p_partkey % 3 = 1 THEN 5 ELSE 4 END AS guessed FROM part WHERE p_partkey % 5 >= 1""")
 def x50(spark, d):
     """Rating and number of reviews that a tile's text says, and the rating that words suggest."""
-    tile = F.when(K % 4 != 3, F.concat((K % 5).cast("string"), F.lit(","), (K % 10).cast("string"), F.lit(" из 5 · "), K.cast("string"), F.lit(" отзывов"))).otherwise("новинка")
-    words = F.when(K % 3 == 0, "Товар плохой").when(K % 3 == 1, "Отличный!").otherwise("обычный")
-    return r.table(spark, d, "part").where(K % 5 >= 1).select("p_partkey", rv.rating_and_count(tile).alias("r"), rv.guessed_rating(words).alias("guessed")).select("p_partkey", "r.*", "guessed")
+    tile = F.when(_k() % 4 != 3, F.concat((_k() % 5).cast("string"), F.lit(","), (_k() % 10).cast("string"), F.lit(" из 5 · "), _k().cast("string"), F.lit(" отзывов"))).otherwise("новинка")
+    words = F.when(_k() % 3 == 0, "Товар плохой").when(_k() % 3 == 1, "Отличный!").otherwise("обычный")
+    return r.table(spark, d, "part").where(_k() % 5 >= 1).select("p_partkey", rv.rating_and_count(tile).alias("r"), rv.guessed_rating(words).alias("guessed")).select("p_partkey", "r.*", "guessed")
 
 
 REVIEWS = "(SELECT d.doc_id, d.source, d.lang, d.text, CASE WHEN l.quality = 1 THEN 5.0::DOUBLE WHEN l.quality = 0 THEN 1.0::DOUBLE END AS stars FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id))"
@@ -127,7 +129,7 @@ def a30(spark, d):
 @query("d53_said_ratings", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 4.5::DOUBLE WHEN 1 THEN (p_partkey % 5 + 1)::DOUBLE WHEN 2 THEN 5.0::DOUBLE WHEN 3 THEN 3.0::DOUBLE END AS stars FROM part")
 def d53(spark, d):
     """Stars that a review's text names."""
-    said = F.when(K % 5 == 0, "Оценка: 4.5").when(K % 5 == 1, "2 / 5 итого").when(K % 5 == 2, "⭐⭐⭐⭐⭐ топ").when(K % 5 == 3, "Rating stars 3").otherwise("без оценки")
+    said = F.when(_k() % 5 == 0, "Оценка: 4.5").when(_k() % 5 == 1, "2 / 5 итого").when(_k() % 5 == 2, "⭐⭐⭐⭐⭐ топ").when(_k() % 5 == 3, "Rating stars 3").otherwise("без оценки")
     return r.table(spark, d, "part").select("p_partkey", rv.said_rating(said).alias("stars"))
 
 
@@ -141,7 +143,7 @@ def d51(spark, d):
 CASE WHEN p_partkey % 4 < 3 THEN ['buy_now', 'wait_discount', 'not_recommended'][(p_partkey % 4 + 1)::INT] ELSE 'wait_discount' END AS verdict, least(5, p_size % 8) AS pros, 0::BIGINT AS cons FROM part""")
 def n41(spark, d):
     """Answers of a model brought within their limits."""
-    four = lambda *v: F.element_at(F.array(*map(F.lit, v)), (K % 4 + 1).cast("int"))
+    four = lambda *v: F.element_at(F.array(*map(F.lit, v)), (_k() % 4 + 1).cast("int"))
     pros = F.slice(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: i.cast("string")), F.lit(1), (F.col("p_size") % 8).cast("int"))
     c = rv.clamped((F.col("p_size") % 9).cast("double"), four("low", "medium", "high", "odd"), four("buy_now", "wait_discount", "not_recommended", "maybe"), pros, F.lit(None).cast("array<string>"))
     return r.table(spark, d, "part").select("p_partkey", c.alias("c")).select("p_partkey", "c.rating", "c.risk", "c.verdict", F.size("c.pros").cast("bigint").alias("pros"), F.size("c.cons").cast("bigint").alias("cons"))
@@ -153,7 +155,7 @@ WHEN sku AND same THEN 'REVIEWS_MATCH' WHEN sku THEN 'SAME_SKU' WHEN same AND sc
 SELECT p_partkey, reason <> 'NEW_ANALYSIS' AS reuse, reason, greatest(score, CASE WHEN sku AND reason = 'REVIEWS_MATCH' THEN 90 WHEN reason = 'SAME_SKU' THEN 85 ELSE 0 END) AS score FROM y""")
 def d49(spark, d):
     """Whether an analysis is used again, and why."""
-    c = ru.decision(K % 101, K % 13 == 0, K % 5 != 0, K % 7 == 0, K % 23 == 0, K % 3 == 0, K % 4 == 1, K % 2 == 0, K % 9 < 4)
+    c = ru.decision(_k() % 101, _k() % 13 == 0, _k() % 5 != 0, _k() % 7 == 0, _k() % 23 == 0, _k() % 3 == 0, _k() % 4 == 1, _k() % 2 == 0, _k() % 9 < 4)
     return r.table(spark, d, "part").select("p_partkey", c.alias("c")).select("p_partkey", "c.*")
 
 
@@ -176,7 +178,7 @@ def n38(spark, d):
     """Whether an analysis of reviews still stands."""
     s = F.col("p_size")
     age = F.when(s < 6, s).otherwise(s * 5)
-    return r.table(spark, d, "part").select("p_partkey", F.coalesce(ru.reviews_reusable(K % 8, age, F.lit("a"), F.when(K % 3 == 0, "a").otherwise("b"), K % 20, s % 22), F.lit(False)).alias("reusable"))
+    return r.table(spark, d, "part").select("p_partkey", F.coalesce(ru.reviews_reusable(_k() % 8, age, F.lit("a"), F.when(_k() % 3 == 0, "a").otherwise("b"), _k() % 20, s % 22), F.lit(False)).alias("reusable"))
 
 
 HASH = r"[regexp_replace(left(x, 48), '\s+', ' ', 'g') for x in {part}]"
@@ -278,7 +280,7 @@ SELECT g.product, g.marketplace, CASE WHEN o.status IS NULL AND g.source = g.mar
 FROM g LEFT JOIN (SELECT * FROM offers WHERE confidence > 60) o USING (product, marketplace)"""))
 def n26(spark, d):
     """The offer of every product on every store: stored, its own, or not found."""
-    p = r.table(spark, d, "part").select(K.alias("product"), r.pick(r.WATCHED, K).alias("source"), F.when(K % 3 != 0, F.col("p_retailprice")).alias("source_price"))
+    p = r.table(spark, d, "part").select(_k().alias("product"), r.pick(r.WATCHED, _k()).alias("source"), F.when(_k() % 3 != 0, F.col("p_retailprice")).alias("source_price"))
     return of.offers_of(p, r.WATCHED, r.offers(spark, d).where("confidence > 60"))
 
 
@@ -312,8 +314,8 @@ def n14(spark, d):
 @query("n15_research_targets", f"""SELECT p_partkey, array_to_string([s for s in {list(r.WATCHED)} if s <> {r._sql_pick(r.WATCHED, 'p_partkey')} AND (p_partkey % 3 = 0 OR s IN ('ozon', 'aliexpress'))], ',') AS targets FROM part""")
 def n15(spark, d):
     """Stores to ask for every product."""
-    asked = F.when(K % 3 != 0, F.array(F.lit(" aliexpress"), F.lit("ozon"), F.lit("other")))
-    return r.table(spark, d, "part").select("p_partkey", F.array_join(of.research_targets(F.array(*map(F.lit, r.WATCHED)), r.pick(r.WATCHED, K), asked), ",").alias("targets"))
+    asked = F.when(_k() % 3 != 0, F.array(F.lit(" aliexpress"), F.lit("ozon"), F.lit("other")))
+    return r.table(spark, d, "part").select("p_partkey", F.array_join(of.research_targets(F.array(*map(F.lit, r.WATCHED)), r.pick(r.WATCHED, _k()), asked), ",").alias("targets"))
 
 
 @query("n16_n17_shortlist", with_views(f"""SELECT category, product, marketplace, place, place <= 10 AS shortlisted FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY list_position({list(r.WATCHED)}, marketplace), product) AS place FROM offers) WHERE place <= 30"""))
@@ -343,7 +345,7 @@ SELECT p_partkey, [{', '.join(f"'{s}'" if s else 'NULL' for s in STORES)}][(p_pa
 p_partkey % 10 <> 9 AS product_page, left(regexp_replace(url, '[?#].*$', ''), 200) AS redacted FROM u""")
 def x33(spark, d):
     """Store, number (x36), page kind (x37), plain form and redaction (x58) of every link, by its host."""
-    url = F.replace(r.pick(STORE_URLS, K), F.lit("%"), (K + 123456789).cast("string"))
+    url = F.replace(r.pick(STORE_URLS, _k()), F.lit("%"), (_k() + 123456789).cast("string"))
     return r.table(spark, d, "part").select("p_partkey", lk.store_of(url).alias("store"), lk.plain_url(url).alias("plain"), lk.article_of(url).alias("article"), lk.product_page(url).alias("product_page"), lk.redacted(url).alias("redacted"))
 
 
@@ -352,7 +354,7 @@ SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 'https://www.wildberries.ru/ca
 p_name || ' смотри' AS hint FROM u""")
 def x34(spark, d):
     """The link in every message: its canonical form (x34, n22) and what the message says besides."""
-    url = F.replace(r.pick(STORE_URLS, K), F.lit("%"), (K + 123456789).cast("string"))
+    url = F.replace(r.pick(STORE_URLS, _k()), F.lit("%"), (_k() + 123456789).cast("string"))
     return r.table(spark, d, "part").select("p_partkey", lk.parsed_link(F.concat_ws(" ", "p_name", url, F.lit("смотри"))).alias("l")).select("p_partkey", "l.url", "l.hint")
 
 
@@ -430,12 +432,12 @@ ELSE CASE WHEN matched >= 3 THEN CASE WHEN stop THEN 'answer' ELSE 'rank' END WH
 def d64(spark, d):
     """The next step of every search by an agent, within its budgets of steps, searches, cost and time."""
     s = F.col("p_size")
-    step = of.agent_step(r.pick(("start", "parsed", "searched", "evaluated", "ranked"), K), s % 8, s % 4, (K % 12) / 10.0, K % 50, K % 4, K % 3 == 0)
+    step = of.agent_step(r.pick(("start", "parsed", "searched", "evaluated", "ranked"), _k()), s % 8, s % 4, (_k() % 12) / 10.0, _k() % 50, _k() % 4, _k() % 3 == 0)
     return r.table(spark, d, "part").select("p_partkey", step.alias("step"))
 
 
 @query("x53_x54_clean_titles", """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name ELSE p_name || ' - Amazon' END AS cleaned, CASE WHEN p_partkey % 4 = 0 THEN true ELSE false END AS promo FROM part""")
 def x53(spark, d):
     """Titles without a store's tail, and which are badges instead of names."""
-    given = F.concat("p_name", r.pick((" | Ozon официальный сайт", " купить в Москве", " - Amazon"), K))
-    return r.table(spark, d, "part").select("p_partkey", t.clean_title(given).alias("cleaned"), t.promo_title(F.when(K % 4 == 0, "Распродажа").otherwise(F.col("p_name"))).alias("promo"))
+    given = F.concat("p_name", r.pick((" | Ozon официальный сайт", " купить в Москве", " - Amazon"), _k()))
+    return r.table(spark, d, "part").select("p_partkey", t.clean_title(given).alias("cleaned"), t.promo_title(F.when(_k() % 4 == 0, "Распродажа").otherwise(F.col("p_name"))).alias("promo"))

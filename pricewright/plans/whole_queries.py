@@ -17,7 +17,9 @@ from ..sources.shared import stored
 from .matching_queries import BY_PRINT
 from .series_queries import NOW
 
-K = F.col("p_partkey")
+
+def _k():
+    return F.col("p_partkey")
 
 
 @query("t16_all_targets", f"""WITH t AS (SELECT p_partkey, store, pos, CASE WHEN p_partkey % (pos + 3) = 0 THEN 'u' END AS url, ['server', 'api', 'tab'][((p_partkey + pos) % 3 + 1)::INT] AS tier FROM part, (SELECT unnest({list(r.WATCHED)}) AS store, unnest(range({len(r.WATCHED)})) AS pos))
@@ -25,8 +27,8 @@ SELECT p_partkey, store, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE
 def t16(spark, d):
     """Order in which stores are asked for every product."""
     rows = r.table(spark, d, "part").select("p_partkey", F.posexplode(F.array(*map(F.lit, r.WATCHED))).alias("at", "store"))
-    tier = F.element_at(F.array(F.lit("server"), F.lit("api"), F.lit("tab")), ((K + F.col("at")) % 3 + 1).cast("int"))
-    order = Window.partitionBy("p_partkey").orderBy(w.target_rank(F.when(K % (F.col("at") + 3) == 0, "u"), tier), "at")
+    tier = F.element_at(F.array(F.lit("server"), F.lit("api"), F.lit("tab")), ((_k() + F.col("at")) % 3 + 1).cast("int"))
+    order = Window.partitionBy("p_partkey").orderBy(w.target_rank(F.when(_k() % (F.col("at") + 3) == 0, "u"), tier), "at")
     return rows.select("p_partkey", "store", F.row_number().over(order).cast("bigint").alias("place"))
 
 
@@ -44,7 +46,7 @@ def d63(spark, d):
 @query("x42_price_picks", "WITH p AS (SELECT p_partkey, [v for v in [p_retailprice, p_retailprice * (1 + p_partkey % 4 / 100.0::DOUBLE), p_size - 25] if v > 0] AS p FROM part) SELECT p_partkey, list_min(p) AS price, CASE WHEN list_max(p) > list_min(p) * 1.02::DOUBLE THEN list_max(p) END AS old_price FROM p")
 def x42(spark, d):
     """Current and old price of the numbers on every card."""
-    prices = F.array(F.col("p_retailprice"), F.col("p_retailprice") * (1 + K % 4 / 100.0), (F.col("p_size") - 25).cast("double"))
+    prices = F.array(F.col("p_retailprice"), F.col("p_retailprice") * (1 + _k() % 4 / 100.0), (F.col("p_size") - 25).cast("double"))
     return r.table(spark, d, "part").select("p_partkey", n.current_and_old(prices).alias("p")).select("p_partkey", "p.price", "p.old_price")
 
 
@@ -86,7 +88,7 @@ e AS (SELECT page, other, 0 AS turn FROM l UNION ALL SELECT a.page, b.page, 1 FR
 SELECT page, other, row_number() OVER (PARTITION BY page ORDER BY turn, other) AS place FROM o QUALIFY place <= 6"""))
 def j20(spark, d):
     """Six related pages of every page: mapped ones, then of its brand, then of its category."""
-    pages = r.table(spark, d, "part").select(K.alias("page"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"))
+    pages = r.table(spark, d, "part").select(_k().alias("page"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"))
     edges = r.cross_market_mapping(spark, d).where("status = 'active'").select(F.col("source_product_id").alias("page"), F.col("target_product_id").alias("other")).distinct()
     return w.related_pages(pages, edges, 6).select("page", "other", "place")
 
@@ -168,7 +170,7 @@ SELECT status, reason, count(*) AS pages, count(category) AS with_category, coun
 def n2(spark, d):
     """Pages by status and reason, with and without category, and mean quality, a missing one counting 0."""
     c = F.col("p_size")
-    p = r.table(spark, d, "part").select(F.when(c > 10, "published").otherwise("rejected").alias("status"), F.when(c <= 10, r.pick(("low_quality", "thin_content", "weak_title"), K)).alias("reason"), F.when(K % 4 != 0, F.col("p_type")).alias("category"), F.when(c % 3 != 0, c).alias("quality"))
+    p = r.table(spark, d, "part").select(F.when(c > 10, "published").otherwise("rejected").alias("status"), F.when(c <= 10, r.pick(("low_quality", "thin_content", "weak_title"), _k())).alias("reason"), F.when(_k() % 4 != 0, F.col("p_type")).alias("category"), F.when(c % 3 != 0, c).alias("quality"))
     many = F.count(F.lit(1))
     return p.groupBy("status", "reason").agg(many.alias("pages"), F.count("category").alias("with_category"), (many - F.count("category")).alias("without_category"), n.round_half_up(F.avg(F.coalesce("quality", F.lit(0))), 1).alias("avg_quality"))
 
@@ -185,8 +187,8 @@ def _pack(version, confidence, roles, hosts):
 CASE WHEN p_partkey % 11 = 0 THEN '1.0.0' ELSE ['0.9.9', '1.0.0', '2.1', '1.x'][(p_partkey % 4 + 1)::INT] END AS merged_version, 2 AS hosts FROM part""")
 def n52(spark, d):
     """Why rule packs are refused, and what each gives laid over the bundled one."""
-    version = F.when(K % 11 != 0, r.pick(("0.9.9", "1.0.0", "2.1", "1.x"), K))
-    pack = _pack(version, F.col("p_size") / 40.0, K % 7 != 0, K % 5 != 0)
+    version = F.when(_k() % 11 != 0, r.pick(("0.9.9", "1.0.0", "2.1", "1.x"), _k()))
+    pack = _pack(version, F.col("p_size") / 40.0, _k() % 7 != 0, _k() % 5 != 0)
     base = _pack(F.lit("1.0.0"), F.lit(0.55), F.lit(True), F.lit(True))
     return r.table(spark, d, "part").select("p_partkey", w.pack_error(pack).alias("error"), w.packs_merged(base, pack).alias("m")).select("p_partkey", "error", F.col("m.version").alias("merged_version"), F.size("m.hosts").alias("hosts"))
 
@@ -223,7 +225,7 @@ CARD_STORES = ("yandex_market", "wildberries", "megamarket", "aliexpress", "mvid
 SELECT p_partkey, CASE WHEN blocked THEN NULL WHEN store = 'wildberries' THEN CASE WHEN price * 100 >= 1000 THEN price ELSE price * 100 END WHEN store IN ('megamarket', 'aliexpress', 'mvideo') AND gone THEN NULL ELSE price END AS price, CASE WHEN NOT blocked THEN p_name END AS title FROM c""")
 def s22(spark, d):
     """Price and title of every product's card, by the rules of its store."""
-    k, price = K, (100 + K % 9000).cast("string")
+    k, price = _k(), (100 + _k() % 9000).cast("string")
     stock = F.when(k % 13 == 0, "OutOfStock").otherwise("InStock")
     ld = F.concat(F.lit('<script type="application/ld+json">{"@type":"Product","name":"'), "p_name", F.lit('","offers":{"price":"'), price, F.lit('","availability":"https://schema.org/'), stock, F.lit('"}}</script>'))
     state = F.concat(F.lit('<script>{"imt_name":"'), "p_name", F.lit('","salePriceU":'), ((100 + k % 9000) * 100).cast("string"), F.lit("}</script>"))

@@ -1,9 +1,11 @@
 """Queries do the whole job: no row or line of their inputs is passed over. Small tables whose results are known."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from pricewright import plans  # noqa: F401  fills the registry
-from pricewright.operators import catalog, matching
+from pricewright.operators import catalog, matching, series
 from pricewright.registry import QUERIES
 
 
@@ -80,3 +82,66 @@ def test_lists_of_every_user(spark, sf_dir):
     assert len(rows) == spark.read.parquet(f"{sf_dir}/orders.parquet").count() and {r["pending"] for r in rows} == {True, False}
     links = QUERIES["t14_unique_links"](spark, sf_dir).collect()
     assert len({(r["user_id"], r["product_url"]) for r in links}) == len(links) and all(r["kept"] == (r["place"] <= 20) for r in links)
+
+
+def by_key(frame, key, order):
+    out = {}
+    for row in sorted(frame.to_dict("records"), key=lambda x: tuple(x[o] for o in order)):
+        out.setdefault(tuple(row[k] for k in key), []).append(row)
+    return out
+
+
+def test_rate_limit_and_failures_against_plain_folds(spark, sf_dir):
+    """The streams' keyed state gives what plain folds over sorted events give."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "user_id", "event_type", "unix_millis(cast(ts as timestamp)) ms").toPandas()
+    want, failing = {}, {}
+    for (user,), rows in by_key(events, ["user_id"], ["ms", "event_id"]).items():
+        passed, count = [], 0
+        for row in rows:
+            passed = [t for t in passed if row["ms"] - t < 3_600_000]
+            want[row["event_id"]] = len(passed) < 3
+            if want[row["event_id"]]:
+                passed.append(row["ms"])
+            count = count + 1 if row["event_type"] == "error" else 0
+        failing[user] = count
+    assert {r["event_id"]: r["allowed"] for r in QUERIES["r5_rate_limit_stream"](spark, sf_dir).collect()} == want
+    assert {r["user_id"]: r["failures"] for r in QUERIES["r8_failure_stream"](spark, sf_dir).collect()} == failing
+
+
+def test_mapping_history_against_a_plain_fold(spark):
+    """Evidence only rises, closed edges open by hand only, disputes and failures count."""
+    draw, events = random.Random(6), []
+    for k in range(400):
+        events.append((draw.randrange(12), k, k, draw.choice(["upsert", "upsert", "dispute", "fail"]), draw.choice(["auto", "multi_user", "manual"]), draw.randrange(101)))
+    rank, want = ["auto", "multi_user", "manual"], {}
+    for edge, _, _, action, evidence, confidence in events:
+        s = want.get(edge)
+        if action == "upsert":
+            if s and s[3] in ("disputed", "dead") and evidence != "manual":
+                continue
+            hits, known, status, failures = (s[0], s[2], s[3], s[4]) if s else (0, None, None, 0)
+            known = evidence if known is None else max(known, evidence, key=rank.index)
+            open_ = status not in ("disputed", "dead")
+            want[edge] = (hits + 1, confidence, known, ("unverified" if evidence == "manual" and confidence < 70 else "active") if open_ else status, failures)
+        elif s and action == "dispute":
+            want[edge] = (max(0, s[0] - 2), max(0, s[1] - 35), s[2], "disputed", s[4])
+        elif s:
+            want[edge] = (*s[:3], "dead" if s[4] + 1 >= 3 else "active", s[4] + 1)
+    got = catalog.mapping_state(spark.createDataFrame(events, "edge bigint, at bigint, id bigint, action string, evidence string, confidence bigint")).collect()
+    assert {r["edge"]: (r["hits"], r["confidence"], r["evidence"], r["status"], r["failures"]) for r in got} == want
+
+
+def test_target_cooldown_and_card_opens_against_plain_folds(spark):
+    draw = random.Random(3)
+    rows = [(draw.randrange(5), draw.randrange(200) * 3_600, float(draw.randrange(50))) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "key bigint, s bigint, price double").selectExpr("key", "timestamp_seconds(s)::timestamp_ntz AS at", "price", "s")
+    for rest, deeper in ((24, None), (8, 0.98)):
+        want = []
+        for key in range(5):
+            last = None
+            for _, s, price in sorted(r for r in rows if r[0] == key):
+                if last is None or s - last[0] >= rest * 3600 or (deeper and price < last[1] * deeper):
+                    want.append((key, s, price))
+                    last = s, price
+        got = series.cooled_alerts(frame, ["key"], "at", "price", rest * series.HOUR, deeper)
+        assert sorted((r["key"], r["s"], r["price"]) for r in got.collect()) == sorted(want)
