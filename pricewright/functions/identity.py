@@ -137,3 +137,9 @@ def host_only(query: Column, e: Column) -> Column:
     console = (e["family"] == "console") & has(q, r"\b(?:playstation|ps\s*[45]|xbox|nintendo\s+switch)\b")
     phone = (e["family"] == "phone") & has(q, r"\b(?:iphone|galaxy|смартфон)\b") & ~has(F.coalesce(e["noun"], e["entity"]), "чехол|case") & (e["role"] == "accessory") & ~has(q, "чехол|case|плёнк|пленк|стекл")
     return e["role"].isin(*DEPENDENT) & (F.length(q) >= 3) & ~names & F.coalesce(like_host | F.coalesce(console, F.lit(False)) | F.coalesce(phone, F.lit(False)), F.lit(False))
+
+
+def page_group(title: Column, brand: Column, category: Column) -> Column:
+    """Group of pages of one product: brand (the first word unless given), the four words after it, memory, category."""
+    words = F.filter(F.split(spaced(title), " "), lambda w: w != "")
+    return canonical_id(F.coalesce(brand, F.try_element_at(words, F.lit(1))), F.array_join(F.slice(words, 2, 4), " "), F.nullif(memory_of(title), F.lit("")), category)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import identity as ident
 from ..functions import numbers as n
+from ..functions import text
 from ..operators import matching as m
 from ..operators import series as s
 from ..operators import whole as w
@@ -233,3 +235,52 @@ def s22(spark, d):
     store = r.pick(CARD_STORES, k)
     html = F.when(k % 17 == 0, "<html>captcha: Доступ ограничен</html>").otherwise(F.concat(F.lit("<html>"), F.when(store == "wildberries", state).when(store == "ozon", meta).otherwise(ld), F.lit("</html>")))
     return extract.store_cards(r.table(spark, d, "part").select("p_partkey", store.alias("store"), html.alias("html"))).select("p_partkey", F.col("price").cast("bigint").alias("price"), "title")
+
+
+@query("n54_image_scores", """WITH i AS (SELECT p_partkey, ['https://a.lmcdn.ru/product/' , 'https://x/product-medias/', 'https://x/width=150/', 'https://x/nw_banner/', 'https://cdn.citilink.ru/product-images/width:55/'][(p_partkey % 5 + 1)::INT] || p_partkey AS url FROM part)
+SELECT p_partkey, [80, 50, -15, -80, 65][(p_partkey % 5 + 1)::INT] AS points FROM i""")
+def n54(spark, d):
+    """How likely an image link is the product's own picture."""
+    url = F.concat(r.pick(("https://a.lmcdn.ru/product/", "https://x/product-medias/", "https://x/width=150/", "https://x/nw_banner/", "https://cdn.citilink.ru/product-images/width:55/"), _k()), _k().cast("string"))
+    return r.table(spark, d, "part").select("p_partkey", text.image_score(url).alias("points"))
+
+
+@query("x27_page_groups", r"""WITH g AS (SELECT p_partkey, string_split(trim(regexp_replace(p_brand || ' ' || p_name || ' ' || p_size || ' ГБ', '\s+', ' ', 'g')), ' ') AS w, p_size, p_type FROM part),
+n AS (SELECT *, regexp_replace(lower(w[1]), '[\s().,]+', '', 'g') AS brand, regexp_replace(lower(array_to_string(w[2:5], ' ')), '[\s().,]+', '', 'g') AS model FROM g)
+SELECT p_partkey, CASE WHEN brand <> '' AND model <> '' THEN left('canon:' || brand || '|' || model || '|' || p_size || 'gb|' || p_type, 160) END AS page_group FROM n""")
+def x27(spark, d):
+    """The group that a page's title puts it in: first word, next four, memory, category."""
+    title = F.concat_ws(" ", "p_brand", "p_name", F.col("p_size").cast("string"), F.lit("ГБ"))
+    return r.table(spark, d, "part").select("p_partkey", ident.page_group(title, F.lit(None).cast("string"), F.col("p_type")).alias("page_group"))
+
+
+@query("n48_feedback_payloads", r"""SELECT doc_id AS page_id, unnest(range(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END))::INT AS place, trim(text, ' ') AS text, (doc_id % 5 + 1)::DOUBLE AS rating FROM documents WHERE trim(text, ' ') <> '' AND doc_id % 7 <> 0""")
+def n48(spark, d):
+    """Feedbacks in a payload for every document: at one of two places, some payloads broken."""
+    i = F.col("doc_id")
+    one = F.struct("text", (i % 5 + 1).alias("productValuation"))
+    many = F.when(i % 3 == 0, F.array(one, one)).otherwise(F.array(one))
+    payload = F.when(i % 7 == 0, '{"feedbacks": [').when(i % 2 == 0, F.to_json(F.struct(many.alias("feedbacks")))).otherwise(F.to_json(F.struct(F.struct(many.alias("feedbacks")).alias("feedbacksData"))))
+    return extract.feedbacks(r.table(spark, d, "documents").where("text IS NOT NULL").select(i.alias("page_id"), payload.alias("payload")))
+
+
+@query("n40_analysis_checks", """SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'not_json' WHEN p_size % 12 < 1 OR p_size % 12 > 10 THEN 'qualityScore' WHEN p_partkey % 4 = 3 THEN 'fakeRisk' WHEN p_partkey % 5 = 4 THEN 'verdict' WHEN p_partkey % 7 = 0 THEN 'qualitySummary' WHEN p_partkey % 11 = 0 THEN 'verdictExplanation' END AS error FROM part""")
+def n40(spark, d):
+    """The first field of every analysis that isn't as it must be."""
+    k = _k()
+    fields = F.struct(
+        (F.col("p_size") % 12).alias("qualityScore"), r.pick(("low", "medium", "high", "odd"), k).alias("fakeRisk"), r.pick(("buy_now", "wait_discount", "not_recommended", "buy_now", "sell"), k).alias("verdict"),
+        F.when(k % 7 == 0, " ").otherwise(F.col("p_name")).alias("qualitySummary"), F.when(k % 11 != 0, F.col("p_name")).alias("verdictExplanation"),
+    )
+    return r.table(spark, d, "part").select("p_partkey", extract.analysis_error(F.when(k % 13 == 0, "no json").otherwise(F.to_json(fields))).alias("error"))
+
+
+@query("s18_s20_s28_search_pages", f"""WITH g AS (SELECT p_partkey AS page_id, unnest(range(10))::INT AS i, p_name FROM part) SELECT page_id, i AS place, (123456780 + page_id * 10 + i)::VARCHAR AS id, p_name || ' ' || i AS title FROM g WHERE i < 8""")
+def s18(spark, d):
+    """Candidates on a search page of four stores for every product: ten links, each twice, of which eight count."""
+    k = _k()
+    number, store = lambda i: (123456780 + k * 10 + i).cast("string"), r.pick(tuple(extract.LINKED), k)
+    path = lambda i: F.when(store == "wildberries", F.concat(F.lit("/catalog/"), number(i), F.lit("/detail.aspx"))).when(store == "aliexpress", F.concat(F.lit("https://aliexpress.ru/item/"), number(i), F.lit(".html"))).when(store == "mvideo", F.concat(F.lit("/products/name-"), number(i))).otherwise(F.concat(F.lit("/catalog/details/name-"), number(i), F.lit("/")))
+    link = lambda i: F.concat(F.lit('<a class="c" href="'), path(i), F.lit('" data-x>'), "p_name", F.lit(f" {i} "), F.lit("</a>"))
+    html = F.concat(F.lit("<html>"), *[link(i) for i in range(10)], *[link(i) for i in range(10)], F.lit("</html>"))
+    return extract.search_results(r.table(spark, d, "part").select(k.alias("page_id"), store.alias("store"), html.alias("html")))

@@ -108,3 +108,36 @@ def store_cards(pages: DataFrame) -> DataFrame:
     price = F.when(store.isin(*STRUCTURED), F.coalesce(from_structure, from_meta)).when(store.isin(*HUNDREDTHS), F.coalesce(hundred, from_meta)).otherwise(F.coalesce(from_meta, from_structure))
     name = F.coalesce(got(r'(?is)<meta[^>]*property="og:title"[^>]*content="([^"]+)"'), F.nullif(F.regexp_extract(offer, r'"name"\s*:\s*"([^"]+)"', 1), F.lit("")), got(r'"imt_name"\s*:\s*"([^"]+)"'), plain(got(r"(?is)<h1[^>]*>(.*?)</h1>")), plain(got(r"(?is)<title[^>]*>(.*?)</title>")))
     return pages.withColumn("price", F.when(open_ & (price > 0), F.floor(price + 0.5))).withColumn("title", F.when(open_, name))
+
+
+FEEDBACKS = "struct<feedbacks:array<struct<text:string,productValuation:double>>,feedbacksData:struct<feedbacks:array<struct<text:string,productValuation:double>>>>"
+ANALYSIS = "struct<qualityScore:double,fakeRisk:string,verdict:string,qualitySummary:string,verdictExplanation:string,pros:array<string>,cons:array<string>>"
+
+
+def feedbacks(payloads: DataFrame, most: int = 30) -> DataFrame:
+    """page_id, place, text and rating of the feedbacks in a payload (JSON), at either of two places, blank texts left out, the first `most`. Bad JSON gives none."""
+    read = F.from_json("payload", FEEDBACKS)
+    found = F.filter(F.coalesce(read["feedbacks"], read["feedbacksData"]["feedbacks"]), lambda f: F.trim(F.coalesce(f["text"], F.lit(""))) != "")
+    return payloads.select("page_id", F.posexplode(F.slice(found, 1, most)).alias("place", "f")).select("page_id", "place", F.trim("f.text").alias("text"), F.col("f.productValuation").alias("rating"))
+
+
+def analysis_error(payload: Column) -> Column:
+    """The first field of an analysis (JSON) that isn't as it must be, or null."""
+    a = F.from_json(payload, ANALYSIS)
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return (
+        F.when(a.isNull() | F.coalesce(F.trim(payload), F.lit("")).rlike(r"^[^{]") | blank(payload), "not_json").when(~F.coalesce(a["qualityScore"].between(1, 10), F.lit(False)), "qualityScore")
+        .when(~F.coalesce(a["fakeRisk"].isin("low", "medium", "high"), F.lit(False)), "fakeRisk").when(~F.coalesce(a["verdict"].isin("buy_now", "wait_discount", "not_recommended"), F.lit(False)), "verdict")
+        .when(blank(a["qualitySummary"]), "qualitySummary").when(blank(a["verdictExplanation"]), "verdictExplanation")
+    )
+
+
+LINKED = {"wildberries": r'href="(?:https?://[^"/]*)?/catalog/(\d{5,})/[^"]*"[^>]*>\s*([^<]*)', "aliexpress": r'href="[^"]*/item/(\d{8,})[^"]*"[^>]*>\s*([^<]*)', "mvideo": r'href="[^"]*/products/[^"]*?(\d{6,})"[^>]*>\s*([^<]*)', "megamarket": r'href="[^"]*/catalog/details/[^"]*?(\d{6,})[^"]*"[^>]*>\s*([^<]*)'}
+
+
+def search_results(pages: DataFrame, most: int = 8) -> DataFrame:
+    """page_id, place, id and title of the candidates on search pages (page_id, store, html): links of the store's form, each id once, the first `most`."""
+    numbers, titles = (F.coalesce(*[F.when(F.col("store") == s, F.regexp_extract_all("html", F.lit("(?is)" + p), F.lit(g))) for s, p in LINKED.items()]) for g in (1, 2))
+    pairs = F.zip_with(numbers, titles, lambda i, x: F.struct(i.alias("id"), F.trim(x).alias("title")))
+    first = F.filter(pairs, lambda p, k: F.array_position(F.transform(pairs, lambda q: q["id"]), p["id"]) == k + 1)
+    return pages.select("page_id", F.posexplode(F.slice(first, 1, most)).alias("place", "c")).select("page_id", "place", "c.id", "c.title")
