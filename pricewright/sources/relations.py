@@ -232,7 +232,7 @@ def listings(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     return p.select(
         k.alias("product"), F.concat_ws(" ", pick(LEADS, k), pick(MEMORIES, F.expr("p_partkey div 3")), pick(VARIANTS, F.expr("p_partkey div 7")), F.col("p_name")).alias("title"),
-        F.when(k % 6 == 0, F.lit("Артикул: AB1234, 3.5 mm")).alias("specs"), F.col("p_retailprice").alias("price"), (k % 5).alias("store"),
+        F.when(k % 6 == 0, F.lit("Артикул: AB1234, 3.5 mm")).alias("specs"), F.col("p_retailprice").alias("price"), F.pmod(F.expr(f"p_partkey div {len(LEADS)}"), F.lit(5)).alias("store"),
     )
 
 
@@ -247,5 +247,5 @@ def found_listings(spark: SparkSession, d: str) -> DataFrame:
 
 SQL |= {
     "listings": f"""SELECT p_partkey AS product, concat_ws(' ', {_sql_pick(LEADS, 'p_partkey')}, {_sql_pick(MEMORIES, 'p_partkey // 3')}, {_sql_pick(VARIANTS, 'p_partkey // 7')}, p_name) AS title,
-      CASE WHEN p_partkey % 6 = 0 THEN 'Артикул: AB1234, 3.5 mm' END AS specs, p_retailprice AS price, p_partkey % 5 AS store FROM part""",
+      CASE WHEN p_partkey % 6 = 0 THEN 'Артикул: AB1234, 3.5 mm' END AS specs, p_retailprice AS price, p_partkey // {len(LEADS)} % 5 AS store FROM part""",
 }
