@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, near_dup, quality, substrings, token_count, token_file, topk, toxicity, vector_codes, warc, whitening
+from . import decontam, language, mixing, near_dup, quality, substrings, token_count, token_file, topk, toxicity, vector_codes, warc, whitening
 from .common import shared_path, table
 
 
@@ -74,11 +74,17 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.transform(vectors, whitening.fit(vectors))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by models of the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs.where(~language.held_out(F.col("doc_id")))))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The product code of every vector after two rounds."""
     return vector_codes.encode(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_warc, op3_near_dup, op4_topk, op5_toxicity, op6_mixing, op7_token_count, op8_decontam, op9_token_file, op10_substrings, op11_whitening, op13_vector_codes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_warc, op3_near_dup, op4_topk, op5_toxicity, op6_mixing, op7_token_count, op8_decontam, op9_token_file, op10_substrings, op11_whitening, op12_language, op13_vector_codes)}
 
 ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op3_near_dup": near_dup.ORACLE_SQL, "op4_topk": topk.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op8_decontam": decontam.ORACLE_SQL, "op13_vector_codes": vector_codes.ORACLE_SQL}
