@@ -8,7 +8,7 @@ round all are new. Integer sums make the result the same as summing anew, in any
 
 Defined results: rows whose vector is null or holds null or non-finite entries are left out; vectors of other lengths, and lengths that the parts don't divide, count as
 padded with zeros; the codebook starts with the smallest vec_ids (nulls last), of repeated ids with the smaller vectors first, and has fewer
-entries where there are fewer rows; repeated rows are coded each; ties go to the lower index; unused entries stay; whole numbers beyond 2^52 count as that,
+entries where there are fewer rows; repeated rows are coded each; ties go to the lower index; unused entries stay; whole numbers beyond 2^62 count as that,
 errors beyond 64 bits as the largest; an empty table gives no rows; other columns are ignored.
 """
 

@@ -10,7 +10,7 @@ them to double precision, up to DENSE dimensions; beyond that it iterates to its
 Defined results: rows whose vector is null or holds null or non-finite entries are left out of the fit and the result; vectors of
 other lengths count as padded with zeros; rows without vec_id are whitened like others, repeated rows each; components of no variance
 (e below 1e-12 of the total) are left out, so equal vectors alone give no rows, nor does an empty table; of equal eigenvalues any basis is
-right; whole numbers beyond 2^52 count as that, and deviations beyond 64 bits as the largest; other columns are ignored.
+right; whole numbers beyond 2^62 count as that, and deviations beyond 64 bits as the largest; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ SCALE, COMPONENTS = 256, 4
 DENSE = 2048
 #: Share of the total variance below which a component has none.
 NONE = 1e-12
-#: Largest whole number of an entry: doubles hold all up to it.
-LARGEST = 1 << 52
+#: Largest whole number of an entry; sums and squares of such are exact all the same.
+LARGEST = 1 << 62
 LONGEST = np.iinfo(np.int64).max
 
 
