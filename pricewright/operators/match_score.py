@@ -115,12 +115,17 @@ def lines_compatible(a: Column, b: Column) -> Column:
     )
 
 
+def tier(k: Column, *names: tuple[str, str], other: str = "base") -> Column:
+    return F.coalesce(*[F.when(k.contains(w), F.lit(v)) for w, v in names], F.lit(other))
+
+
+#: Tiers of the lines whose models are told apart by them.
+PHONE_TIERS, TABLET_TIERS, LAPTOP_TIERS = (("promax", "promax"), ("pro", "pro"), ("plus", "plus"), ("mini", "mini")), (("pro", "pro"), ("air", "air"), ("mini", "mini")), (("pro", "pro"), ("air", "air"))
+
+
 def models_compatible(a: Column, b: Column) -> Column:
     """Whether two model names may be one product: lines with tiers by tier, others if one contains most of the other."""
 
-    def tier(k: Column, *names: tuple[str, str], other: str = "base") -> Column:
-        return F.coalesce(*[F.when(k.contains(w), F.lit(v)) for w, v in names], F.lit(other))
-
     def judged(p: Column) -> Column:
         x, y = p["x"], p["y"]
         both = lambda word: x.contains(word) & y.contains(word)
@@ -129,13 +134,13 @@ def models_compatible(a: Column, b: Column) -> Column:
             *[F.when(k.contains(w), F.lit(w)) for w in ("max", "pro", "anc")], F.nullif(F.regexp_extract(k, r"airpods(\d)", 1), F.lit("")), F.when(k.isin("airpods", "appleairpods"), "generic").otherwise("other")
         )
         gen = lambda k, p: F.nullif(F.regexp_extract(k, p, 1), F.lit(""))
-        phones = F.coalesce(gen(x, r"iphone(\d{1,2})") == gen(y, r"iphone(\d{1,2})"), F.lit(True)) & same(("promax", "promax"), ("pro", "pro"), ("plus", "plus"), ("mini", "mini"))
+        phones = F.coalesce(gen(x, r"iphone(\d{1,2})") == gen(y, r"iphone(\d{1,2})"), F.lit(True)) & same(*PHONE_TIERS)
         cards = same(("canvasgo", "go"), ("canvasselect", "select"), ("canvasreact", "react"), ("canvasendurance", "endurance"), other="other")
         whole = lambda k: k.rlike(r"(?<![a-z0-9_])canvas(?![a-z0-9_])")
         sony = r"wh1000xm(\d)"
         return (
-            F.when((x == "") | (y == "") | (x == y), True).when(both("airpods"), pods(x) == pods(y)).when(both("macbook"), same(("pro", "pro"), ("air", "air"))).when(whole(x) & whole(y), cards)
-            .when(both("ipad"), same(("pro", "pro"), ("air", "air"), ("mini", "mini"))).when(both("iphone"), phones)
+            F.when((x == "") | (y == "") | (x == y), True).when(both("airpods"), pods(x) == pods(y)).when(both("macbook"), same(*LAPTOP_TIERS)).when(whole(x) & whole(y), cards)
+            .when(both("ipad"), same(*TABLET_TIERS)).when(both("iphone"), phones)
             .when(gen(x, sony).isNotNull() & gen(y, sony).isNotNull(), gen(x, sony) == gen(y, sony)).otherwise(contained(x, y) >= 0.85)
         )
 
@@ -331,11 +336,71 @@ def ranked(pairs: DataFrame, least: float, ratio: Column | float, top: int) -> D
     return rows.withColumn("place", place.cast("bigint")).where(F.col("place") <= top)
 
 
-def blocked(references: DataFrame, offers: DataFrame) -> DataFrame:
-    """Pairs of references (reference, a, price_a) and offers (candidate, b, price_b) of one category, maker, model and memory: an equi-join, for the gates let
-    no other pair of specific products pass. position orders ties."""
-    def keyed(df: DataFrame, f: str) -> DataFrame:
-        x = F.col(f)
-        return df.withColumn("block", F.xxhash64(x["category"], F.coalesce(family_of(x["brand"]), F.lit("")), compact(x["e"]["model"]["model"]), F.coalesce(x["storage"], F.lit(""))))
+#: Rows of a side that meet in one task, of each key.
+TILE = 512
+
 
-    return keyed(references, "a").join(keyed(offers, "b"), "block").where("reference <> candidate").withColumn("position", F.col("candidate"))
+def model_keys(model: Column) -> Column:
+    """Texts of which two models that models_compatible() accepts share one: the tier of their line, and every part that is at least 0.85 of a name."""
+    k = compact(model)
+    size = F.length(k)
+    shortest = F.ceil(size * 0.85 - 1e-9).cast("int")
+    parts = F.flatten(F.transform(F.sequence(shortest, size), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: k.substr(i, n))))
+    lines = F.array(
+        F.when(k.contains("airpods"), "line:airpods"), F.when(k.contains("macbook"), F.concat(F.lit("line:macbook:"), tier(k, *LAPTOP_TIERS))), F.when(k.contains("canvas"), "line:canvas"),
+        F.when(k.contains("ipad"), F.concat(F.lit("line:ipad:"), tier(k, *TABLET_TIERS))), F.when(k.contains("iphone"), F.concat(F.lit("line:iphone:"), tier(k, *PHONE_TIERS))), F.when(k.rlike(r"wh1000xm\d"), "line:wh1000xm"),
+    )
+    return F.when(k == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.filter(lines, lambda x: x.isNotNull()), parts)))
+
+
+def block_keys(f: Column, price: Column, steps: tuple[int, ...]) -> Column:
+    """Hashes of which two titles share one if no gate on category, maker and model parts them and their prices are compatible. Each says which of maker, model and price
+    either side knows, and holds those that both know; prices lie in steps of their category's ratio: one side names its step, the other the steps around its own."""
+    category, model = f["category"], compact(f["e"]["model"]["model"])
+    priced, named, branded = F.coalesce(price, F.lit(0.0)) > 0, (model != "") & ~category.isin(*SOFT_MODEL), f["brand"].isNotNull()
+    step = F.floor(F.ln(F.when(priced, price)) / (F.ln(n.price_ratio_for(category)) * 1.0001))
+    buds = F.when(f["line"]["lineage"].startswith("buds:"), F.concat_ws(":", F.lit("line:buds"), f["line"]["gen"]))
+    models = F.array_distinct(F.concat(model_keys(f["e"]["model"]["model"]), F.filter(F.array(buds), lambda x: x.isNotNull())))
+    hashed = lambda head, texts, around: F.flatten(F.transform(texts, lambda m: F.transform(around, lambda s: F.xxhash64(head, m, s))))
+    out = []
+    for mode in range(8):  # what the other side knows
+        other = [F.lit(bool(mode >> i & 1)) for i in range(3)]
+        both = [mine & theirs for mine, theirs in zip((branded, named, priced), other, strict=True)]
+        # each pair of bits is written in an order that both sides agree on: reference first
+        sides = [F.concat(*[F.when(x, "1").otherwise("0") for x in pair]) for pair in (zip((branded, named, priced), other, strict=True) if len(steps) > 1 else zip(other, (branded, named, priced), strict=True))]
+        head = F.concat_ws("|", category, *sides, F.when(both[0], family_of(f["brand"])).otherwise(""))
+        around = F.when(both[2], F.array(*[step + s for s in steps])).otherwise(F.array(F.lit(0).cast("bigint")))
+        texts = F.when(both[1], models).otherwise(F.array(F.lit("")))
+        out.append(hashed(head, texts, around))
+    return F.array_distinct(F.flatten(F.array(*out)))
+
+
+def blocked(references: DataFrame, offers: DataFrame, size: int = TILE) -> DataFrame:
+    """Pairs of references (reference, a, price_a) and offers (candidate, b, price_b) that no gate on category, maker and model parts and whose prices are compatible; no other
+    pair scores more than CAP_GENERIC. Of keys on both sides each row goes to tiles of about `size` rows of either side, so no key's rows meet in one task; a pair
+    that shares several keys meets at the smallest. position orders ties."""
+    sides = []
+    for rows, name, f, price, steps in ((references, "reference", "a", "price_a", (-1, 0, 1)), (offers, "candidate", "b", "price_b", (0,))):
+        kept = stored(rows.select(name, f, price, block_keys(F.col(f), F.col(price), steps).alias(f"keys_{f}")), "blocks")
+        sides.append((kept, name, f, kept.select(name, F.explode(f"keys_{f}").alias("key"))))
+    counts = [light.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).alias(f"tiles_{f}")) for _, _, f, light in sides]
+    shared = stored(counts[0].join(counts[1], "key"), "block-sizes")
+    dealt = []
+    for (kept, name, f, light), other in zip(sides, ("b", "a"), strict=True):
+        own = F.pmod(F.xxhash64(name, F.lit(7)), F.col(f"tiles_{f}")).alias(f"tile_{f}")
+        tiles = light.join(shared, "key").select(name, "key", own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"tiles_{other}") - 1)).alias(f"tile_{other}"))
+        dealt.append(tiles.join(kept, name))
+    at_first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+    pairs = dealt[0].join(dealt[1], ["key", "tile_a", "tile_b"]).where((F.col("reference") != F.col("candidate")) & at_first)
+    near = n.prices_compatible(F.col("price_a"), F.col("price_b"), n.price_ratio_for(F.col("a.category")))
+    return pairs.where(near).select("reference", "candidate", "a", "b", "price_a", "price_b", F.col("candidate").alias("position"))
+
+
+def entities(references: DataFrame, offers: DataFrame, least: float = LEAST / 100, top: int = 3) -> DataFrame:
+    """reference, candidate, score and place of the `top` best offers of each reference, of all that score `least` at least (above CAP_GENERIC); ties go to the smaller candidate."""
+    if least <= CAP_GENERIC:
+        raise ValueError("pairs of one generic title are not looked for, and score up to CAP_GENERIC")
+    # explode computes the score once, for the filter and the window
+    scores = blocked(references, offers).select("reference", "candidate", "position", F.explode(F.array(scored_of("a", "b")["score"])).alias("score")).where(F.col("score") >= least)
+    place = F.row_number().over(Window.partitionBy("reference").orderBy(F.desc("score"), "position"))
+    return scores.withColumn("place", place.cast("bigint")).where(F.col("place") <= top).select("reference", "candidate", "score", "place")

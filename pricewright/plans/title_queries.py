@@ -168,11 +168,11 @@ def d26(spark, d):
 
 @query("j17_entities")
 def j17(spark, d):
-    """Products of one store matched to those of another: joined by category, maker, model and memory, scored, the three best kept."""
+    """Products of one store matched to those of another: every pair that the gates on category, maker, model and price let through is scored, the three best from 0.55 kept."""
     known = _featured(spark, d)
     a = known.where("store = 0").select(F.col("product").alias("reference"), F.col("price").alias("price_a"), F.col("f").alias("a"))
     b = known.where("store = 1").select(F.col("product").alias("candidate"), F.col("price").alias("price_b"), F.col("f").alias("b"))
-    return ms.ranked(ms.blocked(a, b), 0.55, n.price_ratio_for(F.col("a.category")), 3).select("reference", "candidate", "score", "place")
+    return ms.entities(a, b)
 
 
 SQL_TOKENS = "[w for w in string_split(lower({x}), ' ') if len(w) > 2]"

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,21 @@ def _delete_left() -> None:
             return
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once a session: what their Python calls by name must be importable there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pricewright_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    zipped = os.path.join(tempfile.mkdtemp(prefix="pricewright-"), "pricewright_package.zip")
+    with zipfile.ZipFile(zipped, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in (n for n in sorted(names) if n.endswith(".py")):
+                z.write(os.path.join(folder, name), os.path.join("pricewright", os.path.relpath(os.path.join(folder, name), root)))
+    sc.addPyFile(zipped)
+    sc._pricewright_shipped = True
+
+
 def shared_folder(spark: SparkSession, tag: str) -> str:
     """A new folder under spark.checkpoint.dir; a local one only where that is unset in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
