@@ -14,12 +14,12 @@ def tokens(x: Column) -> Column:
 
 
 def weighted_vector(*fields: tuple[Column, str]) -> Column:
-    """Map of each token to the greatest weight of a field that has it."""
-    weighted = lambda x, weight: F.transform(tokens(x), lambda w: F.struct(w.alias("token"), F.lit(weight).alias("weight")))
-    entries = F.concat(*[weighted(x, WEIGHTS[k]) for x, k in fields])
-    best = F.array_sort(F.array_distinct(entries), lambda a, b: F.when(a["weight"] > b["weight"], -1).when(a["weight"] < b["weight"], 1).otherwise(0))
-    names = F.array_distinct(F.transform(best, lambda e: e["token"]))
-    return F.map_from_arrays(names, F.transform(names, lambda t: F.array_max(F.transform(F.filter(best, lambda e: e["token"] == t), lambda e: e["weight"]))))
+    """Map of each token to the greatest weight of a field that has it: fields in falling weight, each adding the tokens that none before it has."""
+    out = F.create_map().cast("map<string,double>")
+    for x, k in sorted(fields, key=lambda f: -WEIGHTS[f[1]]):
+        new = F.array_except(tokens(x), F.map_keys(out))  # a hash set, not a search for each token
+        out = F.map_concat(out, F.map_from_arrays(new, F.transform(new, lambda _: F.lit(WEIGHTS[k]))))  # noqa: B023  built at once
+    return out
 
 
 def rank(vector: Column, query: Column) -> Column:

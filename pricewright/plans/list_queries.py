@@ -1,12 +1,14 @@
-"""Queries over users' lists: pairing of tracked and compared rows, merging of records."""
+"""Queries over users' lists (pairing of tracked and compared rows, merging of records) and over an index of pages."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import titles as ti
-from ..operators import lists
+from ..operators import lists, text_index
 from ..registry import query
 from ..sources import relations as r
 
@@ -45,3 +47,26 @@ def m16(spark, d):
         F.lit(None).cast("map<string,string>").alias("articles"), "title", "maker", "category",
     )
     return lists.merged_lists(rows)
+
+
+#: Forms of the queries that are asked of the index: all words, a phrase, alternatives with an exclusion, a phrase or a word without another, exclusions alone.
+FORMS = ("{a} {b}", '"{a} {b}"', "{a} or {c} -{b}", '-{c} "{b} {c}" OR {a}', "-{a} -{c}", '{b} OR -"{a} {b}"')
+
+
+@query("x59_x60_indexed_search", r"""WITH p AS (SELECT p_partkey AS id, [w for w in string_split_regex(lower(p_name), '[^\p{L}\p{N}]+') if w <> ''] AS n, [w for w in string_split_regex(lower(p_brand), '[^\p{L}\p{N}]+') if w <> ''] AS b, [w for w in string_split_regex(lower(p_type), '[^\p{L}\p{N}]+') if w <> ''] AS t FROM part),
+x AS (SELECT *, ' ' || array_to_string(n, ' ') || ' | ' || array_to_string(b, ' ') || ' | ' || array_to_string(t, ' ') || ' ' AS w FROM p),
+names AS (SELECT DISTINCT p_name AS q FROM part), k AS (SELECT q, length(q) % 6 AS f, split_part(q, ' ', 1) AS a, split_part(q, ' ', 2) AS b2, CASE WHEN length(q) % 2 = 0 THEN 'steel' ELSE 'red' END AS c FROM names),
+h AS (SELECT q, f, id, n, b, t, a AS wa, b2 AS wb, c AS wc, contains(w, ' ' || a || ' ') AS ha, contains(w, ' ' || b2 || ' ') AS hb, contains(w, ' ' || c || ' ') AS hc, contains(w, ' ' || a || ' ' || b2 || ' ') AS hab, contains(w, ' ' || b2 || ' ' || c || ' ') AS hbc FROM k, x),
+r AS (SELECT *, CASE f WHEN 0 THEN [wa, wb] WHEN 1 THEN [wa, wb] WHEN 2 THEN [wa, wc] WHEN 3 THEN [wb, wc, wa] WHEN 4 THEN []::VARCHAR[] ELSE [wb] END AS asked FROM h
+WHERE CASE f WHEN 0 THEN ha AND hb WHEN 1 THEN hab WHEN 2 THEN (ha OR hc) AND NOT hb WHEN 3 THEN NOT hc AND (hbc OR ha) WHEN 4 THEN NOT ha AND NOT hc ELSE hb OR NOT hab END)
+SELECT q AS query, id, CASE WHEN len(asked) = 0 THEN 0.0::DOUBLE ELSE list_sum([CASE WHEN list_contains(n, z) OR list_contains(b, z) THEN 1.0::DOUBLE WHEN list_contains(t, z) THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END for z in list_distinct(asked)]) / len(list_distinct(asked)) END AS rank FROM r""")
+def x60(spark, d):
+    """The pages that answer a query made of each different product name, by an inverted index of names, brands and types."""
+    part = r.table(spark, d, "part")
+    index = text_index.build(part, "p_partkey", [("p_name", "A"), ("p_brand", "A"), ("p_type", "B")])
+    q = F.col("p_name")
+    a, b, c = F.split_part(q, F.lit(" "), F.lit(1)), F.split_part(q, F.lit(" "), F.lit(2)), F.when(F.length(q) % 2 == 0, "steel").otherwise("red")
+    text = lambda form: F.concat(*[{"{a}": a, "{b}": b, "{c}": c}.get(x, F.lit(x)) for x in re.split(r"({\w})", form) if x])
+    form = F.length(q) % len(FORMS)
+    queries = part.select("p_name").distinct().select(q.alias("query"), F.coalesce(*[F.when(form == k, text(f)) for k, f in enumerate(FORMS)]).alias("text"))
+    return text_index.search(index, queries, part.select(F.col("p_partkey").alias("id")))

@@ -1,17 +1,19 @@
 """Reviews, prices and products from raw pages.
 
-Patterns run as expressions in the JVM. Only the walk through JSON of unknown depth is a Python function, in Arrow batches; it is bounded in depth
-and in results a page, as its contract says.
+Patterns run as expressions in the JVM; JSON of unknown depth is walked as VARIANT (trees.py), bounded in depth and in results a page, as the contract says.
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rating
+from ..functions.price_text import offer_prices, ozon_numbers
+from ..functions.titles import let
+from . import trees
+from .shared import stored
+
 #: Keys under which a review's text and rating are looked for; deepest level; most reviews of a page; bounds of a text.
 TEXT_KEYS, RATING_KEYS = ("text", "comment", "body", "content", "reviewbody", "description"), ("rating", "grade", "score", "stars", "productvaluation", "ratingvalue")
 DEEPEST, MOST, SHORTEST, LONGEST = 16, 40, 15, 2000
@@ -36,41 +38,18 @@ def markup_reviews(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(good).alias("place", "text"))
 
 
-def _walk(node, depth: int, out: list) -> None:
-    if depth > DEEPEST or len(out) >= MOST:
-        return
-    if isinstance(node, list):
-        for x in node:
-            _walk(x, depth + 1, out)
-    elif isinstance(node, dict):
-        low = {str(k).lower(): v for k, v in node.items()}
-        text = next((low[k].strip() for k in TEXT_KEYS if isinstance(low.get(k), str) and SHORTEST <= len(low[k].strip()) <= LONGEST), None)
-        if text and text not in (t for t, _ in out):
-            rating = next((low[k] for k in RATING_KEYS if isinstance(low.get(k), (int, float)) and not isinstance(low[k], bool) and 1 <= low[k] <= 5), None)
-            out.append((text, float(rating) if rating is not None else None))
-        for v in node.values():
-            if isinstance(v, (dict, list)):
-                _walk(v, depth + 1, out)
-
-
 def json_reviews(pages: DataFrame) -> DataFrame:
-    """page_id, place, text, rating of reviews in embedded JSON, to a depth of 16, at most 40 a page. Bad JSON gives none."""
-
-    @F.pandas_udf("array<struct<text:string,rating:double>>")
-    def walk(scripts: pd.Series) -> pd.Series:
-        def one(parts):
-            out: list = []
-            for part in parts if parts is not None else ():
-                try:
-                    _walk(json.loads(part), 0, out)
-                except ValueError:
-                    continue
-            return [{"text": t, "rating": r} for t, r in out[:MOST]]
-
-        return scripts.map(one)
-
-    found = pages.select("page_id", walk(F.regexp_extract_all("html", F.lit(SCRIPTS), 1)).alias("reviews"))
-    return found.select("page_id", F.posexplode("reviews").alias("place", "review")).select("page_id", "place", "review.text", "review.rating")
+    """page_id, place, text, rating of reviews in embedded JSON, to a depth of 16, at most 40 different texts a page, in the order of a walk in depth. Bad JSON gives none."""
+    scripts = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(SCRIPTS), 1)).alias("script", "json")).withColumn("tree", F.try_parse_json("json"))
+    nodes = trees.descend(scripts, ["page_id", "script"], "tree", DEEPEST)
+    low = F.transform(F.map_entries(trees.fields(F.col("node"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    of = lambda k: F.try_element_at(F.filter("low", lambda e: e["key"] == k), F.lit(-1))["value"]
+    said = lambda v: F.when(F.length(F.trim(trees.text(v))).between(SHORTEST, LONGEST), F.trim(trees.text(v)))
+    rated = lambda v: F.when(trees.number(v).between(1, 5), trees.number(v))
+    found = nodes.select("page_id", "script", "path", low.alias("low")).where("low IS NOT NULL").select("page_id", "script", "path", F.coalesce(*[said(of(k)) for k in TEXT_KEYS]).alias("text"), F.coalesce(*[rated(of(k)) for k in RATING_KEYS]).alias("rating"))
+    first = F.row_number().over(Window.partitionBy("page_id", "text").orderBy("script", "path"))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("script", "path")) - 1
+    return found.where("text IS NOT NULL").withColumn("n", first).where("n = 1").withColumn("place", place).where(F.col("place") < MOST).select("page_id", "place", "text", "rating")
 
 
 def card(pages: DataFrame) -> DataFrame:
@@ -110,6 +89,64 @@ def store_cards(pages: DataFrame) -> DataFrame:
     return pages.withColumn("price", F.when(open_ & (price > 0), F.floor(price + 0.5))).withColumn("title", F.when(open_, name))
 
 
+#: Names of widgets that tell ratings, that are a product's, and that are searched in depth; the title of a card without one; how deep.
+RATING_WIDGET, PRODUCT_WIDGET, DEEP_WIDGET = r"(?i)rating|review|score", r"(?i)webPrice|webSale|product", r"(?i)webPrice|webSale|pdp|productHeading|webProduct"
+UNTITLED, WIDGET_DEPTH = "Товар на Ozon", 8
+
+
+def _amount(v: Column) -> Column:
+    """A price that is a positive number, rounded, or the digits of a text; else null."""
+    digits = F.regexp_replace(trees.text(v), r"\D", "").try_cast("double")
+    return F.nullif(F.coalesce(F.when(trees.number(v) > 0, F.floor(trees.number(v) + 0.5).cast("double")), digits), F.lit(0.0))
+
+
+def widget_offer(node: Column) -> Column:
+    """struct(title, price, old, rating, reviews) of a widget's state (VARIANT), null without a price: its own price or card price, then two nested lists of prices, then the atom's."""
+    at = lambda *path: F.try_variant_get(node, "$." + ".".join(path), "variant")
+    listed = lambda *path: F.transform(trees.items(at(*path)), lambda p: _amount(F.try_variant_get(p, "$.text", "variant")))
+    numbers = lambda *path: offer_prices(ozon_numbers(F.filter(F.coalesce(listed(*path), F.array().cast("array<double>")), lambda v: v.isNotNull())))
+    own = F.coalesce(_amount(at("price")), _amount(at("cardPrice")))
+    given = F.struct(own.alias("own"), numbers("priceV2", "price").alias("v2"), numbers("webPrice", "price").alias("web"), _amount(F.when(trees.is_text(at("webPrice", "price")), at("webPrice", "price"))).alias("said"), _amount(at("originalPrice")).alias("old"))
+
+    def told(g: Column) -> Column:
+        price = F.coalesce(g["own"], g["v2"]["price"], g["said"], g["web"]["price"], _amount(at("webPrice", "cardPrice")), _amount(at("atom", "price")))
+        # the list that gave the price gives the old price too
+        old = F.when(g["own"].isNotNull(), g["old"]).when(g["v2"]["price"].isNotNull(), g["v2"]["old"]).when(g["said"].isNull() & g["web"]["price"].isNotNull(), F.coalesce(g["web"]["old"], g["old"])).otherwise(g["old"])
+        title = F.coalesce(F.nullif(F.trim(trees.text(at("title"))), F.lit("")), F.nullif(F.trim(trees.text(at("atom", "text"))), F.lit("")), F.lit(UNTITLED))
+        rated, counted = F.coalesce(*[trees.number(at(k)) for k in ("rating", "totalScore", "score")]), F.coalesce(*[trees.number(at(k)) for k in ("reviewCount", "reviewsCount")])
+        return F.when(price.isNotNull(), F.struct(title.alias("title"), price.alias("price"), F.when(old > price, old).alias("old"), rating(rated).alias("rating"), counted.cast("bigint").alias("reviews")))
+
+    return let(given, told)
+
+
+def widget_offers(pages: DataFrame) -> DataFrame:
+    """page_id, title, price, old, rating, reviews of a page's widget states (column states: a JSON object of JSON strings, in order), nulls where none has a price. The last widget that is a
+    product's wins; without one the first object with a price inside a product's widget, then inside any; then the first search item. A product without rating or reviews takes those of
+    the last widget that tells ratings. Widgets with bad JSON are passed over."""
+    widgets = pages.select("page_id", F.posexplode(F.from_json("states", "map<string,string>")).alias("n", "name", "raw")).withColumn("state", F.try_parse_json("raw"))
+    s = F.col("state")
+    at = lambda k: F.try_variant_get(s, f"$.{k}", "variant")
+    some = lambda k: F.coalesce(trees.text(at(k)) != "", trees.number(at(k)) != 0, F.lit(False))
+    direct = F.when(some("title") | some("price") | F.col("name").rlike(PRODUCT_WIDGET), widget_offer(s))
+    rated = rating(F.coalesce(*[trees.number(at(k)) for k in ("totalScore", "score", "rating")]))
+    counted = F.coalesce(trees.number(at("reviewsCount")), F.regexp_replace(trees.text(at("count")), r"\D", "").try_cast("double"))
+    tells = F.when(F.col("name").rlike(RATING_WIDGET) & rated.isNotNull(), F.struct(rated.alias("rating"), F.when(counted > 0, counted).cast("bigint").alias("reviews")))
+    item = F.filter(F.transform(trees.items(at("items")), widget_offer), lambda o: o.isNotNull())
+    read = stored(widgets.select("page_id", "n", "name", "state", direct.alias("direct"), tells.alias("tells"), F.try_element_at(item, F.lit(1)).alias("item")), "widgets")
+    # only pages without a product's widget are searched in depth
+    lost = read.groupBy("page_id").agg(F.max(F.col("direct").isNotNull()).alias("found")).where("NOT found").select("page_id")
+    nodes = trees.descend(read.join(lost, "page_id", "left_semi"), ["page_id", "n"], "state", WIDGET_DEPTH, strings=True)
+    deep = nodes.join(read.select("page_id", "n", F.col("name").alias("widget")), ["page_id", "n"]).where(trees.fields(F.col("node")).isNotNull()).withColumn("offer", F.explode(F.array(widget_offer(F.col("node"))))).where("offer IS NOT NULL")
+    first = deep.groupBy("page_id").agg(F.min_by("offer", F.struct(~F.col("widget").rlike(DEEP_WIDGET), F.col("n"), F.col("path"))).alias("deep"))
+    of_page = read.groupBy("page_id").agg(
+        F.max_by("direct", F.when(F.col("direct").isNotNull(), F.col("n"))).alias("direct"), F.max_by("tells", F.when(F.col("tells").isNotNull(), F.col("n"))).alias("tells"), F.min_by("item", F.when(F.col("item").isNotNull(), F.col("n"))).alias("item"),
+    )
+    product = F.coalesce("direct", "deep")
+    best = F.coalesce(product, "item")
+    filled = lambda k: F.coalesce(best[k], F.when(product.isNotNull(), F.col("tells")[k]))
+    return pages.select("page_id").join(of_page.join(first, "page_id", "left"), "page_id", "left").select("page_id", best["title"].alias("title"), best["price"].alias("price"), best["old"].alias("old"), filled("rating").alias("rating"), filled("reviews").alias("reviews"))
+
+
 FEEDBACKS = "struct<feedbacks:array<struct<text:string,productValuation:double>>,feedbacksData:struct<feedbacks:array<struct<text:string,productValuation:double>>>>"
 ANALYSIS = "struct<qualityScore:double,fakeRisk:string,verdict:string,qualitySummary:string,verdictExplanation:string,pros:array<string>,cons:array<string>>"
 
