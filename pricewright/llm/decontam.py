@@ -5,8 +5,9 @@ joined by single spaces. The normal form keeps the word count, so a match's end,
 word indexes map back to byte offsets of the original text.
 
 The automaton's patterns are seeds of five words, so placed in an item that each of its windows holds one whole (every sixth word begins one), and
-items of less than ten words as they are: about as many letters as the benchmark, a tenth of what all windows have. Where a seed is met, the
-item's words are compared with the text's to both sides; an equal run of ten words or more is windows from end to end.
+items of less than ten words as they are: about as many letters as the benchmark, a tenth of what all windows have. Around a seed that is met, each run of ten
+words is looked up among the items' windows (hashes in order, each with one place and its items) and compared with one word by word. A window that repeats, in an item or a
+text, is one window, so repetitive text takes no longer than other text.
 
 The benchmark is broadcast in blocks of at most BLOCK_BYTES of text each (about 60 bytes of memory for a byte): one block for any usual benchmark.
 More than RESIDENT blocks make more passes over the documents, each with its own automatons, never a larger automaton or one built twice.
@@ -45,11 +46,43 @@ _VERDICT = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(_SPAN)), ("ite
 
 @dataclass(frozen=True)
 class Windows:
-    """Items with their words, and the automaton over seeds; a pattern's value is (its words, whether it is a whole item, the (item, first word) where it lies)."""
+    """Items with their words; the automaton over seeds and short items (a pattern's value: its words, the items that it is the whole of, whether it is a seed); and the different windows by
+    hash: of each a place (item, first word) and its items, from starts[k] on in `holders`."""
 
     items: list[tuple[str, list[bytes]]]
     found: ahocorasick.Automaton
     window: int
+    keys: np.ndarray
+    places: np.ndarray
+    starts: np.ndarray
+    holders: np.ndarray
+
+    def at(self, words: list[bytes], firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the text's windows from these words on are items' windows, and which of these."""
+        if not len(firsts) or not len(self.keys):
+            return firsts[:0], firsts[:0]
+        asked = rolling(hashed(words), self.window)[firsts]
+        which = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        same = np.flatnonzero(self.keys[which] == asked)
+        firsts, which = firsts[same], which[same]
+        sure = np.zeros(len(firsts), bool)
+        for k, (first, (n, i)) in enumerate(zip(firsts.tolist(), self.places[which].tolist(), strict=True)):
+            sure[k] = words[first : first + self.window] == self.items[n][1][i : i + self.window]
+        return firsts[sure], which[sure]
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    """64 bits of each word, the same within a process."""
+    return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+
+
+def rolling(values: np.ndarray, window: int, step: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """A hash of each run of `window` values."""
+    n = max(len(values) - window + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for k in range(window):
+        out = out * np.uint64(step) + values[k : k + n]
+    return out
 
 
 _built: dict[str, Windows] = {}
@@ -63,48 +96,55 @@ def automaton(items: list[tuple[str, str | None]], window: int) -> Windows:
     """Of all seeds of the items."""
     size = max(1, window // 2)
     known = [(item, words) for item, text in items if (words := words_of((text or "").encode("utf-8", "surrogatepass")))]
-    places: dict[tuple[bytes, bool], list[tuple[int, int]]] = defaultdict(list)
-    for n, (_, words) in enumerate(known):
+    whole: dict[bytes, set[str]] = defaultdict(set)
+    seeds: set[bytes] = set()
+    for item, words in known:
         if len(words) < window:
-            places[b" ".join(words), True].append((n, 0))
+            whole[b" ".join(words)].add(item)
         else:
-            for k in range(0, len(words) - size + 1, window - size + 1):
-                places[b" ".join(words[k : k + size]), False].append((n, k))
+            seeds.update(b" ".join(words[k : k + size]) for k in range(0, len(words) - size + 1, window - size + 1))
     found = ahocorasick.Automaton()
-    both: dict[bytes, list] = defaultdict(list)
-    for (pattern, whole), where in places.items():
-        both[pattern].append((pattern.count(b" ") + 1, whole, where))
-    for pattern, values in both.items():
+    for pattern in seeds | whole.keys():
         # bytes as latin-1, so that positions are byte positions; spaces at both ends keep to whole words
-        found.add_word(f" {pattern.decode('latin-1')} ", values)
+        found.add_word(f" {pattern.decode('latin-1')} ", (pattern.count(b" ") + 1, pattern, sorted(whole.get(pattern, ())), pattern in seeds))
     found.make_automaton()
-    return Windows(known, found, window)
-
-
-def _runs(words: list[bytes], begins: list[int], matches: list, windows: Windows) -> tuple[list[tuple[int, int]], set[str]]:
-    """Runs (first word, end) of the text that are windows end to end, and the items that they are of."""
-    runs, ids = [], set()
-    far: dict[tuple[int, int], int] = {}  # of an item laid along the text: up to where it has been compared
-    for begin, (_, values) in zip(begins, matches, strict=True):
-        for size, whole, where in values:
-            for n, at in where:
-                item, other = windows.items[n]
-                if whole:
-                    runs.append((begin, begin + size))
-                    ids.add(item)
-                    continue
-                if far.get((n, begin - at), -1) > begin:
-                    continue
-                a, i = begin, at
-                while a > 0 and i > 0 and words[a - 1] == other[i - 1]:
-                    a, i = a - 1, i - 1
-                b, i = begin + size, at + size
-                while b < len(words) and i < len(other) and words[b] == other[i]:
-                    b, i = b + 1, i + 1
-                far[n, begin - at] = b
-                if b - a >= windows.window:
-                    runs.append((a, b))
-                    ids.add(item)
+    long = [(n, hashed(words)) for n, (_, words) in enumerate(known) if len(words) >= window]
+    many = [len(h) - window + 1 for _, h in long]
+    holder = np.repeat(np.array([n for n, _ in long], np.int64), many)
+    at = np.concatenate([np.arange(m) for m in many]) if many else np.zeros(0, np.int64)
+    step = 0x9E3779B97F4A7C15
+    keys, others = (np.concatenate([rolling(h, window, x) for _, h in long]) if long else np.zeros(0, np.uint64) for x in (step, 0xD6E8FEB86659FD93))
+    order = np.lexsort((at, holder, keys))
+    keys, others, holder, at = keys[order], others[order], holder[order], at[order]
+    if len(keys) and ((keys[1:] == keys[:-1]) & (others[1:] != others[:-1])).any():
+        raise RuntimeError("two different windows share a hash")  # one chance in about 2^64 / windows^2
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    new = first.copy()  # the first of each item with a window
+    new[1:] |= holder[1:] != holder[:-1]
+    starts = np.append(np.flatnonzero(first[new]), new.sum())
+    return Windows(known, found, window, keys[first], np.stack([holder[first], at[first]], 1), starts, holder[new])
+
+
+def _runs(words: list[bytes], begins: np.ndarray, matches: list, windows: Windows) -> tuple[list[tuple[int, int]], set[str]]:
+    """Runs (first word, end) of the text that are windows, and the items that they are of."""
+    runs, ids, seen, near = [], set(), set(), []
+    size = max(1, windows.window // 2)
+    for begin, (_, (length, pattern, whole, seed)) in zip(begins.tolist(), matches, strict=True):
+        if whole:
+            runs.append((begin, begin + length))
+            if pattern not in seen:
+                seen.add(pattern)
+                ids.update(whole)
+        if seed:
+            near.append(begin)
+    if near:
+        # every window holds a seed whole: those around the seeds are all that there can be
+        firsts = np.unique(np.array(near)[:, None] - np.arange(windows.window - size + 1)[None, :])
+        firsts, which = windows.at(words, firsts[(firsts >= 0) & (firsts <= len(words) - windows.window)])
+        runs += [(a, a + windows.window) for a in firsts.tolist()]
+        for k in np.unique(which).tolist():
+            ids.update(windows.items[n][0] for n in windows.holders[windows.starts[k] : windows.starts[k + 1]].tolist())
     return runs, ids
 
 
@@ -119,8 +159,8 @@ def scan(text: bytes, windows: Windows) -> tuple[int, list[dict], list[str]]:
     if not matches:
         return len(words), [], []
     spaces = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32)
-    begins = np.searchsorted(spaces, np.array([m[0] for m in matches])) - np.array([m[1][0][0] for m in matches])
-    runs, ids = _runs(words, begins.tolist(), matches, windows)
+    begins = np.searchsorted(spaces, np.array([m[0] for m in matches])) - np.array([m[1][0] for m in matches])
+    runs, ids = _runs(words, begins, matches, windows)
     if not runs:
         return len(words), [], []
     delta = np.zeros(len(words) + 1, np.int64)
