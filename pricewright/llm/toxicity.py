@@ -109,7 +109,13 @@ class Lexicon:
         hits, spared = [], []
         for end, (size, weight) in found.iter(folded):
             (spared if weight is None else hits).append((end - size + 1, end, weight))
-        return sum(w for a, b, w in hits if not any(s <= a and b <= e for s, e, _ in spared))
+        # both come in the order of their ends; a hit is spared if a phrase that ends with it or later begins no later: from the end on, the earliest beginning of those phrases says it
+        total, first = 0.0, len(folded)
+        for begin, end, weight in reversed(hits):
+            while spared and spared[-1][1] >= end:
+                first = min(first, spared.pop()[0])
+            total += weight if first > begin else 0.0
+        return total
 
     def score_of(self, weighed, words):
         density = weighed / (1 + words / 100) ** self.power
