@@ -27,16 +27,6 @@ def f15(spark, d):
     return o.where(c.alertable(o)).select("product", "marketplace")
 
 
-@query("m12_merge", with_views("""WITH o AS (SELECT product, marketplace, price, status, rating FROM offers WHERE product % 2 = 0), w AS (SELECT product, marketplace, CASE WHEN product % 5 <> 0 THEN price * 1.1::DOUBLE END AS price, CASE WHEN product % 7 = 0 THEN 'oos' ELSE status END AS status, rating FROM offers WHERE product % 3 = 0)
-SELECT coalesce(o.product, w.product) AS product, coalesce(o.marketplace, w.marketplace) AS marketplace, CASE WHEN w.status = 'oos' THEN NULL WHEN w.price > 0 THEN w.price ELSE o.price END AS price, coalesce(w.status, o.status) AS status, coalesce(w.rating, o.rating) AS rating
-FROM o FULL JOIN w ON o.product = w.product AND o.marketplace = w.marketplace"""))
-def m12(spark, d):
-    """Old and new offers merged: last known good price, terminal states clear it."""
-    o = r.offers(spark, d)
-    new = o.where("product % 3 = 0").withColumn("price", F.when(F.col("product") % 5 != 0, F.col("price") * 1.1)).withColumn("status", F.when(F.col("product") % 7 == 0, "oos").otherwise(F.col("status")))
-    return c.merged(o.where("product % 2 = 0"), new, ["product", "marketplace"])
-
-
 @query("m12_merge_all", with_views("""WITH w AS (SELECT product, marketplace, CASE WHEN product % 5 <> 0 THEN price * 1.1::DOUBLE END AS price, CASE WHEN product % 7 = 0 THEN 'oos' ELSE status END AS status, CASE WHEN product % 3 <> 0 THEN rating END AS rating FROM offers)
 SELECT coalesce(o.product, w.product) AS product, coalesce(o.marketplace, w.marketplace) AS marketplace, CASE WHEN w.status = 'oos' THEN NULL WHEN w.price > 0 THEN w.price ELSE o.price END AS price, coalesce(w.status, o.status) AS status, coalesce(w.rating, o.rating) AS rating
 FROM offers o FULL JOIN w ON o.product = w.product AND o.marketplace = w.marketplace"""))
@@ -65,13 +55,6 @@ def t12(spark, d):
     return c.shown(r.offers(spark, d), "product", F.col("marketplace") == "ozon").select("product", "marketplace", "place", "visible")
 
 
-@query("t13_my_products", with_views("SELECT product, row_number() OVER (ORDER BY low NULLS LAST, product) AS place FROM (SELECT product, min(price) FILTER (price > 0) AS low FROM offers GROUP BY 1) QUALIFY place <= 100"))
-def t13(spark, d):
-    """The 100 cheapest products by their cheapest offer (a report of bounded length)."""
-    low = r.offers(spark, d).groupBy("product").agg(F.min(F.when(F.col("price") > 0, F.col("price"))).alias("low")).orderBy(F.asc_nulls_last("low"), "product").limit(100)
-    return low.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("low"), "product")).cast("bigint")).select("product", "place")
-
-
 @query("t13_all_my_products", with_views("""WITH k AS (SELECT product, min(price) FILTER (price > 0) AS low, lower(min(title)) AS name FROM offers GROUP BY 1), a AS (SELECT l_partkey AS product, min(l_shipdate) AS added FROM lineitem GROUP BY 1)
 SELECT product, row_number() OVER (ORDER BY added DESC, product) AS by_added, row_number() OVER (ORDER BY low NULLS LAST, product) AS by_price, row_number() OVER (ORDER BY name, product) AS by_title FROM k JOIN a USING (product)"""))
 def t13_all(spark, d):
@@ -84,14 +67,6 @@ def t13_all(spark, d):
     return places[0].join(places[1], "product").join(places[2], "product")
 
 
-@query("t16_targets", "SELECT * FROM (VALUES ('ozon', 0), ('wildberries', 1), ('yandex_market', 2), ('mvideo', 3)) v(marketplace, place)")
-def t16(spark, d):
-    """Order of stores to ask: known link, interface, others, browser tab."""
-    targets = spark.createDataFrame([(0, "mvideo", None, "tab"), (1, "yandex_market", None, "server"), (2, "wildberries", None, "api"), (3, "ozon", "https://x", "server")], "at int, marketplace string, url string, tier string")
-    rank = F.when(F.col("url").isNotNull(), 0).when(F.col("tier") == "api", 1).when(F.col("tier") == "tab", 3).otherwise(2)
-    return targets.select("marketplace", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(rank, "at")) - 1).alias("place"))
-
-
 GATE = """CASE WHEN score IS NULL THEN 'empty_analysis' WHEN src = 'local' THEN 'local_source' WHEN score < 4 THEN 'low_quality' WHEN reviews < 3 AND overview < 200 THEN 'insufficient_reviews' WHEN pros < 1 OR cons < 1 THEN 'thin_content'
 WHEN length(p_name) < 8 THEN 'weak_title' END"""
 
@@ -155,13 +130,6 @@ def m23(spark, d):
     return c.mapping_state(e.select((F.col("user_id") * 7 + F.col("event_id") % 7).alias("edge"), r.micros(F.col("ts")).alias("at"), F.col("event_id").alias("id"), action.alias("action"), r.pick(("auto", "multi_user", "manual"), F.col("event_id")).alias("evidence"), (F.col("event_id") % 101).alias("confidence")))
 
 
-@query("x5_x18_d13_titles", "SELECT p_partkey, CASE WHEN contains(lower(p_name), 'black') THEN 'black' WHEN contains(lower(p_name), 'white') THEN 'white' END AS color FROM (SELECT p_partkey, p_name || ' ' || ['Black', 'white', 'x'][(p_partkey % 3 + 1)::INT] AS p_name FROM part WHERE NOT regexp_matches(lower(p_name), 'blue|silver|gr[ae]y|green|red|gold|purple|pink|beige|brown|orange|yellow|navy|ivory|violet|indigo|hazel|midnight|graphite|obsidian|starlight|porcelain|lemon|black|white'))")
-def x5(spark, d):
-    """Colour family of titles."""
-    part = r.table(spark, d, "part").where(~F.lower("p_name").rlike("blue|silver|gr[ae]y|green|red|gold|purple|pink|beige|brown|orange|yellow|navy|ivory|violet|indigo|hazel|midnight|graphite|obsidian|starlight|porcelain|lemon|black|white"))
-    return part.select("p_partkey", t.color(F.concat_ws(" ", "p_name", r.pick(("Black", "white", "x"), F.col("p_partkey")))).alias("color"))
-
-
 def _sql_words(pairs, subject):
     return " ".join(f"WHEN {subject.format(w.replace(chr(39), chr(39) * 2))} THEN '{f.replace(chr(39), chr(39) * 2)}'" for w, f in pairs)
 

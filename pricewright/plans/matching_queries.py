@@ -215,16 +215,6 @@ def d50(spark, d):
     return r.cross_market_mapping(spark, d).groupBy("evidence", "status").agg(F.count(F.when(ok, 1)).alias("reusable"), F.count(F.lit(1)).alias("edges"))
 
 
-@query("j14_alert_pairs", with_views("""WITH o AS (SELECT product, marketplace, price AS old_price FROM offers WHERE product % 2 = 0), w AS (SELECT product, marketplace, price * 0.8::DOUBLE AS new_price FROM offers WHERE product % 3 = 0)
-SELECT coalesce(o.product, w.product) AS product, coalesce(o.marketplace, w.marketplace) AS marketplace, old_price, new_price FROM o FULL JOIN w ON o.product = w.product AND o.marketplace = w.marketplace"""))
-def j14(spark, d):
-    """Old and new offers of each product and store, either side kept (m12 merges them field by field)."""
-    o = r.offers(spark, d)
-    old = o.where("product % 2 = 0").select("product", "marketplace", F.col("price").alias("old_price"))
-    new = o.where("product % 3 = 0").select("product", "marketplace", (F.col("price") * 0.8).alias("new_price"))
-    return old.join(new, ["product", "marketplace"], "full")
-
-
 @query("j14_all_alert_pairs", with_views("""WITH w AS (SELECT product, marketplace, price * 0.8::DOUBLE AS new_price FROM offers)
 SELECT coalesce(o.product, w.product) AS product, coalesce(o.marketplace, w.marketplace) AS marketplace, o.price AS old_price, new_price FROM offers o FULL JOIN w ON o.product = w.product AND o.marketplace = w.marketplace"""))
 def j14_all(spark, d):

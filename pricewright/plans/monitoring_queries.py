@@ -114,13 +114,6 @@ def j5(spark, d):
     return mo.claimed(rows.where("user_id % 2 = 1").select("id", "marketplace", "product_id"), rows.where("user_id % 2 = 0 AND deleted"), ["marketplace", "product_id"]).select("id", "fate")
 
 
-@query("j12_j13_m18_reconcile", with_views("SELECT DISTINCT marketplace, product_id FROM tracked_products WHERE user_id % 3 = 0 EXCEPT SELECT marketplace, product_id FROM tracked_products WHERE user_id % 3 = 1 AND NOT deleted AND priority"))
-def j12(spark, d):
-    """Remote keys without a local row: tombstones."""
-    rows = r.tracked_products(spark, d)
-    return mo.reconciled(rows.where("user_id % 3 = 1 AND NOT deleted AND priority"), rows.where("user_id % 3 = 0"), ["marketplace", "product_id"])
-
-
 @query("j12_reconcile_all", with_views("SELECT DISTINCT user_id, marketplace, product_id FROM tracked_products WHERE NOT deleted EXCEPT SELECT user_id, marketplace, product_id FROM tracked_products WHERE priority"))
 def j12_all(spark, d):
     """Of every user, live remote keys that are on no local row (those with priority): tombstones."""
@@ -194,14 +187,6 @@ def d56(spark, d):
     return r.table(spark, d, "part").select("p_partkey", t.failure_kind(e, F.lit(False), F.col("p_size") % 2 == 0).alias("kind"), t.funnel_failure(e).alias("reason"))
 
 
-@query("d63_n18_config", "SELECT 'wildberries' AS marketplace, 50 AS per_run, true AS enabled UNION ALL SELECT 'ozon', 160, true UNION ALL SELECT 'yandex_market', 1, false")
-def d63(spark, d):
-    """Defaults under a row's values, clamped to their range."""
-    defaults = spark.createDataFrame([("wildberries", 50, True), ("ozon", 50, True), ("yandex_market", 50, True)], "marketplace string, per_run int, enabled boolean")
-    rows = spark.createDataFrame([("ozon", 1000, None), ("yandex_market", -3, False)], "marketplace string, run int, flag boolean")
-    return defaults.join(rows, "marketplace", "left").select("marketplace", F.greatest(F.lit(1), F.least(F.lit(160), F.coalesce("run", "per_run"))).alias("per_run"), F.coalesce("flag", "enabled").alias("enabled"))
-
-
 @query("n2_publish_metrics", "SELECT p_brand, count(*) FILTER (p_size > 10) AS published, count(*) FILTER (p_size <= 10) AS rejected, floor(avg(coalesce(CASE WHEN p_size % 3 <> 0 THEN p_size END, 0)) * 10 + 0.5::DOUBLE) / 10.0::DOUBLE AS avg_quality FROM part GROUP BY 1")
 def n2(spark, d):
     """Publishing by brand; a missing quality counts as 0."""

@@ -11,18 +11,6 @@ from ..sources.relations import with_views
 from ..streaming import jobs
 
 
-@query("r3_daily_stream", "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS events, round(sum(value), 3) AS value FROM events GROUP BY 1, 2")
-def r3(spark, d):
-    """Tumbling days as a stream: the batch aggregate's rows."""
-    return jobs.run(jobs.daily(jobs.events(spark, d)), "complete").withColumn("value", F.round("value", 3))
-
-
-@query("r4_sliding_stream")
-def r4(spark, d):
-    """Sliding 24-hour success as a stream."""
-    return jobs.run(jobs.sliding_success(jobs.events(spark, d)), "complete")
-
-
 @query("r3_update_stream", "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS events, round(sum(value), 3) AS value FROM events GROUP BY 1, 2")
 def r3_update(spark, d):
     """Tumbling days as a stream of updates: only changed rows are written, and state older than the watermark goes."""
@@ -46,14 +34,14 @@ def r1(spark, d):
 @query("r5_rate_limit_stream")
 def r5(spark, d):
     """Requests that pass a limit of three an hour and user, as keyed state."""
-    return jobs.run(jobs.limited(jobs.events(spark, d), jobs.HOUR, 3), "append")
+    return jobs.run(jobs.limited(jobs.slices(spark, d), jobs.HOUR, 3), "append")
 
 
 @query("r8_failure_stream", """WITH o AS (SELECT user_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), l AS (SELECT user_id, max(n) AS n, coalesce(max(n) FILTER (NOT failed), 0) AS good FROM o GROUP BY 1)
 SELECT user_id, n - good AS failures, CASE WHEN n - good <= 1 THEN 1 WHEN n - good <= 3 THEN 4 ELSE 12 END AS rest FROM l""")
 def r8(spark, d):
     """Failures in a row of every user and their back-off, as keyed state."""
-    return jobs.run(jobs.failures(jobs.events(spark, d)), "update", ["user_id"])
+    return jobs.run(jobs.failures(jobs.slices(spark, d)), "update", ["user_id"])
 
 
 @query("r6_dedup_stream", "SELECT event_id FROM (SELECT DISTINCT event_id FROM events)")
@@ -65,7 +53,7 @@ def r6(spark, d):
 @query("r7_cooldown_stream")
 def r7(spark, d):
     """The eight-hour alert cooldown as keyed state with a timer (r5, r8): the rows of w7."""
-    views = jobs.events(spark, d).where("event_type = 'view'")
+    views = jobs.slices(spark, d).where("event_type = 'view'")
     return jobs.run(jobs.cooled(views, 8 * jobs.HOUR), "append")
 
 
@@ -97,15 +85,3 @@ def f30(spark, d):
 def s21(spark, d):
     """Title of every page's card (s22 to s26: prices, tested on small cards)."""
     return extract.card(r.table(spark, d, "pages")).select("page_id", "title")
-
-
-@query("s15_s17_json_reviews")
-def s15(spark, d):
-    """Reviews in the pages' embedded JSON."""
-    return extract.json_reviews(r.table(spark, d, "pages"))
-
-
-@query("s16_markup_reviews")
-def s16(spark, d):
-    """Review blocks in the pages' markup."""
-    return extract.markup_reviews(r.table(spark, d, "pages"))

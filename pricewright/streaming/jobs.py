@@ -5,15 +5,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, ship
 
 HOUR = 3_600_000
+#: Rows of a micro-batch of slices().
+SLICE_ROWS = 1_000_000
+#: Keyed state with timers is kept in RocksDB.
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,28 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 day")
 
 
+def slices(spark: SparkSession, sf_dir: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """The events as a stream of micro-batches in the order of time, each of about `rows` rows: the file is first cut into ranges of time, one file each, of which a micro-batch
+    takes one. So a key's rows of a micro-batch, which keyed state takes in order, are bounded, however many the key has."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = max(1, -(-table.count() // rows))
+    folder = shared_folder(spark, "slices")
+    table.withColumn("at", F.col("ts").cast("timestamp")).repartitionByRange(n, "ts", "event_id").write.parquet(folder)
+    _age(spark, folder)
+    schema = spark.read.parquet(folder).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder).withWatermark("at", "1 day")
+
+
+def _age(spark: SparkSession, folder: str) -> None:
+    """A file stream takes older files first: date the files of a range-partitioned table by their numbers. A driver's work on names alone."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath().getName(), f.getPath()) for f in files.listStatus(where) if f.getPath().getName().startswith("part-"))
+    for n, (_, path) in enumerate(parts):
+        files.setTimes(path, 1_000_000_000_000 + n * 1000, -1)
+
+
 def daily(stream: DataFrame) -> DataFrame:
     """Events and failures by type and tumbling day."""
     return stream.groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "events", "value")
@@ -45,65 +70,108 @@ def without_duplicates(stream: DataFrame, key: list[str]) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(key)
 
 
-def cooled(stream: DataFrame, rest_ms: int, deeper: float = 0.98) -> DataFrame:
-    """Alerts (user_id, at, value) that pass a cooldown: the last one sent is the state of each user, dropped when the rest is over."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last_at, last_value = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(["ms", "value"])
-        keep = []
-        for ms, value in zip(rows["ms"], rows["value"], strict=True):
-            quiet = last_at is not None and ms - last_at < rest_ms and value >= last_value * deeper
-            keep.append(not quiet)
-            if not quiet:
-                last_at, last_value = int(ms), float(value)
-        state.update((last_at, last_value))
-        state.setTimeoutTimestamp(max(last_at + rest_ms, state.getCurrentWatermarkMs() + 1))
-        yield rows.loc[keep, ["ms", "value"]].assign(user_id=key[0])[["user_id", "ms", "value"]]
+def _in_order(rows: Iterator[Row], *by: str) -> list[Row]:
+    """A key's rows of one micro-batch by time; slices() bounds them."""
+    return sorted(rows, key=lambda r: tuple(r[k] for k in by))
+
+
+class Cooldown(StatefulProcessor):
+    """Alerts (user_id, ms, value) that pass a rest; the last one sent is a user's state, which a timer drops when the rest is over."""
+
+    def __init__(self, rest_ms: int, deeper: float):
+        self.rest, self.deeper = rest_ms, deeper
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "at bigint, value double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = self.last.get() if self.last.exists() else None
+        sent = None
+        for row in _in_order(rows, "ms", "value"):
+            if last is None or row["ms"] - last[0] >= self.rest or row["value"] < last[1] * self.deeper:
+                last = sent = (row["ms"], row["value"])
+                yield Row(user_id=key[0], ms=row["ms"], value=row["value"])
+        if sent:
+            self.last.update(sent)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max(sent[0] + self.rest, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class RateLimit(StatefulProcessor):
+    """Requests and whether each is within its user's limit; the times of those let through in the trailing window are the state, at most `most`; a timer drops them when the
+    newest has left the window."""
+
+    def __init__(self, window_ms: int, most: int):
+        self.window, self.most = window_ms, most
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.passed = handle, handle.getListState("passed", "ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        passed = [r[0] for r in self.passed.get()] if self.passed.exists() else []
+        for row in _in_order(rows, "ms", "event_id"):
+            passed = [t for t in passed if row["ms"] - t < self.window]
+            allowed = len(passed) < self.most
+            if allowed:
+                passed.append(row["ms"])
+            yield Row(event_id=row["event_id"], user_id=key[0], ms=row["ms"], allowed=allowed)
+        self.passed.put([(t,) for t in passed])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(passed[-1] + self.window, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.passed.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class Failures(StatefulProcessor):
+    """Each user's failures in a row after the last event so far, and how many times longer they rest for them; the count is the state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "failures int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        count = self.count.get()[0] if self.count.exists() else 0
+        for row in _in_order(rows, "ms", "event_id"):
+            count = count + 1 if row["failed"] else 0
+        self.count.update((count,))
+        yield Row(user_id=key[0], failures=count, rest=1 if count <= 1 else 4 if count <= 3 else 12)
+
+    def close(self) -> None:
+        pass
+
+
+def cooled(stream: DataFrame, rest_ms: int, deeper: float = 0.98) -> DataFrame:
+    """Alerts (user_id, at, value) that pass a cooldown."""
+    ship(stream.sparkSession)
     rows = stream.select("user_id", "at", F.unix_millis("at").alias("ms"), "value")
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, ms bigint, value double", "last_at bigint, last_value double", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("user_id").transformWithState(Cooldown(rest_ms, deeper), "user_id bigint, ms bigint, value double", "Append", "EventTime")
 
 
 def limited(stream: DataFrame, window_ms: int, most: int) -> DataFrame:
-    """Requests (event_id, user_id, ms) and whether each is within its user's limit: the times of those let through in the trailing window are the state, at
-    most `most` of them. A user's rows of a micro-batch come in Arrow batches; rows are sorted by time within the micro-batch."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        passed = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ms", "event_id"])
-        allowed = []
-        for ms in rows["ms"]:
-            passed = [t for t in passed if ms - t < window_ms]
-            allowed.append(len(passed) < most)
-            if allowed[-1]:
-                passed.append(int(ms))
-        state.update((passed,))
-        state.setTimeoutTimestamp(max(passed[-1] + window_ms if passed else 0, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(user_id=key[0], allowed=allowed)[["event_id", "user_id", "ms", "allowed"]]
-
+    """Requests (event_id, user_id, ms) and whether each is within its user's limit."""
+    ship(stream.sparkSession)
     rows = stream.select("event_id", "user_id", "at", F.unix_millis("at").alias("ms"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, ms bigint, allowed boolean", "passed array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("user_id").transformWithState(RateLimit(window_ms, most), "event_id bigint, user_id bigint, ms bigint, allowed boolean", "Append", "EventTime")
 
 
 def failures(stream: DataFrame) -> DataFrame:
-    """Each user's failures in a row after their last event so far, and how many times longer they rest for them; the count and time are the state."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, last = state.get if state.exists else (0, -1)
-        for _, row in pd.concat(list(batches)).sort_values(["ms", "event_id"]).iterrows():
-            count, last = (count + 1 if row["failed"] else 0), int(row["ms"])
-        state.update((count, last))
-        yield pd.DataFrame([{"user_id": key[0], "failures": count, "rest": 1 if count <= 1 else 4 if count <= 3 else 12}])
-
+    """user_id, failures, rest after each micro-batch that has events of the user."""
+    ship(stream.sparkSession)
     rows = stream.select("user_id", "event_id", F.unix_millis("at").alias("ms"), (F.col("event_type") == "error").alias("failed"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, failures int, rest int", "count int, last long", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("user_id").transformWithState(Failures(), "user_id bigint, failures int, rest int", "Update", "None")
 
 
 def two_clocks(stream: DataFrame) -> DataFrame:
@@ -121,8 +189,13 @@ def run(result: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={number}")
 
-    query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
     if mode == "complete":
         return spark.read.schema(result.schema).parquet(f"{folder}/out")
     if mode == "append":

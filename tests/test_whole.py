@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pricewright import plans  # noqa: F401  fills the registry
 from pricewright.operators import catalog, matching, series
 from pricewright.registry import QUERIES
+from pricewright.streaming import jobs
 
 
 def test_titles_of_every_color(spark, tmp_path):
@@ -92,7 +93,7 @@ def by_key(frame, key, order):
 
 
 def test_rate_limit_and_failures_against_plain_folds(spark, sf_dir):
-    """The streams' keyed state gives what plain folds over sorted events give."""
+    """The streams' keyed state gives what plain folds over sorted events give, in one micro-batch and in several slices of time."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "user_id", "event_type", "unix_millis(cast(ts as timestamp)) ms").toPandas()
     want, failing = {}, {}
     for (user,), rows in by_key(events, ["user_id"], ["ms", "event_id"]).items():
@@ -106,6 +107,11 @@ def test_rate_limit_and_failures_against_plain_folds(spark, sf_dir):
         failing[user] = count
     assert {r["event_id"]: r["allowed"] for r in QUERIES["r5_rate_limit_stream"](spark, sf_dir).collect()} == want
     assert {r["user_id"]: r["failures"] for r in QUERIES["r8_failure_stream"](spark, sf_dir).collect()} == failing
+    sliced = lambda: jobs.slices(spark, sf_dir, len(events) // 4)
+    assert {r["event_id"]: r["allowed"] for r in jobs.run(jobs.limited(sliced(), jobs.HOUR, 3), "append").collect()} == want
+    assert {r["user_id"]: r["failures"] for r in jobs.run(jobs.failures(sliced()), "update", ["user_id"]).collect()} == failing
+    cooled = lambda s: sorted(map(tuple, jobs.run(jobs.cooled(s.where("event_type = 'view'"), 8 * jobs.HOUR), "append").collect()))
+    assert cooled(sliced()) == cooled(jobs.slices(spark, sf_dir)) != []
 
 
 def test_mapping_history_against_a_plain_fold(spark):
