@@ -47,9 +47,13 @@ def test_same_rows_as_sql(spark, con, sf_dir, name):
         assert a == pytest.approx(b, rel=1e-6) if all(isinstance(v, (int, float)) for v in a) else [str(v) for v in a] == [str(v) for v in b]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+#: Held against plain versions over all rows in test_ranked.py and test_whole.py.
+ELSEWHERE = {"t5_t6_top_matches", "t7_best_with_fallback", "t8_d27_search_pick", "d28_offers_from_ranked", "d34_pick_history", "x55_x56_queries", "n35_query_variants", "r5_rate_limit_stream"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - ELSEWHERE))
 def test_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() >= 0
+    assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):
