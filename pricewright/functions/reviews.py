@@ -101,3 +101,10 @@ def clamped(rating: Column, risk: Column, said: Column, pros: Column, cons: Colu
         stars.alias("rating"), F.when(risk.isin("low", "medium", "high"), risk).otherwise("medium").alias("risk"), F.when(said.isin("buy_now", "wait_discount", "not_recommended"), said).otherwise("wait_discount").alias("verdict"),
         five(pros).alias("pros"), five(cons).alias("cons"),
     )
+
+
+def merged(reviews: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Of reviews of a key with exactly the same text the first in order; reviews without text go. Summed before the shuffle, so a text that many repeat is one row of each task."""
+    rest = [c for c in reviews.columns if c not in (*key, "text")]
+    first = reviews.where("text IS NOT NULL").groupBy(*key, "text").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__first"))
+    return first.select(*key, "text", "__first.*")

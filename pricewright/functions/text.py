@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,6 +114,19 @@ def bare_id(marketplace: Column, x: Column) -> Column:
     )
 
 
+#: Prefixes that clients put before article numbers, by store; the fewest digits that are an article by themselves.
+ARTICLE_PREFIXES = {"wildberries": "wb-", "ozon": "ozon-", "megamarket": "megamarket:|mm-|mega-", "aliexpress": "aliexpress:|ae-|ali-", "mvideo": "mvideo:|mv-|eldorado:", "yandex_market": "yandex_market-|yandex-|ym-"}
+ARTICLE_DIGITS = {"megamarket": 6, "aliexpress": 8, "mvideo": 6}
+
+
+def bare_article(marketplace: Column, x: Column) -> Column:
+    """A client's article without its store's prefix; of three stores only the digits, if there are enough. Empty for null."""
+    raw = F.trim(F.coalesce(x, F.lit("")))
+    stripped = F.coalesce(*[F.when(marketplace == m, F.regexp_replace(raw, f"(?i)^({p})", "")) for m, p in ARTICLE_PREFIXES.items()], raw)
+    digits = F.regexp_replace(stripped, r"\D", "")
+    return F.coalesce(*[F.when((marketplace == m) & (F.length(digits) >= n), digits) for m, n in ARTICLE_DIGITS.items()], stripped)
+
+
 def prefixed_id(marketplace: Column, x: Column) -> Column:
     bare = bare_id(marketplace, x)
     prefix = F.element_at(F.create_map(*[F.lit(v) for kv in PREFIXES.items() for v in kv]), marketplace)
@@ -183,10 +200,38 @@ def image_score(url: Column) -> Column:
     )
 
 
+@functools.cache
+def _unfolding() -> tuple[str, str, dict[str, str]]:
+    """Of characters whose compatibility decomposition has Latin letters or digits: those that come to one such and marks behind it, with what they come to, in two texts of equal length; and
+    the others with what they come to, all else in them a hyphen."""
+    plain, to, others = [], [], {}
+    for code in range(0x80, 0x30000):
+        told = unicodedata.normalize("NFKD", chr(code))
+        if told == chr(code) or not re.search("[A-Za-z0-9]", told):
+            continue
+        if re.fullmatch(r"[A-Za-z0-9][^A-Za-z0-9]+", told):
+            plain.append(chr(code))
+            to.append(told[0])
+        else:
+            others[chr(code)] = re.sub("[^a-z0-9]+", "-", told.lower())
+    return "".join(plain), "".join(to), others
+
+
+def unfolded(x: Column) -> Column:
+    """Decomposed as NFKD does, so far as it leads to Latin letters and digits: an accented letter becomes the letter and a hyphen for its marks, a ligature its letters."""
+    marked, letters, others = _unfolding()
+    odd = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in others) + "]"
+    table = F.create_map(*[F.lit(v) for pair in others.items() for v in pair])
+    # few texts have any of these; the map is only searched for them
+    rare = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    y = F.when(x.rlike(odd), rare).otherwise(x)
+    accented = "([" + "".join(f"\\x{{{ord(c):x}}}" for c in marked) + "])"
+    return F.when(y.rlike(r"[^\x00-\x7f]"), F.translate(F.regexp_replace(y, accented, "$1-"), marked, letters)).otherwise(y)
+
+
 def slug(x: Column, longest: int = 80) -> Column:
-    """Lower case, everything but a-z and 0-9 to single hyphens, at most `longest` characters; 'item' if nothing is left. Accented letters
-    are dropped, not unfolded."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", "-"), "^-|-$", "")
+    """Unfolded, lower case, everything but a-z and 0-9 to single hyphens, at most `longest` characters; 'item' if nothing is left."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(unfolded(x)), r"[^a-z0-9]+", "-"), "^-|-$", "")
     cut = F.regexp_replace(F.substring(s, 1, longest), "-$", "")
     return F.when(F.length(cut) == 0, "item").otherwise(cut)
 

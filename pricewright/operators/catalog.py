@@ -53,6 +53,12 @@ def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     return stored.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__range", "__at", "__before")
 
 
+def outcomes_by_page(rows: DataFrame, order: list[Column], outcome: Column, size: int) -> DataFrame:
+    """page (from 0), outcome, pages: rows in order are cut into pages of `size`, and counted by outcome."""
+    at = placed(rows.withColumn("outcome", outcome), order, "place")
+    return at.groupBy(F.floor((F.col("place") - 1) / size).alias("page"), "outcome").agg(F.count(F.lit(1)).alias("pages"))
+
+
 def weak_title(x: Column) -> Column:
     t = F.trim(F.coalesce(x, F.lit("")))
     return (F.length(t) < 8) | t.rlike(r"(?i)(^|[^a-z0-9_])(seo\s*smoke|smoke\s*fixture|test\s*fixture)($|[^a-z0-9_])") | t.rlike(r"(?i)^(test|fixture|asdf|xxx)($|[^a-z0-9_])") | t.rlike(r"^\d{5,}$") | (t.rlike(r"(?i)^[a-z0-9_-]{6,}$") & (F.length(t) < 20))

@@ -60,3 +60,26 @@ def polyline(points: DataFrame, key: list[str], time: str, value: str, width: fl
     x = F.when(n > 1, (place - 1) * width / (n - 1)).otherwise(F.lit(width / 2))
     y = F.when(high > low, height - (F.col(value) - low) * height / (high - low)).otherwise(F.lit(height / 2))
     return points.select(*key, place.alias("place"), x.alias("x"), y.alias("y"))
+
+
+def richer(offers: DataFrame, key: list[str], tie: str) -> DataFrame:
+    """The offer that wins each slot (columns price, url, pick: a user must choose, candidates: their number, at): a priced card that isn't a search page and waits for no choice, then one that
+    waits with candidates, of those the one with more, then the newer, then the smaller `tie`."""
+    card = F.coalesce(has_price(F.col("price")), F.lit(False)) & F.coalesce(~F.col("url").rlike(r"(?i)search\?"), F.lit(False)) & ~F.col("pick")
+    waits = F.col("pick") & (F.col("candidates") > 0)
+    order = F.struct((~card).alias("a"), (~waits).alias("b"), (-F.when(waits, F.col("candidates")).otherwise(0)).alias("c"), (-F.col("at")).alias("d"), F.col(tie).alias("e"))
+    rest = [c for c in offers.columns if c not in key]
+    return offers.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("__best")).select(*key, "__best.*")
+
+
+def merged_offers(offers: DataFrame, product: str, identity: list[str], turn: str, most: int = 6) -> DataFrame:
+    """Offers (price, url) of a product merged by identity in the order of `turn`, which no two share: the first with a price, else the first; where it has no link the next later one that
+    has gives it. The `most` whose identity came first, with their place."""
+    key, priced = [product, *identity], F.coalesce(has_price(F.col("price")), F.lit(False))
+    base = offers.groupBy(*key).agg(F.min(turn).alias("first"), F.min_by(F.struct(F.col(turn).alias("turn"), "price", "url"), F.struct(~priced, turn)).alias("base"))
+    bare = base.where("coalesce(base.url, '') = ''").select(*key, F.col("base.turn").alias("__from"))
+    later = offers.where("url <> ''").select(*key, F.col(turn).alias("__turn"), "url").join(bare, key).where("__turn > __from")
+    filled = later.groupBy(*key).agg(F.min_by("url", "__turn").alias("filled"))
+    place = F.row_number().over(Window.partitionBy(product).orderBy("first"))
+    out = base.join(filled, key, "left").select(*key, "first", "base.price", F.coalesce(F.nullif(F.col("base.url"), F.lit("")), "filled").alias("url"))
+    return out.withColumn("place", place.cast("bigint")).where(F.col("place") <= most).drop("first")

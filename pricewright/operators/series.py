@@ -139,3 +139,10 @@ def digest(items: DataFrame, before: DataFrame, minima: DataFrame, key: list[str
     rows = items.where(F.col("last_price") > 0).join(before.select(*key, "value"), key, "left").join(minima, key, "left")
     move = F.when(F.col("value").isNull(), "unknown").when(delta <= -step, "down").when(delta >= step, "up").otherwise("flat")
     return rows.select(*key, "last_price", move.alias("move"), delta.alias("delta"), near_minimum(F.col("last_price"), F.col("min90"), F.coalesce("points90", F.lit(0))).alias("near"))
+
+
+def near_minima(items: DataFrame, minima: DataFrame, key: list[str]) -> DataFrame:
+    """Items (last_price) near their 90-day minimum, with it and how many percent above it they are."""
+    rows = items.where(F.col("last_price") > 0).join(minima, key)
+    near = rows.where(near_minimum(F.col("last_price"), F.col("min90"), F.coalesce("points90", F.lit(0))) == "near_min")
+    return near.select(*key, "last_price", "min90", ((F.col("last_price") - F.col("min90")) / F.col("min90") * 100).alias("above"))

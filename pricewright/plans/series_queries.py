@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import near_minimum
+from ..functions import text as t
 from ..operators import series as s
 from ..registry import query
 from ..sources import relations as r
@@ -188,29 +189,73 @@ def d62(spark, d):
     return runs.groupBy("user_id").agg(F.max("n").alias("longest")).withColumn("open", F.col("longest") >= 8)
 
 
-@query("w3_kept_points")
+#: A product's identity in SQL: the store and the digits of its id.
+IDENTITY = r._sql_pick(r.MONITORED, "event_id") + " || ':' || (user_id % 40 + 123456)"
+
+
+def _folded(keys: str, rows: str, kept: str, columns: str) -> str:
+    """SQL of an order-dependent rule: row by row of each key, with the last kept row's time and price; kept says whether a row stays."""
+    key, same = keys.split(", "), " AND ".join(f"o.{k} = f.{k}" for k in keys.split(", "))
+    both = ", ".join(f"o.{k}" for k in key)
+    return f"""WITH RECURSIVE o AS (SELECT {keys}, t, price, row_number() OVER (PARTITION BY {keys} ORDER BY t, price) AS n FROM ({rows})),
+f AS (SELECT {keys}, n, t, price, true AS kept, t AS last_t, price AS last_p FROM o WHERE n = 1
+UNION ALL SELECT {keys}, n, t, price, k, CASE WHEN k THEN t ELSE last_t END, CASE WHEN k THEN price ELSE last_p END FROM (SELECT {both}, o.n, o.t, o.price, f.last_t, f.last_p, {kept} AS k FROM f JOIN o ON {same} AND o.n = f.n + 1))
+SELECT {columns} FROM f WHERE kept"""
+
+
+COOLED = "o.t - f.last_t >= {rest} OR o.price < f.last_p * 0.98::DOUBLE"
+
+
+@query("w3_kept_points", _folded("user_id", "SELECT user_id, epoch_us(ts) AS t, floor(value / 50)::BIGINT AS price FROM events", "o.price <> f.last_p OR o.t - f.last_t >= 1800000000", "user_id, t, price"))
 def w3(spark, d):
     """Points of each user and type with repeats within 30 minutes of the last kept one removed: order-dependent, so folded."""
     points = r.table(spark, d, "events").select("user_id", "event_type", "ts", F.floor(F.col("value") / 50).alias("price"))
     return s.without_repeats(points, ["user_id"], "ts", "price", 30 * 60 * 1_000_000).select("user_id", micros(F.col("ts")).alias("t"), "price")
 
 
-@query("w7_drop_cooldown")
+@query("w7_drop_cooldown", _folded("user_id", "SELECT user_id, epoch_us(ts) AS t, value AS price FROM events WHERE event_type = 'view'", COOLED.format(rest=28_800_000_000), "user_id, t, price"))
 def w7(spark, d):
     """Drop alerts of each user that pass an eight-hour cooldown or go deeper by 2 % (w9 is the same rule on the client's key)."""
     drops = r.table(spark, d, "events").where("event_type = 'view'").select("user_id", "ts", F.col("value").alias("price"))
     return s.cooled_alerts(drops, ["user_id"], "ts", "price", 8 * s.HOUR).select("user_id", micros(F.col("ts")).alias("t"), "price")
 
 
-@query("w8_target_cooldown")
+@query("w8_target_cooldown", _folded("user_id", "SELECT user_id, epoch_us(ts) AS t, value AS price FROM events WHERE event_type = 'purchase'", "o.t - f.last_t >= 86400000000", "user_id, t, price"))
 def w8(spark, d):
     """Target alerts of each user, one in 24 hours."""
     drops = r.table(spark, d, "events").where("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("price"))
     return s.cooled_alerts(drops, ["user_id"], "ts", "price", 24 * s.HOUR, deeper=None).select("user_id", micros(F.col("ts")).alias("t"), "price")
 
 
-@query("w10_card_opens")
+@query("w10_card_opens", _folded("user_id, event_type", "SELECT user_id, event_type, epoch_us(ts) AS t, 0.0 AS price FROM events", "o.t - f.last_t >= 1800000000", "user_id, event_type, t"))
 def w10(spark, d):
     """Card openings of each user and type, one in 30 minutes."""
     opens = r.table(spark, d, "events").select("user_id", "event_type", "ts", F.lit(0.0).alias("price"))
     return s.cooled_alerts(opens, ["user_id", "event_type"], "ts", "price", 30 * 60 * 1_000_000, deeper=None).select("user_id", "event_type", micros(F.col("ts")).alias("t"))
+
+
+@query("s7_appended_points", _folded("user_id, marketplace, product_id", "SELECT user_id % 50 AS user_id, event_type AS marketplace, (event_id % 3)::VARCHAR AS product_id, epoch_us(ts) AS t, floor(value / 100) AS price FROM events WHERE floor(value / 100) > 0", "o.price <> f.last_p OR o.t - f.last_t >= 1800000000", "user_id, marketplace, product_id, t, price"))
+def s7(spark, d):
+    """Price points as they are appended: none of an unknown price, none that repeats the last stored one within 30 minutes."""
+    points = r.table(spark, d, "events").select((F.col("user_id") % 50).alias("user_id"), F.col("event_type").alias("marketplace"), (F.col("event_id") % 3).cast("string").alias("product_id"), "ts", F.floor(F.col("value") / 100).cast("double").alias("price"))
+    kept = s.without_repeats(points.where("price > 0"), s.KEY, "ts", "price", 30 * 60 * 1_000_000)
+    return kept.select(*s.KEY, micros(F.col("ts")).alias("t"), "price")
+
+
+@query("w9_client_cooldown", _folded("identity", "SELECT " + IDENTITY + " AS identity, epoch_us(ts) AS t, value AS price FROM events WHERE event_type <> 'error'", COOLED.format(rest=28_800_000_000), "identity, t, price"))
+def w9(spark, d):
+    """Drops of each product identity (store and bare article, x39), whoever sees them: one in eight hours unless 2 % deeper."""
+    store, k = r.pick(r.MONITORED, F.col("event_id")), (F.col("user_id") % 40 + 123456).cast("string")
+    raw = F.concat(F.when(store == "wildberries", "WB-").when(store == "ozon", "ozon-").otherwise("ym-"), k)
+    drops = r.table(spark, d, "events").where("event_type <> 'error'").select(F.concat_ws(":", store, t.bare_article(store, raw)).alias("identity"), "ts", F.col("value").alias("price"))
+    return s.cooled_alerts(drops, ["identity"], "ts", "price", 8 * s.HOUR).select("identity", micros(F.col("ts")).alias("t"), "price")
+
+
+@query("d46_near_minima", with_views(f"""WITH {MINIMA}, items AS (SELECT * FROM (SELECT user_id, marketplace, product_id, price AS last_price, row_number() OVER (PARTITION BY user_id, marketplace, product_id ORDER BY recorded_at DESC, id) AS n FROM price_history) WHERE n = 1)
+SELECT user_id, marketplace, product_id, last_price, min90, round((last_price - min90) / min90 * 100, 6) AS above FROM items JOIN minima USING (user_id, marketplace, product_id) WHERE {NEAR.format(p='last_price')} = 'near_min'"""))
+def d46_near(spark, d):
+    """The digest's list of products near their 90-day minimum, and how far above it."""
+    history = r.price_history(spark, d)
+    now = as_of(history, "recorded_at")
+    items = s.newest(history, s.KEY, F.desc("recorded_at"), F.col("id")).select(*s.KEY, F.col("price").alias("last_price"))
+    return s.near_minima(items, s.price_minima(history, now), s.KEY).withColumn("above", F.round("above", 6))

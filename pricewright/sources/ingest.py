@@ -27,6 +27,26 @@ def telemetry(raw: DataFrame) -> DataFrame:
     )
 
 
+#: Longest texts of an event's fields.
+CUTS = {"level": 16, "stage": 32, "name": 64, "product_id": 64, "query_hash": 32, "error_message": 300}
+
+
+def typed(raw: DataFrame) -> DataFrame:
+    """Events as they are stored, other columns as they are: texts cut (CUTS), 'system' where no stage is given and 'info' or 'warn' where no level is, times rounded, unknown stores null. Funnel
+    and operations events (boolean columns funnel, ops) lose their ids and messages, and operations events their client's time."""
+    own = F.coalesce("funnel", F.lit(False)) | F.coalesce("ops", F.lit(False))
+    store = F.col("marketplace")
+    for old, new in OLDER.items():
+        store = F.when(store == old, new).otherwise(store)
+    cut = lambda name, x: F.substring(x, 1, CUTS[name]).alias(name)
+    told = {
+        "level": cut("level", F.coalesce("level", F.when(own, "info").otherwise("warn"))), "stage": cut("stage", F.coalesce("stage", F.lit("system"))), "name": cut("name", F.coalesce("name", F.lit("event"))),
+        "marketplace": F.when(store.isin(*STORES), store).alias("marketplace"), **{k: cut(k, F.when(~own, F.col(k))) for k in ("product_id", "query_hash", "error_message")},
+        "elapsed_ms": F.floor(F.col("elapsed_ms") + 0.5).alias("elapsed_ms"), "client_ms": F.when(~F.coalesce("ops", F.lit(False)), F.col("client_ms")).alias("client_ms"),
+    }
+    return raw.select(*[told.get(c, F.col(c)) for c in raw.columns])
+
+
 def sanitized(payload, keys: tuple[str, ...] = OPS_KEYS):
     """A payload map with the allowed keys that don't look personal, values cut."""
     kept = F.map_filter(payload, lambda k, v: k.isin(*keys) & ~k.rlike(PRIVATE))
