@@ -16,6 +16,11 @@ REPLICA_WORDS = r"муляж|имитац|реквизит|нефункцион
 FASHION, NOT_ELECTRONIC, ELECTRONICS_STORES = ("apparel", "shoes", "sports", "kids", "cosmetics"), ("apparel", "shoes", "cosmetics", "detergents", "pet_food", "home_textile"), ("mvideo", "dns", "citilink")
 
 
+#: Words of accessories among search results, and words that limit a price or a size in a query.
+JUNK = r"чехол|стекл[оа]\s*защит|кабель|провод|адаптер|наушник|кейc|\bcase\b|\bcover\b|\bsleeve\b|\bpouch\b|\bcharger\b|\badapter\b|\btempered\s+glass\b|\bscreen\s+protector\b|\bcharging\s+cable\b|плёнк|пленк|защитн\w*\s+(?:стекл|плёнк|пленк)|держатель|подставк|сумк\w*\s+для\s+(?:ноут|laptop)|\blaptop\s+(?:sleeve|bag|case)\b"
+CONSTRAINT = r"(?:^|[\s,.:;!?])(?:до|от|не\s+менее|не\s+более|бюджет|дешевле|не\s+дороже|минимум|максимум)(?:$|[\s,.:;!?\d])"
+
+
 def serp_confidence(reference: Column, candidate: Column, accessory_words: str) -> Column:
     """0 for an accessory, furniture or a dummy of a phone or laptop, 0 for other memory, else the share of words (see text.title_score)."""
     gigabytes = lambda x: F.filter(F.transform(F.regexp_extract_all(x, F.lit(rx(r"(\d+)\s*(?:gb|гб)")), F.lit(1)), lambda g: g.cast("int")), lambda g: g.between(32, 2048))

@@ -176,12 +176,11 @@ def j17(spark, d):
 
 
 SQL_TOKENS = "[w for w in string_split(lower({x}), ' ') if len(w) > 2]"
-JUNK = r"чехол|стекл[оа]\s*защит|кабель|провод|адаптер|наушник|кейc|\bcase\b|\bcover\b|\bsleeve\b|\bpouch\b|\bcharger\b|\badapter\b|\btempered\s+glass\b|\bscreen\s+protector\b|\bcharging\s+cable\b|плёнк|пленк|защитн\w*\s+(?:стекл|плёнк|пленк)|держатель|подставк|сумк\w*\s+для\s+(?:ноут|laptop)|\blaptop\s+(?:sleeve|bag|case)\b"
 
 
 @query("d11_serp_confidence", with_views(rf"""WITH s AS (SELECT a.product, a.title AS x, b.title AS y FROM listings a JOIN listings b ON b.product = a.product + 40),
-m AS (SELECT *, regexp_extract_all(x, '(\d+)\s*(?:gb|гб)', 1, 'i') AS gx, regexp_extract_all(y, '(\d+)\s*(?:gb|гб)', 1, 'i') AS gy, regexp_matches(x, '{ident.PHONE_WORDS}', 'i') AS phone, regexp_matches(y, '{JUNK}|{ident.FURNITURE_WORDS}|{ident.REPLICA_WORDS}', 'i') AS junk,
-regexp_matches(x, '{ident.REPLICA_WORDS}', 'i') OR regexp_matches(x, '{JUNK}', 'i') AS asked, try_cast(regexp_extract(x, '(\d{{1,2}})\s*/\s*(\d{{2,4}})\s*(?:gb|гб)?', 2, 'i') AS INT) AS rom FROM s),
+m AS (SELECT *, regexp_extract_all(x, '(\d+)\s*(?:gb|гб)', 1, 'i') AS gx, regexp_extract_all(y, '(\d+)\s*(?:gb|гб)', 1, 'i') AS gy, regexp_matches(x, '{ident.PHONE_WORDS}', 'i') AS phone, regexp_matches(y, '{ident.JUNK}|{ident.FURNITURE_WORDS}|{ident.REPLICA_WORDS}', 'i') AS junk,
+regexp_matches(x, '{ident.REPLICA_WORDS}', 'i') OR regexp_matches(x, '{ident.JUNK}', 'i') AS asked, try_cast(regexp_extract(x, '(\d{{1,2}})\s*/\s*(\d{{2,4}})\s*(?:gb|гб)?', 2, 'i') AS INT) AS rom FROM s),
 z AS (SELECT *, [v for v in list_transform(gx, lambda g: g::INT) if v BETWEEN 32 AND 2048] AS sx, [v for v in list_transform(gy, lambda g: g::INT) if v BETWEEN 32 AND 2048] AS sy, {SQL_TOKENS.format(x='x')} AS wx, {SQL_TOKENS.format(x='y')} AS wy FROM m)
 SELECT product, CASE WHEN junk AND phone AND NOT asked THEN 0 WHEN len(sx) = 1 AND len(sy) = 1 AND sx[1] <> sy[1] THEN 0 WHEN rom >= 32 AND len(sy) = 1 AND sy[1] <> rom THEN 0
 WHEN len(wx) = 0 THEN 50 ELSE floor(len([w for w in wx if list_contains(wy, w)]) * 100.0::DOUBLE / len(wx) + 0.5::DOUBLE)::BIGINT END AS confidence FROM z"""))
@@ -189,7 +188,7 @@ def d11(spark, d):
     """Confidence of a search result on stores whose results hold junk: 0 for accessories, furniture or dummies of a phone, 0 for other memory, else the shared words."""
     x = r.listings(spark, d)
     pairs = x.select("product", F.col("title").alias("x")).join(x.select((F.col("product") - 40).alias("product"), F.col("title").alias("y")), "product")
-    return pairs.select("product", ident.serp_confidence(F.col("x"), F.col("y"), JUNK).cast("bigint").alias("confidence"))
+    return pairs.select("product", ident.serp_confidence(F.col("x"), F.col("y"), ident.JUNK).cast("bigint").alias("confidence"))
 
 
 @query("x24_x25_fingerprints")
@@ -232,15 +231,12 @@ def n35(spark, d):
     return rows.select("product", "variant", q.alias("query"), ident.host_only(q, F.col("f.e.entity")).alias("host_only"))
 
 
-CONSTRAINT = r"(?:^|[\s,.:;!?])(?:до|от|не\s+менее|не\s+более|бюджет|дешевле|не\s+дороже|минимум|максимум)(?:$|[\s,.:;!?\d])"
-
-
-@query("d65_exact_model_query", with_views(f"""SELECT product, NOT regexp_matches(q, '{CONSTRAINT}', 'i') AND len(q) BETWEEN 1 AND 80 AND len(string_split(q, ' ')) <= 8 AS exact
+@query("d65_exact_model_query", with_views(f"""SELECT product, NOT regexp_matches(q, '{ident.CONSTRAINT}', 'i') AND len(q) BETWEEN 1 AND 80 AND len(string_split(q, ' ')) <= 8 AS exact
 FROM (SELECT product, trim(regexp_replace(lower(CASE WHEN product % 5 = 0 THEN title || ' до 30000' ELSE title END), '\\s+', ' ', 'g')) AS q FROM listings)"""))
 def d65(spark, d):
     """Whether a query names a model: short, and without words of a budget."""
     q = F.when(F.col("product") % 5 == 0, F.concat("title", F.lit(" до 30000"))).otherwise(F.col("title"))
-    return r.listings(spark, d).select("product", ident.names_model(q, CONSTRAINT).alias("exact"))
+    return r.listings(spark, d).select("product", ident.names_model(q, ident.CONSTRAINT).alias("exact"))
 
 
 @query("d34_pick_history")

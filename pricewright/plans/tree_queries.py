@@ -1,4 +1,4 @@
-"""Queries over JSON trees of unknown depth: structured data of pages, payloads to redact, widget states of a store."""
+"""Queries over pages: JSON trees of unknown depth (structured data, payloads to redact, widget states of a store) and the forms of search pages."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources import extract, trees
+from ..sources import extract, search_pages, trees
 from ..sources import relations as r
 from ..sources.relations import with_views
 
@@ -57,3 +57,25 @@ def n47(spark, d):
     form = F.coalesce(*[F.when(F.col("p_partkey") % len(STATES) == k, F.expr(quoted(f))) for k, f in enumerate(STATES)])
     pages = r.table(spark, d, "part").withColumn("a", F.expr("1000 + p_partkey % 7000")).select(F.col("p_partkey").alias("page_id"), form.alias("states"))
     return extract.widget_offers(pages)
+
+
+#: Pieces of search pages, by store: a tile or a link with a price, a link with its title before it, an id with a title around it; each id also comes again later.
+PIECES = {
+    "megamarket": ("""'<div data-product-id="' || a || '"><h3>' || p_name || ' tile</h3><b>1 500 ₽</b></div>'""", """'<i title="' || p_name || ' titled"></i>' || repeat('.', 150) || '<a href="/catalog/details/x-' || b || '/?q=1"><b>x</b></a>'""", """'<a href="/catalog/details/y-' || a || '/">again</a><a href="/catalog/details/z-' || c || '/">' || p_name || ' <i>linked</i></a>'"""),
+    "aliexpress": ("""'<a href="/item/' || a || '.html?x=1"> ' || p_name || ' <b>tile</b></a>'""", """repeat('-', 300) || '<img alt="' || p_name || ' titled"> 2 300 руб <a href="https://aliexpress.ru/item/' || b || '.html">x</a>'""", """repeat('-', 300) || '"/item/' || c || '" title="' || p_name || ' linked" "/item/' || a || '"'"""),
+    "mvideo": ("""'<a href="/products/name-' || a || '">' || p_name || ' tile 1 999 ₽</a><a href="/product-list-page/products/q-999999">' || p_name || '</a>'""", """repeat('-', 300) || '<img title="' || p_name || ' titled"><a href="https://www.eldorado.ru/cat/detail/n-' || b || '/">x</a>'""", """repeat('-', 300) || '<i title="' || p_name || ' linked">/products/n' || c || '</i>'"""),
+}
+PAGE_STORES = tuple(PIECES)
+
+
+@query("s18_s20_tiers", f"""WITH g AS (SELECT p_partkey AS page_id, {r._sql_pick(PAGE_STORES, 'p_partkey')} AS store, p_name, 100000000 + p_partkey * 10 AS n FROM part)
+SELECT page_id, k::INT AS place, (n + k + 1)::VARCHAR AS id, CASE WHEN store = 'mvideo' AND k = 0 THEN p_name || ' tile 1 999 ₽' ELSE p_name || ' ' || ['tile', 'titled', 'linked'][k + 1] END AS title,
+CASE WHEN k = 0 AND store = 'megamarket' THEN 1500.0::DOUBLE WHEN k = 0 AND store = 'mvideo' THEN 1999.0::DOUBLE WHEN k = 1 AND store = 'aliexpress' THEN 2300.0::DOUBLE END AS price,
+CASE store WHEN 'megamarket' THEN 'https://megamarket.ru/catalog/details/' || (n + k + 1) || '/' WHEN 'aliexpress' THEN 'https://aliexpress.ru/item/' || (n + k + 1) || '.html' ELSE CASE WHEN k = 1 THEN 'https://www.eldorado.ru/cat/detail/' || (n + k + 1) || '/' ELSE 'https://www.mvideo.ru/products/' || (n + k + 1) END END AS url
+FROM g, range(3) t(k)""")
+def s18(spark, d):
+    """Candidates on a search page for every product, in all forms that its store's pages have: tiles, links with a title before them, bare ids with one around them."""
+    store, n = r.pick(PAGE_STORES, F.col("p_partkey")), F.lit(100_000_000) + F.col("p_partkey") * 10
+    part = r.table(spark, d, "part").select("p_partkey", "p_name", store.alias("store"), *[(n + k + 1).cast("string").alias(c) for k, c in enumerate("abc")])
+    html = F.coalesce(*[F.when(F.col("store") == s, F.concat(F.lit("<html>"), *[F.expr(p) for p in pieces], F.lit(" " * 200))) for s, pieces in PIECES.items()])
+    return search_pages.candidates(part.select(F.col("p_partkey").alias("page_id"), "store", html.alias("html"), F.col("p_name").alias("reference"))).drop("confidence")

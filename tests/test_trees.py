@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricewright.functions import search as se
 from pricewright.operators import text_index
-from pricewright.sources import extract, trees
+from pricewright.sources import extract, search_pages, trees
 
 
 def test_products_only_where_they_may_be(spark):
@@ -112,3 +112,25 @@ def test_index_reads_only_the_words_asked_for(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan.replace("#", " #").replace("bucket #", "bucket#") or "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert sorted(tuple(r) for r in found.collect()) == [(1, 7, 1.0), (2, 9, 1.0)]
+
+
+def test_forms_of_search_pages(spark):
+    pad = "." * 300
+    pages = [
+        (1, "aliexpress", f'{pad}<a href="/item/12345678.html">Redmi Note 13</a><a href="/item/12345678.html">Redmi Note 13 again</a>{pad} title="Redmi Note 13 bare" /item/87654321.html {pad} /item/11112222 {pad} /item/87654321', "Redmi Note 13"),
+        (2, "megamarket", f'<li data-goods-id="222222">Redmi <b>Note</b> 13 case 2 000 руб</li>{pad}<a href="/catalog/details/chehol-333333/">чехол Redmi Note 13</a><a href="/catalog/details/x-222222/">Redmi</a>', "Redmi Note 13"),
+        (3, "mvideo", f'{pad}<a href="/products/tv-12345">too short</a><a href="/products/search/tv-123456">Sony TV</a><a href="/item/777777">Sony TV one</a>{pad}/products/tv-888888" alt="Sony TV two"', "Sony TV"),
+        (4, "mvideo", "short", "x"), (5, "mvideo", "captcha" + pad + '<a href="/products/tv-999999">Sony TV</a>', "Sony TV"), (6, "mvideo", None, "x"), (7, "elsewhere", pad, "x"),
+        (8, "aliexpress", pad + "".join(f'<a href="/item/{10_000_000 + k}.html">Sony TV {k}</a>' for k in range(20)), "Sony TV"),
+    ]
+    got = search_pages.candidates(spark.createDataFrame(pages, "page_id bigint, store string, html string, reference string")).orderBy("page_id", "place").collect()
+    told = [(r["page_id"], r["place"], r["id"], r["title"], r["price"]) for r in got]
+    assert told[:2] == [(1, 0, "12345678", "Redmi Note 13", None), (1, 1, "87654321", "Redmi Note 13 bare", None)]
+    assert [t for t in told if t[0] == 3] == [(3, 0, "777777", "Sony TV one", None), (3, 1, "888888", "Sony TV two", None)]
+    assert {t[0] for t in told} <= {1, 2, 3, 8} and [t[2] for t in told if t[0] == 8] == [str(10_000_000 + k) for k in range(8)]
+    assert all(t[2] != "333333" for t in told)
+
+
+def test_places_of_matches(spark):
+    row = spark.createDataFrame([("abXXcXXXdX",)], "x string").select(search_pages.located(F.col("x"), "X+").alias("m")).first()["m"]
+    assert [(m["at"], m["text"]) for m in row] == [(2, "XX"), (5, "XXX"), (9, "X")]
