@@ -42,6 +42,7 @@ MATERIALS = {
     "cotton": "cotton", "хлопок": "cotton", "polyester": "polyester", "полиэстер": "polyester", "leather": "leather", "кожа": "leather", "экокожа": "leather", "suede": "suede", "замша": "suede", "wool": "wool",
     "шерсть": "wool", "nylon": "nylon", "нейлон": "nylon",
 }
+#: Genders, and the colour words that are looked for first.
 GENDERS = (
     ("male", r"мужск|для\s+муж|men'?s?\b|male\b"), ("female", r"женск|для\s+жен|women'?s?\b|female\b|lady\b"), ("unisex", r"унисекс|unisex"), ("kids", r"детск|для\s+дет|kids?\b|child"),
 )
@@ -130,6 +131,7 @@ HINTS = (
     ("DualSense", "accessory", "console", "контроллер", r"\bdual\s*sense\b"), ("DualShock", "accessory", "console", "контроллер", r"\bdualshock\b"),
     ("Nespresso", "supply", "coffee", "капсулы", r"(?:капсул\w*.{0,48}nespresso|nespresso.{0,48}капсул\w*)"),
 )
+#: Words that say nothing of a product, roles that depend on a host and from when a role is sure, makers of hosts, and how texts speak of hosts, bundles and parts.
 MARKETING = (r"(?:беспроводн\w*|wireless)", r"(?:оригинальн\w*|original|оригинал)", r"(?:новый|новая|новое|new)", r"(?:белый|черный|чёрный|синий|красный|серый|white|black|blue|red|gray|grey)")
 DEPENDENT, SURE = ("accessory", "consumable", "part", "supply"), 0.55
 HOST_BRANDS = ("sony", "hp", "dyson", "nespresso", "makita", "bosch", "apple", "samsung", "oral-b", "oralb", "canon", "epson", "xiaomi", "royal canin")
@@ -208,18 +210,26 @@ def category_of(x: Column) -> Column:
     return F.coalesce(first_rule(F.trim(F.regexp_replace(x, r"\s+", " ")), CATEGORIES), F.lit("generic"))
 
 
+#: How titles give weights, sizes, series and part numbers.
+KILO, GRAM, CYRILLIC_GRAM = r"(?:кг|kg)\b", r"(\d+(?:\.\d+)?)\s*(?:г|g|гр|грамм(?:а|ов)?)\b", r"(?:грамм(?:а|ов)?|гр\.?|г(?![a-zа-яё]))\b"
+SIZE_LETTERS, SIZE_NUMBER = r"\b(xxs|xs|s|m|l|xl|xxl|xxxl|2xl|3xl)\b", r"\b(?:размер|size)?\s*(\d{2}(?:[,.]\d)?)\b"
+SIZE_SAID, SIZE_ALONE = r"(?:размер|size)[:\s]*([xxsml]{1,4}|\d{2}(?:[,.]\d)?)", r"[,\s]([SML]|XS|XXL|XL|XXS)(?:[,\s]|$)"
+SERIES_SAID, SERIES_KNOWN = r"(?:серия|линейка|series)\s*[:\-]?\s*([A-Za-zА-Яа-яЁё0-9][\wА-Яа-яЁё\- ]{1,40})", r"\b((?:Persil|Ariel|Fairy|Domestos|Whiskas|Royal Canin|L(?:'|')?Or[eé]al|Maybelline|JBL|Roborock|Redmond)[\w\-]*)\b"
+NUMBER_SAID, NUMBER_LIKE = r"(?:артикул|mpn|p\/n|part\s*number)\s*[:\-]?\s*([A-Z0-9][\w\-]{3,24})", r"([A-Z]{2,}\d{3,}[A-Z0-9\-]*)"
+
+
 def weight_g(x: Column) -> Column:
     """Kilograms times 1000, else grams below 100 000. A Cyrillic unit counts only before an ASCII letter or digit, as in the rules that this follows."""
     number, unit = r"(\d+(?:[.,]\d+)?)\s*", F.translate(x, " ", " ")
-    kilo = _number(unit, number + r"(?:кг|kg)\b")
-    cyrillic = has(unit, number + r"(?:грамм(?:а|ов)?|гр\.?|г(?![a-zа-яё]))\b")
-    gram = _number(F.regexp_replace(unit, r"^([^,]*),", "$1."), r"(\d+(?:\.\d+)?)\s*(?:г|g|гр|грамм(?:а|ов)?)\b")
+    kilo = _number(unit, number + KILO)
+    cyrillic = has(unit, number + CYRILLIC_GRAM)
+    gram = _number(F.regexp_replace(unit, r"^([^,]*),", "$1."), GRAM)
     return F.when(kilo > 0, F.floor(kilo * 1000 + 0.5)).when(kilo.isNull() & ~cyrillic & (gram > 0) & (gram < 100_000), F.floor(gram + 0.5))
 
 
 def _size(x: Column) -> Column:
-    letters = F.upper(part(x, r"\b(xxs|xs|s|m|l|xl|xxl|xxxl|2xl|3xl)\b", 1))
-    european = _number(x, r"\b(?:размер|size)?\s*(\d{2}(?:[,.]\d)?)\b")
+    letters = F.upper(part(x, SIZE_LETTERS, 1))
+    european = _number(x, SIZE_NUMBER)
     number = F.when(european.between(20, 60), F.regexp_replace(F.format_string("%.1f", european), r"\.0$", ""))
     return F.coalesce(F.replace(F.replace(letters, F.lit("2XL"), F.lit("XXL")), F.lit("3XL"), F.lit("XXXL")), number)
 
@@ -227,7 +237,7 @@ def _size(x: Column) -> Column:
 def size_of(x: Column) -> Column:
     """Letters (XS, M, XXL) or a European number from 20 to 60: what follows 'size', else a letter that stands alone, else any."""
     x = F.translate(x, " ", " ")
-    said, letter = part(x, r"(?:размер|size)[:\s]*([xxsml]{1,4}|\d{2}(?:[,.]\d)?)", 1), part(x, r"[,\s]([SML]|XS|XXL|XL|XXS)(?:[,\s]|$)", 1)
+    said, letter = part(x, SIZE_SAID, 1), part(x, SIZE_ALONE, 1)
     return F.when(said.isNotNull(), _size(said)).when(letter.isNotNull(), _size(letter)).otherwise(_size(x))
 
 
@@ -240,31 +250,52 @@ def color_of(x: Column) -> Column:
 
 
 def series_of(x: Column) -> Column:
-    said = part(x, r"(?:серия|линейка|series)\s*[:\-]?\s*([A-Za-zА-Яа-яЁё0-9][\wА-Яа-яЁё\- ]{1,40})", 1)
-    known = part(x, r"\b((?:Persil|Ariel|Fairy|Domestos|Whiskas|Royal Canin|L(?:'|')?Or[eé]al|Maybelline|JBL|Roborock|Redmond)[\w\-]*)\b", 1)
+    said = part(x, SERIES_SAID, 1)
+    known = part(x, SERIES_KNOWN, 1)
     return F.substring(F.trim(F.coalesce(said, known)), 1, 40)
 
 
 def part_number_of(x: Column) -> Column:
-    said = part(x, r"(?:артикул|mpn|p\/n|part\s*number)\s*[:\-]?\s*([A-Z0-9][\w\-]{3,24})", 1)
-    return F.coalesce(said, F.nullif(F.regexp_extract(x, _BORDER + r"([A-Z]{2,}\d{3,}[A-Z0-9\-]*)" + _BORDER, 1), F.lit("")))
+    said = part(x, NUMBER_SAID, 1)
+    return F.coalesce(said, F.nullif(F.regexp_extract(x, _BORDER + NUMBER_LIKE + _BORDER, 1), F.lit("")))
+
+
+#: Forms of memory in titles, in the order in which they are tried: RAM and ROM, or ROM alone (one group), and whether ROM is in terabytes.
+_NO_LETTER = r"(?![a-zа-яё])"
+MEMORY_FORMS = (
+    (rf"(\d{{1,2}})\s*\+\s*(\d(?:[.,]\d)?)\s*(?:тб|tb){_NO_LETTER}", 2, True), (r"(\d{1,2})\s*(?:gb|гб)\s*\/\s*(\d{2,4})\s*(?:gb|гб)", 2, False), (r"\b(\d{1,2})\s*\+\s*(\d{2,4})\b", 2, False),
+    (r"\b(\d{1,2})\s*\/\s*(\d{2,4})\s*(?:gb|гб|гб\.?)?\b", 2, False), (r"\b(\d{1,2})\s*(?:gb|гб)\s*\+\s*(\d{2,4})\s*(?:gb|гб)\b", 2, False), (rf"(\d(?:[.,]\d)?)\s*(?:тб|tb){_NO_LETTER}", 1, True), (r"\b(\d{2,4})\s*(?:gb|гб)\b", 1, False),
+)
 
 
 def storage_variant(x: Column) -> Column:
-    """Memory as the variant rules read it: RAM+ROM, else ROM; terabytes count 1024."""
-    def join(pattern: str) -> Column:
-        a, b = part(x, pattern, 1), part(x, pattern, 2)
-        return F.when(a.isNotNull() & b.isNotNull(), F.concat(a, F.lit("+"), b))
-
-    end, tera = r"(?![a-zа-яё])", lambda c: F.floor(F.translate(c, ",", ".").cast("double") * 1024 + 0.5).cast("string")
-    plus_tb = rf"(\d{{1,2}})\s*\+\s*(\d(?:[.,]\d)?)\s*(?:тб|tb){end}"
-    ram = part(x, plus_tb, 1)
-    only_tb, only_gb = part(x, rf"(\d(?:[.,]\d)?)\s*(?:тб|tb){end}", 1), part(x, r"\b(\d{2,4})\s*(?:gb|гб)\b", 1)
-    return F.coalesce(
-        F.when(ram.isNotNull(), F.concat(ram, F.lit("+"), tera(part(x, plus_tb, 2)))), join(r"(\d{1,2})\s*(?:gb|гб)\s*\/\s*(\d{2,4})\s*(?:gb|гб)"), join(r"\b(\d{1,2})\s*\+\s*(\d{2,4})\b"),
-        join(r"\b(\d{1,2})\s*\/\s*(\d{2,4})\s*(?:gb|гб|гб\.?)?\b"), join(r"\b(\d{1,2})\s*(?:gb|гб)\s*\+\s*(\d{2,4})\s*(?:gb|гб)\b"), F.when(only_tb.isNotNull(), F.concat(tera(only_tb), F.lit("gb"))),
-        F.when(only_gb.isNotNull(), F.concat(only_gb, F.lit("gb"))),
-    )
+    """Memory as the variant rules read it (MEMORY_FORMS): RAM+ROM, else ROM; terabytes count 1024."""
+    def told(pattern: str, groups: int, tera: bool) -> Column:
+        ram, rom = part(x, pattern, 1), part(x, pattern, groups)
+        size = F.floor(F.translate(rom, ",", ".").cast("double") * 1024 + 0.5).cast("string") if tera else rom
+        return F.when(rom.isNotNull() & ram.isNotNull(), F.concat(ram, F.lit("+"), size) if groups == 2 else F.concat(size, F.lit("gb")))
+
+    return F.coalesce(*[told(*form) for form in MEMORY_FORMS])
+
+
+#: Product lines and their generations as titles name them.
+LINES = {
+    "buds": r"\bbuds\s*(\d{1,2})\b",
+    "redmi": r"\b(?:redmi|xiaomi)\b",
+    "galaxy": r"\b(?:galaxy|samsung)\b",
+    "airpods": r"\bairpods\s*(\d)\b",
+    "iphone": r"\biphone\s*(\d{1,2})\s*(pro\s*max|promax|pro|plus|mini)?\b",
+    "pixel": r"\b(?:google\s+)?pixel\s*(\d{1,2}[a-z]?)(?:\s*(pro|xl))?\b",
+    "sony": r"\bwh[-\s]?1000xm(\d)\b",
+    "canvas": r"\bcanvas\s*(go!?|select|react|endurance)\s*(plus)?\b",
+    "card": r"\b(?:micro\s*sd|карта\s+памяти|memory\s+card)\b",
+    "card_gen": r"\bgen\s*([0-9]{1,2}[a-z]?)\b",
+    "dyson": r"\bdyson\s+(supersonic|airwrap)\b",
+    "dyson_gen": r"\bhd\s*([0-9]{2})\b",
+    "tool": r"\b([a-z]{2,5})\s*(\d{1,3}v(?:-\d{1,3})?)\b",
+    "robot": r"\b(?:robot|робот|roborock|dreame|vacuum|пылесос)\b",
+    "robot_gen": r"\b(s\d{1,2}(?:\s*(?:max|ultra|pro))?)\b",
+}
 
 
 def lineage_of(title: Column) -> Column:
@@ -277,24 +308,24 @@ def lineage_of(title: Column) -> Column:
 
     digits = lambda c: F.nullif(F.regexp_extract(c, r"^\d+", 0), F.lit(""))
     tight = lambda c: F.regexp_replace(c, r"\s+", "")
-    buds = part(x, r"\bbuds\s*(\d{1,2})\b", 1)
-    maker = F.when(has(x, r"\b(?:redmi|xiaomi)\b"), "buds:redmi").when(has(x, r"\b(?:galaxy|samsung)\b"), "buds:galaxy").otherwise("buds:generic")
-    phone = r"\biphone\s*(\d{1,2})\s*(pro\s*max|promax|pro|plus|mini)?\b"
-    pixel = r"\b(?:google\s+)?pixel\s*(\d{1,2}[a-z]?)(?:\s*(pro|xl))?\b"
-    sony = part(x, r"\bwh[-\s]?1000xm(\d)\b", 1)
-    flash = r"\bcanvas\s*(go!?|select|react|endurance)\s*(plus)?\b"
+    buds = part(x, LINES["buds"], 1)
+    maker = F.when(has(x, LINES["redmi"]), "buds:redmi").when(has(x, LINES["galaxy"]), "buds:galaxy").otherwise("buds:generic")
+    phone = LINES["iphone"]
+    pixel = LINES["pixel"]
+    sony = part(x, LINES["sony"], 1)
+    flash = LINES["canvas"]
     flash_line = part(x, flash, 1)
-    card = flash_line.isNotNull() | has(x, r"\b(?:micro\s*sd|карта\s+памяти|memory\s+card)\b")
+    card = flash_line.isNotNull() | has(x, LINES["card"])
     flash_name = F.concat(F.lit("flash:"), F.when(flash_line.isNotNull(), F.concat(F.replace(flash_line, F.lit("!"), F.lit("")), F.when(part(x, flash, 2).isNotNull(), "_plus").otherwise(""))).otherwise("flash_generic"))
-    flash_gen = part(x, r"\bgen\s*([0-9]{1,2}[a-z]?)\b", 1)
-    dryer, dryer_model = part(x, r"\bdyson\s+(supersonic|airwrap)\b", 1), part(x, r"\bhd\s*([0-9]{2})\b", 1)
-    tool = r"\b([a-z]{2,5})\s*(\d{1,3}v(?:-\d{1,3})?)\b"
+    flash_gen = part(x, LINES["card_gen"], 1)
+    dryer, dryer_model = part(x, LINES["dyson"], 1), part(x, LINES["dyson_gen"], 1)
+    tool = LINES["tool"]
     tool_family, tool_key = part(x, tool, 1), part(x, tool, 2)
-    robot = F.when(has(x, r"\b(?:robot|робот|roborock|dreame|vacuum|пылесос)\b"), tight(part(x, r"\b(s\d{1,2}(?:\s*(?:max|ultra|pro))?)\b", 1)))
+    robot = F.when(has(x, LINES["robot"]), tight(part(x, LINES["robot_gen"], 1)))
     above = lambda c: F.when(c.cast("int") > 0, c)
     gen_of_pixel = part(x, pixel, 1)
     return F.coalesce(
-        line(F.when(buds.isNotNull(), maker), buds), line(F.lit("airpods"), part(x, r"\bairpods\s*(\d)\b", 1)),
+        line(F.when(buds.isNotNull(), maker), buds), line(F.lit("airpods"), part(x, LINES["airpods"], 1)),
         line(F.lit("iphone"), part(x, phone, 1), F.concat(part(x, phone, 1).cast("int").cast("string"), F.coalesce(tight(part(x, phone, 2)), F.lit("")))),
         line(F.lit("pixel"), digits(gen_of_pixel), F.concat(gen_of_pixel, F.coalesce(part(x, pixel, 2), F.lit("")))), line(F.lit("sony_wh1000xm"), sony, F.concat(F.lit("xm"), sony)),
         line(F.when(card, flash_name), digits(flash_gen), flash_gen), line(F.when(flash_line.isNotNull(), flash_name), F.lit("0"), F.lit("0")),
