@@ -3,7 +3,7 @@
 A signature is VALUES minima of BITS bits. It is split into CHUNKS; two signatures that differ in at most
 CHUNKS * (ERRORS + 1) - 1 values agree, by pigeonhole, in some chunk but for ERRORS values. Each chunk is therefore
 indexed once for every choice of ERRORS values left out, and such pairs always share a key. (At a similarity of 0.85 a
-pair shares no key with a probability of 6e-6, at 0.8 of 2e-4.) The pairs that are compared on whole sets are those that share a key, in groups of
+pair shares no key with a probability of 6e-6, at 0.8 of 2e-4; similarities at which it is over MISSED are refused.) The pairs that are compared on whole sets are those that share a key, in groups of
 every size; pairs that are connected already are passed over.
 
 What is emitted is never all pairs of a group:
@@ -28,6 +28,7 @@ every different text stays.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ PERCENT, CHUNKS, ERRORS = 85, 8, 1
 #: Nodes of a tile and shingles of a tile, about.
 TILE, TILE_SHINGLES = 1024, 1 << 20
 WIDTH = VALUES // CHUNKS
+#: How likely a pair at the similarity that is asked for may share no key, at most.
+MISSED = 1e-3
 
 _KEY = np.random.default_rng(77).integers(1, 2**64, (CHUNKS, WIDTH), dtype=np.uint64) | np.uint64(1)
 
@@ -284,12 +287,21 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], ["node", "component", "tiles", "sig", "hashes", "n_shingles"])
 
 
+def miss(percent: int) -> float:
+    """Probability that a pair of that similarity shares no key: each value agrees with the similarity, a chunk is shared with ERRORS values that don't at most."""
+    s = percent / 100
+    shared = sum(comb(WIDTH, k) * s ** (WIDTH - k) * (1 - s) ** k for k in range(ERRORS + 1))
+    return (1 - shared) ** CHUNKS
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     return save(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_measure, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sig binary"), "measured")
 
 
 def _grouped(docs: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
+    if miss(percent) > MISSED:
+        raise ValueError(f"at {percent} % a pair shares no key with a probability of {miss(percent):.1g}: more chunks or errors are needed")
     found = links(docs, measured, percent)
     labels = components(found)
     drop(found)
