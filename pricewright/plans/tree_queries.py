@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources import extract, search_pages, trees
+from ..sources import cards, extract, search_pages, trees
 from ..sources import relations as r
 from ..sources.relations import with_views
 
@@ -79,3 +79,35 @@ def s18(spark, d):
     part = r.table(spark, d, "part").select("p_partkey", "p_name", store.alias("store"), *[(n + k + 1).cast("string").alias(c) for k, c in enumerate("abc")])
     html = F.coalesce(*[F.when(F.col("store") == s, F.concat(F.lit("<html>"), *[F.expr(p) for p in pieces], F.lit(" " * 200))) for s, pieces in PIECES.items()])
     return search_pages.candidates(part.select(F.col("p_partkey").alias("page_id"), "store", html.alias("html"), F.col("p_name").alias("reference"))).drop("confidence")
+
+
+#: Cards by store, in the forms of its tiers: structured data of several kinds, meta data, embedded state, style classes, and pages without a price.
+CARDS = {
+    "yandex_market": (
+        """'<script type="application/ld+json">{"a":{"b":[{"name":"' || p_name || '","offers":[{"price":0},{"lowPrice":"1 ' || (100 + p_size) || '"}]}]}}</script>'""", """'<title> ' || p_name || '</title><meta content="' || (1100 + p_size) || '" itemprop="price">'""",
+        """'<script>{"prices":{"x":1,"value":"' || (1100 + p_size) || '"}}</script>'""", """'<meta itemprop="price" content="5"> showcaptcha'""",
+    ),
+    "wildberries": (
+        """'{"brand":"ACME","imt_name":"' || p_name || ' \\\\u0441","salePriceU":' || (110000 + p_size * 100) || '}'""", """'{"imt_name":"' || p_name || '","salePriceU":0,"priceU":' || (110000 + p_size * 100) || '}'""", """'{"imt_name":"' || p_name || '"}'""", """'{"priceU":' || (110000 + p_size * 100) || '}'""",
+    ),
+    "megamarket": (
+        """'<script type="application/ld+json">{"@graph":[{"@type":"Product","name":"gone","offers":{"price":1,"availability":"x/OutOfStock"}},{"@type":["Thing","Product"],"brand":{"name":"ACME"},"name":" ' || p_name || ' ","offers":[{"lowPrice":"1 ' || (100 + p_size) || ',4"}]}]}</script>'""",
+        """'<meta property="og:title" content="' || p_name || '"><meta property="product:price:amount" content="' || (1100 + p_size) || ',4">'""", """'<script type="application/ld+json">{"mainEntity":{"@type":"Product","offers":{"price":5}}}</script>'""", """'robot check<meta itemprop="price" content="500">'""",
+    ),
+    "mvideo": (
+        """'<script type="application/ld+json">{bad</script><script type="application/ld+json">[{"@type":"Product","name":"' || p_name || '","price":"' || (1100 + p_size) || '"}]</script>'""", """'<meta property="og:title" content="' || p_name || '"><div class="a price__main-value b"> 1 ' || (100 + p_size) || ' ₽</div>'""",
+        """'<meta itemprop="price" content="99">'""", """'<script type="application/ld+json">{"@type":"Product","name":"' || p_name || '","offers":{"price":7,"availability":"SoldOut"}}</script>'""",
+    ),
+}
+CARD_STORES = tuple(CARDS)
+
+
+@query("s22_s26_tiers", f"""WITH x AS (SELECT p_partkey AS page_id, p_name, (1100 + p_size)::BIGINT AS price, {r._sql_pick(CARD_STORES, 'p_partkey')} AS store, p_partkey // 4 % 4 AS f FROM part)
+SELECT page_id, CASE WHEN f < 2 OR (f = 2 AND store = 'yandex_market') OR (f = 3 AND store = 'wildberries') THEN price END AS price,
+CASE WHEN f = 0 AND store = 'wildberries' THEN 'ACME ' || p_name || ' с' WHEN f = 0 AND store = 'megamarket' THEN 'ACME ' || p_name WHEN f < 2 THEN p_name END AS title FROM x""")
+def s22(spark, d):
+    """Price and title of a card for every part, in the forms of all tiers of four stores."""
+    k = F.col("p_partkey")
+    form = F.expr("p_partkey div 4 % 4")
+    html = F.coalesce(*[F.when((r.pick(CARD_STORES, k) == s) & (form == n), F.expr(f)) for s, forms in CARDS.items() for n, f in enumerate(forms)])
+    return cards.cards(r.table(spark, d, "part").select(k.alias("page_id"), r.pick(CARD_STORES, k).alias("store"), html.alias("html")))
