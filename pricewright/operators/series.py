@@ -16,17 +16,33 @@ HOUR = 3_600_000_000
 DAY = 24 * HOUR
 
 
-def compacted(history: DataFrame, now: Column) -> DataFrame:
-    """Rows that stay: all of the last 30 days; of a week, back to 365 days, and of a month before that, the cheapest and the dearest (ties: the
-    earliest, then the smaller id). One shuffle: both ranks share the partitioning."""
+def _tiered(history: DataFrame, now: Column) -> DataFrame:
     age = lambda days: now - F.expr(f"INTERVAL '{days}' DAY")
     t = F.col("recorded_at")
     tier = F.when(t >= age(30), "raw").when(t >= age(365), "week").otherwise("month")
-    bucket = F.when(tier == "week", F.date_trunc("week", t)).when(tier == "month", F.date_trunc("month", t)).otherwise(t.cast("timestamp"))
-    rows = history.select("*", tier.alias("tier"), bucket.alias("bucket"))
-    by = Window.partitionBy(*KEY, "tier", "bucket")
-    low, high = F.row_number().over(by.orderBy("price", "recorded_at", "id")), F.row_number().over(by.orderBy(F.desc("price"), "recorded_at", "id"))
-    return rows.select("*", low.alias("low"), high.alias("high")).where("tier = 'raw' OR low = 1 OR high = 1").drop("low", "high", "bucket")
+    bucket = F.when(tier == "week", F.date_trunc("week", t)).when(tier == "month", F.date_trunc("month", t))
+    return history.select("*", tier.alias("tier"), bucket.alias("bucket"))
+
+
+def _extremes(tiered: DataFrame) -> DataFrame:
+    """Of each key's week or month its cheapest and dearest row (ties: the earliest, then the smaller id) and the number of rows: two rows of each task and bucket at most reach the shuffle."""
+    rest = [c for c in tiered.columns if c not in (*KEY, "tier", "bucket")]
+    row = F.struct(*rest)
+    low, high = F.struct("price", "recorded_at", "id"), F.struct(F.col("price").isNull(), -F.col("price"), "recorded_at", "id")
+    return tiered.where("tier <> 'raw'").groupBy(*KEY, "tier", "bucket").agg(F.min_by(row, low).alias("low"), F.min_by(row, high).alias("high"), F.count(F.lit(1)).alias("n"))
+
+
+def compacted(history: DataFrame, now: Column) -> DataFrame:
+    """Rows that stay: all of the last 30 days, which aren't shuffled; of a week, back to 365 days, and of a month before that, the cheapest and the dearest (ids are unique)."""
+    tiered = _tiered(history, now)
+    kept = _extremes(tiered).select(*KEY, "tier", F.explode(F.array_distinct(F.array("low", "high"))).alias("row")).select(*KEY, "row.*", "tier")
+    return tiered.where("tier = 'raw'").select(*history.columns, "tier").union(kept.select(*history.columns, "tier"))
+
+
+def compacted_away(history: DataFrame, now: Column) -> DataFrame:
+    """tier, deleted: how many rows of each tier don't stay (tiers that lose some)."""
+    gone = F.col("n") - F.when(F.col("low") == F.col("high"), 1).otherwise(2)
+    return _extremes(_tiered(history, now)).groupBy("tier").agg(F.sum(gone).alias("deleted")).where("deleted > 0")
 
 
 def price_minima(history: DataFrame, now: Column, most: int = 500) -> DataFrame:

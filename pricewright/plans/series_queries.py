@@ -23,17 +23,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, marketplace, produ
 def m3(spark, d):
     """Points that compaction keeps (w2, x63; what it deletes is the rest: m1, m2)."""
     history = r.price_history(spark, d)
-    return s.compacted(history, as_of(history, "recorded_at")).select("id", "tier", "price")
+    return s.compacted(history, r.newest_price(spark, d)).select("id", "tier", "price")
 
 
 @query("m1_m2_deleted", with_views(f"WITH {TIERED} SELECT tier, count(*) AS deleted FROM ranked WHERE NOT (tier = 'raw' OR low = 1 OR high = 1) GROUP BY 1"))
 def m1(spark, d):
-    """How many points compaction deletes by tier: the anti join of what it keeps (j4)."""
-    history = r.price_history(spark, d)
-    now = as_of(history, "recorded_at")
-    gone = history.join(s.compacted(history, now).select("id"), "id", "left_anti")
-    tier = F.when(F.col("recorded_at") >= now - F.expr("INTERVAL '365' DAY"), "week").otherwise("month")
-    return gone.groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("deleted"))
+    """How many points compaction deletes by tier: what is in the relation less what stays (j4), counted by bucket."""
+    return s.compacted_away(r.price_history(spark, d), r.newest_price(spark, d))
 
 
 MINIMA = f"""minima AS (SELECT user_id, marketplace, product_id, min(price) FILTER (recorded_at >= {NOW} - INTERVAL 30 DAY) AS min30, min(price) FILTER (recorded_at >= {NOW} - INTERVAL 90 DAY) AS min90,
@@ -45,7 +41,7 @@ MINIMA = f"""minima AS (SELECT user_id, marketplace, product_id, min(price) FILT
 def a21(spark, d):
     """Minima of each product's newest 500 points."""
     history = r.price_history(spark, d)
-    return s.price_minima(history, as_of(history, "recorded_at"))
+    return s.price_minima(history, r.newest_price(spark, d))
 
 
 NEAR = "CASE WHEN coalesce(points90, 0) < 3 OR min90 IS NULL OR NOT min90 > 0 OR NOT {p} > 0 THEN 'insufficient' WHEN ({p} - min90) / min90 * 100 <= 3 THEN 'near_min' WHEN ({p} - min90) / min90 * 100 <= 10 THEN 'below_avg' WHEN ({p} - min90) / min90 * 100 <= 25 THEN 'above_avg' ELSE 'far' END"
@@ -97,7 +93,7 @@ SELECT user_id, marketplace, product_id, last_price, CASE WHEN value IS NULL THE
 def d46(spark, d):
     """The daily digest of every product: j8, a21 and d43 in one plan."""
     history = r.price_history(spark, d)
-    now = as_of(history, "recorded_at")
+    now = r.newest_price(spark, d)
     items = s.newest(history, s.KEY, F.desc("recorded_at"), F.col("id")).select(*s.KEY, F.col("price").alias("last_price"))
     before = s.nearest(history, s.KEY, "recorded_at", "price", now - F.expr("INTERVAL '24' HOUR"), now - F.expr("INTERVAL '48' HOUR"), 36 * s.HOUR)
     return s.digest(items, before, s.price_minima(history, now), s.KEY)
@@ -256,6 +252,6 @@ SELECT user_id, marketplace, product_id, last_price, min90, round((last_price -
 def d46_near(spark, d):
     """The digest's list of products near their 90-day minimum, and how far above it."""
     history = r.price_history(spark, d)
-    now = as_of(history, "recorded_at")
+    now = r.newest_price(spark, d)
     items = s.newest(history, s.KEY, F.desc("recorded_at"), F.col("id")).select(*s.KEY, F.col("price").alias("last_price"))
     return s.near_minima(items, s.price_minima(history, now), s.KEY).withColumn("above", F.round("above", 6))

@@ -148,7 +148,7 @@ SELECT user_id, marketplace, product_id, last_price - value AS delta, row_number
 def d46(spark, d):
     """The three deepest drops since a day ago of each user on each store."""
     history = r.price_history(spark, d)
-    now = as_of(history, "recorded_at")
+    now = r.newest_price(spark, d)
     items = s.newest(history, s.KEY, F.desc("recorded_at"), F.col("id")).select(*s.KEY, F.col("price").alias("last_price"))
     before = s.nearest(history, s.KEY, "recorded_at", "price", now - F.expr("INTERVAL '24' HOUR"), now - F.expr("INTERVAL '48' HOUR"), 36 * s.HOUR)
     return w.top_drops(s.digest(items, before, s.price_minima(history, now), s.KEY), ["user_id", "marketplace"]).select(*s.KEY, "delta", "place")

@@ -89,6 +89,11 @@ def match_feedback(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def newest_price(spark: SparkSession, d: str) -> Column:
+    """as_of() of the price history, from the one table that its times come from: every line item's part is known."""
+    return as_of(table(spark, d, "lineitem"), "l_shipdate")
+
+
 def price_history(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(

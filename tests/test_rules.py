@@ -165,3 +165,29 @@ def test_slugs_unfold_as_decomposition_does(spark):
     texts = ["élan vital", "Crème", "ﬁne ½ №5 ① Ⅷ ㎏ ℡", "Ａｂｃ１２", "straße", "ёлка", "İstanbul ığ", "x²", "K", "", "--", "Œ œ æ", "ﷺ a", "日本 x", "é", "a" * 100 + "é", "é" * 60]
     rows = spark.createDataFrame(list(enumerate(texts)), "i bigint, x string").select("i", t.slug(F.col("x")).alias("v")).orderBy("i").collect()
     assert [r["v"] for r in rows] == [plain(x) for x in texts]
+
+
+def test_compaction_against_a_plain_one(spark):
+    now, draw = dt.datetime(2024, 6, 30), random.Random(12)
+    rows = [(f"{k:04}", draw.randrange(2), "m", f"p{draw.randrange(2)}", draw.choice([1.0, 2.0, 3.0, None]), now - dt.timedelta(days=draw.randrange(900), hours=draw.randrange(5))) for k in range(800)]
+    frame = spark.createDataFrame(rows, "id string, user_id bigint, marketplace string, product_id string, price double, recorded_at timestamp_ntz").withColumn("n", F.lit("clash"))
+    at = F.lit(now).cast("timestamp_ntz")
+
+    def bucket(row):
+        age, t = now - row[5], row[5]
+        return None if age <= dt.timedelta(days=30) else ("week", t.date() - dt.timedelta(days=t.weekday())) if age <= dt.timedelta(days=365) else ("month", t.date().replace(day=1))
+
+    groups, want, gone = {}, set(), {"week": 0, "month": 0}
+    for row in rows:
+        groups.setdefault((*row[1:4], bucket(row)), []).append(row)
+    for key, some in groups.items():
+        if key[-1] is None:
+            want |= {r[0] for r in some}
+            continue
+        low = min(some, key=lambda r: (r[4] is not None, r[4] or 0, r[5], r[0]))  # an unknown price counts as the cheapest
+        high = min(some, key=lambda r: (r[4] is None, -(r[4] or 0), r[5], r[0]))
+        want |= {low[0], high[0]}
+        gone[key[-1][0]] += len(some) - len({low[0], high[0]})
+    assert {r["id"] for r in series.compacted(frame, at).collect()} == want
+    assert {r["tier"]: r["deleted"] for r in series.compacted_away(frame, at).collect()} == gone
+    assert series.compacted(frame, at).columns == [*frame.columns, "tier"]
