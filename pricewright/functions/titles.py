@@ -7,7 +7,7 @@ Everything is a function of columns, computed once per title (see features()); p
 from __future__ import annotations
 
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as t
@@ -482,6 +482,12 @@ def marks_of(x: Column) -> Column:
 _built: dict[tuple, Column] = {}
 
 
+def spread(titles: DataFrame) -> DataFrame:
+    """titles dealt to every core: a title's features take milliseconds, so a file that one task would read keeps all others waiting."""
+    spark = titles.sparkSession
+    return titles.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def features_of(title: str, specs: str | None = None) -> Column:
     """features() of named columns; built once a session, for it is a large expression."""
     key = SparkContext._active_spark_context.applicationId, title, specs

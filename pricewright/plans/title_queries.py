@@ -75,7 +75,7 @@ def x22(spark, d):
 
 
 def _featured(spark, d):
-    return stored(r.listings(spark, d).select("product", "price", "store", ti.features_of("title", "specs").alias("f")), "features")
+    return stored(ti.spread(r.listings(spark, d)).select("product", "price", "store", ti.features_of("title", "specs").alias("f")), "features")
 
 
 @query("x19_x23_features")
