@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as t
-from .titles import DEPENDENT, entity_query, entity_query_with_host, has, part, rx, spaced
+from .titles import DEPENDENT, entity_query, entity_query_with_host, has, let, part, rx, spaced
 
 #: Words of phones and laptops, of furniture and food, of dummies.
 PHONE_WORDS = r"смартфон|телефон|iphone|pixel|galaxy|redmi|xiaomi|poco|realme|honor|huawei|samsung|smartphone|ноутбук|laptop|macbook|notebook"
@@ -94,15 +94,17 @@ def feature_query(f: Column) -> Column:
 
 def cleaned_query(query: Column, f: Column) -> Column:
     """Without bracketed articles, noise words, doubled words and lone units; with the generation that the title has; at most 80 characters, cut between words."""
-    q = F.regexp_replace(query, r"\([^)]*\)", " ")
+    plain = F.regexp_replace(query, r"\([^)]*\)", " ")
     for pattern in (r"\brmx\d{4,7}\b", r"\b(смартфон|телефон|android|nano-?sim)\b", r"\b(gray|grey)\b", r"(?<!\d)(?:\s|^)(?:гб|gb)\b", r"\s*,[,\s]*"):
-        q = F.regexp_replace(q, rx(pattern), " ")
-    q = spaced(F.regexp_replace(q, rx(r"\b([A-Za-zА-Яа-яЁё]{2,})\s+\1\b"), "$1"))
+        plain = F.regexp_replace(plain, rx(pattern), " ")
     line = f["line"]
-    missing = line["lineage"].isin("pixel", "iphone") & ~F.lower(F.regexp_replace(q, r"\s+", "")).contains(F.concat(line["lineage"], line["gen"].cast("string")))
-    q = F.when(F.coalesce(missing, F.lit(False)), F.concat_ws(" ", q, line["lineage"], line["gen"].cast("string"))).otherwise(q)
-    cut = F.substring(q, 1, 80)
-    return F.trim(F.when(F.length(q) <= 80, q).otherwise(F.regexp_replace(cut, r"(?<=^.{40,79})\s\S*$", "")))
+
+    def told(q: Column) -> Column:
+        missing = line["lineage"].isin("pixel", "iphone") & ~F.lower(F.regexp_replace(q, r"\s+", "")).contains(F.concat(line["lineage"], line["gen"].cast("string")))
+        return F.when(F.coalesce(missing, F.lit(False)), F.concat_ws(" ", q, line["lineage"], line["gen"].cast("string"))).otherwise(q)
+
+    short = lambda q: F.trim(F.when(F.length(q) <= 80, q).otherwise(F.regexp_replace(F.substring(q, 1, 80), r"(?<=^.{40,79})\s\S*$", "")))
+    return let(let(spaced(F.regexp_replace(plain, rx(r"\b([A-Za-zА-Яа-яЁё]{2,})\s+\1\b"), "$1")), told), short)
 
 
 def query_set(f: Column) -> Column:
@@ -115,8 +117,9 @@ def query_set(f: Column) -> Column:
         F.when(f["variant_storage"].isNotNull(), F.substring(F.concat_ws(" ", model["model"], f["variant_storage"]), 1, 100)),
     )
     good = F.filter(F.transform(F.array_compact(some), lambda q: cleaned_query(q, f)), lambda q: F.length(q) >= 3)
-    first = F.filter(good, lambda q, i: F.array_position(F.transform(good, lambda g: F.lower(g)), F.lower(q)) == i + 1)
-    return F.slice(first, 1, 3)
+    first = lambda g: F.filter(g["good"], lambda q, i: F.array_position(g["low"], F.lower(q)) == i + 1)
+    both = let(good, lambda qs: F.struct(qs.alias("good"), F.transform(qs, lambda q: F.lower(q)).alias("low")))
+    return F.slice(let(both, first), 1, 3)
 
 
 def query_variant(f: Column, variant: Column, article: Column) -> Column:

@@ -49,6 +49,16 @@ COMPLAINT = (
 TEMPLATES = ("рекомендую", "отличный товар", "всё супер", "все супер", "пять звезд", "5 звезд", "заказываю не первый раз")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def matched(x: Column, pattern: str, group: int = 0) -> Column:
+    """The first match of a pattern in Java's dialect, or null."""
+    return let(F.regexp_extract(x, pattern, group), lambda found: F.when(found != "", found))
+
+
 def normal_title(x: Column) -> Column:
     """Lower case, letters and digits only, single spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
@@ -83,8 +93,7 @@ def title_score(a: Column, b: Column) -> Column:
 
 def brand_of(x: Column, brands: tuple[str, ...] = BRANDS) -> Column:
     """The first brand of the list that the title contains."""
-    low = F.lower(x)
-    return F.coalesce(*[F.when(low.contains(b), F.lit(b)) for b in brands])
+    return let(F.lower(x), lambda low: F.coalesce(*[F.when(low.contains(b), F.lit(b)) for b in brands]))
 
 
 def family_of(brand: Column) -> Column:
@@ -140,18 +149,18 @@ def stable_article(x: Column) -> Column:
 
 def storage(x: Column) -> Column:
     """RAM+ROM as '8+256', else ROM as '512gb'; terabytes count 1024."""
-    t = F.trim(F.translate(F.lower(x), " ", " "))
     end = r"(?![a-zа-яё])"
-
-    def part(pattern: str, group: int) -> Column:
-        return F.nullif(F.regexp_extract(t, pattern, group), F.lit(""))
-
     tb = lambda c: F.floor(F.translate(c, ",", ".").cast("double") * 1024 + 0.5).cast("string")
     plus_tb, plus = rf"(\d{{1,2}})\s*\+\s*(\d(?:[.,]\d)?)\s*(?:тб|tb){end}", rf"(\d{{1,2}})\s*[+/]\s*(\d{{2,4}})\s*(?:gb|гб)?{end}"
     both, only_tb, only_gb = rf"(\d{{1,2}})\s*(?:gb|гб)\s*[+/]\s*(\d{{2,4}})\s*(?:gb|гб){end}", rf"(\d(?:[.,]\d)?)\s*(?:тб|tb){end}", rf"(\d{{2,4}})\s*(?:gb|гб){end}"
-    join = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat(a, F.lit("+"), b))
-    gb = lambda c: F.when(c.isNotNull(), F.concat(c, F.lit("gb")))
-    return F.coalesce(join(part(plus_tb, 1), tb(part(plus_tb, 2))), join(part(plus, 1), part(plus, 2)), join(part(both, 1), part(both, 2)), gb(tb(part(only_tb, 1))), gb(part(only_gb, 1)))
+    join = lambda a, b: F.concat(a, F.lit("+"), b)
+    gb = lambda c: F.concat(c, F.lit("gb"))
+
+    def told(t: Column) -> Column:
+        two = lambda p, of=lambda c: c: F.when(t.rlike(p), join(matched(t, p, 1), of(matched(t, p, 2))))
+        return F.coalesce(two(plus_tb, tb), two(plus), two(both), gb(tb(matched(t, only_tb, 1))), gb(matched(t, only_gb, 1)))
+
+    return let(F.trim(F.translate(F.lower(x), " ", " ")), told)
 
 
 def storage_compatible(a: Column, b: Column) -> Column:
@@ -162,23 +171,23 @@ def storage_compatible(a: Column, b: Column) -> Column:
 
 def color(x: Column) -> Column:
     """Family of a colour word: the word itself, else the first of two words that the text contains, else the first of one."""
-    low = F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
     words = [(w, f) for f, ws in COLORS.items() for w in ws]
     order = [*[wf for wf in words if " " in wf[0]], *[wf for wf in words if " " not in wf[0]]]
-    return F.coalesce(*[F.when(low == w, F.lit(f)) for w, f in words], *[F.when(low.contains(w), F.lit(f)) for w, f in order])
+    told = lambda low: F.coalesce(*[F.when(low == w, F.lit(f)) for w, f in words], *[F.when(low.contains(w), F.lit(f)) for w, f in order])
+    return let(F.trim(F.regexp_replace(F.lower(x), r"\s+", " ")), told)
 
 
 def volume_ml(x: Column) -> Column:
-    t = F.translate(F.translate(F.lower(x), " ", " "), ",", ".")
-    number = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit("")).cast("double")
-    litres, ml = number(r"(\d+(?:\.\d+)?)\s*(?:л|l|литр(?:а|ов)?)(?![a-zа-яё])"), number(r"(\d+(?:\.\d+)?)\s*(?:мл|ml)(?![a-zа-яё])")
-    return F.coalesce(F.when(litres > 0, F.floor(litres * 1000 + 0.5)), F.when(ml > 0, F.floor(ml + 0.5)))
+    number = lambda t, p: matched(t, p, 1).cast("double")
+    whole = lambda value, scale: let(value, lambda v: F.when(v > 0, F.floor(v * scale + 0.5)))
+    litres, ml = r"(\d+(?:\.\d+)?)\s*(?:л|l|литр(?:а|ов)?)(?![a-zа-яё])", r"(\d+(?:\.\d+)?)\s*(?:мл|ml)(?![a-zа-яё])"
+    return let(F.translate(F.translate(F.lower(x), " ", " "), ",", "."), lambda t: F.coalesce(whole(number(t, litres), 1000), whole(number(t, ml), 1)))
 
 
 def package_count(x: Column) -> Column:
-    t = F.translate(F.lower(x), " ", " ")
-    found = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in (r"(\d+)\s*(?:шт|pcs|pc)(?![a-zа-яё])", r"уп\.?\s*(?:по\s*)?(\d+)", r"(\d+)\s*(?:в\s*)?уп", r"x\s*(\d+)(?![a-z0-9_])", r"(\d+)\s*pack(?![a-z0-9_])")]
-    return F.coalesce(*[F.when(n.cast("double").between(1, 500), n.try_cast("int")) for n in found])
+    patterns = (r"(\d+)\s*(?:шт|pcs|pc)(?![a-zа-яё])", r"уп\.?\s*(?:по\s*)?(\d+)", r"(\d+)\s*(?:в\s*)?уп", r"x\s*(\d+)(?![a-z0-9_])", r"(\d+)\s*pack(?![a-z0-9_])")
+    counted = lambda found: let(found, lambda n: F.when(n.cast("double").between(1, 500), n.try_cast("int")))
+    return let(F.translate(F.lower(x), " ", " "), lambda t: F.coalesce(*[counted(matched(t, p, 1)) for p in patterns]))
 
 
 def first_price(x: Column) -> Column:

@@ -6,11 +6,15 @@ Everything is a function of columns, computed once per title (see features()); p
 
 from __future__ import annotations
 
+import functools
+
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from . import text as t
+from .text import let
 
 _BORDER = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 PLACEHOLDER = "Товар"
@@ -72,14 +76,14 @@ MODELS = (
 #: What a title's leading words are without, where no model name is found.
 TITLE_NOISE = r"\b(смартфон|телефон|ноутбук|видеокарта|наушники|планшет|фотоаппарат|чехол|зарядка|кабель|чёрный|белый|синий|128|256|512|1024)\b"
 _NOT_PART = r"(?!.*(?:аккумулятор|батаре\w*|battery|чехол|сумк\w*\s+для))"
-#: Words by which a title is of a category, in the order in which categories are tried.
+#: Words by which a title is of a category, in the order in which categories are tried. A word that others bar is found first and then looked behind, so that a title is read once.
 CATEGORIES = (
     ("memory_cards", r"micro\s*sd(?:xc|hc)?|\bsd\s*xc\b|\bsd\s*card\b|карта\s+памяти|флеш[-\s]?карт|memory\s+card|\bcanvas\s+go\b|\bcanvas\s+select\b"),
     ("accessories", r"\bsoft\s+(?:tpu\s+)?case\b|\bprotective\s+case\b|\bsilicone\s+case\b|\b(?:phone|iphone|galaxy|pixel|xiaomi)?\s*case\b|\b(?:back\s+)?cover\b|\blaptop\s+(?:sleeve|bag|case)\b|\bnotebook\s+(?:sleeve|bag|case)\b|\bsleeve\s+bag\b|"
      r"\btempered\s+glass\b|\bscreen\s+protector\b|\bcharging\s+cable\b|\b(?:usb[-\s]?c|lightning|type[-\s]?c)\s+cable\b|\b(?:wall\s+)?charger\b|\b(?:power\s+)?adapter\b|\bdual\s*sense\b|\bdualshock\b|геймпад|джойстик|беспроводн\w*\s+контроллер|"
      r"контроллер\s+для\s+(?:playstation|xbox|switch|приставк)|(?:аккумулятор|батаре\w*|battery)|(?:чехол|сумк\w*).{0,40}(?:фото|nikon|canon|sony|fujifilm|dslr|\bd\d{3,4}\b)|(?:для\s+(?:фотоаппарат|камеры|nikon|canon)).{0,24}(?:чехол|сумк)|"
-     r"(?!.*(?:смартфон|ноутбук|laptop|macbook|телевизор|монитор|\bsmartphone\b)).*(?:чехол|защитн\w*\s+(?:стекл|плёнк|пленк)|плёнк|пленк|кабель\s+(?:usb|type|type-c|lightning)|зарядк|зарядн(?:ое|ый)\s+(?:устрой|блок)|держатель|подставк|"
-     r"сумк\w*\s+для\s+(?:ноут|laptop))|чехол\s+для\s+(?:iphone|galaxy|samsung|xiaomi|redmi|телефон|смартфон|ноут)|(?:стекл|плёнк|пленк).{0,24}(?:iphone|galaxy|samsung|xiaomi)|сумка\s+для\s+ноут|подставк\w*\s+для\s+ноут"),
+     r"(?=чехол|защитн\w*\s+(?:стекл|плёнк|пленк)|плёнк|пленк|кабель\s+(?:usb|type|type-c|lightning)|зарядк|зарядн(?:ое|ый)\s+(?:устрой|блок)|держатель|подставк|"
+     r"сумк\w*\s+для\s+(?:ноут|laptop))(?!.*(?:смартфон|ноутбук|laptop|macbook|телевизор|монитор|\bsmartphone\b))|чехол\s+для\s+(?:iphone|galaxy|samsung|xiaomi|redmi|телефон|смартфон|ноут)|(?:стекл|плёнк|пленк).{0,24}(?:iphone|galaxy|samsung|xiaomi)|сумка\s+для\s+ноут|подставк\w*\s+для\s+ноут"),
     ("tvs", r"телевизор|\bsmart\s*tv\b|\bUE\d{2}|\bQN\d{2}|\bOLED\s*(?:TV|телевизор)|\bQLED\b"), ("monitors", r"монитор|\bmonitor\b|\bgaming\s+monitor\b"),
     ("smartphones", r"смартфон|\bsmartphone\b|телефон|\biphone\b|\bphone\b|\bredmi\b|\brealme\b|\bpoco\b|\bgalaxy\s*[as]\d"),
     ("gpus", r"видеокарт|\bgpu\b|графическ(ая|ий)\s*(карт|процессор)|трафарет.{0,24}rtx|наклейк.{0,24}rtx"), ("monoblocks", r"моноблок|all[-\s]?in[-\s]?one|\baio\s*(?:pc|пк)?\b"),
@@ -89,7 +93,7 @@ CATEGORIES = (
     ("headphones", r"наушник|\bheadphones?\b|\bearbuds?\b|\bairpods\b|\bgalaxy\s*buds|\bheadset\b"),
     ("wearables", r"умные\s+часы|фитнес\s*[-\s]?браслет|smart\s*band|\bamazfit\b|\bmi\s*band\b|xiaomi\s+smart\s+band|\bgalaxy\s*watch\b|apple\s+watch|смарт\s*[-\s]?часы"),
     ("lenses", r"\bобъектив\b|\blens\b|\b(?:ef|rf|e)\s*-?\s*\d{1,3}\s*mm\b|\b\d{1,3}\s*[-–]\s*\d{2,3}\s*mm\s*f\/?\d"),
-    ("cameras", rf"{_NOT_PART}.*(?:фотоаппарат|зеркал|беззеркал|\bdslr\b|\bmirrorless\b|\bcanon\s+eos\b|\bnikon\s+d\d|\bsony\s+(?:alpha|α)\s*\d|\bfujifilm\s+x-?[st]\d)"),
+    ("cameras", rf"(?=фотоаппарат|зеркал|беззеркал|\bdslr\b|\bmirrorless\b|\bcanon\s+eos\b|\bnikon\s+d\d|\bsony\s+(?:alpha|α)\s*\d|\bfujifilm\s+x-?[st]\d){_NOT_PART}"),
     ("consoles", r"игровая\s+приставк|\bplaystation\s*\d\b|\bps\s*[45]\b|\bxbox\s+series\b|\bnintendo\s+switch\b|\bsteam\s+deck\b"),
     ("networking", r"точка\s+доступа|\baccess\s*point\b|маршрутизатор|\bроутер\b|\brouter\b|\bmesh\s*(?:wifi|wi-?fi|system|система)?\b|\bwi-?fi\s*[67]\b|\bax\d{3,4}\b|\bap\d{3,4}\b|outdoor\s+ax|\b(?:cudy|tp-?link|keenetic|mikrotik|ubiquiti|asus\s+rt-)\b"),
     ("power_tools", r"дрель|шурупов|перфоратор|болгарк|лобзик|шлифмашин|садов|газонокосил|культиватор|barbecue|барбекю|гриль|\bgsb\s*\d|\bdcd\d|\b(?:bosch|makita|metabo|deko|интерскол)\s+[a-z]{2,5}[\s-]?\d{3,5}"),
@@ -147,24 +151,18 @@ def rx(pattern: str) -> str:
     return "(?iu)" + pattern.replace(r"\b", _BORDER)
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value computed once however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def has(x: Column, pattern: str) -> Column:
     return F.coalesce(x.rlike(rx(pattern)), F.lit(False))
 
 
 def part(x: Column, pattern: str, group: int = 0) -> Column:
     """The first match, or null."""
-    found = F.regexp_extract(x, rx(pattern), group)
-    return F.when(found != "", found)
+    return t.matched(x, rx(pattern), group)
 
 
 def first_rule(x: Column, rules) -> Column:
     """Value of the first rule (value, pattern) that holds, or null."""
-    return F.coalesce(*[F.when(x.rlike(rx(pattern)), value) for value, pattern in rules])
+    return let(x, lambda v: F.coalesce(*[F.when(v.rlike(rx(pattern)), value) for value, pattern in rules]))
 
 
 def spaced(x: Column) -> Column:
@@ -177,8 +175,7 @@ def _number(x: Column, pattern: str) -> Column:
 
 
 def material_of(x: Column) -> Column:
-    low = F.lower(x)
-    return F.coalesce(*[F.when(low.contains(word), F.lit(name)) for word, name in MATERIALS.items()])
+    return let(F.lower(x), lambda low: F.coalesce(*[F.when(low.contains(word), F.lit(name)) for word, name in MATERIALS.items()]))
 
 
 def scent_of(x: Column) -> Column:
@@ -221,32 +218,25 @@ NUMBER_SAID, NUMBER_LIKE = r"(?:артикул|mpn|p\/n|part\s*number)\s*[:\-]?\
 def weight_g(x: Column) -> Column:
     """Kilograms times 1000, else grams below 100 000. A Cyrillic unit counts only before an ASCII letter or digit, as in the rules that this follows."""
     number, unit = r"(\d+(?:[.,]\d+)?)\s*", F.translate(x, " ", " ")
-    kilo = _number(unit, number + KILO)
-    cyrillic = has(unit, number + CYRILLIC_GRAM)
-    gram = _number(F.regexp_replace(unit, r"^([^,]*),", "$1."), GRAM)
-    return F.when(kilo > 0, F.floor(kilo * 1000 + 0.5)).when(kilo.isNull() & ~cyrillic & (gram > 0) & (gram < 100_000), F.floor(gram + 0.5))
+    grams = lambda u: let(_number(F.regexp_replace(u, r"^([^,]*),", "$1."), GRAM), lambda gram: F.when((gram > 0) & (gram < 100_000), F.floor(gram + 0.5)))
+    told = lambda u: let(_number(u, number + KILO), lambda kilo: F.when(kilo > 0, F.floor(kilo * 1000 + 0.5)).when(kilo.isNull() & ~has(u, number + CYRILLIC_GRAM), grams(u)))
+    return let(unit, told)
 
 
 def _size(x: Column) -> Column:
-    letters = F.upper(part(x, SIZE_LETTERS, 1))
-    european = _number(x, SIZE_NUMBER)
-    number = F.when(european.between(20, 60), F.regexp_replace(F.format_string("%.1f", european), r"\.0$", ""))
-    return F.coalesce(F.replace(F.replace(letters, F.lit("2XL"), F.lit("XXL")), F.lit("3XL"), F.lit("XXXL")), number)
+    number = let(_number(x, SIZE_NUMBER), lambda european: F.when(european.between(20, 60), F.regexp_replace(F.format_string("%.1f", european), r"\.0$", "")))
+    return F.coalesce(F.replace(F.replace(F.upper(part(x, SIZE_LETTERS, 1)), F.lit("2XL"), F.lit("XXL")), F.lit("3XL"), F.lit("XXXL")), number)
 
 
 def size_of(x: Column) -> Column:
     """Letters (XS, M, XXL) or a European number from 20 to 60: what follows 'size', else a letter that stands alone, else any."""
-    x = F.translate(x, " ", " ")
-    said, letter = part(x, SIZE_SAID, 1), part(x, SIZE_ALONE, 1)
-    return F.when(said.isNotNull(), _size(said)).when(letter.isNotNull(), _size(letter)).otherwise(_size(x))
+    return let(F.translate(x, " ", " "), lambda v: let(F.coalesce(part(v, SIZE_SAID, 1), part(v, SIZE_ALONE, 1), v), _size))
 
 
 def color_of(x: Column) -> Column:
     """Family of the first colour word, else of the first known word that the text contains in any place."""
-    low = F.lower(x)
-    word = part(low, COLOR_WORD, 1)
-    inside = F.coalesce(*[F.when(low.contains(w), F.lit(f)) for f, words in t.COLORS.items() for w in words])
-    return F.when(word.isNotNull(), F.coalesce(t.color(word), word)).otherwise(inside)
+    inside = lambda low: F.coalesce(*[F.when(low.contains(w), F.lit(f)) for f, words in t.COLORS.items() for w in words])
+    return let(F.lower(x), lambda low: let(part(low, COLOR_WORD, 1), lambda word: F.when(word.isNotNull(), F.coalesce(t.color(word), word)).otherwise(inside(low))))
 
 
 def series_of(x: Column) -> Column:
@@ -270,12 +260,13 @@ MEMORY_FORMS = (
 
 def storage_variant(x: Column) -> Column:
     """Memory as the variant rules read it (MEMORY_FORMS): RAM+ROM, else ROM; terabytes count 1024."""
-    def told(pattern: str, groups: int, tera: bool) -> Column:
-        ram, rom = part(x, pattern, 1), part(x, pattern, groups)
-        size = F.floor(F.translate(rom, ",", ".").cast("double") * 1024 + 0.5).cast("string") if tera else rom
-        return F.when(rom.isNotNull() & ram.isNotNull(), F.concat(ram, F.lit("+"), size) if groups == 2 else F.concat(size, F.lit("gb")))
+    def told(v: Column, pattern: str, groups: int, tera: bool) -> Column:
+        whole = lambda rom: F.floor(F.translate(rom, ",", ".").cast("double") * 1024 + 0.5).cast("string") if tera else rom
+        size = whole(part(v, pattern, groups))
+        return F.when(v.rlike(rx(pattern)), F.concat(part(v, pattern, 1), F.lit("+"), size) if groups == 2 else F.concat(size, F.lit("gb")))
 
-    return F.coalesce(*[told(*form) for form in MEMORY_FORMS])
+    # all forms have a digit
+    return let(x, lambda v: F.when(v.rlike("[0-9]"), F.coalesce(*[told(v, *form) for form in MEMORY_FORMS])))
 
 
 #: Product lines and their generations as titles name them.
@@ -300,43 +291,43 @@ LINES = {
 
 def lineage_of(title: Column) -> Column:
     """struct(lineage, gen, gen_key) of a product line and its generation, or null: the first family that the title is of."""
-    x = spaced(F.lower(title))
     kind = "struct<lineage:string,gen:int,gen_key:string>"
+    none = F.lit(None).cast("string")
 
     def line(name: Column, gen: Column, key: Column | None = None) -> Column:
-        return F.when(name.isNotNull() & gen.isNotNull(), F.struct(name.alias("lineage"), gen.cast("int").alias("gen"), (key if key is not None else F.lit(None).cast("string")).alias("gen_key"))).cast(kind)
+        given = F.struct(name.alias("lineage"), gen.cast("int").alias("gen"), (none if key is None else key).alias("gen_key"), gen.isNotNull().alias("known"))
+        return let(given, lambda g: F.when(g["lineage"].isNotNull() & g["known"], F.struct(g["lineage"].alias("lineage"), g["gen"].alias("gen"), g["gen_key"].alias("gen_key")))).cast(kind)
 
     digits = lambda c: F.nullif(F.regexp_extract(c, r"^\d+", 0), F.lit(""))
     tight = lambda c: F.regexp_replace(c, r"\s+", "")
-    buds = part(x, LINES["buds"], 1)
-    maker = F.when(has(x, LINES["redmi"]), "buds:redmi").when(has(x, LINES["galaxy"]), "buds:galaxy").otherwise("buds:generic")
-    phone = LINES["iphone"]
-    pixel = LINES["pixel"]
-    sony = part(x, LINES["sony"], 1)
-    flash = LINES["canvas"]
-    flash_line = part(x, flash, 1)
-    card = flash_line.isNotNull() | has(x, LINES["card"])
-    flash_name = F.concat(F.lit("flash:"), F.when(flash_line.isNotNull(), F.concat(F.replace(flash_line, F.lit("!"), F.lit("")), F.when(part(x, flash, 2).isNotNull(), "_plus").otherwise(""))).otherwise("flash_generic"))
-    flash_gen = part(x, LINES["card_gen"], 1)
-    dryer, dryer_model = part(x, LINES["dyson"], 1), part(x, LINES["dyson_gen"], 1)
-    tool = LINES["tool"]
-    tool_family, tool_key = part(x, tool, 1), part(x, tool, 2)
-    robot = F.when(has(x, LINES["robot"]), tight(part(x, LINES["robot_gen"], 1)))
     above = lambda c: F.when(c.cast("int") > 0, c)
-    gen_of_pixel = part(x, pixel, 1)
-    return F.coalesce(
-        line(F.when(buds.isNotNull(), maker), buds), line(F.lit("airpods"), part(x, LINES["airpods"], 1)),
-        line(F.lit("iphone"), part(x, phone, 1), F.concat(part(x, phone, 1).cast("int").cast("string"), F.coalesce(tight(part(x, phone, 2)), F.lit("")))),
-        line(F.lit("pixel"), digits(gen_of_pixel), F.concat(gen_of_pixel, F.coalesce(part(x, pixel, 2), F.lit("")))), line(F.lit("sony_wh1000xm"), sony, F.concat(F.lit("xm"), sony)),
-        line(F.when(card, flash_name), digits(flash_gen), flash_gen), line(F.when(flash_line.isNotNull(), flash_name), F.lit("0"), F.lit("0")),
-        line(F.concat(F.lit("dyson:"), dryer), dryer_model, F.concat(F.lit("hd"), dryer_model)), line(F.concat(F.lit("tool:"), tool_family), above(digits(tool_key)), F.concat(tool_family, tool_key)),
-        line(F.lit("robot:model"), above(F.regexp_extract(robot, r"\d+", 0)), robot),
-    )
+    two = lambda x, name: F.struct(part(x, LINES[name], 1).alias("first"), part(x, LINES[name], 2).alias("second"))
+
+    def told(x: Column) -> Column:
+        maker = F.when(has(x, LINES["redmi"]), "buds:redmi").when(has(x, LINES["galaxy"]), "buds:galaxy").otherwise("buds:generic")
+
+        def of_flash(f: Column) -> Column:
+            card = f["first"].isNotNull() | has(x, LINES["card"])
+            plus = F.when(f["second"].isNotNull(), "_plus").otherwise("")
+            name = F.concat(F.lit("flash:"), F.when(f["first"].isNotNull(), F.concat(F.replace(f["first"], F.lit("!"), F.lit("")), plus)).otherwise("flash_generic"))
+            return F.when(card, F.coalesce(let(part(x, LINES["card_gen"], 1), lambda gen: line(name, digits(gen), gen)), line(F.when(f["first"].isNotNull(), name), F.lit("0"), F.lit("0"))))
+
+        return F.coalesce(
+            let(part(x, LINES["buds"], 1), lambda buds: F.when(buds.isNotNull(), line(maker, buds))), line(F.lit("airpods"), part(x, LINES["airpods"], 1)),
+            let(two(x, "iphone"), lambda p: line(F.lit("iphone"), p["first"], F.concat(p["first"].cast("int").cast("string"), F.coalesce(tight(p["second"]), F.lit(""))))),
+            let(two(x, "pixel"), lambda p: line(F.lit("pixel"), digits(p["first"]), F.concat(p["first"], F.coalesce(p["second"], F.lit(""))))),
+            let(part(x, LINES["sony"], 1), lambda sony: line(F.lit("sony_wh1000xm"), sony, F.concat(F.lit("xm"), sony))), let(two(x, "canvas"), of_flash),
+            let(part(x, LINES["dyson"], 1), lambda dryer: F.when(dryer.isNotNull(), let(part(x, LINES["dyson_gen"], 1), lambda model: line(F.concat(F.lit("dyson:"), dryer), model, F.concat(F.lit("hd"), model))))),
+            let(two(x, "tool"), lambda p: line(F.concat(F.lit("tool:"), p["first"]), above(digits(p["second"])), F.concat(p["first"], p["second"]))),
+            F.when(has(x, LINES["robot"]), let(tight(part(x, LINES["robot_gen"], 1)), lambda robot: line(F.lit("robot:model"), above(F.regexp_extract(robot, r"\d+", 0)), robot))),
+        )
+
+    return let(spaced(F.lower(title)), told)
 
 
 def _without(x: Column, literal: Column) -> Column:
     """x without any case of a literal (null: as it is)."""
-    return F.when(literal.isNull(), x).otherwise(F.regexp_replace(x, F.concat(F.lit(r"(?iu)\Q"), literal, F.lit(r"\E")), F.lit(" ")))
+    return F.when(literal.isNull(), x).otherwise(F.regexp_replace(x, F.concat(F.lit(r"(?iu)\Q"), F.replace(literal, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), F.lit(" ")))
 
 
 def _first_words(x: Column, n: int) -> Column:
@@ -356,7 +347,7 @@ def entity_of(title: Column, specs: Column | None = None) -> Column:
         said = F.nullif(F.substring(_first_words(F.regexp_extract(name, "(?s)" + rx(FOR_HOST) + "(.*)$", 1), 6), 1, 60), F.lit(""))
         return F.struct(
             name.alias("name"), text.alias("text"), family(name).alias("named_family"), family(text).alias("text_family"), phrase(name).alias("named_host"), phrase(text).alias("text_host"), said.alias("said"),
-            F.when(has(name, HOST_LEAD), False).otherwise(has(name, DEPENDENT_LEAD)).alias("leads"), F.coalesce(*[F.when(F.lower(text).contains(b), F.lit(b)) for b in HOST_BRANDS]).alias("brand"),
+            F.when(has(name, HOST_LEAD), False).otherwise(has(name, DEPENDENT_LEAD)).alias("leads"), t.brand_of(text, HOST_BRANDS).alias("brand"),
         )
 
     def signals(x: Column) -> Column:
@@ -442,12 +433,14 @@ def model_of(title: Column, entity: Column) -> Column:
 
 def match_tokens(title: Column) -> Column:
     """Different tokens that tell products apart: graphics chips, model codes of five characters or more, words of four or more that aren't stop words."""
-    x = t.normal_title(title)
-    chip = lambda name: F.when(has(x, rf"{name}\s*\d{{3,4}}"), F.concat(F.lit(name), part(x, rf"{name}\s*(\d{{3,4}})", 1)))
-    codes = F.filter(F.transform(F.regexp_extract_all(x, F.lit(r"[a-z]{1,4}-?[a-z]?\d{3,6}[a-z0-9]*"), F.lit(0)), lambda c: F.replace(c, F.lit("-"), F.lit(""))), lambda c: F.length(c) >= 5)
-    words = F.filter(F.split(x, " "), lambda w: (F.length(w) >= 4) & ~w.isin(*t.STOP_WORDS))
-    found = F.array_distinct(F.concat(F.array_compact(F.array(chip("rtx"), chip("gtx"))), codes, words))
-    return F.when((F.coalesce(title, F.lit("")) == "") | (title == PLACEHOLDER), F.array().cast("array<string>")).otherwise(found)
+
+    def found(x: Column) -> Column:
+        chip = lambda name: F.concat(F.lit(name), part(x, rf"{name}\s*(\d{{3,4}})", 1))
+        codes = F.filter(F.transform(F.regexp_extract_all(x, F.lit(r"[a-z]{1,4}-?[a-z]?\d{3,6}[a-z0-9]*"), F.lit(0)), lambda c: F.replace(c, F.lit("-"), F.lit(""))), lambda c: F.length(c) >= 5)
+        words = F.filter(F.split(x, " "), lambda w: (F.length(w) >= 4) & ~w.isin(*t.STOP_WORDS))
+        return F.array_distinct(F.concat(F.filter(F.array(chip("rtx"), chip("gtx")), lambda c: c.isNotNull()), codes, words))
+
+    return F.when((F.coalesce(title, F.lit("")) == "") | (title == PLACEHOLDER), F.array().cast("array<string>")).otherwise(let(t.normal_title(title), found))
 
 
 #: Marks that penalties between categories look at: name and pattern.
@@ -488,6 +481,13 @@ def spread(titles: DataFrame) -> DataFrame:
     return titles.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def with_told(rows: DataFrame, texts: list[str], **told: Column) -> DataFrame:
+    """rows with columns told, which depend on the columns texts alone: computed once for each different text, on every core, and stored, then joined (null is a text like others)."""
+    known = stored(spread(rows.select(*texts).distinct()).select(*[F.col(c).alias(f"of_{c}") for c in texts], *[c.alias(name) for name, c in told.items()]), "told")
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in texts]
+    return rows.join(known, functools.reduce(lambda x, y: x & y, same)).drop(*[f"of_{c}" for c in texts])
+
+
 def features_of(title: str, specs: str | None = None) -> Column:
     """features() of named columns; built once a session, for it is a large expression."""
     key = SparkContext._active_spark_context.applicationId, title, specs
@@ -502,14 +502,13 @@ def features(title: Column, specs: Column | None = None) -> Column:
 
     def read(x: Column) -> Column:
         name, all_ = x["title"], x["text"]
-        variant = storage_variant(all_)
         return F.struct(
-            name.alias("title"), t.brand_of(name).alias("brand"), category_of(all_).alias("category"), F.coalesce(variant, t.storage(all_)).alias("storage"), variant.alias("variant_storage"), color_of(all_).alias("color"),
+            name.alias("title"), t.brand_of(name).alias("brand"), category_of(all_).alias("category"), F.coalesce(x["memory"], t.storage(all_)).alias("storage"), x["memory"].alias("variant_storage"), color_of(all_).alias("color"),
             t.volume_ml(all_).alias("volume"), weight_g(all_).alias("weight"), t.package_count(all_).alias("package_count"), size_of(all_).alias("size"), series_of(all_).alias("series"),
             first_rule(F.lower(all_), GENDERS).alias("gender"), material_of(all_).alias("material"), part_number_of(all_).alias("mpn"), connector_of(all_).alias("connector"), condition_of(all_).alias("condition"),
             authenticity_of(all_).alias("authenticity"), region_of(all_).alias("region"), edition_of(all_).alias("edition"), scent_of(all_).alias("scent"), lineage_of(name).alias("line"), marks_of(name).alias("marks"),
             match_tokens(name).alias("tokens"), t.title_words(name).alias("words"), let(entity_of(name, x["specs"]), lambda e: F.struct(e.alias("entity"), model_of(name, e).alias("model"))).alias("e"),
         )
 
-    given = F.struct(title.alias("title"), (specs if specs is not None else F.lit(None).cast("string")).alias("specs"), text.alias("text"))
+    given = F.struct(title.alias("title"), (specs if specs is not None else F.lit(None).cast("string")).alias("specs"), text.alias("text"), storage_variant(text).alias("memory"))
     return let(given, read)

@@ -17,7 +17,6 @@ from ..operators import reuse as ru
 from ..registry import query
 from ..sources import relations as r
 from ..sources.relations import with_views
-from ..sources.shared import stored
 
 
 def _k():
@@ -162,7 +161,7 @@ def d49(spark, d):
 @query("d48_n37_cache_confidence")
 def d48(spark, d):
     """How surely each listing is the product of an earlier analysis, and whether that is used again (n37)."""
-    f = stored(r.listings(spark, d).select("product", "price", ti.features_of("title", "specs").alias("f")), "features")
+    f = ti.with_told(r.listings(spark, d).select("product", "price", "title", "specs"), ["title", "specs"], f=ti.features_of("title", "specs"))
     short = F.struct("f.brand", F.col("f.e.model.model").alias("model"), "f.storage", "f.color", "f.category")
     now = f.select("product", "price", short.alias("x"))
     then = now.select((F.col("product") + 40).alias("product"), F.col("price").alias("price_then"), F.col("x").alias("y"))

@@ -38,7 +38,8 @@ def j16(spark, d):
 def m16(spark, d):
     """The records of each user's list (their line items) after merging in order, by links and articles, guarded by maker and category of the title."""
     items = r.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(r.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    named = r.listings(spark, d).select(F.col("product").alias("l_partkey"), "title", t.family_of(t.brand_of(F.col("title"))).alias("maker"), ti.category_of(F.col("title")).alias("category"))
+    titles = r.listings(spark, d).select(F.col("product").alias("l_partkey"), "title")
+    named = ti.with_told(titles, ["title"], maker=t.family_of(t.brand_of(F.col("title"))), category=ti.category_of(F.col("title")))
     store, other = r.pick(r.WATCHED, F.col("l_suppkey")), r.pick(r.WATCHED, F.col("l_partkey"))
     url, article = F.concat(F.lit("https://shop.example/"), (F.col("l_partkey") % 97).cast("string")), F.when(F.col("l_linenumber") % 3 != 0, (F.col("l_partkey") % 89).cast("string"))
     elsewhere = F.when(F.col("l_linenumber") % 4 == 0, F.create_map(other, F.concat(F.lit("https://other.example/"), (F.col("l_suppkey") % 40).cast("string"))))

@@ -30,10 +30,15 @@ BLOCKS = {
 }
 
 
+def _texts(spark, d):
+    """Each listing's title and specs as one text x."""
+    return r.listings(spark, d).select("product", F.concat_ws(" ", "title", F.coalesce("specs", F.lit(""))).alias("x"))
+
+
 def _attribute(name, column, rule, rules):
     @query(name, with_views(f"SELECT product, {_sql_rules(rules, TEXT)} AS {column} FROM listings"))
     def attribute(spark, d):
-        return r.listings(spark, d).select("product", rule(F.concat_ws(" ", "title", F.coalesce("specs", F.lit("")))).alias(column))
+        return ti.with_told(_texts(spark, d), ["x"], **{column: rule(F.col("x"))}).select("product", column)
 
 
 for _name, (_column, _rule, _rules) in BLOCKS.items():
@@ -45,37 +50,37 @@ MATERIAL_SQL = "CASE " + " ".join(f"WHEN contains(lower({TEXT}), '{w}') THEN '{v
 @query("x11_material", with_views(f"SELECT product, {MATERIAL_SQL} AS material FROM listings"))
 def x11(spark, d):
     """Material of every listing."""
-    return r.listings(spark, d).select("product", ti.material_of(F.concat_ws(" ", "title", F.coalesce("specs", F.lit("")))).alias("material"))
+    return ti.with_told(_texts(spark, d), ["x"], material=ti.material_of(F.col("x"))).select("product", "material")
 
 
 @query("x20_n5_categories")
 def x20(spark, d):
     """Category of every listing, by the ordered table of words."""
-    return r.listings(spark, d).select("product", ti.category_of(F.concat_ws(" ", "title", F.coalesce("specs", F.lit("")))).alias("category"))
+    return ti.with_told(_texts(spark, d), ["x"], category=ti.category_of(F.col("x"))).select("product", "category")
 
 
 @query("x8_x10_sizes")
 def x8(spark, d):
     """Weight, size and colour (x6) of every listing."""
-    x = F.concat_ws(" ", "title", F.coalesce("specs", F.lit("")))
-    return r.listings(spark, d).select("product", ti.weight_g(x).alias("weight_g"), ti.size_of(x).alias("size"), ti.color_of(x).alias("color"))
+    x = F.col("x")
+    return ti.with_told(_texts(spark, d), ["x"], weight_g=ti.weight_g(x), size=ti.size_of(x), color=ti.color_of(x)).select("product", "weight_g", "size", "color")
 
 
 @query("x21_lineage")
 def x21(spark, d):
     """Product line and generation of every listing."""
-    return r.listings(spark, d).select("product", ti.lineage_of(F.col("title")).alias("line")).select("product", "line.*")
+    return ti.with_told(r.listings(spark, d).select("product", "title"), ["title"], line=ti.lineage_of(F.col("title"))).select("product", "line.*")
 
 
 @query("x22_entities")
 def x22(spark, d):
     """What every listing is: a device, or a part, supply or accessory of a host; and what to search for (x55)."""
-    rows = r.listings(spark, d).select("product", ti.entity_of(F.col("title"), F.col("specs")).alias("e"))
+    rows = ti.with_told(r.listings(spark, d).select("product", "title", "specs"), ["title", "specs"], e=ti.entity_of(F.col("title"), F.col("specs")))
     return rows.select("product", "e.*", ti.entity_query(F.col("e")).alias("query"), ti.entity_query_with_host(F.col("e")).alias("query_with_host"))
 
 
 def _featured(spark, d):
-    return stored(ti.spread(r.listings(spark, d)).select("product", "price", "store", ti.features_of("title", "specs").alias("f")), "features")
+    return ti.with_told(r.listings(spark, d), ["title", "specs"], f=ti.features_of("title", "specs")).select("product", "price", "store", "f")
 
 
 @query("x19_x23_features")
@@ -88,7 +93,7 @@ def x23(spark, d):
 
 def _pairs(spark, d):
     """Search results with both sides' features: each title's features are computed once, in the joined rows they are columns."""
-    known = _featured(spark, d)
+    known = stored(_featured(spark, d), "features")
     a = known.select(F.col("product").alias("reference"), F.col("price").alias("price_a"), F.col("f").alias("a"))
     b = known.select(F.col("product").alias("candidate"), F.col("price").alias("price_b"), F.col("store"), F.col("f").alias("b"))
     return r.found_listings(spark, d).join(a, "reference").join(b, "candidate")
@@ -160,7 +165,7 @@ def d26(spark, d):
     """Each reference's best result checked against the card behind it: verified from 90 (from 95 where it was alone), at the lower of both prices; else a choice."""
     top = ms.ranked(_pairs(spark, d), 0.38, 1.5, 2).withColumn("alone", F.count(F.lit(1)).over(Window.partitionBy("reference")) == 1).where("place = 1")
     card = r.listings(spark, d).select(F.col("product").alias("candidate"), F.concat("title", F.when(F.col("product") % 3 == 0, " оригинал").otherwise("")).alias("card_title"), (F.col("price") * F.when(F.col("product") % 4 == 0, 0.9).otherwise(1.1)).alias("card_price"))
-    seen = stored(card.select("candidate", "card_price", ti.features_of("card_title").alias("b")), "features")
+    seen = ti.with_told(card, ["card_title"], b=ti.features_of("card_title")).select("candidate", "card_price", "b")
     rows = ms.with_scores(top.withColumn("first", n.confidence(F.col("score"))).drop("b", "s", "score").join(seen, "candidate")).withColumn("again", n.confidence(F.col("score")))
     sure = (F.col("again") >= 90) | (F.col("alone") & (F.col("first") >= 95))
     return rows.select("reference", "candidate", F.col("again").alias("confidence"), F.when(sure, "verified").otherwise("needs_choice").alias("status"), F.when(sure, F.least("price_b", "card_price")).alias("price"))
@@ -169,7 +174,7 @@ def d26(spark, d):
 @query("j17_entities")
 def j17(spark, d):
     """Products of one store matched to those of another: every pair that the gates on category, maker, model and price let through is scored, the three best from 0.55 kept."""
-    known = _featured(spark, d)
+    known = stored(_featured(spark, d), "features")
     a = known.where("store = 0").select(F.col("product").alias("reference"), F.col("price").alias("price_a"), F.col("f").alias("a"))
     b = known.where("store = 1").select(F.col("product").alias("candidate"), F.col("price").alias("price_b"), F.col("f").alias("b"))
     return ms.entities(a, b)

@@ -147,3 +147,26 @@ def test_folded_offers(spark):
 @pytest.mark.parametrize("text, clean, promo", [("iPhone 15 | Ozon", "iPhone 15", False), ("Часы купить в Москве", "Часы", False), ("Осталось 3 шт", "Осталось 3 шт", True), ("Смартфон Xiaomi распродажа", "Смартфон Xiaomi распродажа", False), ("", "", True)])
 def test_titles_of_stores(spark, text, clean, promo):
     assert values(spark, t.clean_title, [text]) == [clean] and values(spark, t.promo_title, [text]) == [promo]
+
+
+def test_texts_are_read_once_for_all_rows(spark):
+    """Rows of equal texts share what is computed of them, nulls too, and no rows are lost."""
+    rows = spark.createDataFrame([(1, "Чехол a", None), (2, "Чехол a", None), (3, None, "x"), (4, None, None), (5, "Чехол a", "x"), (6, None, None)], "id int, title string, specs string")
+    got = {r["id"]: (r["c"], r["n"]) for r in ti.with_told(rows, ["title", "specs"], c=ti.category_of(F.col("title")), n=F.length("specs")).collect()}
+    assert got == {1: ("accessories", None), 2: ("accessories", None), 3: ("generic", 1), 4: ("generic", None), 5: ("accessories", 1), 6: ("generic", None)}
+
+
+def test_hosts_may_hold_any_characters(spark):
+    """A host that ends a quoted pattern is taken out of its title as any other text."""
+    row = spark.range(1).select(F.lit(r"Чехол для a\Eb iPhone 15").alias("t")).select(ti.entity_of(F.col("t")).alias("e")).first()
+    assert row["e"]["role"] == "accessory" and r"a\Eb" in row["e"]["host"] and r"\E" not in row["e"]["entity"]
+
+
+def test_categories_take_long_titles(spark):
+    """Barred words are looked for from a word of the category on only: 40000 characters are read once, not once for each start."""
+    import time
+
+    start = time.time()
+    rows = spark.createDataFrame([("x" * 40_000,), ("держатель " + "x" * 40_000 + " смартфон",), ("смартфон " + "x" * 40_000 + " держатель",)], "t string")
+    assert [r[0] for r in rows.select(ti.category_of(F.col("t"))).collect()] == ["generic", "smartphones", "accessories"]
+    assert time.time() - start < 20
