@@ -20,13 +20,14 @@ DEEPEST, MOST, SHORTEST, LONGEST = 16, 40, 15, 2000
 
 SCRIPTS = r'(?is)<script[^>]*type="application/(?:ld\+)?json"[^>]*>(.*?)</script>'
 MARKUP = r'(?is)<(?:p|div|span)[^>]*(?:data-review-text|itemprop="reviewBody"|class="[^"]*review[^"]*text[^"]*")[^>]*>(.*?)</(?:p|div|span)>'
+HEADING = r"(?is)<h1[^>]*>(.*?)</h1>"
 ENTITIES = {"&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 
 
-def plain(html: Column) -> Column:
+def plain(html: Column, entities: dict[str, str] = ENTITIES) -> Column:
     """Text of a piece of markup: no tags, entities read, single spaces."""
     x = F.regexp_replace(html, r"(?s)<[^>]+>", " ")
-    for name, char in ENTITIES.items():
+    for name, char in entities.items():
         x = F.replace(x, F.lit(name), F.lit(char))
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
@@ -52,11 +53,16 @@ def json_reviews(pages: DataFrame) -> DataFrame:
     return found.where("text IS NOT NULL").withColumn("n", first).where("n = 1").withColumn("place", place).where(F.col("place") < MOST).select("page_id", "place", "text", "rating")
 
 
+def heading(html: Column) -> Column:
+    """Text of a page's first heading, of entities only &amp; read; empty without one."""
+    return plain(F.regexp_extract(html, HEADING, 1), {"&amp;": "&"})
+
+
 def card(pages: DataFrame) -> DataFrame:
     """page_id, title, price, old_price, rating of a product card: structured data first, then markup."""
     got = lambda pattern: F.nullif(F.regexp_extract("html", pattern, 1), F.lit(""))
     number = lambda x: F.regexp_replace(F.regexp_replace(x, r"[\s ]", ""), ",", ".").try_cast("double")
-    title = F.coalesce(got(r'(?is)<meta[^>]*property="og:title"[^>]*content="([^"]+)"'), plain(got(r"(?is)<h1[^>]*>(.*?)</h1>")), plain(got(r"(?is)<title[^>]*>(.*?)</title>")))
+    title = F.coalesce(got(r'(?is)<meta[^>]*property="og:title"[^>]*content="([^"]+)"'), plain(got(HEADING)), plain(got(r"(?is)<title[^>]*>(.*?)</title>")))
     price = F.coalesce(number(got(r'(?is)itemprop="price"[^>]*content="([\d.,\s]+)"')), number(got(r'"(?:price|lowPrice)"\s*:\s*"?([\d.]{2,})')), number(got(r"(?is)>\s*([\d\s ]{2,12})\s*₽")))
     return pages.select("page_id", title.alias("title"), price.alias("price"), number(got(r"(?is)<(?:del|s)[^>]*>\s*([\d\s ]{2,12})")).alias("old_price"), number(got(r"(\d[.,]\d)\s*(?:из\s*5|/\s*5)")).alias("rating"))
 
