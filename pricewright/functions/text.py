@@ -209,6 +209,17 @@ def image_score(url: Column) -> Column:
     )
 
 
+def _ranges(chars) -> str:
+    """A class of characters as ranges: classes of many single characters are tried one by one."""
+    runs = []
+    for code in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
 @functools.cache
 def _unfolding() -> tuple[str, str, dict[str, str]]:
     """Of characters whose compatibility decomposition has Latin letters or digits: those that come to one such and marks behind it, with what they come to, in two texts of equal length; and
@@ -229,20 +240,21 @@ def _unfolding() -> tuple[str, str, dict[str, str]]:
 def unfolded(x: Column) -> Column:
     """Decomposed as NFKD does, so far as it leads to Latin letters and digits: an accented letter becomes the letter and a hyphen for its marks, a ligature its letters."""
     marked, letters, others = _unfolding()
-    odd = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in others) + "]"
-    table = F.create_map(*[F.lit(v) for pair in others.items() for v in pair])
+    single = {c: v for c, v in others.items() if len(v) == 1}
+    several = {c: v for c, v in others.items() if len(v) != 1}
+    table = F.create_map(*[F.lit(v) for pair in several.items() for v in pair])
     # few texts have any of these; the map is only searched for them
-    rare = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    y = F.when(x.rlike(odd), rare).otherwise(x)
-    accented = "([" + "".join(f"\\x{{{ord(c):x}}}" for c in marked) + "])"
-    return F.when(y.rlike(r"[^\x00-\x7f]"), F.translate(F.regexp_replace(y, accented, "$1-"), marked, letters)).otherwise(y)
+    spelled = lambda v: F.array_join(F.transform(F.split(v, ""), lambda c: F.when(c.rlike(_ranges(several)), F.coalesce(F.try_element_at(table, c), c)).otherwise(c)), "")
+    rare = lambda v: F.when(v.rlike(_ranges(several)), spelled(v)).otherwise(v)
+    plain = lambda v: F.when(v.rlike(_ranges(others)), let(F.translate(v, "".join(single), "".join(single.values())), rare)).otherwise(v)
+    bare = lambda v: F.translate(F.regexp_replace(v, f"({_ranges(marked)})", "$1-"), marked, letters)
+    return F.when(x.rlike(r"[^\x00-\x7f]"), let(plain(x), lambda v: F.when(v.rlike(_ranges(marked)), bare(v)).otherwise(v))).otherwise(x)
 
 
 def slug(x: Column, longest: int = 80) -> Column:
     """Unfolded, lower case, everything but a-z and 0-9 to single hyphens, at most `longest` characters; 'item' if nothing is left."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(unfolded(x)), r"[^a-z0-9]+", "-"), "^-|-$", "")
-    cut = F.regexp_replace(F.substring(s, 1, longest), "-$", "")
-    return F.when(F.length(cut) == 0, "item").otherwise(cut)
+    whole = F.regexp_replace(F.regexp_replace(F.lower(unfolded(x)), r"[^a-z0-9]+", "-"), "^-|-$", "")
+    return let(F.regexp_replace(F.substring(whole, 1, longest), "-$", ""), lambda cut: F.when(F.length(cut) == 0, "item").otherwise(cut))
 
 
 def sentiment(x: Column, good: tuple[str, ...] = PRAISE, bad: tuple[str, ...] = COMPLAINT) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions import titles as ti
 from ..operators import catalog as c
 from ..registry import query
 from ..sources import relations as r
@@ -156,7 +157,7 @@ def x5_all(spark, d):
 @query("x1_titles")
 def x1(spark, d):
     """Normalised title, storage, volume, package count and slug of every line of every document; a null text is one line of nulls."""
-    lines = r.table(spark, d, "documents").select("doc_id", F.posexplode_outer(F.split("text", r"\r\n?|\n")).alias("line", "text"))
+    lines = ti.spread(r.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode_outer(F.split("text", r"\r\n?|\n")).alias("line", "text"))
     x = F.col("text")
     measured = F.when(x.rlike("[0-9]"), x)  # sizes, volumes and counts have a digit
     return lines.select("doc_id", "line", t.normal_title(x).alias("title"), t.storage(measured).alias("storage"), t.volume_ml(measured).alias("volume_ml"), t.package_count(measured).alias("package_count"), t.slug(x).alias("slug"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reviews as rv
 from ..functions import text as t
+from ..functions import titles as ti
 from ..operators import catalog as c
 from ..operators import offers as o
 from ..registry import query
@@ -98,7 +99,7 @@ FROM (SELECT p_partkey, {r._sql_pick(ACCENTS, 'p_partkey')} || ' ' || p_name ||
 def x31(spark, d):
     """Slugs of names with accented letters: the letters stay, their marks become hyphens."""
     name = F.concat_ws(" ", r.pick(ACCENTS, F.col("p_partkey")), "p_name", r.pick(ACCENTS, F.expr("p_partkey div 10")))
-    return r.table(spark, d, "part").select("p_partkey", t.slug(name).alias("slug"))
+    return ti.spread(r.table(spark, d, "part")).select("p_partkey", t.slug(name).alias("slug"))
 
 
 IDS = ("'WB-' || p_partkey", "'ozon-' || p_partkey", "'MM-9' || (100000 + p_partkey) || 'x'", "'ae-77' || (1000000 + p_partkey)", "'eldorado:' || p_partkey % 100", "'Yandex-' || p_partkey", "'ym-' || p_partkey", "' ' || p_partkey || ' '", "NULL", "'mega-1' || (p_partkey % 90)")
