@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from ..functions import titles as ti
 from ..registry import query
 from ..sources import cards, extract, search_pages, trees
 from ..sources import relations as r
@@ -55,7 +56,7 @@ def n47(spark, d):
     """The offer in a page's widget states, for every part, in several forms."""
     quoted = lambda sql: re.sub(r"\bq\((.*?\}'|'[^()]*?')\)(?= \|\|)", lambda m: f"substring(to_json(array({m[1]})), 2, length(to_json(array({m[1]}))) - 2)", sql)
     form = F.coalesce(*[F.when(F.col("p_partkey") % len(STATES) == k, F.expr(quoted(f))) for k, f in enumerate(STATES)])
-    pages = r.table(spark, d, "part").withColumn("a", F.expr("1000 + p_partkey % 7000")).select(F.col("p_partkey").alias("page_id"), form.alias("states"))
+    pages = ti.spread(r.table(spark, d, "part")).withColumn("a", F.expr("1000 + p_partkey % 7000")).select(F.col("p_partkey").alias("page_id"), form.alias("states"))
     return extract.widget_offers(pages)
 
 
@@ -76,7 +77,7 @@ FROM g, range(3) t(k)""")
 def s18(spark, d):
     """Candidates on a search page for every product, in all forms that its store's pages have: tiles, links with a title before them, bare ids with one around them."""
     store, n = r.pick(PAGE_STORES, F.col("p_partkey")), F.lit(100_000_000) + F.col("p_partkey") * 10
-    part = r.table(spark, d, "part").select("p_partkey", "p_name", store.alias("store"), *[(n + k + 1).cast("string").alias(c) for k, c in enumerate("abc")])
+    part = ti.spread(r.table(spark, d, "part")).select("p_partkey", "p_name", store.alias("store"), *[(n + k + 1).cast("string").alias(c) for k, c in enumerate("abc")])
     html = F.coalesce(*[F.when(F.col("store") == s, F.concat(F.lit("<html>"), *[F.expr(p) for p in pieces], F.lit(" " * 200))) for s, pieces in PIECES.items()])
     return search_pages.candidates(part.select(F.col("p_partkey").alias("page_id"), "store", html.alias("html"), F.col("p_name").alias("reference"))).drop("confidence")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as ident
 from ..functions import numbers as n
 from ..functions import text
+from ..functions import titles as ti
 from ..operators import matching as m
 from ..operators import series as s
 from ..operators import whole as w
@@ -283,4 +284,4 @@ def s18(spark, d):
     path = lambda i: F.when(store == "wildberries", F.concat(F.lit("/catalog/"), number(i), F.lit("/detail.aspx"))).when(store == "aliexpress", F.concat(F.lit("https://aliexpress.ru/item/"), number(i), F.lit(".html"))).when(store == "mvideo", F.concat(F.lit("/products/name-"), number(i))).otherwise(F.concat(F.lit("/catalog/details/name-"), number(i), F.lit("/")))
     link = lambda i: F.concat(F.lit('<a class="c" href="'), path(i), F.lit('" data-x>'), "p_name", F.lit(f" {i} "), F.lit("</a>"))
     html = F.concat(F.lit("<html>"), *[link(i) for i in range(10)], *[link(i) for i in range(10)], F.lit("</html>"))
-    return extract.search_results(r.table(spark, d, "part").select(k.alias("page_id"), store.alias("store"), html.alias("html")))
+    return extract.search_results(ti.spread(r.table(spark, d, "part")).select(k.alias("page_id"), store.alias("store"), html.alias("html")))

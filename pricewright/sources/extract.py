@@ -182,5 +182,6 @@ def search_results(pages: DataFrame, most: int = 8) -> DataFrame:
     """page_id, place, id and title of the candidates on search pages (page_id, store, html): links of the store's form, each id once, the first `most`."""
     numbers, titles = (F.coalesce(*[F.when(F.col("store") == s, F.regexp_extract_all("html", F.lit("(?is)" + p), F.lit(g))) for s, p in LINKED.items()]) for g in (1, 2))
     pairs = F.zip_with(numbers, titles, lambda i, x: F.struct(i.alias("id"), F.trim(x).alias("title")))
-    first = F.filter(pairs, lambda p, k: F.array_position(F.transform(pairs, lambda q: q["id"]), p["id"]) == k + 1)
+    both = let(pairs, lambda ps: F.struct(ps.alias("pairs"), F.transform(ps, lambda q: q["id"]).alias("ids")))
+    first = let(both, lambda b: F.filter(b["pairs"], lambda p, k: F.array_position(b["ids"], p["id"]) == k + 1))
     return pages.select("page_id", F.posexplode(F.slice(first, 1, most)).alias("place", "c")).select("page_id", "place", "c.id", "c.title")

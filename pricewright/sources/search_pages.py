@@ -108,7 +108,8 @@ def candidates(pages: DataFrame, most: int = 8) -> DataFrame:
     digits = F.coalesce(*[F.when(store == s, n) for s, n in DIGITS.items()])
     sound = F.filter(found, lambda c: c.isNotNull() & (F.length(c["id"]) >= digits) & (F.length(c["title"]) >= SHORTEST))
     rated = F.filter(F.transform(sound, lambda c: F.struct(c["id"].alias("id"), c["title"].alias("title"), c["price"].alias("price"), c["other"].alias("other"), like(c).cast("bigint").alias("confidence"))), lambda c: c["confidence"] > 0)
-    once = F.aggregate(rated, F.slice(rated, 1, 0), lambda kept, c: F.when((F.size(kept) >= most) | F.exists(kept, lambda k: k["id"] == c["id"]), kept).otherwise(F.concat(kept, F.array(c))))
+    kept_of = lambda rs: F.aggregate(rs, F.slice(rs, 1, 0), lambda kept, c: F.when((F.size(kept) >= most) | F.exists(kept, lambda k: k["id"] == c["id"]), kept).otherwise(F.concat(kept, F.array(c))))
+    once = let(rated, kept_of)
     rows = pages.select("page_id", "store", once.alias("found")).select("page_id", "store", F.posexplode("found").alias("place", "c"))
     url = F.coalesce(
         F.when(F.col("store") == "megamarket", F.concat(F.lit("https://megamarket.ru/catalog/details/"), "c.id", F.lit("/"))), F.when(F.col("store") == "aliexpress", F.concat(F.lit("https://aliexpress.ru/item/"), "c.id", F.lit(".html"))),
