@@ -7,6 +7,8 @@ Everything is a function of columns, computed once per title (see features()); p
 from __future__ import annotations
 
 import functools
+import re
+from re import _parser as syntax
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -16,7 +18,10 @@ from ..sources.shared import stored
 from . import text as t
 from .text import let
 
-_BORDER = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+#: Java's \w is ASCII whatever the case flags say; a class of ranges would be folded character by character, at every place of a text.
+_BORDER = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+#: A border before a letter or digit that must follow can only be the beginning of a word.
+_BEGINS, _BEFORE_WORD = r"(?<!\w)(?=\w)", re.compile(r"\\b(?=[A-Za-z0-9](?![?*{]))")
 PLACEHOLDER = "Товар"
 
 #: Variant attributes, in the order in which they are looked for.
@@ -148,7 +153,51 @@ ENTITY_NOISE = r"\b(?:беспроводн\w*|wireless|оригинальн\w*|o
 
 def rx(pattern: str) -> str:
     """The pattern in Java's dialect: any case of any alphabet, word borders of ASCII words."""
-    return "(?iu)" + pattern.replace(r"\b", _BORDER)
+    return "(?iu)" + _BEFORE_WORD.sub(lambda _: _BEGINS, pattern).replace(r"\b", _BORDER)
+
+
+#: Letters that some case of a pattern's letter folds to but lower() leaves, and what they fold to.
+_FOLDED = "ſıİᲀᲁᲂᲃᲄᲅᲆᲇᲈ", "siiвдосттъѣꙋ"
+
+
+def folded(x: Column) -> Column:
+    """x for may_have()."""
+    return F.lower(F.translate(x, *_FOLDED))
+
+
+@functools.cache
+def needed(pattern: str) -> frozenset[str]:
+    """Runs of letters and digits, in lower case, of which every text that matches the pattern has one; none where the pattern asks for none of two characters."""
+
+    def shortest(words: set[str]) -> int:
+        return min(map(len, words), default=0)
+
+    def of(nodes) -> set[str]:
+        best, run = set(), ""
+        for kind, value in [*nodes, (None, None)]:
+            if kind is syntax.LITERAL and chr(value).isalnum():
+                run += chr(value).lower()
+                continue
+            found, run = [{run}, set()], ""
+            if kind is syntax.BRANCH:
+                sets = [of(branch) for branch in value[1]]
+                found[1] = set().union(*sets) if all(sets) else set()
+            elif kind is syntax.SUBPATTERN:
+                found[1] = of(value[3])
+            elif kind in (syntax.MAX_REPEAT, syntax.MIN_REPEAT) and value[0] > 0:
+                found[1] = of(value[2])
+            elif kind is syntax.ASSERT and value[0] > 0:
+                found[1] = of(value[1])
+            best = max(best, *found, key=shortest)
+        return best if shortest(best) > 1 else set()
+
+    return frozenset(of(syntax.parse(pattern)))
+
+
+def may_have(low: Column, pattern: str) -> Column:
+    """Whether a folded() text has what a match of the pattern needs: most texts lack it, and aren't searched then."""
+    words = sorted(needed(pattern))
+    return functools.reduce(lambda a, b: a | b, [low.contains(w) for w in words]) if words else F.lit(True)
 
 
 def has(x: Column, pattern: str) -> Column:
@@ -162,7 +211,7 @@ def part(x: Column, pattern: str, group: int = 0) -> Column:
 
 def first_rule(x: Column, rules) -> Column:
     """Value of the first rule (value, pattern) that holds, or null."""
-    return let(x, lambda v: F.coalesce(*[F.when(v.rlike(rx(pattern)), value) for value, pattern in rules]))
+    return let(F.struct(x.alias("x"), folded(x).alias("low")), lambda v: F.coalesce(*[F.when(may_have(v["low"], pattern) & v["x"].rlike(rx(pattern)), value) for value, pattern in rules]))
 
 
 def spaced(x: Column) -> Column:
@@ -338,7 +387,8 @@ def entity_of(title: Column, specs: Column | None = None) -> Column:
     """struct(entity, brand, role, host, family, noun, confidence): whether a title is a device of its own or a part, supply or accessory of a host, and what
     it is for. A host that is sold with accessories stays a host."""
     family = lambda x: first_rule(x, [(f, p) for f, p, _ in HOSTS])
-    phrase = lambda x: F.coalesce(*[F.when(has(x, p), F.coalesce(spaced(part(x, c, 1)), F.lit("")) if c else F.lit("")) for _, p, c in HOSTS])
+    host_words = lambda v: F.coalesce(*[F.when(may_have(v["low"], p) & v["x"].rlike(rx(p)), F.coalesce(spaced(part(v["x"], c, 1)), F.lit("")) if c else F.lit("")) for _, p, c in HOSTS])
+    phrase = lambda x: let(F.struct(x.alias("x"), folded(x).alias("low")), host_words)
     field = lambda index, table, k: F.coalesce(*[F.when(index == str(i), F.lit(row[k])) for i, row in enumerate(table)])
     none = F.lit(None).cast("string")
 
@@ -418,7 +468,8 @@ def model_of(title: Column, entity: Column) -> Column:
     """struct(model, query): of a dependent product its entity, else the first model name, else the title's leading words."""
     x = F.trim(title)
     leading = F.array_join(F.slice(F.filter(F.split(spaced(F.regexp_replace(x, rx(TITLE_NOISE), "")), " "), lambda w: F.length(w) > 2), 1, 6), " ")
-    read = F.struct(x.alias("x"), t.brand_of(x).alias("brand"), spaced(F.coalesce(*[part(x, p) for p in MODELS])).alias("named"), leading.alias("leading"), entity_query(entity).alias("lead"))
+    named = let(F.struct(x.alias("x"), folded(x).alias("low")), lambda v: F.coalesce(*[F.when(may_have(v["low"], p), part(v["x"], p)) for p in MODELS]))
+    read = F.struct(x.alias("x"), t.brand_of(x).alias("brand"), spaced(named).alias("named"), leading.alias("leading"), entity_query(entity).alias("lead"))
 
     def told(r: Column) -> Column:
         dependent = (entity["role"] != "primary") & (F.length(entity["entity"]) >= 3)
@@ -469,7 +520,12 @@ BODIES = (r"\bcanon\s+eos\s*(\d{3,4})\s*d?\b", r"\beos\s*(\d{3,4})\s*d\b", r"\bc
 
 
 def marks_of(x: Column) -> Column:
-    return F.struct(*[has(x, p).alias(name) for name, p in MARKS.items()], F.regexp_replace(F.lower(F.coalesce(*[part(x, p) for p in BODIES])), r"\s+", "").alias("body"))
+    def told(v: Column) -> Column:
+        x, low = v["x"], v["low"]
+        body = F.coalesce(*[F.when(may_have(low, p), part(x, p)) for p in BODIES])
+        return F.struct(*[F.coalesce(may_have(low, p) & x.rlike(rx(p)), F.lit(False)).alias(name) for name, p in MARKS.items()], F.regexp_replace(F.lower(body), r"\s+", "").alias("body"))
+
+    return let(F.struct(x.alias("x"), folded(x).alias("low")), told)
 
 
 _built: dict[tuple, Column] = {}

@@ -170,3 +170,14 @@ def test_categories_take_long_titles(spark):
     rows = spark.createDataFrame([("x" * 40_000,), ("держатель " + "x" * 40_000 + " смартфон",), ("смартфон " + "x" * 40_000 + " держатель",)], "t string")
     assert [r[0] for r in rows.select(ti.category_of(F.col("t"))).collect()] == ["generic", "smartphones", "accessories"]
     assert time.time() - start < 20
+
+
+def test_rules_search_only_texts_that_have_their_words(spark):
+    """What a pattern needs is found in every text that it matches, in any case and with letters that fold to others; borders know no folded ranges."""
+    assert ti.needed(r"\b(?:redmi|xiaomi)\s+buds\s*\d{1,2}\b") == {"xiaomi", "redmi"} and ti.needed(r"(?=телефон|\bphone\b)(?!.*для)") == {"телефон", "phone"}
+    assert not ti.needed(r"\b[a-z]{1,4}-\d+\b|pro") and not ti.needed(r"(?:case)?\s*\d") and "[A-Za-z0-9_]" not in ti.rx(r"\bcase\b")
+    texts = ["ЧЕХОЛ для IPHONE 15", "ıPhone 15 ſmartphone", "Kingston CANVAS Go microSD", "_case", "case", "Фотоаппарат Canon EOS 650D", "ноутбук", "Кабель USB-C", "", "ᲀидеокарта RTX 4070", "шоколад цвета", "для кошек"]
+    patterns = [p for _, p in [*ti.CATEGORIES, *ti.MARKS.items(), *((n, p) for n, p in enumerate([*ti.MODELS, *ti.BODIES])), *((f, p) for f, p, _ in ti.HOSTS), *((f, p) for f, _, p in ti.ROLES)]]
+    x = F.col("x")
+    missed = spark.createDataFrame([(v,) for v in texts], "x string").select(*[F.sum((x.rlike(ti.rx(p)) & ~ti.may_have(ti.folded(x), p)).cast("int")).alias(str(i)) for i, p in enumerate(patterns)]).first()
+    assert not any(missed)
