@@ -82,22 +82,28 @@ class _List:
     """An owner's merged records, found by their present keys."""
 
     def __init__(self):
-        self.records, self.holders = [], {}
+        self.records, self.keys, self.holders = [], [], {}
 
     def add(self, row: dict) -> None:
-        near = sorted({n for key in _keys(row) for n in self.holders.get(key, ())})
+        keys = _keys(row)
+        near = sorted({n for key in keys for n in self.holders.get(key, ())})
         at = next((n for n in near if not _unlike(self.records[n], row)), None)
         if at is None:
             at = len(self.records)
             self.records.append(row | {"members": 1})
+            self.keys.append(set())
         else:
-            for key in _keys(self.records[at]):
-                self.holders[key].discard(at)
             self.records[at] = _join(self.records[at], row)
-        for key in _keys(self.records[at]):
+            keys = _keys(self.records[at])
+            for key in self.keys[at] - keys:
+                self.holders[key].discard(at)
+        for key in keys - self.keys[at]:
             self.holders.setdefault(key, set()).add(at)
+        self.keys[at] = keys
 
 
+#: Records of ended lists that are sent on together.
+TOGETHER = 4096
 RECORD = "owner bigint, place bigint, title string, category string, members bigint, keys array<string>"
 
 
@@ -105,18 +111,31 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     owner, kept = None, None
 
     def told() -> pa.RecordBatch:
-        rows = [{"owner": owner, "place": x["place"], "title": x["title"], "category": x["category"], "members": x["members"], "keys": sorted(":".join(k) for k in _keys(x))} for x in kept.records]
-        kind = pa.schema([("owner", pa.int64()), ("place", pa.int64()), ("title", pa.string()), ("category", pa.string()), ("members", pa.int64()), ("keys", pa.list_(pa.string()))])
-        return pa.RecordBatch.from_pylist(rows, kind)
+        text = lambda name: pa.array([x[name] for x in ended], pa.string())
+        whole = lambda name: pa.array([x[name] for x in ended], pa.int64())
+        columns = [whole("owner"), whole("place"), text("title"), text("category"), whole("members"), pa.array([x["keys"] for x in ended], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, ["owner", "place", "title", "category", "members", "keys"])
+
+    def end() -> None:
+        ended.extend(x | {"keys": sorted(map(":".join, keys))} for x, keys in zip(kept.records, kept.keys, strict=True))
 
+    ended: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        names = batch.schema.names
+        for values in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
+            row = dict(zip(names, values, strict=True))
             if kept is None or row["owner"] != owner:
                 if kept is not None:
-                    yield told()
+                    end()
+                    if len(ended) >= TOGETHER:
+                        yield told()
+                        ended.clear()
                 owner, kept = row["owner"], _List()
-            kept.add(row | {"urls": dict(row["urls"] or []), "articles": dict(row["articles"] or [])})
+            row["urls"], row["articles"] = dict(row["urls"] or ()), dict(row["articles"] or ())
+            kept.add(row)
     if kept is not None:
+        end()
+    if ended:
         yield told()
 
 
@@ -131,4 +150,7 @@ def merged_lists(rows: DataFrame) -> DataFrame:
     text = [F.col(c).cast("string").alias(c) for c in ("source", "url", "article")]
     maps = [F.col(c).cast("map<string,string>").alias(c) for c in ("urls", "articles")]
     sent = rows.select(F.col("owner").cast("bigint"), F.col("place").cast("bigint"), *text, *maps, "title", "maker", F.coalesce("category", F.lit("generic")).alias("category"))
-    return sent.repartition("owner").sortWithinPartitions("owner", "place", "source", "url", "article", "title").mapInArrow(_fold, RECORD)
+    # a number of partitions, for by sizes they'd be joined to one more than there are cores, and the last would run alone
+    spark = rows.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return sent.repartition(parts, "owner").sortWithinPartitions("owner", "place", "source", "url", "article", "title").mapInArrow(_fold, RECORD)

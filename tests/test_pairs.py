@@ -124,3 +124,13 @@ def test_merged_record_keys_decide_later_merges():
         kept.add(x)
     # the second brings w1 to the first, so the third and fourth join it; the fourth's longer title brings a maker that bars the fifth
     assert [(r["place"], r["members"], r["title"]) for r in kept.records] == [(1, 4, "tttt"), (5, 1, "ttttt")]
+
+
+def test_merged_lists_are_dealt_to_all_cores(spark):
+    """However small the rows, lists are folded in several tasks a core; lists that end are sent on together, none is lost or split."""
+    kind = "owner bigint, place bigint, source string, url string, article string, urls map<string,string>, articles map<string,string>, title string, maker string, category string"
+    rows = [(k // 2, k, "ozon", f"u{k // 2}", None, None, None, "box", None, "generic") for k in range(2 * lists.TOGETHER + 200)]
+    got = lists.merged_lists(spark.createDataFrame(rows, kind))
+    seen = got.select("owner", "members", F.spark_partition_id().alias("at")).collect()
+    assert len({r["at"] for r in seen}) >= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(r["owner"] for r in seen) == list(range(len(rows) // 2)) and {r["members"] for r in seen} == {2}
