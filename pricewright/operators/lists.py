@@ -37,6 +37,9 @@ def paired(left: DataFrame, right: DataFrame, owner: str = "owner", place: str =
     so the rounds end; keys that stand by themselves, of any number of rows, are paired off before them at once.
     """
     a, b = stored(_edges(left, owner, place, keys), "edges"), stored(_edges(right, owner, place, keys), "edges")
+    # a key that one side lacks pairs nothing in any round
+    shared = stored(a.select("owner", "key").distinct().join(b.select("owner", "key").distinct(), ["owner", "key"]), "shared-keys")
+    a, b = (stored(e.join(shared, ["owner", "key"]), "edges") for e in (a, b))
     found = stored(_of_lonely_keys(a, b), "pairs")
     done = [found]
     while True:

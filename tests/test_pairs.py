@@ -134,3 +134,14 @@ def test_merged_lists_are_dealt_to_all_cores(spark):
     seen = got.select("owner", "members", F.spark_partition_id().alias("at")).collect()
     assert len({r["at"] for r in seen}) >= 2 * spark.sparkContext.defaultParallelism
     assert sorted(r["owner"] for r in seen) == list(range(len(rows) // 2)) and {r["members"] for r in seen} == {2}
+
+
+def test_rounds_of_pairing_read_only_keys_of_both_sides(spark, monkeypatch):
+    """Keys that one side lacks are in no round's rows; pairs and rows without partner are the same."""
+    kept = []
+    monkeypatch.setattr(lists, "stored", lambda df, tag: kept.append((tag, out := stored(df, tag))) or out)
+    left = spark.createDataFrame([(1, 1, ["x", "l1"]), (1, 2, ["x", "y"]), (1, 3, ["l2"]), (2, 4, ["y"])], "owner long, place long, keys array<string>")
+    right = spark.createDataFrame([(1, 7, ["x", "r1"]), (1, 8, ["y", "r2"]), (1, 9, ["r3"])], "owner long, place long, keys array<string>")
+    assert sorted(map(repr, map(tuple, lists.paired(left, right).collect()))) == sorted(map(repr, [(1, 1, 7), (1, 2, 8), (1, 3, None), (2, 4, None), (1, None, 9)]))
+    rounds = [df for tag, df in kept if tag == "edges"][2:]
+    assert rounds and {r["key"] for df in rounds for r in df.select("key").collect()} <= {"x", "y"}
