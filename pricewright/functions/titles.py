@@ -537,13 +537,27 @@ def spread(titles: DataFrame) -> DataFrame:
     return titles.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def with_told(rows: DataFrame, texts: list[str], **told: Column) -> DataFrame:
-    """rows with columns told, which depend on the columns texts alone: computed once for each different text, on every core, and stored, then joined (null is a text like others)."""
-    known = stored(spread(rows.select(*texts).distinct()).select(*[F.col(c).alias(f"of_{c}") for c in texts], *[c.alias(name) for name, c in told.items()]), "told")
+def _told(rows: DataFrame, texts: list[str], **told: Column) -> DataFrame:
+    """Each different text of rows, as columns of_..., with the columns told: computed once, on every core, and stored."""
+    return stored(spread(rows.select(*texts).distinct()).select(*[F.col(c).alias(f"of_{c}") for c in texts], *[c.alias(name) for name, c in told.items()]), "told")
+
+
+def _meet(rows: DataFrame, texts: list[str], known: DataFrame) -> DataFrame:
     same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in texts]
     return rows.join(known, functools.reduce(lambda x, y: x & y, same)).drop(*[f"of_{c}" for c in texts])
 
 
+def with_told(rows: DataFrame, texts: list[str], **told: Column) -> DataFrame:
+    """rows with columns told, which depend on the columns texts alone: computed once for each different text, on every core, and stored, then joined (null is a text like others)."""
+    return _meet(rows, texts, _told(rows, texts, **told))
+
+
+def numbered(rows: DataFrame, texts: list[str], **told: Column) -> tuple[DataFrame, DataFrame]:
+    """rows with `text`, a number for each different text; and what is told of each number (text and the columns told), so that rows can meet by numbers and stay narrow."""
+    known = _told(rows, texts, text=F.monotonically_increasing_id(), **told)
+    return _meet(rows, texts, known.select(*[f"of_{c}" for c in texts], "text")), known.select("text", *told)
+
+
 def features_of(title: str, specs: str | None = None) -> Column:
     """features() of named columns; built once a session, for it is a large expression."""
     key = SparkContext._active_spark_context.applicationId, title, specs

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as n
 from ..functions import text as t
-from ..functions.titles import DEPENDENT, PLACEHOLDER, SURE, let
+from ..functions.titles import DEPENDENT, PLACEHOLDER, SURE, let, spread
 from ..sources.shared import stored
 
 #: Weights of features by category, features whose conflict counts, that are soft, that are ignored.
@@ -282,7 +282,9 @@ def scored(a: Column, b: Column) -> Column:
         return F.struct(F.when(r["gate"].isNotNull(), 0.0).otherwise(score).alias("score"), r["gate"].alias("gate"), word_overlap(a, b).alias("title"))
 
     title = F.greatest(word_overlap(a, b), token_overlap(a, b), t.edit_similarity(a["title"], b["title"]))
-    return let(F.struct(gate(a, b).alias("gate"), feature_score(a, b, a["category"]).alias("features"), title.alias("title")), told)
+    # behind a closed gate nothing else is looked at
+    opened = lambda g: F.struct(g.alias("gate"), F.when(g.isNull(), feature_score(a, b, a["category"])).alias("features"), F.when(g.isNull(), title).alias("title"))
+    return let(let(gate(a, b), opened), told)
 
 
 _built: dict[tuple, Column] = {}
@@ -328,12 +330,30 @@ def with_scores(pairs: DataFrame) -> DataFrame:
     return stored(pairs.withColumn("s", scored_of("a", "b")), "scores").withColumn("score", F.col("s.score"))
 
 
-def ranked(pairs: DataFrame, least: float, ratio: Column | float, top: int) -> DataFrame:
-    """The `top` best candidates of each reference: rows of pairs (reference, candidate, a, b, price_a, price_b, position) with score and place. Prices must be
+def told_of_texts(pairs: DataFrame, texts_a: DataFrame, texts_b: DataFrame, scores: bool = True, **told: Column) -> DataFrame:
+    """pairs (text_a, text_b: numbers of titles.numbered()) with what both texts' features (column f of texts_a and texts_b) tell: the columns told, of a and b and, with scores,
+    of their scored() s, which comes too, and its score. Computed once for each different pair of texts, on every core, and stored; pairs stay narrow. pairs should be stored, for they are read twice."""
+    side = lambda texts, k: texts.select(F.col("text").alias(f"text_{k}"), F.col("f").alias(k))
+    different = spread(pairs.select("text_a", "text_b").distinct()).join(side(texts_a, "a"), "text_a").join(side(texts_b, "b"), "text_b")
+    if scores:
+        # explode computes the score once, for itself and what is told of it
+        different = different.select("text_a", "text_b", "a", "b", F.explode(F.array(scored_of("a", "b"))).alias("s"))
+    known = stored(different.select("text_a", "text_b", *["s"] * scores, *[c.alias(name) for name, c in told.items()]), "scores")
+    rows = pairs.join(known, ["text_a", "text_b"])
+    return rows.withColumn("score", F.col("s.score")) if scores else rows
+
+
+def best(rows: DataFrame, least: float, ratio: Column | float, top: int) -> DataFrame:
+    """The `top` best candidates of each reference: rows (reference, candidate, price_a, price_b, position, score) with their place. Prices must be
     compatible and the score `least` at least; ties go to the earlier position."""
-    rows = with_scores(pairs.where(n.prices_compatible(F.col("price_a"), F.col("price_b"), ratio))).where(F.col("score") >= least)
     place = F.row_number().over(Window.partitionBy("reference").orderBy(F.desc("score"), "position"))
-    return rows.withColumn("place", place.cast("bigint")).where(F.col("place") <= top)
+    kept = rows.where(n.prices_compatible(F.col("price_a"), F.col("price_b"), ratio) & (F.col("score") >= least))
+    return kept.withColumn("place", place.cast("bigint")).where(F.col("place") <= top)
+
+
+def ranked(pairs: DataFrame, least: float, ratio: Column | float, top: int) -> DataFrame:
+    """best() of pairs (a, b), scored here."""
+    return best(with_scores(pairs.where(n.prices_compatible(F.col("price_a"), F.col("price_b"), ratio))), least, ratio, top)
 
 
 #: Rows of a side that meet in one task, of each key.

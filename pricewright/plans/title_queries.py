@@ -99,37 +99,48 @@ def _pairs(spark, d):
     return r.found_listings(spark, d).join(a, "reference").join(b, "candidate")
 
 
+def _told_pairs(spark, d, scores=True, **told):
+    """Search results with both prices and what both sides' features tell, once for each different pair of texts; and the features of each number of a text."""
+    rows, texts = ti.numbered(r.listings(spark, d), ["title", "specs"], f=ti.features_of("title", "specs"))
+    known = stored(rows.select("product", "price", "text"), "listings")
+    side = lambda name, k: known.select(F.col("product").alias(name), F.col("price").alias(f"price_{k}"), F.col("text").alias(f"text_{k}"))
+    pairs = stored(r.found_listings(spark, d).join(side("reference", "a"), "reference").join(side("candidate", "b"), "candidate"), "pairs")
+    return ms.told_of_texts(pairs, texts, texts, scores, **told), texts
+
+
 @query("d1_d3_scores")
 def d1(spark, d):
     """Score of every search result, its gate and diagnosis (d3), what to warn of (d24), feature score (d4, d5)."""
     a, b, s = F.col("a"), F.col("b"), F.col("s")
-    rows = ms.with_scores(_pairs(spark, d)).withColumn("d", ms.diagnosis(s, a, b))
-    return rows.select("reference", "candidate", s["score"].alias("score"), s["gate"].alias("gate"), "d.*", ms.warn_kind(s, a, b, F.col("d.confidence")).alias("warn"), ms.feature_score(a, b, a["category"]).alias("features"))
+    rows, _ = _told_pairs(spark, d, said=ms.diagnosis(s, a, b), warn=ms.warn_kind(s, a, b, n.confidence(s["score"]).cast("bigint")), features=ms.feature_score(a, b, a["category"]))
+    return rows.select("reference", "candidate", s["score"].alias("score"), s["gate"].alias("gate"), "said.*", "warn", "features")
 
 
 @query("d7_d12_d18_parts")
 def d7(spark, d):
     """The parts of a score by themselves: token overlap, compatible models (d12), lines (d14) and roles (d15), categories (d16), penalties of category (d17) and variant."""
     a, b = F.col("a"), F.col("b")
-    return _pairs(spark, d).select(
-        "reference", "candidate", ms.token_overlap(a, b).alias("token_overlap"), ms.models_compatible(a["e"]["model"]["model"], b["e"]["model"]["model"]).alias("models"), ms.lines_compatible(a["line"], b["line"]).alias("lines"),
-        (~ms.roles_clash(a["e"]["entity"], b["e"]["entity"])).alias("roles"), (~ms.categories_clash(a["category"], b["category"])).alias("categories"), ms.category_penalty(a["category"], a, b).alias("category_penalty"),
-        ms.variant_penalty(a, b).alias("variant_penalty"),
-    )
+    parts = {
+        "token_overlap": ms.token_overlap(a, b), "models": ms.models_compatible(a["e"]["model"]["model"], b["e"]["model"]["model"]), "lines": ms.lines_compatible(a["line"], b["line"]),
+        "roles": ~ms.roles_clash(a["e"]["entity"], b["e"]["entity"]), "categories": ~ms.categories_clash(a["category"], b["category"]), "category_penalty": ms.category_penalty(a["category"], a, b), "variant_penalty": ms.variant_penalty(a, b),
+    }
+    rows, _ = _told_pairs(spark, d, False, **parts)
+    return rows.select("reference", "candidate", *parts)
 
 
 @query("t5_t6_top_matches")
 def t6(spark, d):
     """Up to three candidates of every reference, from 0.85 of the least score and 1.4 times its category's price ratio; place 1 with a score above 0.55 is the best match (t5)."""
-    return ms.ranked(_pairs(spark, d), 0.55 * 0.85, n.price_ratio_for(F.col("a.category")) * 1.4, 3).select("reference", "candidate", "score", "place")
+    rows, _ = _told_pairs(spark, d, category=F.col("a.category"))
+    return ms.best(rows, 0.55 * 0.85, n.price_ratio_for(F.col("category")) * 1.4, 3).select("reference", "candidate", "score", "place")
 
 
 @query("t7_best_with_fallback")
 def t7(spark, d):
     """The strict match of every reference, else the best above 0.5 within 1.3 times the usual price ratio."""
-    rows = ms.with_scores(_pairs(spark, d))
+    rows, _ = _told_pairs(spark, d, category=F.col("a.category"))
     ok = lambda least, ratio: (F.col("score") > least) & n.prices_compatible(F.col("price_a"), F.col("price_b"), ratio)
-    tier = F.when(ok(0.55, n.price_ratio_for(F.col("a.category"))), 0).when(ok(0.5, 1.3 * 1.3), 1)
+    tier = F.when(ok(0.55, n.price_ratio_for(F.col("category"))), 0).when(ok(0.5, 1.3 * 1.3), 1)
     place = F.row_number().over(Window.partitionBy("reference").orderBy("tier", F.desc("score"), "position"))
     return rows.withColumn("tier", tier).where("tier IS NOT NULL").withColumn("n", place).where("n = 1").select("reference", "candidate", "score", "tier")
 
@@ -138,9 +149,9 @@ def t7(spark, d):
 def t8(spark, d):
     """Search results from 0.38 within a price ratio of 1.5, then those of any score, then of the same category: of each reference the first tier that has any,
     its ten best re-ranked by priority."""
-    rows = ms.with_scores(_pairs(spark, d))
+    rows, _ = _told_pairs(spark, d, clash=ms.categories_clash(F.col("a.category"), F.col("b.category")))
     near = n.prices_compatible(F.col("price_a"), F.col("price_b"), 1.5)
-    tier = F.when((F.col("score") >= 0.38) & near, 0).when((F.col("score") > 0) & near, 1).when(~ms.categories_clash(F.col("a.category"), F.col("b.category")), 2)
+    tier = F.when((F.col("score") >= 0.38) & near, 0).when((F.col("score") > 0) & near, 1).when(~F.col("clash"), 2)
     w = Window.partitionBy("reference")
     best = rows.withColumn("tier", tier).where("tier IS NOT NULL").withColumn("first", F.min("tier").over(w)).where("tier = first")
     ten = best.withColumn("n", F.row_number().over(w.orderBy(F.desc("score"), "position"))).where("n <= 10")
@@ -152,7 +163,7 @@ def t8(spark, d):
 @query("d28_offers_from_ranked")
 def d28(spark, d):
     """The offer of each reference from its ranked candidates: the best one verified or probable, or a choice among them, or nothing found."""
-    top = ms.ranked(_pairs(spark, d), 0.38, 1.5, 3).withColumn("confidence", n.confidence(F.col("score")))
+    top = ms.best(_told_pairs(spark, d)[0], 0.38, 1.5, 3).withColumn("confidence", n.confidence(F.col("score")))
     best = top.groupBy("reference").agg(F.max(F.when(F.col("place") == 1, F.col("confidence"))).alias("best"), F.max(F.when(F.col("place") == 2, F.col("confidence"))).alias("second"), (F.count(F.lit(1)) - 1).alias("alternatives"), F.max(F.when(F.col("place") == 1, F.struct("candidate", "price_b"))).alias("top"))
     o = m.outcome(F.col("best"), F.col("second"), F.col("alternatives"))
     said = r.listings(spark, d).select(F.col("product").alias("reference")).join(best.withColumn("o", o), "reference", "left")
@@ -163,10 +174,12 @@ def d28(spark, d):
 @query("d26_card_verify")
 def d26(spark, d):
     """Each reference's best result checked against the card behind it: verified from 90 (from 95 where it was alone), at the lower of both prices; else a choice."""
-    top = ms.ranked(_pairs(spark, d), 0.38, 1.5, 2).withColumn("alone", F.count(F.lit(1)).over(Window.partitionBy("reference")) == 1).where("place = 1")
+    rows, texts = _told_pairs(spark, d)
+    top = ms.best(rows, 0.38, 1.5, 2).withColumn("alone", F.count(F.lit(1)).over(Window.partitionBy("reference")) == 1).where("place = 1")
     card = r.listings(spark, d).select(F.col("product").alias("candidate"), F.concat("title", F.when(F.col("product") % 3 == 0, " оригинал").otherwise("")).alias("card_title"), (F.col("price") * F.when(F.col("product") % 4 == 0, 0.9).otherwise(1.1)).alias("card_price"))
-    seen = ti.with_told(card, ["card_title"], b=ti.features_of("card_title")).select("candidate", "card_price", "b")
-    rows = ms.with_scores(top.withColumn("first", n.confidence(F.col("score"))).drop("b", "s", "score").join(seen, "candidate")).withColumn("again", n.confidence(F.col("score")))
+    seen, card_texts = ti.numbered(card, ["card_title"], f=ti.features_of("card_title"))
+    met = top.withColumn("first", n.confidence(F.col("score"))).drop("text_b", "s", "score").join(seen.select("candidate", "card_price", F.col("text").alias("text_b")), "candidate")
+    rows = ms.told_of_texts(stored(met, "cards"), texts, card_texts).withColumn("again", n.confidence(F.col("score")))
     sure = (F.col("again") >= 90) | (F.col("alone") & (F.col("first") >= 95))
     return rows.select("reference", "candidate", F.col("again").alias("confidence"), F.when(sure, "verified").otherwise("needs_choice").alias("status"), F.when(sure, F.least("price_b", "card_price")).alias("price"))
 

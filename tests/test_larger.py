@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from pricewright.functions import text as t
+from pricewright.functions import titles as ti
+from pricewright.operators import match_score as ms
 
 
 def test_cards_with_entities_and_without_headings(spark, tmp_path):
@@ -29,3 +31,17 @@ def test_slugs_of_other_alphabets_are_quick(spark):
     start = time.time()
     assert lines.select(F.count_distinct(t.slug(F.col("x")))).first()[0] == 20_000
     assert time.time() - start < 10
+
+
+def test_pairs_of_equal_texts_are_told_once(spark):
+    """Rows of equal titles share a number, and what pairs tell is computed once for each different pair of texts: a random number is the same for all its rows."""
+    rows = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", "s"), (4, None, None), (5, None, None), (6, "b", "s")], "i int, title string, specs string")
+    seen, texts = ti.numbered(rows, ["title", "specs"], f=F.struct(F.upper("title").alias("x")))
+    number = {r["i"]: r["text"] for r in seen.collect()}
+    assert sorted(number) == [1, 2, 3, 4, 5, 6] and number[1] == number[2] and number[3] == number[6] and number[4] == number[5] and len(set(number.values())) == texts.count() == 3
+    pairs = spark.createDataFrame([(1, 3), (2, 6), (1, 4), (2, 5), (3, 1)], "reference int, candidate int")
+    side = lambda name, k: seen.select(F.col("i").alias(name), F.col("text").alias(f"text_{k}"))
+    told = ms.told_of_texts(pairs.join(side("reference", "a"), "reference").join(side("candidate", "b"), "candidate"), texts, texts, False, x=F.col("a.x"), y=F.col("b.x"), chance=F.rand()).collect()
+    assert {(r["reference"], r["candidate"], r["x"], r["y"]) for r in told} == {(1, 3, "A", "B"), (2, 6, "A", "B"), (1, 4, "A", None), (2, 5, "A", None), (3, 1, "B", "A")}
+    chance = {(r["reference"], r["candidate"]): r["chance"] for r in told}
+    assert chance[1, 3] == chance[2, 6] and chance[1, 4] == chance[2, 5] and len(set(chance.values())) == 3
