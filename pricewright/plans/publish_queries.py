@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions import titles as ti
 from ..operators import publishing as pub
 from ..registry import query
 from ..sources import relations as r
@@ -16,8 +17,9 @@ def _candidates(spark, d, second: bool):
     size = F.when(k % 7 == 0, F.col("p_size") % 10 + 1).otherwise(F.col("p_size") % 10) if second else F.col("p_size") % 10
     quality = size.cast("double")
     offers = F.array(F.struct(F.lit("ozon").alias("marketplace"), F.when(k % 5 != 0, F.col("p_retailprice")).alias("price"), F.lit("u").alias("url")))
-    return r.table(spark, d, "part").select(
-        k.cast("string").alias("key"), t.slug(F.col("p_name")).alias("base"), F.concat_ws("|", "p_brand", "p_name").alias("canon"), F.sha2(F.concat_ws("|", "p_name", "p_brand", size.cast("string")), 256).alias("hash"),
+    part = ti.with_told(r.table(spark, d, "part"), ["p_name"], base=t.slug(F.col("p_name")))
+    return part.select(
+        k.cast("string").alias("key"), "base", F.concat_ws("|", "p_brand", "p_name").alias("canon"), F.sha2(F.concat_ws("|", "p_name", "p_brand", size.cast("string")), 256).alias("hash"),
         quality.alias("quality"), F.when(quality < 4, "low_quality").alias("reason"), F.when(k % 3 != 0, F.col("p_retailprice")).alias("price"), offers.alias("offers"),
     )
 

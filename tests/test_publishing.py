@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from pricewright.functions import text as t
 from pricewright.operators import publishing as pub
 
 KIND = f"key string, base string, canon string, hash string, quality double, reason string, price double, offers {pub.OFFERS}"
@@ -100,3 +101,13 @@ def test_replayed_micro_batches(spark, tmp_path):
     stream = spark.readStream.schema(KIND).parquet(source)
     stream.writeStream.option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).foreachBatch(twice).start().awaitTermination()
     assert sorted((r["key"], r["slug"], r["run"]) for r in store.pages().collect()) == [("k1", "a", 0), ("k2", "a-2", 0)]
+
+
+def test_equal_names_are_slugged_once(spark, sf_dir):
+    """Bases of slugs come from the stored table of different names, not from a slug for each part."""
+    from pricewright.plans import publish_queries as pq
+
+    rows = pq._candidates(spark, sf_dir, True)
+    assert "pricewright-told-" in rows._jdf.queryExecution().toString()
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("key"), t.slug(F.col("p_name")).alias("want"))
+    assert rows.count() == names.count() == rows.join(names, "key").where("base = want").count()
