@@ -246,3 +246,26 @@ def test_language_on_held_out_rows(spark):
 def test_queries_cover_all_vectors(spark, sf_dir, name):
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
     assert queries.QUERIES[name](spark, sf_dir).select("vec_id").distinct().count() == n
+
+
+def test_calibration_reads_every_row(spark):
+    """Settings and limits come from all measured rows: equal to plain numpy over 20000 of them, whose last ones differ from the first 8000."""
+    rng = np.random.default_rng(5)
+    n = 20_000
+    own, size = rng.integers(0, 2, n), rng.integers(1, 400, n).astype(float)
+    e = np.abs(rng.normal(2, 0.4, (n, 2)) + np.where(np.arange(n) > 8000, 3, 0)[:, None] + (np.arange(2)[None] != own[:, None]) * 0.3)
+    frame = spark.createDataFrame([(int(o), float(s), x.tolist()) for o, s, x in zip(own, size, e)], "own int, size double, e array<double>").repartition(5)
+    model = language.Model(3, ["aa", "bb"], 0.1, [], [], [])
+    language.calibrate(model, frame, 0.01)
+    mine = e[np.arange(n), own]
+    usual = [float(np.median(mine[own == k])) for k in range(2)]
+    odd = (mine - np.array(usual)[own]) * np.sqrt(size)
+    slack = [float(np.sort(odd[own == k])[int(np.ceil(((own == k).sum() + 1) * 0.99)) - 1]) for k in range(2)]
+    assert np.allclose(model.usual, usual, rtol=0, atol=1e-12) and np.allclose(model.slack, slack, rtol=0, atol=1e-9)
+    plain = {}
+    for model_power, model_sharpness in language.SETTINGS:
+        other = language.Model(3, ["aa", "bb"], 0.1, [], [], [], power=model_power, sharpness=model_sharpness)
+        plain[model_power, model_sharpness] = -np.log(np.maximum(other.shares(e, size)[np.arange(n), own], 1e-12)).mean()
+    assert plain[model.power, model.sharpness] <= min(plain.values()) + 2e-4
+    values = spark.createDataFrame([(0, v) for v in (5, -3, 5, 2**62, -(2**63), 0)] + [(1, 7)], "k int, v bigint")
+    assert language.order_statistics(values, {(0, r) for r in range(1, 7)} | {(1, 1)}) == {(0, 1): -(2**63), (0, 2): -3, (0, 3): 0, (0, 4): 5, (0, 5): 5, (0, 6): 2**62, (1, 1): 7}
