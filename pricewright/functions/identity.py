@@ -44,6 +44,11 @@ def offer_fingerprint(title: Column, article: Column, line: Column) -> Column:
     return F.array_join(parts, "|")
 
 
+def with_article(article: Column, named: Column) -> Column:
+    """offer_fingerprint() of an article, from that of the same title without one."""
+    return F.concat_ws("|", F.nullif(article, F.lit("")), F.nullif(named, F.lit("")))
+
+
 def identity_excluded(print_: Column, rejected: Column) -> Column:
     """Whether a rejected fingerprint is the same, or shares the article (of five characters or more), or line and generation."""
     at = lambda x, i: F.nullif(F.coalesce(F.try_element_at(F.split(x, r"\|"), F.lit(i)), F.lit("")), F.lit(""))
@@ -51,12 +56,31 @@ def identity_excluded(print_: Column, rejected: Column) -> Column:
     return (F.coalesce(print_, F.lit("")) != "") & F.exists(rejected, lambda x: (x == print_) | (same(x, 1) & (F.length(at(x, 1)) >= 5)) | (same(x, 2) & same(x, 3)))
 
 
-def card_fingerprint(f: Column, article: Column) -> Column:
+#: Features that fingerprints and canonical ids are made of.
+OF_FINGERPRINTS = ("title", "brand", "category", "storage", "color", "line", "e")
+
+
+def _card_part(x: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\s+", "")
+
+
+def card_parts(f: Column) -> Column:
+    """brand|model|memory|colour, without parts that are unknown."""
+    return F.array_join(F.filter(F.transform(F.array(f["brand"], f["e"]["model"]["model"], f["storage"], f["color"]), _card_part), lambda p: p != ""), "|")
+
+
+def card_bare(title: Column) -> Column:
+    return F.substring(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]+", ""), 1, 64)
+
+
+def card_of(parts: Column, article: Column, bare: Column) -> Column:
     """brand|model|memory|colour|article, at most 160 characters, without parts that are unknown; the title's letters and digits if all are."""
-    given = F.array(f["brand"], f["e"]["model"]["model"], f["storage"], f["color"], article)
-    parts = F.filter(F.transform(given, lambda p: F.regexp_replace(F.lower(F.coalesce(p, F.lit(""))), r"\s+", "")), lambda p: p != "")
-    bare = F.substring(F.regexp_replace(F.lower(f["title"]), r"[^\p{L}\p{N}]+", ""), 1, 64)
-    return F.when(F.size(parts) == 0, bare).otherwise(F.substring(F.array_join(parts, "|"), 1, 160))
+    whole = F.concat_ws("|", F.nullif(parts, F.lit("")), F.nullif(_card_part(article), F.lit("")))
+    return F.when(whole == "", bare).otherwise(F.substring(whole, 1, 160))
+
+
+def card_fingerprint(f: Column, article: Column) -> Column:
+    return card_of(card_parts(f), article, card_bare(f["title"]))
 
 
 def canonical_id(brand: Column, model: Column, storage: Column, category: Column) -> Column:

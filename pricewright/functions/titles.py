@@ -161,8 +161,8 @@ _FOLDED = "ſıİᲀᲁᲂᲃᲄᲅᲆᲇᲈ", "siiвдосттъѣꙋ"
 
 
 def folded(x: Column) -> Column:
-    """x for may_have()."""
-    return F.lower(F.translate(x, *_FOLDED))
+    """x for may_have(). Few texts have such letters, and replacing goes letter by letter."""
+    return let(x, lambda v: F.lower(F.when(v.rlike(f"[{_FOLDED[0]}]"), F.translate(v, *_FOLDED)).otherwise(v)))
 
 
 @functools.cache
@@ -209,9 +209,9 @@ def part(x: Column, pattern: str, group: int = 0) -> Column:
     return t.matched(x, rx(pattern), group)
 
 
-def first_rule(x: Column, rules) -> Column:
-    """Value of the first rule (value, pattern) that holds, or null."""
-    return let(F.struct(x.alias("x"), folded(x).alias("low")), lambda v: F.coalesce(*[F.when(may_have(v["low"], pattern) & v["x"].rlike(rx(pattern)), value) for value, pattern in rules]))
+def first_rule(x: Column, rules, low: Column | None = None) -> Column:
+    """Value of the first rule (value, pattern) that holds, or null. low: folded(x), where it is known."""
+    return let(F.struct(x.alias("x"), (folded(x) if low is None else low).alias("low")), lambda v: F.coalesce(*[F.when(may_have(v["low"], pattern) & v["x"].rlike(rx(pattern)), value) for value, pattern in rules]))
 
 
 def spaced(x: Column) -> Column:
@@ -350,9 +350,12 @@ def lineage_of(title: Column) -> Column:
     digits = lambda c: F.nullif(F.regexp_extract(c, r"^\d+", 0), F.lit(""))
     tight = lambda c: F.regexp_replace(c, r"\s+", "")
     above = lambda c: F.when(c.cast("int") > 0, c)
-    two = lambda x, name: F.struct(part(x, LINES[name], 1).alias("first"), part(x, LINES[name], 2).alias("second"))
 
-    def told(x: Column) -> Column:
+    def told(v: Column) -> Column:
+        x, low = v["x"], v["low"]
+        one = lambda name: F.when(may_have(low, LINES[name]), part(x, LINES[name], 1))
+        both = lambda name: F.struct(part(x, LINES[name], 1).alias("first"), part(x, LINES[name], 2).alias("second"))
+        two = lambda name, of, needs=None: F.when(may_have(low, LINES[name]) if needs is None else needs, let(both(name), of))
         maker = F.when(has(x, LINES["redmi"]), "buds:redmi").when(has(x, LINES["galaxy"]), "buds:galaxy").otherwise("buds:generic")
 
         def of_flash(f: Column) -> Column:
@@ -362,16 +365,16 @@ def lineage_of(title: Column) -> Column:
             return F.when(card, F.coalesce(let(part(x, LINES["card_gen"], 1), lambda gen: line(name, digits(gen), gen)), line(F.when(f["first"].isNotNull(), name), F.lit("0"), F.lit("0"))))
 
         return F.coalesce(
-            let(part(x, LINES["buds"], 1), lambda buds: F.when(buds.isNotNull(), line(maker, buds))), line(F.lit("airpods"), part(x, LINES["airpods"], 1)),
-            let(two(x, "iphone"), lambda p: line(F.lit("iphone"), p["first"], F.concat(p["first"].cast("int").cast("string"), F.coalesce(tight(p["second"]), F.lit(""))))),
-            let(two(x, "pixel"), lambda p: line(F.lit("pixel"), digits(p["first"]), F.concat(p["first"], F.coalesce(p["second"], F.lit(""))))),
-            let(part(x, LINES["sony"], 1), lambda sony: line(F.lit("sony_wh1000xm"), sony, F.concat(F.lit("xm"), sony))), let(two(x, "canvas"), of_flash),
-            let(part(x, LINES["dyson"], 1), lambda dryer: F.when(dryer.isNotNull(), let(part(x, LINES["dyson_gen"], 1), lambda model: line(F.concat(F.lit("dyson:"), dryer), model, F.concat(F.lit("hd"), model))))),
-            let(two(x, "tool"), lambda p: line(F.concat(F.lit("tool:"), p["first"]), above(digits(p["second"])), F.concat(p["first"], p["second"]))),
-            F.when(has(x, LINES["robot"]), let(tight(part(x, LINES["robot_gen"], 1)), lambda robot: line(F.lit("robot:model"), above(F.regexp_extract(robot, r"\d+", 0)), robot))),
+            let(one("buds"), lambda buds: F.when(buds.isNotNull(), line(maker, buds))), line(F.lit("airpods"), one("airpods")),
+            two("iphone", lambda p: line(F.lit("iphone"), p["first"], F.concat(p["first"].cast("int").cast("string"), F.coalesce(tight(p["second"]), F.lit(""))))),
+            two("pixel", lambda p: line(F.lit("pixel"), digits(p["first"]), F.concat(p["first"], F.coalesce(p["second"], F.lit(""))))),
+            let(one("sony"), lambda sony: line(F.lit("sony_wh1000xm"), sony, F.concat(F.lit("xm"), sony))), two("canvas", of_flash, may_have(low, LINES["canvas"]) | may_have(low, LINES["card"])),
+            let(one("dyson"), lambda dryer: F.when(dryer.isNotNull(), let(part(x, LINES["dyson_gen"], 1), lambda model: line(F.concat(F.lit("dyson:"), dryer), model, F.concat(F.lit("hd"), model))))),
+            two("tool", lambda p: line(F.concat(F.lit("tool:"), p["first"]), above(digits(p["second"])), F.concat(p["first"], p["second"])), low.rlike("[0-9]v")),
+            F.when(may_have(low, LINES["robot"]) & has(x, LINES["robot"]), let(tight(part(x, LINES["robot_gen"], 1)), lambda robot: line(F.lit("robot:model"), above(F.regexp_extract(robot, r"\d+", 0)), robot))),
         )
 
-    return let(spaced(F.lower(title)), told)
+    return let(let(spaced(F.lower(title)), lambda x: F.struct(x.alias("x"), folded(x).alias("low"))), told)
 
 
 def _without(x: Column, literal: Column) -> Column:
@@ -386,47 +389,56 @@ def _first_words(x: Column, n: int) -> Column:
 def entity_of(title: Column, specs: Column | None = None) -> Column:
     """struct(entity, brand, role, host, family, noun, confidence): whether a title is a device of its own or a part, supply or accessory of a host, and what
     it is for. A host that is sold with accessories stays a host."""
-    family = lambda x: first_rule(x, [(f, p) for f, p, _ in HOSTS])
+    family = lambda x, low=None: first_rule(x, [(f, p) for f, p, _ in HOSTS], low)
     host_words = lambda v: F.coalesce(*[F.when(may_have(v["low"], p) & v["x"].rlike(rx(p)), F.coalesce(spaced(part(v["x"], c, 1)), F.lit("")) if c else F.lit("")) for _, p, c in HOSTS])
-    phrase = lambda x: let(F.struct(x.alias("x"), folded(x).alias("low")), host_words)
+    phrase = lambda x, low=None: let(F.struct(x.alias("x"), (folded(x) if low is None else low).alias("low")), host_words)
     field = lambda index, table, k: F.coalesce(*[F.when(index == str(i), F.lit(row[k])) for i, row in enumerate(table)])
     none = F.lit(None).cast("string")
 
+    may = lambda low, pattern: may_have(low, pattern) if needed(pattern) else F.lit(True)
+
     def read(x: Column) -> Column:
-        name, text = x["name"], x["text"]
-        said = F.nullif(F.substring(_first_words(F.regexp_extract(name, "(?s)" + rx(FOR_HOST) + "(.*)$", 1), 6), 1, 60), F.lit(""))
-        return F.struct(
-            name.alias("name"), text.alias("text"), family(name).alias("named_family"), family(text).alias("text_family"), phrase(name).alias("named_host"), phrase(text).alias("text_host"), said.alias("said"),
-            F.when(has(name, HOST_LEAD), False).otherwise(has(name, DEPENDENT_LEAD)).alias("leads"), t.brand_of(text, HOST_BRANDS).alias("brand"),
-        )
+        name, text, low = x["name"], x["text"], x["low"]
+        said = F.when(may(low, FOR_HOST), F.nullif(F.substring(_first_words(F.regexp_extract(name, "(?s)" + rx(FOR_HOST) + "(.*)$", 1), 6), 1, 60), F.lit("")))
+        leads = F.when(may(low, HOST_LEAD) & has(name, HOST_LEAD), False).otherwise(may(low, DEPENDENT_LEAD) & has(name, DEPENDENT_LEAD))
+        return F.struct(name.alias("name"), text.alias("text"), low.alias("low"), family(name, low).alias("named_family"), said.alias("said"), leads.alias("leads"), t.brand_of(text, HOST_BRANDS).alias("brand"))
 
     def signals(x: Column) -> Column:
         in_title, of_host = x["named_family"].isNotNull(), x["said"].isNotNull() | x["leads"]
         scanned = F.when(in_title & ~of_host, spaced(F.regexp_replace(x["name"], "(?s)" + rx(IN_BUNDLE) + ".*$", ""))).otherwise(x["text"])
-        host = F.nullif(F.when(in_title, x["named_host"]).otherwise(x["text_host"]), F.lit(""))
-        rules = lambda table, k: let(scanned, lambda v: first_rule(v, [(str(i), row[k]) for i, row in enumerate(table)]))
+        of_text = ~x["name"].eqNullSafe(x["text"])  # where they are alike, what one lacks the other lacks
+        host = F.nullif(F.when(in_title, phrase(x["name"], x["low"])).when(of_text, phrase(x["text"])), F.lit(""))
+        rules = lambda table, k, v: first_rule(v["x"], [(str(i), row[k]) for i, row in enumerate(table)], v["low"])
+        read = lambda v: F.struct(rules(ROLES, 2, v).alias("role"), rules(HINTS, 4, v).alias("hint"))
+        found = let(let(scanned, lambda v: F.struct(v.alias("x"), folded(v).alias("low"))), read)
         return F.struct(
-            x.alias("x"), host.alias("host"), F.coalesce(x["named_family"], x["text_family"]).alias("family"), (in_title & ~of_host).alias("device"), rules(ROLES, 2).alias("role"), rules(HINTS, 4).alias("hint")
+            x.alias("x"), host.alias("host"), F.coalesce(x["named_family"], F.when(of_text, family(x["text"]))).alias("family"), (in_title & ~of_host).alias("device"), found.alias("found")
         )
 
     def decided(y: Column) -> Column:
         # all roles of the tables are dependent ones: a device with such words is a device in a bundle
-        bundled = y["device"] & (y["role"].isNotNull() | y["hint"].isNotNull())
-        role = F.when(bundled, "primary").otherwise(F.coalesce(field(y["hint"], HINTS, 1), field(y["role"], ROLES, 0), F.lit("primary")))
-        noun = F.when(~bundled, F.coalesce(field(y["hint"], HINTS, 3), field(y["role"], ROLES, 1)))
-        hinted = y["hint"].isNotNull() & ~bundled
+        bundled = y["device"] & (y["found"]["role"].isNotNull() | y["found"]["hint"].isNotNull())
+        role = F.when(bundled, "primary").otherwise(F.coalesce(field(y["found"]["hint"], HINTS, 1), field(y["found"]["role"], ROLES, 0), F.lit("primary")))
+        noun = F.when(~bundled, F.coalesce(field(y["found"]["hint"], HINTS, 3), field(y["found"]["role"], ROLES, 1)))
+        hinted = y["found"]["hint"].isNotNull() & ~bundled
         return F.struct(
-            y.alias("y"), role.alias("role"), noun.alias("noun"), F.when(hinted, field(y["hint"], HINTS, 0)).alias("hinted"),
-            F.coalesce(F.when(hinted, field(y["hint"], HINTS, 2)), y["family"], field(y["hint"], HINTS, 2)).alias("family"), F.coalesce(y["x"]["said"], y["host"]).alias("host"),
+            y.alias("y"), role.alias("role"), noun.alias("noun"), F.when(hinted, field(y["found"]["hint"], HINTS, 0)).alias("hinted"),
+            F.coalesce(F.when(hinted, field(y["found"]["hint"], HINTS, 2)), y["family"], field(y["found"]["hint"], HINTS, 2)).alias("family"), F.coalesce(y["x"]["said"], y["host"]).alias("host"),
         )
 
     def stripped(x: Column, text: Column, host: Column | None) -> Column:
         left = x
-        for pattern in MARKETING:
-            left = _without(left, F.lower(part(text, pattern)))
-        if host is not None:
-            left = _without(left, host)
-        return spaced(F.regexp_replace(F.regexp_replace(left, "(?s)^(.*?)" + rx(FOR_HOST), "$1 "), rx(ENTITY_NOISE), " "))
+        words = lambda low: F.struct(*[F.when(may(low, p), F.lower(part(text, p))).alias(f"w{i}") for i, p in enumerate(MARKETING)])
+
+        def without(found: Column) -> Column:
+            left = x
+            for i in range(len(MARKETING)):
+                left = _without(left, found[f"w{i}"])
+            return left if host is None else _without(left, host)
+
+        plain = lambda v: F.when(may(v["low"], FOR_HOST), F.regexp_replace(v["x"], "(?s)^(.*?)" + rx(FOR_HOST), "$1 ")).otherwise(v["x"])
+        quiet = lambda v: F.when(may(v["low"], ENTITY_NOISE), F.regexp_replace(plain(v), rx(ENTITY_NOISE), " ")).otherwise(plain(v))
+        return spaced(let(let(let(folded(text), words), without), lambda left: let(F.struct(left.alias("x"), folded(left).alias("low")), quiet)))
 
     def told(z: Column) -> Column:
         x, noun, dependent = z["y"]["x"], z["noun"], z["role"] != "primary"
@@ -437,7 +449,7 @@ def entity_of(title: Column, specs: Column | None = None) -> Column:
         device = F.coalesce(z["y"]["host"], _first_words(stripped(x["name"], text, None), 5))
         entity = F.when(z["hinted"].isNotNull(), F.when(noun.isNotNull() & dependent, F.concat_ws(" ", noun, z["hinted"])).otherwise(z["hinted"])).when(dependent, from_words).otherwise(device)
         sure = (
-            F.when(z["hinted"].isNotNull(), 0.85).when(dependent, F.when(z["y"]["role"].isNotNull() & z["family"].isNotNull(), 0.75).when(z["y"]["role"].isNotNull(), 0.6).otherwise(0.45))
+            F.when(z["hinted"].isNotNull(), 0.85).when(dependent, F.when(z["y"]["found"]["role"].isNotNull() & z["family"].isNotNull(), 0.75).when(z["y"]["found"]["role"].isNotNull(), 0.6).otherwise(0.45))
             .when(z["y"]["family"].isNotNull(), 0.7).otherwise(0.4)
         )
         empty = (F.coalesce(text, F.lit("")) == "") | (text == PLACEHOLDER)
@@ -448,7 +460,8 @@ def entity_of(title: Column, specs: Column | None = None) -> Column:
         )
 
     both = F.struct(spaced(title).alias("name"), spaced(F.concat_ws(" ", title, specs) if specs is not None else title).alias("text"))
-    return let(let(let(let(both, read), signals), decided), told)
+    given = let(both, lambda x: F.struct(x["name"].alias("name"), x["text"].alias("text"), folded(x["name"]).alias("low")))
+    return let(let(let(let(given, read), signals), decided), told)
 
 
 def entity_query(e: Column) -> Column:
@@ -469,10 +482,11 @@ def model_of(title: Column, entity: Column) -> Column:
     x = F.trim(title)
     leading = F.array_join(F.slice(F.filter(F.split(spaced(F.regexp_replace(x, rx(TITLE_NOISE), "")), " "), lambda w: F.length(w) > 2), 1, 6), " ")
     named = let(F.struct(x.alias("x"), folded(x).alias("low")), lambda v: F.coalesce(*[F.when(may_have(v["low"], p), part(v["x"], p)) for p in MODELS]))
-    read = F.struct(x.alias("x"), t.brand_of(x).alias("brand"), spaced(named).alias("named"), leading.alias("leading"), entity_query(entity).alias("lead"))
+    dependent = (entity["role"] != "primary") & (F.length(entity["entity"]) >= 3)
+    found = F.struct(x.alias("x"), t.brand_of(x).alias("brand"), spaced(F.when(~F.coalesce(dependent, F.lit(False)), named)).alias("named"), F.when(F.coalesce(dependent, F.lit(False)), entity_query(entity)).alias("lead"))
+    read = let(found, lambda v: F.struct(v["x"].alias("x"), v["brand"].alias("brand"), v["named"].alias("named"), F.when(v["named"].isNull(), leading).alias("leading"), v["lead"].alias("lead")))
 
     def told(r: Column) -> Column:
-        dependent = (entity["role"] != "primary") & (F.length(entity["entity"]) >= 3)
         full = F.when(r["brand"].isNotNull() & ~F.lower(r["named"]).contains(r["brand"]), F.concat_ws(" ", r["brand"], r["named"])).otherwise(r["named"])
         empty = (F.coalesce(r["x"], F.lit("")) == "") | (r["x"] == PLACEHOLDER)
         ladder = lambda of_dependent, of_named, of_leading: F.when(empty, "").when(dependent, of_dependent).when(r["named"].isNotNull(), of_named).otherwise(of_leading)
@@ -558,27 +572,26 @@ def numbered(rows: DataFrame, texts: list[str], **told: Column) -> tuple[DataFra
     return _meet(rows, texts, known.select(*[f"of_{c}" for c in texts], "text")), known.select("text", *told)
 
 
-def features_of(title: str, specs: str | None = None) -> Column:
+def features_of(title: str, specs: str | None = None, only: tuple[str, ...] = ()) -> Column:
     """features() of named columns; built once a session, for it is a large expression."""
-    key = SparkContext._active_spark_context.applicationId, title, specs
+    key = SparkContext._active_spark_context.applicationId, title, specs, only
     if key not in _built:
-        _built[key] = features(F.col(title), F.col(specs) if specs else None)
+        _built[key] = features(F.col(title), F.col(specs) if specs else None, only)
     return _built[key]
 
 
-def features(title: Column, specs: Column | None = None) -> Column:
-    """All that pairs of titles are compared by, as a struct; select it once per title, before any join."""
+def features(title: Column, specs: Column | None = None, only: tuple[str, ...] = ()) -> Column:
+    """All that pairs of titles are compared by, as a struct, or only the fields named; select it once per title, before any join."""
     text = F.concat_ws(" ", title, F.coalesce(specs, F.lit(""))) if specs is not None else F.concat(F.coalesce(title, F.lit("")), F.lit(" "))
 
-    def read(x: Column) -> Column:
-        name, all_ = x["title"], x["text"]
-        return F.struct(
-            name.alias("title"), t.brand_of(name).alias("brand"), category_of(all_).alias("category"), F.coalesce(x["memory"], t.storage(all_)).alias("storage"), x["memory"].alias("variant_storage"), color_of(all_).alias("color"),
-            t.volume_ml(all_).alias("volume"), weight_g(all_).alias("weight"), t.package_count(all_).alias("package_count"), size_of(all_).alias("size"), series_of(all_).alias("series"),
-            first_rule(F.lower(all_), GENDERS).alias("gender"), material_of(all_).alias("material"), part_number_of(all_).alias("mpn"), connector_of(all_).alias("connector"), condition_of(all_).alias("condition"),
-            authenticity_of(all_).alias("authenticity"), region_of(all_).alias("region"), edition_of(all_).alias("edition"), scent_of(all_).alias("scent"), lineage_of(name).alias("line"), marks_of(name).alias("marks"),
-            match_tokens(name).alias("tokens"), t.title_words(name).alias("words"), let(entity_of(name, x["specs"]), lambda e: F.struct(e.alias("entity"), model_of(name, e).alias("model"))).alias("e"),
-        )
-
-    given = F.struct(title.alias("title"), (specs if specs is not None else F.lit(None).cast("string")).alias("specs"), text.alias("text"), storage_variant(text).alias("memory"))
-    return let(given, read)
+    fields = {
+        "title": lambda x: x["title"], "brand": lambda x: t.brand_of(x["title"]), "category": lambda x: category_of(x["text"]), "storage": lambda x: F.coalesce(x["memory"], t.storage(x["text"])), "variant_storage": lambda x: x["memory"],
+        "color": lambda x: color_of(x["text"]), "volume": lambda x: t.volume_ml(x["text"]), "weight": lambda x: weight_g(x["text"]), "package_count": lambda x: t.package_count(x["text"]), "size": lambda x: size_of(x["text"]),
+        "series": lambda x: series_of(x["text"]), "gender": lambda x: first_rule(F.lower(x["text"]), GENDERS), "material": lambda x: material_of(x["text"]), "mpn": lambda x: part_number_of(x["text"]), "connector": lambda x: connector_of(x["text"]),
+        "condition": lambda x: condition_of(x["text"]), "authenticity": lambda x: authenticity_of(x["text"]), "region": lambda x: region_of(x["text"]), "edition": lambda x: edition_of(x["text"]), "scent": lambda x: scent_of(x["text"]),
+        "line": lambda x: lineage_of(x["title"]), "marks": lambda x: marks_of(x["title"]), "tokens": lambda x: match_tokens(x["title"]), "words": lambda x: t.title_words(x["title"]),
+        "e": lambda x: let(entity_of(x["title"], x["specs"]), lambda e: F.struct(e.alias("entity"), model_of(x["title"], e).alias("model"))),
+    }
+    memory = storage_variant(text) if not only or {"storage", "variant_storage"} & set(only) else F.lit(None).cast("string")
+    given = F.struct(title.alias("title"), (specs if specs is not None else F.lit(None).cast("string")).alias("specs"), text.alias("text"), memory.alias("memory"))
+    return let(given, lambda x: F.struct(*[told(x).alias(name) for name, told in fields.items() if not only or name in only]))

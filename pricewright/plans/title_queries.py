@@ -212,9 +212,13 @@ def d11(spark, d):
 @query("x24_x25_fingerprints")
 def x24(spark, d):
     """Identity of every offer (article, line, generation, title) and of its card (brand, model, memory, colour, article); canonical id (x26)."""
-    article, f = F.col("product").cast("string"), F.col("f")
-    rows = _featured(spark, d)
-    return rows.select("product", ident.offer_fingerprint(f["title"], article, f["line"]).alias("offer"), ident.card_fingerprint(f, article).alias("card"), ident.canonical_id(f["brand"], f["e"]["model"]["model"], f["storage"], f["category"]).alias("canonical"))
+    f, article = ti.features_of("title", "specs", ident.OF_FINGERPRINTS), F.col("product").cast("string")
+    told = {
+        "named": ti.let(f, lambda f: F.struct(ident.offer_fingerprint(f["title"], F.lit(None).cast("string"), f["line"]).alias("offer"), ident.canonical_id(f["brand"], f["e"]["model"]["model"], f["storage"], f["category"]).alias("canonical"), ident.card_parts(f).alias("card"), ident.card_bare(f["title"]).alias("bare")))
+    }
+    x = F.col("named")
+    rows = ti.with_told(r.listings(spark, d), ["title", "specs"], **told)
+    return rows.select("product", ident.with_article(article, x["offer"]).alias("offer"), ident.card_of(x["card"], article, x["bare"]).alias("card"), x["canonical"].alias("canonical"))
 
 
 @query("f12_identity_excluded")
