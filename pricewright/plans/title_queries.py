@@ -224,8 +224,9 @@ def x24(spark, d):
 @query("f12_identity_excluded")
 def f12(spark, d):
     """Offers that a rejected identity bars: the same, of the same article, or of the same line and generation."""
-    f = F.col("f")
-    prints = _featured(spark, d).select("product", ident.offer_fingerprint(f["title"], F.lpad(F.col("product").cast("string"), 6, "0"), f["line"]).alias("print"))
+    named = ident.offer_fingerprint(F.col("title"), F.lit(None).cast("string"), ti.lineage_of(F.col("title")))
+    rows = ti.with_told(r.listings(spark, d).select("product", "title"), ["title"], named=named)
+    prints = rows.select("product", ident.with_article(F.lpad(F.col("product").cast("string"), 6, "0"), F.col("named")).alias("print"))
     rejected = prints.select((F.col("product") + 41).alias("product"), F.array("print").alias("rejected"))
     return prints.join(rejected, "product", "left").select("product", ident.identity_excluded(F.col("print"), F.coalesce("rejected", F.array().cast("array<string>"))).alias("excluded"))
 
