@@ -34,7 +34,7 @@ def plain(html: Column, entities: dict[str, str] = ENTITIES) -> Column:
 
 def markup_reviews(pages: DataFrame) -> DataFrame:
     """page_id, place, text of review blocks in the markup: 15 to 2000 characters, different, at most 40 a page."""
-    blocks = F.transform(F.regexp_extract_all("html", F.lit(MARKUP), 1), plain)
+    blocks = F.transform(F.regexp_extract_all("html", F.lit(MARKUP), 1), lambda h: plain(h))
     good = F.slice(F.array_distinct(F.filter(blocks, lambda t: (F.length(t) >= SHORTEST) & (F.length(t) <= LONGEST))), 1, MOST)
     return pages.select("page_id", F.posexplode(good).alias("place", "text"))
 

@@ -150,6 +150,14 @@ def test_extraction(spark):
     assert (card["title"], card["price"], card["old_price"], card["rating"]) == ("Phone X", 12990.0, 15000.0, 4.8)
 
 
+def test_markup_reviews_read_every_entity(spark):
+    """Each block's text is read with the entities of its own call, not with the block's place."""
+    html = '<p class="review-text">Good &quot;deal&quot; &lt;here&gt;&nbsp;&#39;s <b>fine</b></p><div itemprop="reviewBody">A second  block of &amp;amp; text</div><p class="review-text">short</p>'
+    pages = spark.createDataFrame([(1, html), (2, None)], "page_id bigint, html string")
+    got = [tuple(r) for r in extract.markup_reviews(pages).orderBy("place").collect()]
+    assert got == [(1, 0, "Good \"deal\" <here> 's fine"), (1, 1, "A second block of &amp; text")]
+
+
 def test_ingest(spark):
     raw = spark.createDataFrame([("loud", "s", "n" * 99, "Eldorado", True, 12.5, None, "m" * 999, "{}", 1000, dt.datetime(2024, 1, 1))], "level string, stage string, name string, marketplace string, success boolean, elapsed_ms double, error_code string, error_message string, payload string, client_ms bigint, received timestamp_ntz")
     row = ingest.telemetry(raw).first()
