@@ -237,7 +237,6 @@ def category_penalty(category: Column, a: Column, b: Column) -> Column:
 def gate(a: Column, b: Column) -> Column:
     """The first reason for which a candidate cannot be the reference's product, or null."""
     c, d = a["category"], b["category"]
-    blank = lambda x: (F.coalesce(x["title"], F.lit("")) == "") | (x["title"] == PLACEHOLDER)
     differ = lambda k: F.coalesce(a[k] != b[k], F.lit(False))
     x, y = a["e"]["model"]["model"], b["e"]["model"]["model"]
     buds = F.coalesce((a["line"]["gen"] == b["line"]["gen"]) & a["line"]["lineage"].startswith("buds:") & b["line"]["lineage"].startswith("buds:"), F.lit(False))
@@ -247,7 +246,7 @@ def gate(a: Column, b: Column) -> Column:
     editions = F.concat_ws("|", F.array_sort(F.array(a["edition"], b["edition"]))).isin("digital|disc", "body|kit")
     no = lambda condition, reason: F.when(F.coalesce(condition, F.lit(False)), reason)
     return F.coalesce(
-        no(blank(a) | blank(b), "empty_title"), no(categories_clash(c, d), "category"), no(accessory_for_device(a, b), "accessory"), no(roles_clash(a["e"]["entity"], b["e"]["entity"]), "entity_role"),
+        no(blank_title(a) | blank_title(b), "empty_title"), no(categories_clash(c, d), "category"), no(accessory_for_device(a, b), "accessory"), no(roles_clash(a["e"]["entity"], b["e"]["entity"]), "entity_role"),
         no((a["marks"]["fits"] != b["marks"]["fits"]) & (c != "accessories") & (d != "accessories"), "compatibility"), no(~lines_compatible(a["line"], b["line"]), "lineage_generation"),
         no(~t.brands_compatible(a["brand"], b["brand"]), "brand"), no(~c.isin(*SOFT_MODEL) & (x != "") & (y != "") & ~models_compatible(x, y) & ~buds, "model"),
         no(~c.isin(*NO_STORAGE) & ~t.storage_compatible(a["storage"], b["storage"]), "storage"), no(c.isin("headphones", "accessories") & differ("connector"), "connector"), no(differ("condition"), "condition"),
@@ -256,37 +255,76 @@ def gate(a: Column, b: Column) -> Column:
     )
 
 
+def _terms(a: Column, b: Column, features: Column) -> Column:
+    """struct of all that a score is made of but the likeness of the wordings."""
+    c, d = a["category"], b["category"]
+    x, y = a["e"]["model"]["model"], b["e"]["model"]["model"]
+    named = (x != "") & (y != "")
+    queries = t.word_overlap(a["e"]["model"]["query"], b["e"]["model"]["query"])
+    floor = F.when(~named, 0.0).when(compact(x) == compact(y), 0.95).when(models_compatible(x, y), 0.75).otherwise(queries * 0.85)
+    soft_color = _in(c, "color", 2) | _in(c, "color", 3)
+    both_colors, same_color = a["color"].isNotNull() & b["color"].isNotNull(), F.coalesce(a["color"] == b["color"], F.lit(False))
+    other_color = both_colors & ~same_color
+    electronic = F.greatest(F.lit(0.0), variant_penalty(a, b) - F.when(soft_color & other_color, 0.3).otherwise(0.0))
+    variant = F.when(c.isin(*NO_STORAGE), F.when(other_color & ~soft_color, 0.2).otherwise(0.0)).otherwise(electronic)
+    one_connector = c.isin("headphones", "accessories") & (a["connector"].isNull() != b["connector"].isNull())
+    return F.struct(
+        (features / 100.0).alias("base"), named.alias("named"), floor.alias("floor"), variant.alias("variant"), (soft_color & same_color).alias("hue"), (soft_color & other_color).alias("other_hue"),
+        category_penalty(c, a, b).alias("penalty"), ((c == "generic") != (d == "generic")).alias("generic"), one_connector.alias("one_connector"),
+    )
+
+
+def _total(p: Column, title: Column) -> Column:
+    """The score of _terms() and the likeness of the wordings; it never falls where the likeness grows."""
+    low = lambda v: F.greatest(F.lit(0.0), v)
+    score = F.when(p["named"], F.greatest(p["base"], F.least(title, F.lit(0.72)))).otherwise(F.greatest(p["base"], title * 0.85))
+    score = low(F.greatest(score, p["floor"]) - p["variant"])
+    score = F.when(p["hue"], F.least(F.lit(1.0), score + 0.04)).when(p["other_hue"], low(score - 0.06)).otherwise(score)
+    score = low(score - p["penalty"])
+    score = F.when(p["generic"], F.least(score, F.lit(CAP_GENERIC))).otherwise(score)
+    return F.when(p["one_connector"], F.least(score, F.lit(CAP_CONNECTOR))).otherwise(score)
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Likeness of two titles' wordings, 0 to 1."""
+    return F.greatest(word_overlap(a, b), token_overlap(a, b), t.edit_similarity(a["title"], b["title"]))
+
+
 def scored(a: Column, b: Column) -> Column:
     """struct(score, gate, title): 0 where a gate is closed, else 0 to 1 by features, titles, models, variant and category."""
 
     def told(r: Column) -> Column:
-        c, d = a["category"], b["category"]
-        x, y = a["e"]["model"]["model"], b["e"]["model"]["model"]
-        named = (x != "") & (y != "")
-        base = r["features"] / 100.0
-        score = F.when(named, F.greatest(base, F.least(r["title"], F.lit(0.72)))).otherwise(F.greatest(base, r["title"] * 0.85))
-        queries = t.word_overlap(a["e"]["model"]["query"], b["e"]["model"]["query"])
-        floor = F.when(~named, 0.0).when(compact(x) == compact(y), 0.95).when(models_compatible(x, y), 0.75).otherwise(queries * 0.85)
-        soft_color = _in(c, "color", 2) | _in(c, "color", 3)
-        both_colors, same_color = a["color"].isNotNull() & b["color"].isNotNull(), F.coalesce(a["color"] == b["color"], F.lit(False))
-        other_color = both_colors & ~same_color
-        electronic = F.greatest(F.lit(0.0), variant_penalty(a, b) - F.when(soft_color & other_color, 0.3).otherwise(0.0))
-        variant = F.when(c.isin(*NO_STORAGE), F.when(other_color & ~soft_color, 0.2).otherwise(0.0)).otherwise(electronic)
-        low = lambda v: F.greatest(F.lit(0.0), v)
-        score = low(F.greatest(score, floor) - variant)
-        score = F.when(soft_color & same_color, F.least(F.lit(1.0), score + 0.04)).when(soft_color & other_color, low(score - 0.06)).otherwise(score)
-        score = low(score - category_penalty(c, a, b))
-        score = F.when((c == "generic") != (d == "generic"), F.least(score, F.lit(CAP_GENERIC))).otherwise(score)
-        one_connector = c.isin("headphones", "accessories") & (a["connector"].isNull() != b["connector"].isNull())
-        score = F.when(one_connector, F.least(score, F.lit(CAP_CONNECTOR))).otherwise(score)
+        score = let(_terms(a, b, r["features"]), lambda p: _total(p, r["title"]))
         return F.struct(F.when(r["gate"].isNotNull(), 0.0).otherwise(score).alias("score"), r["gate"].alias("gate"), word_overlap(a, b).alias("title"))
 
-    title = F.greatest(word_overlap(a, b), token_overlap(a, b), t.edit_similarity(a["title"], b["title"]))
     # behind a closed gate nothing else is looked at
-    opened = lambda g: F.struct(g.alias("gate"), F.when(g.isNull(), feature_score(a, b, a["category"])).alias("features"), F.when(g.isNull(), title).alias("title"))
+    opened = lambda g: F.struct(g.alias("gate"), F.when(g.isNull(), feature_score(a, b, a["category"])).alias("features"), F.when(g.isNull(), alike(a, b)).alias("title"))
     return let(let(gate(a, b), opened), told)
 
 
+def terms(a: Column, b: Column) -> Column:
+    """struct(p, low, high) of two cores (core_of): _terms() and the scores of the least and the most alike wordings; null behind a closed gate."""
+    p = let(feature_score(a, b, a["category"]), lambda features: _terms(a, b, features))
+    return let(F.when(gate(a, b).isNull(), p), lambda p: F.when(p.isNotNull(), F.struct(p.alias("p"), _total(p, F.lit(0.0)).alias("low"), _total(p, F.lit(1.0)).alias("high"))))
+
+
+#: Features that gates and terms read; of the title they read only whether it is blank.
+CORE = (
+    "brand", "category", "storage", "variant_storage", "color", "volume", "weight", "package_count", "size", "series", "gender", "material", "connector", "condition", "authenticity", "region", "edition", "scent", "line", "marks",
+)
+
+
+def blank_title(f: Column) -> Column:
+    return (F.coalesce(f["title"], F.lit("")) == "") | (f["title"] == PLACEHOLDER)
+
+
+def core_of(f: Column) -> Column:
+    """Features without the wording: pairs of titles of two cores differ in their scores only by how alike() they are."""
+    e, m = f["e"]["entity"], f["e"]["model"]
+    entity = F.struct(F.struct(*[e[k].alias(k) for k in ("role", "family", "confidence")]).alias("entity"), F.struct(m["model"].alias("model"), m["query"].alias("query")).alias("model"))
+    return F.struct(F.when(blank_title(f), "").otherwise("-").alias("title"), *[f[k].alias(k) for k in CORE], entity.alias("e"))
+
+
 _built: dict[tuple, Column] = {}
 
 
@@ -378,7 +416,7 @@ def block_keys(f: Column, price: Column, steps: tuple[int, ...]) -> Column:
     either side knows, and holds those that both know; prices lie in steps of their category's ratio: one side names its step, the other the steps around its own."""
     category, model = f["category"], compact(f["e"]["model"]["model"])
     priced, named, branded = F.coalesce(price, F.lit(0.0)) > 0, (model != "") & ~category.isin(*SOFT_MODEL), f["brand"].isNotNull()
-    step = F.floor(F.ln(F.when(priced, price)) / (F.ln(n.price_ratio_for(category)) * 1.0001))
+    step = F.floor(F.ln(F.when(priced & (price < float("inf")), price)) / (F.ln(n.price_ratio_for(category)) * 1.0001))
     buds = F.when(f["line"]["lineage"].startswith("buds:"), F.concat_ws(":", F.lit("line:buds"), f["line"]["gen"]))
     models = F.array_distinct(F.concat(model_keys(f["e"]["model"]["model"]), F.filter(F.array(buds), lambda x: x.isNotNull())))
     hashed = lambda head, texts, around: F.flatten(F.transform(texts, lambda m: F.transform(around, lambda s: F.xxhash64(head, m, s))))
@@ -395,10 +433,9 @@ def block_keys(f: Column, price: Column, steps: tuple[int, ...]) -> Column:
     return F.array_distinct(F.flatten(F.array(*out)))
 
 
-def blocked(references: DataFrame, offers: DataFrame, size: int = TILE) -> DataFrame:
-    """Pairs of references (reference, a, price_a) and offers (candidate, b, price_b) that no gate on category, maker and model parts and whose prices are compatible; no other
-    pair scores more than CAP_GENERIC. Of keys on both sides each row goes to tiles of about `size` rows of either side, so no key's rows meet in one task; a pair
-    that shares several keys meets at the smallest. position orders ties."""
+def _met(references: DataFrame, offers: DataFrame, size: int) -> DataFrame:
+    """Pairs of rows of both sides that share a key of block_keys(), once each. Of keys on both sides each row goes to tiles of about `size` rows of either side, so no key's rows
+    meet in one task; a pair that shares several keys meets at the smallest."""
     sides = []
     for rows, name, f, price, steps in ((references, "reference", "a", "price_a", (-1, 0, 1)), (offers, "candidate", "b", "price_b", (0,))):
         kept = stored(rows.select(name, f, price, block_keys(F.col(f), F.col(price), steps).alias(f"keys_{f}")), "blocks")
@@ -409,18 +446,121 @@ def blocked(references: DataFrame, offers: DataFrame, size: int = TILE) -> DataF
     for (kept, name, f, light), other in zip(sides, ("b", "a"), strict=True):
         own = F.pmod(F.xxhash64(name, F.lit(7)), F.col(f"tiles_{f}")).alias(f"tile_{f}")
         tiles = light.join(shared, "key").select(name, "key", own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"tiles_{other}") - 1)).alias(f"tile_{other}"))
-        dealt.append(tiles.join(kept, name))
+        dealt.append(tiles.join(kept.hint("merge"), name))
     at_first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
-    pairs = dealt[0].join(dealt[1], ["key", "tile_a", "tile_b"]).where((F.col("reference") != F.col("candidate")) & at_first)
+    return dealt[0].join(dealt[1].hint("merge"), ["key", "tile_a", "tile_b"]).where(at_first)
+
+
+def blocked(references: DataFrame, offers: DataFrame, size: int = TILE) -> DataFrame:
+    """Pairs of references (reference, a, price_a) and offers (candidate, b, price_b) that no gate on category, maker and model parts and whose prices are compatible; no other
+    pair scores more than CAP_GENERIC. position orders ties."""
     near = n.prices_compatible(F.col("price_a"), F.col("price_b"), n.price_ratio_for(F.col("a.category")))
-    return pairs.where(near).select("reference", "candidate", "a", "b", "price_a", "price_b", F.col("candidate").alias("position"))
+    pairs = _met(references, offers, size).where((F.col("reference") != F.col("candidate")) & near)
+    return pairs.select("reference", "candidate", "a", "b", "price_a", "price_b", F.col("candidate").alias("position"))
 
 
-def entities(references: DataFrame, offers: DataFrame, least: float = LEAST / 100, top: int = 3) -> DataFrame:
-    """reference, candidate, score and place of the `top` best offers of each reference, of all that score `least` at least (above CAP_GENERIC); ties go to the smaller candidate."""
+#: A category's price ratio is cut into PARTS steps: prices of steps up to SURELY apart are compatible, those up to PERHAPS apart may be; steps of prices that are no numbers, and of unknown ones.
+PARTS, SURELY, PERHAPS, NO_NUMBER, UNKNOWN = 4, 2, 4, 1 << 40, 1 << 41
+
+
+def price_step(category: Column, price: Column) -> Column:
+    step = F.floor(F.ln(price) / (F.ln(n.price_ratio_for(category)) * 1.0001) * PARTS)
+    return F.when(F.coalesce(price, F.lit(0.0)) > 0, F.when(price < float("inf"), step).otherwise(NO_NUMBER)).otherwise(UNKNOWN).cast("bigint")
+
+
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """rows dealt by columns to four tasks a core, however few bytes they are: what follows is a long computation."""
+    spark = rows.sparkSession
+    return rows.repartition(4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
+def _first(rows: DataFrame, by: list[str], most: int, *order: Column | str) -> DataFrame:
+    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("turn") <= most)
+
+
+def core_pairs(a: DataFrame, b: DataFrame, cores: DataFrame, least: float) -> DataFrame:
+    """core_a, core_b with their terms p, low and high, of cores (core, c) of rows a and b (core, step, price) that may score `least`. They meet by block_keys() of each core and
+    whole price step, and each pair of cores is told once."""
+
+    def classes(rows: DataFrame, name: str, f: str) -> DataFrame:
+        kinds = rows.groupBy("core", F.expr(f"step div {PARTS}").alias("whole")).agg(F.min("price").alias(f"price_{f}"))
+        return _dealt(kinds, "core").join(_dealt(cores, "core").hint("merge"), "core").select(F.struct("core", "whole").alias(name), F.col("c").alias(f), f"price_{f}")
+
+    met = _met(classes(a, "reference", "a"), classes(b, "candidate", "b"), TILE).select(F.col("reference.core").alias("core_a"), F.col("candidate.core").alias("core_b")).distinct()
+    side = lambda k: _dealt(cores.select(F.col("core").alias(f"core_{k}"), F.col("c").alias(k)), f"core_{k}").hint("merge")
+    # explode computes the terms once, for the filter and the columns
+    told = _dealt(_dealt(met, "core_a").join(side("a"), "core_a"), "core_b").join(side("b"), "core_b").select("core_a", "core_b", F.explode(F.array(terms(F.col("a"), F.col("b")))).alias("s"))
+    return stored(told.where(F.col("s.high") >= least).select("core_a", "core_b", "s.*"), "core-pairs")
+
+
+def text_pairs(met: DataFrame, a: DataFrame, b: DataFrame, wordings: DataFrame, size: int = TILE) -> DataFrame:
+    """text_a, text_b and their score, of the texts of rows a and b (core, text) whose cores are met (core_a, core_b, p, floor), where it is `floor` at least. A core's texts are
+    dealt to tiles of about `size`, so no two cores' texts meet in one task."""
+    pairs = met
+    for rows, k in ((a, "a"), (b, "b")):
+        own = rows.select(F.col("core").alias(f"core_{k}"), F.col("text").alias(f"text_{k}")).distinct()
+        tiles = own.groupBy(f"core_{k}").agg(F.ceil(F.count(F.lit(1)) / size).alias("tiles"))
+        pairs = pairs.join(tiles, f"core_{k}").withColumn(f"tile_{k}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))).drop("tiles")
+        dealt = own.join(tiles, f"core_{k}").withColumn(f"tile_{k}", F.pmod(F.xxhash64(f"text_{k}"), F.col("tiles"))).drop("tiles")
+        worded = dealt.join(wordings.select(F.col("text").alias(f"text_{k}"), F.col("w").alias(k)).hint("merge"), f"text_{k}")
+        b_side = F.sort_array(F.collect_list(F.struct(f"text_{k}", k))).alias(f"tile_of_{k}")
+        pairs = pairs.join(worded.groupBy(f"core_{k}", f"tile_{k}").agg(b_side).hint("merge"), [f"core_{k}", f"tile_{k}"])
+    each = spread(pairs.select("p", "floor", "tile_of_a", "tile_of_b")).select("p", "floor", F.explode("tile_of_a").alias("x"), "tile_of_b").select("p", "floor", "x", F.explode("tile_of_b").alias("y"))
+    score = F.explode(F.array(_total(F.col("p"), alike(F.col("x.a"), F.col("y.b"))))).alias("score")
+    return each.select("x.text_a", "y.text_b", "floor", score).where(F.col("score") >= F.col("floor")).drop("floor")
+
+
+def entities_of_texts(references: DataFrame, offers: DataFrame, texts: DataFrame, least: float = LEAST / 100, top: int = 3) -> DataFrame:
+    """entities() of references (reference, price, text) and offers (candidate, price, text), whose features are f of texts (text, f).
+
+    Titles of one core (core_of) differ in their scores only by their wording, whose part is bounded: so pairs of cores are told, not of offers. The references of a core and price step can only
+    be matched by cores whose highest score reaches what their best `top` offers have at least; wordings are compared for those of them where they count. Of offers that one score and one step
+    put on a par the first by number count, and offers whose prices may be too far off are looked at one by one only where they would come before those.
+    """
     if least <= CAP_GENERIC:
         raise ValueError("pairs of one generic title are not looked for, and score up to CAP_GENERIC")
-    # explode computes the score once, for the filter and the window
-    scores = blocked(references, offers).select("reference", "candidate", "position", F.explode(F.array(scored_of("a", "b")["score"])).alias("score")).where(F.col("score") >= least)
-    place = F.row_number().over(Window.partitionBy("reference").orderBy(F.desc("score"), "position"))
-    return scores.withColumn("place", place.cast("bigint")).where(F.col("place") <= top).select("reference", "candidate", "score", "place")
+    most = top + 1  # one more, for a reference isn't its own offer
+    known = stored(texts.select("text", core_of(F.col("f")).alias("c"), F.struct(*[F.col("f")[k].alias(k) for k in ("title", "tokens", "words")]).alias("w")), "wordings")
+    cores = stored(known.select("c").distinct().withColumn("core", F.monotonically_increasing_id()), "cores")
+    of_text = stored(known.select("text", "c").join(cores.hint("merge"), "c").select("text", "core", F.col("c.category").alias("category")), "text-cores")
+    sides = [stored(rows.join(of_text, "text").withColumn("step", price_step(F.col("category"), F.col("price"))).drop("category"), "sides") for rows in (references, offers)]
+    a, b = (rows.withColumnsRenamed({c: f"{c}_{k}" for c in ("price", "text", "core", "step")}) for rows, k in zip(sides, "ab", strict=True))
+    pairs = core_pairs(*sides, cores, least)
+
+    apart, counted = F.abs(F.col("step_a") - F.col("step_b")), (F.col("step_a") < NO_NUMBER) & (F.col("step_b") < NO_NUMBER)
+    surely = (F.col("step_a") == UNKNOWN) | (F.col("step_b") == UNKNOWN) | (counted & (apart <= SURELY))
+    met = pairs.drop("p").join(a.select("core_a", "step_a").distinct(), "core_a").join(b.groupBy("core_b", "step_b").agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("n")), "core_b")
+    met = met.where(surely | (counted & (apart <= PERHAPS))).withColumn("surely", surely)
+    group = Window.partitionBy("core_a", "step_a")
+    so_far = F.sum(F.when(F.col("surely"), F.col("n"))).over(group.orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, 0))
+    floor = F.coalesce(F.max(F.when(F.col("so_far") >= most, F.col("low"))).over(group), F.lit(0.0))
+    kept = stored(met.withColumn("so_far", so_far).withColumn("floor", F.greatest(floor, F.lit(least))).where("high >= floor").select("core_a", "step_a", "core_b", "step_b", "surely", "low", "high", "floor"), "kept")
+    even, offer = kept.where("low = high").withColumn("score", F.col("low")), ["candidate", "price_b"]
+    at = ["core_a", "step_a"]
+    firsts = _first(b, ["core_b", "step_b"], most, "candidate").select("core_b", "step_b", *offer)
+    by_core = stored(_first(even.where("surely").join(firsts, ["core_b", "step_b"]), at, most, F.desc("score"), "candidate").select(*at, *offer, "score", "turn"), "by-core")
+    last = by_core.where(F.col("turn") == most).select(*at, F.col("score").alias("last_score"), F.col("candidate").alias("last"))
+    better = F.col("last").isNull() | (F.col("score") > F.col("last_score")) | ((F.col("score") == F.col("last_score")) & (F.col("candidate") < F.col("last")))
+    by_core_perhaps = even.where("NOT surely").join(b, ["core_b", "step_b"]).join(last, at, "left").where(better).select(*at, *offer, "score")
+
+    uneven = kept.where("low < high").groupBy("core_a", "core_b").agg(F.min("floor").alias("floor")).join(pairs.select("core_a", "core_b", "p"), ["core_a", "core_b"])
+    told = stored(text_pairs(uneven, *sides, known.select("text", "w")), "text-pairs")
+    of = ["text_a", "step_a"]
+    ways = told.join(a.select("text_a", "core_a", "step_a").distinct(), "text_a")
+    first_texts = _first(b, ["text_b", "step_b"], most, "candidate").select("text_b", "step_b", *offer)
+    by_text = _first(ways.join(first_texts, "text_b").where(surely), of, most, F.desc("score"), "candidate").select(*of, *offer, "score")
+    by_text_perhaps = ways.join(b.select("text_b", "step_b", *offer), "text_b").where(~surely & counted & (apart <= PERHAPS)).join(last, at, "left").where(better).select(*of, *offer, "score")
+
+    rows = a.join(of_text.select(F.col("text").alias("text_a"), "category"), "text_a")
+    found = rows.join(by_core.drop("turn").unionByName(by_core_perhaps), at).select("reference", "price_a", "category", *offer, "score")
+    found = found.unionByName(rows.join(by_text.unionByName(by_text_perhaps), of).select("reference", "price_a", "category", *offer, "score"))
+    near = n.prices_compatible(F.col("price_a"), F.col("price_b"), n.price_ratio_for(F.col("category")))
+    return _first(found.where(near & (F.col("reference") != F.col("candidate"))), ["reference"], top, F.desc("score"), "candidate").select("reference", "candidate", "score", F.col("turn").cast("bigint").alias("place"))
+
+
+def entities(references: DataFrame, offers: DataFrame, least: float = LEAST / 100, top: int = 3) -> DataFrame:
+    """reference, candidate, score and place of the `top` best offers (candidate, b, price_b) of each reference (reference, a, price_a), of all that score `least` at least (above CAP_GENERIC); ties
+    go to the smaller candidate."""
+    texts = stored(references.select(F.col("a").alias("f")).union(offers.select(F.col("b").alias("f"))).distinct().withColumn("text", F.monotonically_increasing_id()), "texts")
+    side = lambda rows, name, k: rows.join(texts.hint("merge"), F.col(k).eqNullSafe(F.col("f"))).select(name, F.col(f"price_{k}").alias("price"), "text")
+    return entities_of_texts(side(references, "reference", "a"), side(offers, "candidate", "b"), texts, least, top)

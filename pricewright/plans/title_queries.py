@@ -187,10 +187,9 @@ def d26(spark, d):
 @query("j17_entities")
 def j17(spark, d):
     """Products of one store matched to those of another: every pair that the gates on category, maker, model and price let through is scored, the three best from 0.55 kept."""
-    known = stored(_featured(spark, d), "features")
-    a = known.where("store = 0").select(F.col("product").alias("reference"), F.col("price").alias("price_a"), F.col("f").alias("a"))
-    b = known.where("store = 1").select(F.col("product").alias("candidate"), F.col("price").alias("price_b"), F.col("f").alias("b"))
-    return ms.entities(a, b)
+    rows, texts = ti.numbered(r.listings(spark, d).where("store IN (0, 1)"), ["title", "specs"], f=ti.features_of("title", "specs"))
+    side = lambda store, name: rows.where(F.col("store") == store).select(F.col("product").alias(name), "price", "text")
+    return ms.entities_of_texts(side(0, "reference"), side(1, "candidate"), texts)
 
 
 SQL_TOKENS = "[w for w in string_split(lower({x}), ' ') if len(w) > 2]"

@@ -54,6 +54,33 @@ def test_entities_are_the_best_of_all_pairs(sides, accepted):
         ms.entities(*sides, least=0.3)
 
 
+def test_entities_of_many_offers_of_few_titles(spark):
+    """Thousands of offers of a few titles, at prices near and far, unknown ones and no numbers: as the plain loop has it, though only different titles are told."""
+    names, drawn = [t for t, _ in TITLES[:16]], random.Random(5)
+    f = spark.createDataFrame(list(enumerate(names)), "text bigint, title string").select("text", ti.features_of("title").alias("f"))
+    texts = stored(f, "few-texts")
+    x, y = texts.select(F.col("text").alias("i"), F.col("f").alias("a")), texts.select(F.col("text").alias("j"), F.col("f").alias("b"))
+    score = {(r["i"], r["j"]): r["s"] for r in x.crossJoin(y).select("i", "j", F.explode(F.array(ms.scored_of("a", "b")["score"])).alias("s")).collect()}
+    strict = {r["text"]: r["r"] for r in texts.select("text", n.price_ratio_for(F.col("f.category")).alias("r")).collect()}
+    category = {r["text"]: r["c"] for r in texts.select("text", F.col("f.category").alias("c")).collect()}
+    price = lambda: drawn.choice([None, 0.0, float("nan"), float("inf")]) if drawn.random() < 0.04 else round(drawn.uniform(60, 260), 1)
+    rows = [(k, price(), drawn.randrange(len(names))) for k in range(2400)]
+    known = lambda p: p is not None and p != 0
+    number = lambda p: p == p and p != float("inf")
+
+    def near(p, q, ratio):
+        return not (known(p) and known(q)) or (number(p) and number(q) and max(p, q) / min(p, q) <= ratio)
+
+    want = []
+    for i, p, s in rows:
+        ok = {t for t in range(len(names)) if score[s, t] >= 0.55 and category[s] == category[t]}
+        best = sorted((-score[s, t], j) for j, q, t in rows if t in ok and j != i and near(p, q, strict[s]))[:3]
+        want += [(i, j, round(-v, 9), k + 1) for k, (v, j) in enumerate(best)]
+    table = spark.createDataFrame(rows, "product bigint, price double, text bigint")
+    got = ms.entities_of_texts(table.withColumnRenamed("product", "reference"), table.withColumnRenamed("product", "candidate"), texts)
+    assert sorted((r["reference"], r["candidate"], round(r["score"], 9), r["place"]) for r in got.collect()) == sorted(want)
+
+
 def test_no_tile_is_large(spark, sides):
     """A title that half of all rows repeat is dealt to tiles."""
     a, b = sides
