@@ -557,8 +557,9 @@ def _told(rows: DataFrame, texts: list[str], **told: Column) -> DataFrame:
 
 
 def _meet(rows: DataFrame, texts: list[str], known: DataFrame) -> DataFrame:
+    """Met by sorting both: files of texts and features are small, for they repeat, but would not be small in the driver and every executor."""
     same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in texts]
-    return rows.join(known, functools.reduce(lambda x, y: x & y, same)).drop(*[f"of_{c}" for c in texts])
+    return rows.join(known.hint("merge"), functools.reduce(lambda x, y: x & y, same)).drop(*[f"of_{c}" for c in texts])
 
 
 def with_told(rows: DataFrame, texts: list[str], **told: Column) -> DataFrame:

@@ -368,16 +368,23 @@ def with_scores(pairs: DataFrame) -> DataFrame:
     return stored(pairs.withColumn("s", scored_of("a", "b")), "scores").withColumn("score", F.col("s.score"))
 
 
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """rows dealt by columns to four tasks a core, however few bytes they are: what follows is a long computation."""
+    spark = rows.sparkSession
+    return rows.repartition(4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def told_of_texts(pairs: DataFrame, texts_a: DataFrame, texts_b: DataFrame, scores: bool = True, **told: Column) -> DataFrame:
     """pairs (text_a, text_b: numbers of titles.numbered()) with what both texts' features (column f of texts_a and texts_b) tell: the columns told, of a and b and, with scores,
     of their scored() s, which comes too, and its score. Computed once for each different pair of texts, on every core, and stored; pairs stay narrow. pairs should be stored, for they are read twice."""
-    side = lambda texts, k: texts.select(F.col("text").alias(f"text_{k}"), F.col("f").alias(k))
-    different = spread(pairs.select("text_a", "text_b").distinct()).join(side(texts_a, "a"), "text_a").join(side(texts_b, "b"), "text_b")
+    side = lambda texts, k: _dealt(texts.select(F.col("text").alias(f"text_{k}"), F.col("f").alias(k)), f"text_{k}").hint("merge")
+    # no side is sent whole to the driver and every executor: features repeat, so files of very many are small
+    different = _dealt(_dealt(pairs.select("text_a", "text_b").distinct(), "text_a").join(side(texts_a, "a"), "text_a"), "text_b").join(side(texts_b, "b"), "text_b")
     if scores:
         # explode computes the score once, for itself and what is told of it
         different = different.select("text_a", "text_b", "a", "b", F.explode(F.array(scored_of("a", "b"))).alias("s"))
     known = stored(different.select("text_a", "text_b", *["s"] * scores, *[c.alias(name) for name, c in told.items()]), "scores")
-    rows = pairs.join(known, ["text_a", "text_b"])
+    rows = pairs.join(known.hint("merge"), ["text_a", "text_b"])
     return rows.withColumn("score", F.col("s.score")) if scores else rows
 
 
@@ -441,11 +448,11 @@ def _met(references: DataFrame, offers: DataFrame, size: int) -> DataFrame:
         kept = stored(rows.select(name, f, price, block_keys(F.col(f), F.col(price), steps).alias(f"keys_{f}")), "blocks")
         sides.append((kept, name, f, kept.select(name, F.explode(f"keys_{f}").alias("key"))))
     counts = [light.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).alias(f"tiles_{f}")) for _, _, f, light in sides]
-    shared = stored(counts[0].join(counts[1], "key"), "block-sizes")
+    shared = stored(counts[0].join(counts[1].hint("merge"), "key"), "block-sizes")
     dealt = []
     for (kept, name, f, light), other in zip(sides, ("b", "a"), strict=True):
         own = F.pmod(F.xxhash64(name, F.lit(7)), F.col(f"tiles_{f}")).alias(f"tile_{f}")
-        tiles = light.join(shared, "key").select(name, "key", own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"tiles_{other}") - 1)).alias(f"tile_{other}"))
+        tiles = light.join(shared.hint("merge"), "key").select(name, "key", own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"tiles_{other}") - 1)).alias(f"tile_{other}"))
         dealt.append(tiles.join(kept.hint("merge"), name))
     at_first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
     return dealt[0].join(dealt[1].hint("merge"), ["key", "tile_a", "tile_b"]).where(at_first)
@@ -468,12 +475,6 @@ def price_step(category: Column, price: Column) -> Column:
     return F.when(F.coalesce(price, F.lit(0.0)) > 0, F.when(price < float("inf"), step).otherwise(NO_NUMBER)).otherwise(UNKNOWN).cast("bigint")
 
 
-def _dealt(rows: DataFrame, *by: str) -> DataFrame:
-    """rows dealt by columns to four tasks a core, however few bytes they are: what follows is a long computation."""
-    spark = rows.sparkSession
-    return rows.repartition(4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
-
-
 def _first(rows: DataFrame, by: list[str], most: int, *order: Column | str) -> DataFrame:
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("turn") <= most)
 
@@ -500,8 +501,8 @@ def text_pairs(met: DataFrame, a: DataFrame, b: DataFrame, wordings: DataFrame,
     for rows, k in ((a, "a"), (b, "b")):
         own = rows.select(F.col("core").alias(f"core_{k}"), F.col("text").alias(f"text_{k}")).distinct()
         tiles = own.groupBy(f"core_{k}").agg(F.ceil(F.count(F.lit(1)) / size).alias("tiles"))
-        pairs = pairs.join(tiles, f"core_{k}").withColumn(f"tile_{k}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))).drop("tiles")
-        dealt = own.join(tiles, f"core_{k}").withColumn(f"tile_{k}", F.pmod(F.xxhash64(f"text_{k}"), F.col("tiles"))).drop("tiles")
+        pairs = pairs.join(tiles.hint("merge"), f"core_{k}").withColumn(f"tile_{k}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))).drop("tiles")
+        dealt = own.join(tiles.hint("merge"), f"core_{k}").withColumn(f"tile_{k}", F.pmod(F.xxhash64(f"text_{k}"), F.col("tiles"))).drop("tiles")
         worded = dealt.join(wordings.select(F.col("text").alias(f"text_{k}"), F.col("w").alias(k)).hint("merge"), f"text_{k}")
         b_side = F.sort_array(F.collect_list(F.struct(f"text_{k}", k))).alias(f"tile_of_{k}")
         pairs = pairs.join(worded.groupBy(f"core_{k}", f"tile_{k}").agg(b_side).hint("merge"), [f"core_{k}", f"tile_{k}"])
@@ -523,13 +524,13 @@ def entities_of_texts(references: DataFrame, offers: DataFrame, texts: DataFrame
     known = stored(texts.select("text", core_of(F.col("f")).alias("c"), F.struct(*[F.col("f")[k].alias(k) for k in ("title", "tokens", "words")]).alias("w")), "wordings")
     cores = stored(known.select("c").distinct().withColumn("core", F.monotonically_increasing_id()), "cores")
     of_text = stored(known.select("text", "c").join(cores.hint("merge"), "c").select("text", "core", F.col("c.category").alias("category")), "text-cores")
-    sides = [stored(rows.join(of_text, "text").withColumn("step", price_step(F.col("category"), F.col("price"))).drop("category"), "sides") for rows in (references, offers)]
+    sides = [stored(rows.join(of_text.hint("merge"), "text").withColumn("step", price_step(F.col("category"), F.col("price"))).drop("category"), "sides") for rows in (references, offers)]
     a, b = (rows.withColumnsRenamed({c: f"{c}_{k}" for c in ("price", "text", "core", "step")}) for rows, k in zip(sides, "ab", strict=True))
     pairs = core_pairs(*sides, cores, least)
 
     apart, counted = F.abs(F.col("step_a") - F.col("step_b")), (F.col("step_a") < NO_NUMBER) & (F.col("step_b") < NO_NUMBER)
     surely = (F.col("step_a") == UNKNOWN) | (F.col("step_b") == UNKNOWN) | (counted & (apart <= SURELY))
-    met = pairs.drop("p").join(a.select("core_a", "step_a").distinct(), "core_a").join(b.groupBy("core_b", "step_b").agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("n")), "core_b")
+    met = pairs.drop("p").join(a.select("core_a", "step_a").distinct().hint("merge"), "core_a").join(b.groupBy("core_b", "step_b").agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("n")).hint("merge"), "core_b")
     met = met.where(surely | (counted & (apart <= PERHAPS))).withColumn("surely", surely)
     group = Window.partitionBy("core_a", "step_a")
     so_far = F.sum(F.when(F.col("surely"), F.col("n"))).over(group.orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, 0))
@@ -538,22 +539,22 @@ def entities_of_texts(references: DataFrame, offers: DataFrame, texts: DataFrame
     even, offer = kept.where("low = high").withColumn("score", F.col("low")), ["candidate", "price_b"]
     at = ["core_a", "step_a"]
     firsts = _first(b, ["core_b", "step_b"], most, "candidate").select("core_b", "step_b", *offer)
-    by_core = stored(_first(even.where("surely").join(firsts, ["core_b", "step_b"]), at, most, F.desc("score"), "candidate").select(*at, *offer, "score", "turn"), "by-core")
+    by_core = stored(_first(even.where("surely").join(firsts.hint("merge"), ["core_b", "step_b"]), at, most, F.desc("score"), "candidate").select(*at, *offer, "score", "turn"), "by-core")
     last = by_core.where(F.col("turn") == most).select(*at, F.col("score").alias("last_score"), F.col("candidate").alias("last"))
     better = F.col("last").isNull() | (F.col("score") > F.col("last_score")) | ((F.col("score") == F.col("last_score")) & (F.col("candidate") < F.col("last")))
-    by_core_perhaps = even.where("NOT surely").join(b, ["core_b", "step_b"]).join(last, at, "left").where(better).select(*at, *offer, "score")
+    by_core_perhaps = even.where("NOT surely").join(b.hint("merge"), ["core_b", "step_b"]).join(last.hint("merge"), at, "left").where(better).select(*at, *offer, "score")
 
-    uneven = kept.where("low < high").groupBy("core_a", "core_b").agg(F.min("floor").alias("floor")).join(pairs.select("core_a", "core_b", "p"), ["core_a", "core_b"])
+    uneven = kept.where("low < high").groupBy("core_a", "core_b").agg(F.min("floor").alias("floor")).join(pairs.select("core_a", "core_b", "p").hint("merge"), ["core_a", "core_b"])
     told = stored(text_pairs(uneven, *sides, known.select("text", "w")), "text-pairs")
     of = ["text_a", "step_a"]
-    ways = told.join(a.select("text_a", "core_a", "step_a").distinct(), "text_a")
+    ways = told.join(a.select("text_a", "core_a", "step_a").distinct().hint("merge"), "text_a")
     first_texts = _first(b, ["text_b", "step_b"], most, "candidate").select("text_b", "step_b", *offer)
-    by_text = _first(ways.join(first_texts, "text_b").where(surely), of, most, F.desc("score"), "candidate").select(*of, *offer, "score")
-    by_text_perhaps = ways.join(b.select("text_b", "step_b", *offer), "text_b").where(~surely & counted & (apart <= PERHAPS)).join(last, at, "left").where(better).select(*of, *offer, "score")
+    by_text = _first(ways.join(first_texts.hint("merge"), "text_b").where(surely), of, most, F.desc("score"), "candidate").select(*of, *offer, "score")
+    by_text_perhaps = ways.join(b.select("text_b", "step_b", *offer).hint("merge"), "text_b").where(~surely & counted & (apart <= PERHAPS)).join(last.hint("merge"), at, "left").where(better).select(*of, *offer, "score")
 
-    rows = a.join(of_text.select(F.col("text").alias("text_a"), "category"), "text_a")
-    found = rows.join(by_core.drop("turn").unionByName(by_core_perhaps), at).select("reference", "price_a", "category", *offer, "score")
-    found = found.unionByName(rows.join(by_text.unionByName(by_text_perhaps), of).select("reference", "price_a", "category", *offer, "score"))
+    rows = a.join(of_text.select(F.col("text").alias("text_a"), "category").hint("merge"), "text_a")
+    found = rows.join(by_core.drop("turn").unionByName(by_core_perhaps).hint("merge"), at).select("reference", "price_a", "category", *offer, "score")
+    found = found.unionByName(rows.join(by_text.unionByName(by_text_perhaps).hint("merge"), of).select("reference", "price_a", "category", *offer, "score"))
     near = n.prices_compatible(F.col("price_a"), F.col("price_b"), n.price_ratio_for(F.col("category")))
     return _first(found.where(near & (F.col("reference") != F.col("candidate"))), ["reference"], top, F.desc("score"), "candidate").select("reference", "candidate", "score", F.col("turn").cast("bigint").alias("place"))
 

@@ -104,7 +104,7 @@ def _told_pairs(spark, d, scores=True, **told):
     rows, texts = ti.numbered(r.listings(spark, d), ["title", "specs"], f=ti.features_of("title", "specs"))
     known = stored(rows.select("product", "price", "text"), "listings")
     side = lambda name, k: known.select(F.col("product").alias(name), F.col("price").alias(f"price_{k}"), F.col("text").alias(f"text_{k}"))
-    pairs = stored(r.found_listings(spark, d).join(side("reference", "a"), "reference").join(side("candidate", "b"), "candidate"), "pairs")
+    pairs = stored(r.found_listings(spark, d).join(side("reference", "a").hint("merge"), "reference").join(side("candidate", "b").hint("merge"), "candidate"), "pairs")
     return ms.told_of_texts(pairs, texts, texts, scores, **told), texts
 
 

@@ -58,3 +58,14 @@ def test_pairs_of_one_block_are_dealt_out(spark):
     plain = a.alias("x").join(b.alias("y"), F.expr("x.brand = y.brand AND x.category = y.category AND x.product <> y.product")).where((low > 0) & (high / low <= 1.3)).select("x.product", "y.product").collect()
     assert len(got) == len(plain) > 2000 and {tuple(r)[:2] for r in got} == {tuple(r) for r in plain}
     assert len({r["task"] for r in got}) > 4
+
+
+def test_features_of_titles_are_not_sent_whole_to_the_driver(spark, sf_dir):
+    """Titles, features and scores meet by sorting: no table of them is collected and sent to every executor, however small its file."""
+    limit = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "1000b")
+    try:
+        assert all(queries()[name](spark, sf_dir).count() > 0 for name in ("t8_d27_search_pick", "t7_best_with_fallback", "j17_entities"))
+    finally:
+        spark.conf.set(limit, before)
