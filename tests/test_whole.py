@@ -92,6 +92,27 @@ def by_key(frame, key, order):
     return out
 
 
+def test_rate_limit_state_is_a_shard_s(spark, tmp_path):
+    """Users share states, of which there are few however many users; events without a user share a limit; rows are those of a plain fold, in several slices."""
+    rows = [(k, k * 7919 % 3000 if k % 50 else None, 1_700_000_000_000 + k * 104729 % 30_000_000) for k in range(12_000)]
+    table = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ms bigint").selectExpr("event_id", "user_id", "cast(timestamp_millis(ms) as timestamp_ntz) ts", "'view' event_type", "1.0D value")
+    table.toPandas().assign(user_id=lambda x: x["user_id"].astype("Int64")).to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    want, passed = {}, {}
+    for event, user, ms in sorted(rows, key=lambda r: (r[2], r[0])):
+        times = [t for t in passed.get(user, []) if ms - t < 3_600_000]
+        want[event] = (user, ms, len(times) < 3)
+        passed[user] = times + [ms] * want[event][2]
+    sliced = lambda: jobs.limited(jobs.slices(spark, str(tmp_path), 4000), jobs.HOUR, 3)
+    assert {r["event_id"]: (r["user_id"], r["ms"], r["allowed"]) for r in jobs.run(sliced(), "append").collect()} == want
+    spark.conf.set(jobs.STORE, jobs.ROCKS)
+    try:
+        query = sliced().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(jobs.STORE)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 256
+
+
 def test_rate_limit_and_failures_against_plain_folds(spark, sf_dir):
     """The streams' keyed state gives what plain folds over sorted events give, in one micro-batch and in several slices of time."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "user_id", "event_type", "unix_millis(cast(ts as timestamp)) ms").toPandas()
